@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefspark.plans import cat_data, cat_objectives  # noqa: F401
+from prefspark.plans import cat_data, cat_objectives, cat_runs  # noqa: F401
 from prefspark.plans.registry import ORACLE, QUERIES
 
 

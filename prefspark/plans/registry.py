@@ -38,11 +38,26 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_half_away(x, digits: int = DIGITS):
+    """Round the binary value: scale, round half away from zero, unscale.
+
+    Spark's ``round`` goes through the decimal string of the double, so values
+    with exactly seven decimals (prices / 100000) can round the other way than
+    in SQL engines that round the binary value; this form gives the same
+    result as those.  NaN, infinities and huge values pass through.
+    """
+    m = 10.0 ** digits
+    y = x * F.lit(m)
+    return F.when(F.abs(y) < F.lit(4.5e15),
+                  F.signum(y) * F.floor(F.abs(y) + F.lit(0.5)).cast("double") / F.lit(m)).otherwise(x)
+
+
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+            cols.append(round_half_away(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
+

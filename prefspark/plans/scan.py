@@ -2,14 +2,19 @@
 
 A plain ``agg(..) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED
 PRECEDING)`` puts every row of a run into one task.  When one run holds a
-large share of all rows that task is the whole job.  Here the rows are
-range-partitioned on ``(group, order)`` so a hot group is cut into several
-contiguous chunks; each chunk computes its local running value, and a tiny
-table of per-chunk totals supplies the carry-in from earlier chunks of the
+large share of all rows that task is the whole job.  Here each row gets a
+chunk number that is a monotone function of its first order column
+(``width_bucket`` between the column's global min and max), so a hot group is
+cut into contiguous chunks that are windowed in parallel; a small table of
+per-(chunk, group) totals supplies the carry-in from earlier chunks of the
 same group.  Only associative aggregates (count, sum, max, min) are allowed.
 
-The chunk totals have at most ``#chunks + #groups`` rows; they are joined
-back on ``(chunk, group)`` and AQE broadcasts them when they are small.
+The chunk is computed from the data (not from partition ids), so the local
+windows and the totals agree however Spark plans or re-runs the two
+branches.  The totals have at most ``#chunks x #groups`` rows (in practice
+about ``#chunks + #groups``); they are joined back on ``(chunk, group)`` and
+AQE broadcasts them when they are small.  When the first order column is not
+numeric, date or timestamp every group is one chunk.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CHUNK = "__chunk"
 
@@ -44,6 +50,28 @@ def _combine(fn: str, carry: Column, local: Column) -> Column:
     return F.least(carry, local)
 
 
+def _numeric_key(df: DataFrame, col: str) -> Column | None:
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, T.NumericType):
+        return c.cast("double")
+    return None
+
+
+def chunk_of(df: DataFrame, order_col: str, n: int) -> Column:
+    """Deterministic chunk number in ``[0, n]`` rising with ``order_col``."""
+    key = _numeric_key(df, order_col)
+    if key is None or n <= 1:
+        return F.lit(0)
+    rng = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    b = F.width_bucket(key, rng["lo"], rng["hi"], F.lit(n))
+    return F.coalesce(b, F.lit(0)).cast("int")
+
+
 def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Running],
             chunks: int | None = None) -> DataFrame:
     """Add one column per entry of ``out`` holding the running aggregate.
@@ -53,8 +81,7 @@ def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Runni
     """
     spark = df.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = (df.repartitionByRange(n, *[F.col(c) for c in by + order])
-               .withColumn(_CHUNK, F.spark_partition_id()))
+    keyed = df.withColumn(_CHUNK, chunk_of(df, order[0], n))
 
     vals = {name: (F.lit(1) if r.fn == "count" and r.col is None else
                    (F.col(r.col) if isinstance(r.col, str) else r.col))
