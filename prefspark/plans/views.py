@@ -69,10 +69,13 @@ def v_passes(spark, sf_dir) -> DataFrame:
         F.col("embedding").alias("logits"))
 
 
-def v_steps(spark, sf_dir) -> DataFrame:
+def v_steps(spark, sf_dir, with_tokens: bool = False) -> DataFrame:
+    """One run per user, steps in time order.  ``with_tokens`` adds the
+    token count of each step read from the JSON ``props`` (key ``k``)."""
+    extra = [F.get_json_object("props", "$.k").cast("bigint").alias("tokens")] if with_tokens else []
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), "ts",
-        "event_id", F.col("value").alias("reward_mean"))
+        "event_id", F.col("value").alias("reward_mean"), *extra)
     return row_index(ev, ["run_id"], ["ts", "event_id"], "step")
 
 
@@ -131,6 +134,10 @@ FROM events""",
        l_extendedprice / 100000 AS reward_mean, l_quantity AS duration_hours,
        l_discount AS kl_divergence, l_tax AS entropy, l_partkey AS total_steps
 FROM lineitem""",
+    "v_steps_tok": """SELECT user_id AS run_id, event_type AS phase, ts, event_id, value AS reward_mean,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS step
+FROM events""",
     "v_outcomes": """SELECT o_orderkey AS id, o_orderpriority AS algorithm,
        CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END AS return_code,
        o_orderstatus = 'P' AS timed_out, o_totalprice AS duration, o_orderdate AS started_at
