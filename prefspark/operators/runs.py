@@ -28,9 +28,10 @@ def _c(x) -> Column:
 
 
 def nan_to_null(c) -> Column:
-    """NaN and +-inf become NULL (pandas skips NaN in aggregates; Spark does not)."""
+    """NaN and +-inf become NULL (pandas skips NaN in aggregates; Spark does not).
+    One comparison: NaN and infinities both fail ``|x| < inf``."""
     x = _c(c)
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def clean_numeric(df: DataFrame, required: str = "reward_mean") -> DataFrame:
@@ -42,6 +43,13 @@ def clean_numeric(df: DataFrame, required: str = "reward_mean") -> DataFrame:
     return out.filter(F.col(required).isNotNull())
 
 
+def _name_pattern() -> str:
+    # longest known algorithm first; (?=_) so "grpo_vix" falls back to "grpo";
+    # the atomic group stops a failed match from retrying a shorter prefix
+    known = "|".join(f"{a}(?=_)" for a in sorted(KNOWN_ALGORITHMS, key=len, reverse=True))
+    return rf"^(?>({known}|[^_]+))_([^_]+)_([^_]+)"
+
+
 def parse_run_name(name, config_algorithm=None, config_dataset=None, config_size=None,
                    legacy: bool = False) -> Column:
     """Struct (algorithm, dataset, model_size) parsed from ``algo_dataset_size``.
@@ -52,24 +60,13 @@ def parse_run_name(name, config_algorithm=None, config_dataset=None, config_size
     values, then ``'unknown'``.  ``legacy=True`` always splits on ``_``.
     """
     n = _c(name)
-    parts = F.split(n, "_")
     fallback = [F.coalesce(_c(c) if c is not None else F.lit(None).cast("string"), F.lit("unknown"))
                 for c in (config_algorithm, config_dataset, config_size)]
-    if legacy:
-        algo, rest = parts.getItem(0), F.slice(parts, 2, 2)
-        ok = F.size(parts) >= 3
-        return F.struct(F.when(ok, algo).otherwise(fallback[0]).alias("algorithm"),
-                        F.when(ok, rest.getItem(0)).otherwise(fallback[1]).alias("dataset"),
-                        F.when(ok, rest.getItem(1)).otherwise(fallback[2]).alias("model_size"))
-    algo = F.lit(None).cast("string")
-    for a in sorted(KNOWN_ALGORITHMS, key=len):  # longest match wins (applied last)
-        algo = F.when(n.startswith(a + "_"), F.lit(a)).otherwise(algo)
-    algo = F.coalesce(algo, parts.getItem(0))
-    rest = F.split(F.substring(n, F.length(algo) + 2, 1 << 30), "_")
-    ok = (F.size(rest) >= 2) & n.contains("_")
-    return F.struct(F.when(ok, algo).otherwise(fallback[0]).alias("algorithm"),
-                    F.when(ok, rest.getItem(0)).otherwise(fallback[1]).alias("dataset"),
-                    F.when(ok, rest.getItem(1)).otherwise(fallback[2]).alias("model_size"))
+    pat = r"^([^_]+)_([^_]+)_([^_]+)" if legacy else _name_pattern()
+    parts = [F.regexp_extract(n, pat, i) for i in (1, 2, 3)]
+    ok = parts[0] != ""
+    return F.struct(*[F.when(ok, p).otherwise(f).alias(k) for p, f, k in
+                      zip(parts, fallback, ("algorithm", "dataset", "model_size"))])
 
 
 def metric_value(metrics, key: str) -> Column:

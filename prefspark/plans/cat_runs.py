@@ -312,11 +312,12 @@ def w12_outliers(spark, sf):
 
 # ------------------------------------------------------------------ K4
 @register("k4_pareto_front", rsql(f"""
-SELECT experiment_name, dataset, {_r('reward_mean', 'reward_mean')}, {_r('duration_hours', 'duration_hours')}
-FROM results p
-WHERE NOT EXISTS (SELECT 1 FROM results q WHERE q.dataset = p.dataset
-                  AND q.reward_mean >= p.reward_mean AND q.duration_hours <= p.duration_hours
-                  AND (q.reward_mean > p.reward_mean OR q.duration_hours < p.duration_hours))"""))
+, per AS (SELECT dataset, reward_mean, min(duration_hours) AS min_here FROM results GROUP BY dataset, reward_mean),
+ab AS (SELECT *, min(min_here) OVER (PARTITION BY dataset ORDER BY reward_mean DESC
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS min_above FROM per)
+SELECT experiment_name, r.dataset, {_r('r.reward_mean', 'reward_mean')}, {_r('duration_hours', 'duration_hours')}
+FROM results r JOIN ab ON r.dataset = ab.dataset AND r.reward_mean = ab.reward_mean
+WHERE duration_hours = min_here AND (min_above IS NULL OR duration_hours < min_above)"""))
 def k4_pareto_front(spark, sf):
     f = report.pareto_front(results(spark, sf), "dataset", "reward_mean", "duration_hours")
     return f.select("experiment_name", "dataset", "reward_mean", "duration_hours")

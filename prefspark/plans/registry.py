@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefspark.session import tune
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -34,6 +36,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
             return round_doubles(fn(spark, sf_dir))
 
         wrapped.__name__ = fn.__name__
@@ -55,11 +58,10 @@ def round_half_away(x, digits: int = DIGITS):
     pass through.
     """
     m = 10.0 ** digits
-    nudged = x + F.signum(x) * F.least(F.abs(x) * F.lit(NUDGE_REL), F.lit(NUDGE_ABS))
-    y = nudged * F.lit(m)
-    r = F.when(F.abs(y) < F.lit(4.5e15),
-               F.signum(y) * F.floor(F.abs(y) + F.lit(0.5)).cast("double") / F.lit(m)).otherwise(x)
-    return F.when(F.isnan(r) | (F.abs(r) == F.lit(float("inf"))), x).otherwise(r)
+    a = F.abs(x)
+    y = (a + F.least(a * F.lit(NUDGE_REL), F.lit(NUDGE_ABS))) * F.lit(m)
+    # NaN and infinities fail the range test and pass through unchanged
+    return F.when(y < F.lit(4.5e15), F.signum(x) * F.floor(y + F.lit(0.5)).cast("double") / F.lit(m)).otherwise(x)
 
 
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
