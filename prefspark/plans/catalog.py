@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefspark.plans import cat_data, cat_objectives, cat_runs, cat_steps  # noqa: F401
+from prefspark.plans import cat_data, cat_objectives, cat_runs, cat_steps, cat_stream  # noqa: F401
 from prefspark.plans.registry import ORACLE, QUERIES
 
 
