@@ -56,9 +56,11 @@ def rank_feedback(df: DataFrame, prompt: str = "prompt", idx: str = "resp_idx",
 def objective_balance(weights: DataFrame, group: list[str], weight: str = "weight") -> DataFrame:
     """``clamp(1 - std_pop(w)/mean(w), 0, 1)`` per group; 1.0 when a group has
     no weights (all NULL)."""
-    bal = F.lit(1.0) - F.stddev_pop(weight) / F.avg(weight)
+    bal = F.lit(1.0) - F.try_divide(F.stddev_pop(weight), F.avg(weight))
+    # greatest/least skip NULLs, so test for "no weights" before clamping
     return weights.groupBy(*group).agg(
-        F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), bal)), F.lit(1.0)).alias("balance"))
+        F.when(bal.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), bal)))
+        .alias("balance"))
 
 
 def attach_feedback(responses: DataFrame, feedback: DataFrame,

@@ -153,8 +153,8 @@ def size_settings(df: DataFrame, size: str = "model_size") -> DataFrame:
     """Attach the size rule (checkpoint, batch size); unknown sizes keep NULLs."""
     ck = F.create_map(*[x for k, (c, _) in SIZE_RULES.items() for x in (F.lit(k), F.lit(c))])
     bs = F.create_map(*[x for k, (_, b) in SIZE_RULES.items() for x in (F.lit(k), F.lit(b))])
-    return (df.withColumn("size_checkpoint", ck.getItem(F.col(size)))
-              .withColumn("size_batch_size", bs.getItem(F.col(size))))
+    return (df.withColumn("size_checkpoint", ck[F.col(size)])
+              .withColumn("size_batch_size", bs[F.col(size)]))
 
 
 def records_in_order(df: DataFrame, group: str, order: str, name: str = "position") -> DataFrame:

@@ -245,7 +245,8 @@ def x3_fan_out(spark, sf):
 
 # ------------------------------------------------------------------ A22
 @register("a22_objective_balance", with_views("""
-SELECT prompt, coalesce(least(1.0, greatest(0.0, 1.0 - stddev_pop(helpfulness) / avg(helpfulness))), 1.0) AS balance
+SELECT prompt, CASE WHEN stddev_pop(helpfulness) / nullif(avg(helpfulness), 0) IS NULL THEN 1.0
+       ELSE least(1.0, greatest(0.0, 1.0 - stddev_pop(helpfulness) / nullif(avg(helpfulness), 0))) END AS balance
 FROM v_responses GROUP BY prompt""", "v_responses"))
 def a22_objective_balance(spark, sf):
     r = V.v_responses(spark, sf)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.plans.registry import register
-from prefspark.session import checkpoint_dir
 from prefspark.streaming import metrics as sm
 
 
@@ -28,22 +27,7 @@ def _events_stream(spark, sf) -> DataFrame:
 
 
 def _upsert_sink(df: DataFrame, name: str, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run an aggregate stream in update mode; each micro-batch's rows are
-    appended with the batch id and the latest version per key is returned."""
-    spark = df.sparkSession
-    out = f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    sm.run_available(df, name, mode=mode, foreach_batch=write)
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced rows
-        return spark.createDataFrame([], df.schema)
-    cols = [c for c in res.columns if c not in keys and c != "__batch"]
-    latest = res.groupBy(*keys).agg(F.max_by(F.struct(*cols), "__batch").alias("__v"))
-    return latest.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in cols])
+    return sm.run_upsert(df, name, keys, mode)
 
 
 EPOCH_WINDOW = "CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT)"

@@ -15,7 +15,9 @@ SUMMARY = "experiment_summary.json"
 METRICS = "metrics.json"
 CONFIG = "config.yaml"
 
-_FILE = F.col("_metadata.file_path")
+
+def _file() -> Column:
+    return F.col("_metadata.file_path")
 
 
 def _run_of(path: Column) -> Column:
@@ -27,7 +29,7 @@ def _scan_json(spark: SparkSession, root: str, fname: str) -> DataFrame:
     """One row per file: run name and the raw JSON text (hidden run folders
     skipped).  Parsing stays in Spark so a malformed file gives NULL."""
     df = (spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/{fname}")
-          .select(_run_of(_FILE).alias("run"), F.col("value").alias("doc")))
+          .select(_run_of(_file()).alias("run"), F.col("value").alias("doc")))
     return df.filter(~F.col("run").startswith("."))
 
 

@@ -138,3 +138,23 @@ def run_available(df: DataFrame, name: str, sink_path: str | None = None, mode:
         q = w.format("parquet").option("path", sink_path).start()
     q.awaitTermination()
     return sink_path or ""
+
+
+def run_upsert(df: DataFrame, name: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Run an aggregate stream in update mode over everything available;
+    each micro-batch's rows are appended with the batch id and the latest
+    version per key is returned (an upsert read)."""
+    spark = df.sparkSession
+    out = f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    run_available(df, name, mode=mode, foreach_batch=write)
+    try:
+        res = spark.read.parquet(out)
+    except Exception:  # noqa: BLE001 - no batch produced rows
+        return spark.createDataFrame([], df.schema)
+    cols = [c for c in res.columns if c not in keys and c != "__batch"]
+    latest = res.groupBy(*keys).agg(F.max_by(F.struct(*cols), "__batch").alias("__v"))
+    return latest.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in cols])
