@@ -110,3 +110,12 @@ def conversation_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "tur
     return (out.filter((F.col(role) == "user") & (F.col("__next_role") == "assistant"))
                .select(conv, turn, F.col(text).alias("prompt"),
                        F.col("__next_text").alias("response"), "history_turns", "history"))
+
+
+def select_keys(df: DataFrame, prompt: str = "prompt", chosen: str = "chosen",
+                rejected: str = "rejected", keep: tuple = ()) -> DataFrame:
+    """Pick the prompt / chosen / rejected columns of a preference dataset by
+    the configured key names (completion format); the conversation format goes
+    through :func:`conversation_pairs`."""
+    return df.select(*keep, F.col(prompt).alias("prompt"), F.col(chosen).alias("chosen"),
+                     F.col(rejected).alias("rejected"))

@@ -161,3 +161,13 @@ def records_in_order(df: DataFrame, group: str, order: str, name: str = "positio
     """Long form of "records per group sorted by ``order``": each row with its
     0-based position (skew-safe, never one array per group)."""
     return row_index(df, [group], [order], name)
+
+
+def base_config_lookup(grid: DataFrame, configs: DataFrame, algorithm: str = "algorithm"
+                       ) -> tuple[DataFrame, DataFrame]:
+    """Attach each experiment's base configuration rows (``(algorithm, path,
+    value)``); returns (configured experiments, algorithms without a config).
+    A missing config is reported as rows instead of aborting the grid."""
+    have = configs.select(algorithm).distinct()
+    missing = grid.select(algorithm).distinct().join(have, algorithm, "left_anti")
+    return grid.join(configs, algorithm, "inner"), missing

@@ -251,3 +251,54 @@ FROM v_responses GROUP BY prompt""", "v_responses"))
 def a22_objective_balance(spark, sf):
     r = V.v_responses(spark, sf)
     return pairs.objective_balance(r, ["prompt"], "helpfulness")
+
+
+# ------------------------------------------------------------------ S1
+@register("s1_load_dataset", """
+SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang""")
+def s1_load_dataset(spark, sf):
+    """A dataset registered by short name and loaded with its column map."""
+    from prefspark.sources import datasets
+    datasets.register_dataset("documents", datasets.DatasetSpec(
+        "documents.parquet", columns={"doc_id": "id", "text": "text", "lang": "lang", "source": "source"}))
+    d = datasets.load_dataset(spark, "documents", sf)
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
+
+
+# ------------------------------------------------------------------ K6
+@register("k6_eval_subset", with_views("""
+SELECT id, source FROM v_samples WHERE id % 10 = 0 ORDER BY id LIMIT 1000""", "v_samples"))
+def k6_eval_subset(spark, sf):
+    """Evaluation cap (1000) on the validation split."""
+    s = prep.split_flag(V.v_samples(spark, sf), key=F.col("id") % 10 == 0)
+    return prep.cap_first(s.filter(F.col("split") == "validation"), 1000, "id").select("id", "source")
+
+
+# ------------------------------------------------------------------ P16
+@register("p16_select_keys", with_views("""
+SELECT conv_id, turn, text AS prompt, next_text AS chosen, coalesce(next2_text, '') AS rejected FROM (
+  SELECT conv_id, turn, role, text, lead(text) OVER w AS next_text, lead(text, 2) OVER w AS next2_text,
+         lead(role) OVER w AS next_role
+  FROM v_turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'user' AND next_role = 'assistant'""", "v_turns"))
+def p16_select_keys(spark, sf):
+    """Key selection: the user turn is the prompt, the answer the chosen
+    response and the turn after it the rejected one."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = (V.v_turns(spark, sf)
+         .withColumn("a", F.lead("text").over(w))
+         .withColumn("b", F.coalesce(F.lead("text", 2).over(w), F.lit("")))
+         .withColumn("next_role", F.lead("role").over(w))
+         .filter((F.col("role") == "user") & (F.col("next_role") == "assistant")))
+    return prep.select_keys(t, "text", "a", "b", keep=("conv_id", "turn"))
+
+
+# ------------------------------------------------------------------ X1
+@register("x1_reward_model", with_views(f"""
+SELECT id, round({wc()} / 100.0, 6) AS model_reward FROM v_samples""", "v_samples"))
+def x1_reward_model(spark, sf):
+    """Caller's reward model as an iterator pandas UDF (stand-in model)."""
+    from prefspark.functions.udf import model_reward
+    s = V.v_samples(spark, sf)
+    return s.select("id", model_reward("text").alias("model_reward"))

@@ -481,3 +481,12 @@ def p9_size_settings(spark, sf):
                 .when(F.col("id") % 4 == 2, "30b").otherwise("70b").alias("model_size"))
     return runs.size_settings(o)
 
+
+
+@register("a30_robustness_index", rsql(f"""
+, per AS (SELECT algorithm, dataset, avg(reward_mean) AS s FROM results GROUP BY algorithm, dataset)
+SELECT algorithm, {_r('min(s)', 'robustness_min')}, {_r('avg(s)', 'robustness_mean')} FROM per GROUP BY algorithm"""))
+def a30_robustness_index(spark, sf):
+    """Robustness: minimum and mean over datasets of the mean reward."""
+    from prefspark.operators.steps import robustness
+    return robustness(results(spark, sf), "algorithm", "dataset", "reward_mean")

@@ -88,3 +88,18 @@ def test_sink_round_trips(spark, scratch):
     assert spark.read.json(f"{scratch}/x_json").count() == 3
     with pytest.raises(ValueError):
         sinks.export(df, f"{scratch}/x", "pdf")
+
+
+def test_j3_base_config_lookup(spark):
+    from prefspark.operators import runs as R
+    grid = spark.createDataFrame([("ppo", "hh"), ("rlaif", "hh")], "algorithm string, dataset string")
+    cfg = spark.createDataFrame([("ppo", "training.batch_size", "4")], "algorithm string, path string, value string")
+    ok, missing = R.base_config_lookup(grid, cfg)
+    assert ok.count() == 1 and [r.algorithm for r in missing.collect()] == ["rlaif"]
+
+
+def test_s11_save_generations(spark, scratch):
+    g = spark.createDataFrame([(1, "a"), (2, "b")], "run_id long, text string")
+    sinks.save_generations(g, f"{scratch}/gen")
+    sinks.save_generations(g, f"{scratch}/gen")
+    assert spark.read.parquet(f"{scratch}/gen").count() == 4
