@@ -166,10 +166,16 @@ _reg_step("a17_advantage_norm", "grpo", ["advantage_norm"])
 
 
 # ------------------------------------------------------------------ X4 registry
-@register("x4_algorithm_registry")
+def _x4_sql() -> str:
+    parts = [f"SELECT '{a}' AS algorithm, step, total_loss FROM ({_step_sql(o, ['total_loss'])})"
+             for a, o in obj.ALGORITHMS.items()]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("x4_algorithm_registry", _x4_sql())
 def x4_algorithm_registry(spark, sf):
     """Objective chosen by name for every algorithm, stacked; unknown names
-    raise.  Rows-only check (each component is oracle-checked above)."""
+    raise."""
     out = None
     for a in obj.ALGORITHMS:
         g = _steps(spark, sf, a).select(F.lit(a).alias("algorithm"), "step", "total_loss")
