@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import word_count
+from prefspark.functions.vec import let
 from prefspark.plans.scan import Running, running
 
 # Fixed defaults (preparation section of the run configs).
@@ -18,9 +19,13 @@ CURRICULUM_BOUNDS = (0.25, 0.5, 0.75, 1.0)
 
 def length_filter(df: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS,
                   max_words: int = MAX_WORDS) -> DataFrame:
-    """Keep rows with ``min <= words <= max`` (inclusive); a NULL text passes."""
-    wc = word_count(text_col)
-    return df.filter(F.col(text_col).isNull() | wc.between(min_words, max_words))
+    """Keep rows with ``min <= words <= max`` (inclusive); a NULL text passes.
+
+    The word count is bound once (``let``): a plain BETWEEN would run the
+    regex over the whole text twice.
+    """
+    inside = let(word_count(text_col), lambda n: n.between(min_words, max_words))
+    return df.filter(F.col(text_col).isNull() | inside)
 
 
 def dedup_first(df: DataFrame, key: str = "text", order: str = "id") -> DataFrame:

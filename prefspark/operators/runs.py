@@ -43,28 +43,29 @@ def clean_numeric(df: DataFrame, required: str = "reward_mean") -> DataFrame:
     return out.filter(F.col(required).isNotNull())
 
 
-def _name_pattern() -> str:
-    # longest known algorithm first; (?=_) so "grpo_vix" falls back to "grpo";
-    # the atomic group stops a failed match from retrying a shorter prefix
-    known = "|".join(f"{a}(?=_)" for a in sorted(KNOWN_ALGORITHMS, key=len, reverse=True))
-    return rf"^(?>({known}|[^_]+))_([^_]+)_([^_]+)"
-
-
 def parse_run_name(name, config_algorithm=None, config_dataset=None, config_size=None,
                    legacy: bool = False) -> Column:
     """Struct (algorithm, dataset, model_size) parsed from ``algo_dataset_size``.
 
     The algorithm is the longest known name that prefixes the run name
-    (so ``grpo_offpolicy_hh_7b`` keeps its underscore); otherwise the first
-    ``_`` part.  Names with fewer than three parts fall back to the config
-    values, then ``'unknown'``.  ``legacy=True`` always splits on ``_``.
+    followed by ``_`` (so ``grpo_offpolicy_hh_7b`` keeps its underscore);
+    otherwise the first ``_`` part.  Names without two more parts fall back to
+    the config values, then ``'unknown'``.  ``legacy=True`` always splits on
+    ``_``.  Only prefix tests and one single-character split per row.
     """
     n = _c(name)
     fallback = [F.coalesce(_c(c) if c is not None else F.lit(None).cast("string"), F.lit("unknown"))
                 for c in (config_algorithm, config_dataset, config_size)]
-    pat = r"^([^_]+)_([^_]+)_([^_]+)" if legacy else _name_pattern()
-    parts = [F.regexp_extract(n, pat, i) for i in (1, 2, 3)]
-    ok = parts[0] != ""
+    first = F.instr(n, "_") - 1
+    if legacy:
+        alen = first
+    else:
+        alen = first
+        for a in sorted(KNOWN_ALGORITHMS, key=len):      # longest applied last, wins
+            alen = F.when(n.startswith(a + "_"), F.lit(len(a))).otherwise(alen)
+    rest = F.split(F.substring(n, alen + 2, 1 << 30), "_", 3)
+    ok = (alen > 0) & (F.size(rest) >= 2) & (F.length(F.get(rest, 0)) > 0) & (F.length(F.get(rest, 1)) > 0)
+    parts = [F.substring(n, 1, alen), F.get(rest, 0), F.get(rest, 1)]
     return F.struct(*[F.when(ok, p).otherwise(f).alias(k) for p, f, k in
                       zip(parts, fallback, ("algorithm", "dataset", "model_size"))])
 
