@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 from prefspark.plans.scan import row_index
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """Scan one table.  A scan with fewer splits than the cluster has cores
+    (one Parquet row group per small file) is spread round-robin so the
+    per-row work before the first shuffle uses every core; scans of large
+    inputs already have many splits and are left alone."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread is None:
+        spread = spark.conf.get("prefspark.spreadSmallScans", "false") == "true"
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def v_samples(spark, sf_dir) -> DataFrame:
