@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefspark.plans.scan import row_index
 from prefspark.functions.text import (feedback_prompt, first_int_score, multi_objective_reward,
                                       quality_metrics)
 
@@ -48,9 +49,12 @@ def preference_pairs(df: DataFrame, prompt: str = "prompt", idx: str = "resp_idx
 
 def rank_feedback(df: DataFrame, prompt: str = "prompt", idx: str = "resp_idx",
                   score: str = "score", out: str = "rank") -> DataFrame:
-    """Full stable descending rank of the responses of each prompt (1 = best)."""
-    w = Window.partitionBy(prompt).orderBy(F.col(score).desc(), F.col(idx).asc())
-    return df.withColumn(out, F.row_number().over(w))
+    """Full stable descending rank of the responses of each prompt (1 = best,
+    ties by response index).  Skew-safe: a prompt with a huge fan-out is
+    ranked in chunks (``row_index`` over ``(-score, idx)``)."""
+    d = df.withColumn("__neg", -F.col(score))
+    r = row_index(d, [prompt], ["__neg", idx], out)
+    return r.withColumn(out, (F.col(out) + 1).cast("int")).drop("__neg")
 
 
 def objective_balance(weights: DataFrame, group: list[str], weight: str = "weight") -> DataFrame:

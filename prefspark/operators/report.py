@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.operators.runs import classify_outcome
-from prefspark.plans.scan import Running, running
+from prefspark.plans.scan import Running, row_index, running
 
 Z95 = 1.959963984540054   # two-sided 95% normal quantile
 # Ranking weights (reward, sample efficiency, duration).
@@ -135,11 +135,36 @@ def trend_lines(df: DataFrame, group: str, y: str, x: str) -> DataFrame:
         "fitted", F.col("intercept") + F.col("slope") * F.col(x))
 
 
-def quartiles(df: DataFrame, group: str, value: str, exact: bool = True) -> DataFrame:
-    """Q1, median, Q3 per group: exact (``percentile``) or approximate
-    (``percentile_approx``, bounded memory per group at scale)."""
-    fn = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q, 10000))
-    return df.groupBy(group).agg(fn(0.25).alias("q1"), fn(0.5).alias("median"), fn(0.75).alias("q3"))
+def quartiles(df: DataFrame, group: str, value: str, exact: bool = True,
+              qs: tuple = (0.25, 0.5, 0.75), names: tuple = ("q1", "median", "q3")) -> DataFrame:
+    """Continuous quantiles per group (``percentile_cont`` semantics:
+    interpolate between the values at ``floor`` and ``ceil`` of ``(n-1)q``).
+
+    Exact form without holding a group in one task: a skew-safe row index in
+    value order, then only the rows at the needed positions are kept and
+    interpolated.  ``exact=False`` uses ``percentile_approx`` (bounded memory,
+    one pass).
+    """
+    if not exact:
+        return df.groupBy(group).agg(*[F.percentile_approx(value, q, 10000).alias(n)
+                                       for q, n in zip(qs, names)])
+    d = df.filter(F.col(value).isNotNull()).select(group, value)
+    idx = row_index(d, [group], [value], "__i")
+    n = d.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    j = idx.join(n, group)
+    wanted = F.lit(False)
+    for q in qs:
+        h = (F.col("__n") - 1) * F.lit(q)
+        wanted = wanted | (F.col("__i") == F.floor(h)) | (F.col("__i") == F.ceil(h))
+    picked = j.filter(wanted)
+    aggs = []
+    for q, name in zip(qs, names):
+        h = (F.col("__n") - 1) * F.lit(q)
+        lo = F.max(F.when(F.col("__i") == F.floor(h), F.col(value)))
+        hi = F.max(F.when(F.col("__i") == F.ceil(h), F.col(value)))
+        frac = F.max(h - F.floor(h))
+        aggs.append((lo + frac * (hi - lo)).alias(name))
+    return picked.groupBy(group).agg(*aggs)
 
 
 def confidence_interval(df: DataFrame, group: str, value: str, z: float = Z95) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefspark.plans.scan import Running, running
 from prefspark.session import checkpoint_dir, stream_checkpoint
 
 STEP_SCHEMA = T.StructType([
@@ -105,10 +106,11 @@ def new_best_batch(batch: DataFrame, carry: DataFrame, run: str = "run_id", step
     """Per-step ``new_best`` flags for one micro-batch given the stored best
     per run; returns (flags, new carry).  Runs are windowed independently."""
     b = batch.join(carry.withColumnRenamed("best", "__carry"), run, "left")
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.greatest(F.coalesce(F.max(value).over(w), F.lit(float("-inf"))),
+    # skew-safe running max within the batch (a hot run is not one task)
+    r = running(b, [run], [step], {"__prev": Running("max", value, inclusive=False)})
+    prev = F.greatest(F.coalesce(F.col("__prev"), F.lit(float("-inf"))),
                       F.coalesce(F.col("__carry"), F.lit(float("-inf"))))
-    flags = b.withColumn("new_best", F.col(value) > prev).drop("__carry")
+    flags = r.withColumn("new_best", F.col(value) > prev).drop("__carry", "__prev")
     new_carry = (flags.groupBy(run).agg(F.max(value).alias("__m"))
                  .join(carry, run, "full_outer")
                  .select(run, F.greatest("__m", "best").alias("best")))
