@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.plans.scan import row_index
+from prefspark.plans.scan import Running, row_index, running
 from prefspark.functions.text import (feedback_prompt, first_int_score, multi_objective_reward,
                                       quality_metrics)
 
@@ -50,11 +50,21 @@ def preference_pairs(df: DataFrame, prompt: str = "prompt", idx: str = "resp_idx
 def rank_feedback(df: DataFrame, prompt: str = "prompt", idx: str = "resp_idx",
                   score: str = "score", out: str = "rank") -> DataFrame:
     """Full stable descending rank of the responses of each prompt (1 = best,
-    ties by response index).  Skew-safe: a prompt with a huge fan-out is
-    ranked in chunks (``row_index`` over ``(-score, idx)``)."""
-    d = df.withColumn("__neg", -F.col(score))
-    r = row_index(d, [prompt], ["__neg", idx], out)
-    return r.withColumn(out, (F.col(out) + 1).cast("int")).drop("__neg")
+    ties by response index); scores must be non-NULL.
+
+    rank = 1 + (responses with a higher score) + (position among equal scores
+    by index).  The first term runs over counts per distinct score, the
+    second over indexes within one score, both with the skew-safe scan, so
+    neither a prompt with a huge fan-out nor a score shared by most of its
+    responses is one task.
+    """
+    counts = df.groupBy(prompt, score).agg(F.count(F.lit(1)).alias("__c"))
+    above = running(counts.withColumn("__neg", -F.col(score)), [prompt], ["__neg"],
+                    {"__above": Running("sum", "__c", inclusive=False)})
+    within = row_index(df, [prompt, score], [idx], "__w")
+    r = within.join(above.select(prompt, score, "__above"), [prompt, score])
+    return (r.withColumn(out, (F.coalesce("__above", F.lit(0)) + F.col("__w") + 1).cast("int"))
+             .drop("__above", "__w"))
 
 
 def objective_balance(weights: DataFrame, group: list[str], weight: str = "weight") -> DataFrame:

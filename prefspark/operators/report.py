@@ -140,28 +140,35 @@ def quartiles(df: DataFrame, group: str, value: str, exact: bool = True,
     """Continuous quantiles per group (``percentile_cont`` semantics:
     interpolate between the values at ``floor`` and ``ceil`` of ``(n-1)q``).
 
-    Exact form without holding a group in one task: a skew-safe row index in
-    value order, then only the rows at the needed positions are kept and
-    interpolated.  ``exact=False`` uses ``percentile_approx`` (bounded memory,
+    Exact form without holding a group in one task: counts per distinct
+    value, a skew-safe running count over the values, and only the values
+    covering the needed positions are kept and interpolated.  ``exact=False`` uses ``percentile_approx`` (bounded memory,
     one pass).
     """
     if not exact:
         return df.groupBy(group).agg(*[F.percentile_approx(value, q, 10000).alias(n)
                                        for q, n in zip(qs, names)])
-    d = df.filter(F.col(value).isNotNull()).select(group, value)
-    idx = row_index(d, [group], [value], "__i")
-    n = d.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    j = idx.join(n, group)
+    # counts per distinct value (partial aggregation: ties collapse map-side),
+    # then the number of smaller values by a skew-safe running sum
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(group, value)
+                .agg(F.count(F.lit(1)).alias("__c")))
+    cum = running(counts, [group], [value], {"__below": Running("sum", "__c", inclusive=False)})
+    n = counts.groupBy(group).agg(F.sum("__c").alias("__n"))
+    j = cum.join(n, group).withColumn("__below", F.coalesce("__below", F.lit(0)))
+
+    def covers(pos: Column) -> Column:          # value occupies positions [below, below + c)
+        return (F.col("__below") <= pos) & (pos < F.col("__below") + F.col("__c"))
+
     wanted = F.lit(False)
     for q in qs:
         h = (F.col("__n") - 1) * F.lit(q)
-        wanted = wanted | (F.col("__i") == F.floor(h)) | (F.col("__i") == F.ceil(h))
+        wanted = wanted | covers(F.floor(h)) | covers(F.ceil(h))
     picked = j.filter(wanted)
     aggs = []
     for q, name in zip(qs, names):
         h = (F.col("__n") - 1) * F.lit(q)
-        lo = F.max(F.when(F.col("__i") == F.floor(h), F.col(value)))
-        hi = F.max(F.when(F.col("__i") == F.ceil(h), F.col(value)))
+        lo = F.max(F.when(covers(F.floor(h)), F.col(value)))
+        hi = F.max(F.when(covers(F.ceil(h)), F.col(value)))
         frac = F.max(h - F.floor(h))
         aggs.append((lo + frac * (hi - lo)).alias(name))
     return picked.groupBy(group).agg(*aggs)

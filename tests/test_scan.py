@@ -105,3 +105,25 @@ def test_curriculum_against_percent_rank(spark):
     rank = pdf.difficulty.rank(method="min") - 1
     pr = rank / (len(pdf) - 1)
     assert np.allclose(got.loc[pdf.id, "pct_rank"].to_numpy(), pr.to_numpy())
+
+
+def test_quartiles_with_heavy_ties(spark):
+    rng = np.random.default_rng(5)
+    g = np.concatenate([np.zeros(3000, dtype=int), rng.integers(1, 6, 1500)])
+    v = np.round(rng.integers(0, 7, len(g)) * 0.5, 1)          # few distinct values
+    pdf = pd.DataFrame({"g": g, "v": v})
+    got = report.quartiles(spark.createDataFrame(pdf), "g", "v").toPandas().set_index("g")
+    exp = pdf.groupby("g")["v"].quantile([0.25, 0.5, 0.75]).unstack()
+    assert np.allclose(got.loc[exp.index, ["q1", "median", "q3"]].to_numpy(), exp.to_numpy())
+
+
+def test_rank_with_ties_matches_stable_sort(spark):
+    from prefspark.operators.pairs import rank_feedback
+    rng = np.random.default_rng(9)
+    n = 2000
+    pdf = pd.DataFrame({"prompt": np.where(rng.random(n) < 0.6, "hot", rng.choice(["a", "b", "c"], n)),
+                        "resp_idx": np.arange(n), "score": rng.integers(0, 4, n) / 4.0})
+    got = rank_feedback(spark.createDataFrame(pdf)).toPandas().set_index("resp_idx")["rank"]
+    exp = (pdf.sort_values(["prompt", "score", "resp_idx"], ascending=[True, False, True])
+              .assign(rank=lambda d: d.groupby("prompt").cumcount() + 1).set_index("resp_idx")["rank"])
+    assert (got.loc[exp.index] == exp).all()
