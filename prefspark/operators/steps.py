@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prefspark.plans.recurrence import (bounded_frame, discounted_prefix, discounted_suffix, frame,
                                         halo_window as frame_order)
-from prefspark.plans.scan import Running, row_index, running
+from prefspark.plans.scan import STEP_WIDTH, Running, row_index, running
 
 # Fixed defaults of the run configs.
 GAMMA = 0.99
@@ -32,7 +32,8 @@ def best_so_far(df: DataFrame, run: str = "run_id", step: str = "step", value: s
                 out: str = "best_so_far") -> DataFrame:
     """Running best before each step (strict ``>`` starting from -inf) and a
     ``new_best`` flag; skew-safe running max."""
-    r = running(df, [run], [step], {"__prev": Running("max", value, inclusive=False)})
+    r = running(df, [run], [step], {"__prev": Running("max", value, inclusive=False)},
+                width=STEP_WIDTH)
     prev = F.coalesce(F.col("__prev"), F.lit(float("-inf")))
     return (r.withColumn("new_best", F.col(value) > prev)
              .withColumn(out, F.greatest(prev, F.col(value))).drop("__prev"))
@@ -42,7 +43,8 @@ def early_stop(df: DataFrame, target: float, run: str = "run_id", step: str = "s
                value: str = "reward_mean") -> DataFrame:
     """Steps up to and including the first one with ``value > target``."""
     hit = (F.col(value) > F.lit(target)).cast("int")
-    r = running(df, [run], [step], {"__hit_before": Running("max", hit, inclusive=False)})
+    r = running(df, [run], [step], {"__hit_before": Running("max", hit, inclusive=False)},
+                width=STEP_WIDTH)
     return r.filter(F.coalesce(F.col("__hit_before"), F.lit(0)) == 0).drop("__hit_before")
 
 
@@ -63,7 +65,8 @@ def target_refresh(df: DataFrame, freq: int = TARGET_UPDATE_FREQ, run: str = "ru
     number of refreshes."""
     flag = (F.pmod(F.col(step), F.lit(freq)) == 0)
     d = df.withColumn("target_update", flag.cast("int"))
-    return running(d, [run], [step], {"refresh_count": Running("sum", "target_update")})
+    return running(d, [run], [step], {"refresh_count": Running("sum", "target_update")},
+                   width=STEP_WIDTH)
 
 
 def keep_checkpoints(df: DataFrame, k: int, every: int, run: str = "run_id", step: str = "step",
@@ -82,7 +85,8 @@ def sample_efficiency(df: DataFrame, threshold: float, run: str = "run_id", step
     """Tokens (or steps, without a token column) consumed until ``value``
     first reaches ``threshold``; NULL when it never does."""
     tok = F.lit(1) if tokens is None else (F.col(tokens) if isinstance(tokens, str) else tokens)
-    r = running(df.withColumn("__tok", tok), [run], [step], {"__cum": Running("sum", "__tok")})
+    r = running(df.withColumn("__tok", tok), [run], [step], {"__cum": Running("sum", "__tok")},
+                width=STEP_WIDTH)
     return r.groupBy(run).agg(
         F.min(F.when(F.col(value) >= F.lit(threshold), F.col("__cum"))).alias("tokens_to_threshold"),
         F.min(F.when(F.col(value) >= F.lit(threshold), F.col(step))).alias("first_step"))
@@ -205,7 +209,7 @@ def adaptive_kl(df: DataFrame, run: str = "run_id", step: str = "step", kl: str
     inc = (F.when(F.col(kl) > F.lit(1.5 * target), F.lit(lf))
             .when(F.col(kl) < F.lit(target / 1.5), F.lit(-lf)).otherwise(F.lit(0.0)))
     r = running(df.withColumn("__inc", inc), [run], [step],
-                {"__before": Running("sum", "__inc", inclusive=False)})
+                {"__before": Running("sum", "__inc", inclusive=False)}, width=STEP_WIDTH)
     return (r.withColumn("kl_coef", F.lit(initial) * F.exp(F.coalesce("__before", F.lit(0.0))))
              .withColumn("kl_coef_next", F.lit(initial) * F.exp(F.coalesce("__before", F.lit(0.0)) + F.col("__inc")))
              .drop("__before", "__inc"))

@@ -62,10 +62,17 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
     return None
 
 
-def chunk_of(df: DataFrame, order_col: str, n: int) -> Column:
-    """Deterministic chunk number in ``[0, n]`` rising with ``order_col``."""
+def chunk_of(df: DataFrame, order_col: str, n: int, width: float | None = None) -> Column:
+    """Deterministic chunk number rising with ``order_col``: ``floor(key /
+    width)`` when a width is given (no pass over the data; for step indexes),
+    else one of ``n`` equal-width buckets between the column's global min and
+    max (one scalar subquery)."""
     key = _numeric_key(df, order_col)
-    if key is None or n <= 1:
+    if key is None:
+        return F.lit(0)
+    if width is not None:
+        return F.floor(key / F.lit(float(width))).cast("long")
+    if n <= 1:
         return F.lit(0)
     rng = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
     b = F.width_bucket(key, rng["lo"], rng["hi"], F.lit(n))
@@ -73,15 +80,17 @@ def chunk_of(df: DataFrame, order_col: str, n: int) -> Column:
 
 
 def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Running],
-            chunks: int | None = None) -> DataFrame:
+            chunks: int | None = None, width: float | None = None) -> DataFrame:
     """Add one column per entry of ``out`` holding the running aggregate.
 
     ``by + order`` must identify a row uniquely (ties would make the row
-    order, and so the result, arbitrary).
+    order, and so the result, arbitrary).  ``width`` chunks the first order
+    column in fixed steps (use it for 0-based step indexes: no extra pass
+    over a derived input); otherwise ``chunks`` buckets span its range.
     """
     spark = df.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn(_CHUNK, chunk_of(df, order[0], n))
+    keyed = df.withColumn(_CHUNK, chunk_of(df, order[0], n, width))
 
     vals = {name: (F.lit(1) if r.fn == "count" and r.col is None else
                    (F.col(r.col) if isinstance(r.col, str) else r.col))
@@ -112,8 +121,13 @@ def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Runni
 
 
 def row_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx",
-              chunks: int | None = None) -> DataFrame:
+              chunks: int | None = None, width: float | None = None) -> DataFrame:
     """0-based position of each row within its group in ``order``; the
     skew-safe equal of ``row_number() OVER (PARTITION BY by ORDER BY order) - 1``."""
-    res = running(df, by, order, {name: Running("count")}, chunks)
+    res = running(df, by, order, {name: Running("count")}, chunks, width)
     return res.withColumn(name, (F.col(name) - 1).cast("bigint"))
+
+
+# Fixed chunk width for 0-based step indexes: a group of up to 65,536 steps is
+# one chunk (one totals row); longer groups are split every 65,536 steps.
+STEP_WIDTH = 1 << 16

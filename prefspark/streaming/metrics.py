@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.plans.scan import Running, running
+from prefspark.plans.scan import STEP_WIDTH, Running, running
 from prefspark.session import checkpoint_dir, stream_checkpoint
 
 STEP_SCHEMA = T.StructType([
@@ -107,7 +107,7 @@ def new_best_batch(batch: DataFrame, carry: DataFrame, run: str = "run_id", step
     per run; returns (flags, new carry).  Runs are windowed independently."""
     b = batch.join(carry.withColumnRenamed("best", "__carry"), run, "left")
     # skew-safe running max within the batch (a hot run is not one task)
-    r = running(b, [run], [step], {"__prev": Running("max", value, inclusive=False)})
+    r = running(b, [run], [step], {"__prev": Running("max", value, inclusive=False)}, width=STEP_WIDTH)
     prev = F.greatest(F.coalesce(F.col("__prev"), F.lit(float("-inf"))),
                       F.coalesce(F.col("__carry"), F.lit(float("-inf"))))
     flags = r.withColumn("new_best", F.col(value) > prev).drop("__carry", "__prev")

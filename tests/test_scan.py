@@ -127,3 +127,11 @@ def test_rank_with_ties_matches_stable_sort(spark):
     exp = (pdf.sort_values(["prompt", "score", "resp_idx"], ascending=[True, False, True])
               .assign(rank=lambda d: d.groupby("prompt").cumcount() + 1).set_index("resp_idx")["rank"])
     assert (got.loc[exp.index] == exp).all()
+
+
+def test_running_fixed_width_chunks(spark, skewed):
+    d = _indexed(spark, skewed)
+    got = running(d, ["run_id"], ["step"], {"m": Running("max", "v", inclusive=False)}, width=97).toPandas()
+    p = got.sort_values(["run_id", "step"])
+    exp = p.groupby("run_id")["v"].transform(lambda s: s.shift(1).cummax())
+    assert np.allclose(p["m"].fillna(-1e9), exp.fillna(-1e9))
