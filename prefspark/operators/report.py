@@ -152,7 +152,8 @@ def quartiles(df: DataFrame, group: str, value: str, exact: bool = True,
     # then the number of smaller values by a skew-safe running sum
     counts = (df.filter(F.col(value).isNotNull()).groupBy(group, value)
                 .agg(F.count(F.lit(1)).alias("__c")))
-    cum = running(counts, [group], [value], {"__below": Running("sum", "__c", inclusive=False)})
+    cum = running(counts, [group], [value], {"__below": Running("sum", "__c", inclusive=False)},
+                  range_from=df.select(value))
     n = counts.groupBy(group).agg(F.sum("__c").alias("__n"))
     j = cum.join(n, group).withColumn("__below", F.coalesce("__below", F.lit(0)))
 
@@ -292,7 +293,8 @@ def pareto_front(df: DataFrame, group: str, maximize: str, minimize: str) -> Dat
     """
     per_val = df.groupBy(group, maximize).agg(F.min(minimize).alias("__min_here"))
     desc = per_val.withColumn("__neg", -F.col(maximize))
-    run = running(desc, [group], ["__neg"], {"__min_above": Running("min", "__min_here", inclusive=False)})
+    run = running(desc, [group], ["__neg"], {"__min_above": Running("min", "__min_here", inclusive=False)},
+                  range_from=df.select((-F.col(maximize)).alias("__neg")))
     keep = run.select(group, maximize, "__min_here", "__min_above")
     j = df.join(keep, on=[group, maximize])
     return j.filter((F.col(minimize) == F.col("__min_here")) &

@@ -62,11 +62,14 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
     return None
 
 
-def chunk_of(df: DataFrame, order_col: str, n: int, width: float | None = None) -> Column:
+def chunk_of(df: DataFrame, order_col: str, n: int, width: float | None = None,
+             range_from: DataFrame | None = None) -> Column:
     """Deterministic chunk number rising with ``order_col``: ``floor(key /
     width)`` when a width is given (no pass over the data; for step indexes),
     else one of ``n`` equal-width buckets between the column's global min and
-    max (one scalar subquery)."""
+    max (one scalar subquery; ``range_from`` may supply a cheaper frame with
+    the same column, e.g. the input before an aggregation: any range gives a
+    correct, monotone chunking, only the balance depends on it)."""
     key = _numeric_key(df, order_col)
     if key is None:
         return F.lit(0)
@@ -74,13 +77,16 @@ def chunk_of(df: DataFrame, order_col: str, n: int, width: float | None = None)
         return F.floor(key / F.lit(float(width))).cast("long")
     if n <= 1:
         return F.lit(0)
-    rng = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    src = range_from if range_from is not None else df
+    skey = _numeric_key(src, order_col)
+    rng = src.agg(F.struct(F.min(skey).alias("lo"), F.max(skey).alias("hi"))).scalar()
     b = F.width_bucket(key, rng["lo"], rng["hi"], F.lit(n))
     return F.coalesce(b, F.lit(0)).cast("int")
 
 
 def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Running],
-            chunks: int | None = None, width: float | None = None) -> DataFrame:
+            chunks: int | None = None, width: float | None = None,
+            range_from: DataFrame | None = None) -> DataFrame:
     """Add one column per entry of ``out`` holding the running aggregate.
 
     ``by + order`` must identify a row uniquely (ties would make the row
@@ -90,7 +96,7 @@ def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Runni
     """
     spark = df.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn(_CHUNK, chunk_of(df, order[0], n, width))
+    keyed = df.withColumn(_CHUNK, chunk_of(df, order[0], n, width, range_from))
 
     vals = {name: (F.lit(1) if r.fn == "count" and r.col is None else
                    (F.col(r.col) if isinstance(r.col, str) else r.col))
@@ -121,7 +127,8 @@ def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Runni
 
 
 def row_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx",
-              chunks: int | None = None, width: float | None = None) -> DataFrame:
+              chunks: int | None = None, width: float | None = None,
+            range_from: DataFrame | None = None) -> DataFrame:
     """0-based position of each row within its group in ``order``; the
     skew-safe equal of ``row_number() OVER (PARTITION BY by ORDER BY order) - 1``."""
     res = running(df, by, order, {name: Running("count")}, chunks, width)
