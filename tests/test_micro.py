@@ -200,3 +200,33 @@ def test_j8_resume(spark):
     g = spark.createDataFrame([("a",), ("b",)], "id string")
     st = spark.createDataFrame([("a", "completed"), ("b", "failed")], "id string, status string")
     assert rows(runs.resume(g, st), "id") == [("b",)]
+
+
+def test_numpy_and_jvm_forms_agree(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(0, i, int(rng.integers(0, 8)), rng.normal(size=8).tolist(), rng.normal(size=8).tolist(),
+             rng.normal(size=8).tolist(), 0.5) for i in range(20)]
+    d = spark.createDataFrame(rows, "step long, pos long, action int, policy_logits array<double>, "
+                                    "reference_logits array<double>, variational_logits array<double>, reward double")
+    a = obj.with_token_metrics(d, variational="variational_logits", form="jvm").select("pos", "m.*").toPandas()
+    b = obj.with_token_metrics(d, variational="variational_logits", form="numpy").select("pos", "m.*").toPandas()
+    a, b = a.sort_values("pos"), b.sort_values("pos")
+    for c in ("kl", "entropy", "logp", "logp_ref", "l2", "vi_kl", "abs_diff"):
+        assert np.allclose(a[c].to_numpy(float), b[c].to_numpy(float)), c
+
+
+def test_gae_matches_recursion(spark):
+    import numpy as np
+    r = [1.0, 0.5, -0.2, 2.0, 0.0]
+    v = [0.3, 0.1, 0.4, 0.2, 0.5]
+    d = spark.createDataFrame([(1, i, r[i], v[i]) for i in range(5)],
+                              "run_id long, step long, reward_mean double, value double")
+    got = {x.step: x.advantage for x in steps.gae(d).collect()}
+    adv, nxt = [0.0] * 5, 0.0
+    for t in range(4, -1, -1):
+        vn = v[t + 1] if t + 1 < 5 else 0.0
+        delta = r[t] + 0.99 * vn - v[t]
+        nxt = delta + 0.99 * 0.95 * nxt
+        adv[t] = nxt
+    assert np.allclose([got[i] for i in range(5)], adv)
