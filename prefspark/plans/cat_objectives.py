@@ -257,11 +257,12 @@ def _pairs(spark, sf):
 # ------------------------------------------------------------------ J6 / P13
 @register("j6_shift_targets", with_views("""
 SELECT pair_id, side, pos,
-       CASE WHEN lead(side) OVER w = side THEN lead(token_id) OVER w END AS target
+       CAST(CASE WHEN lead(side) OVER w = side THEN lead(token_id) OVER w END AS DOUBLE) AS target
 FROM v_pairs WINDOW w AS (PARTITION BY pair_id ORDER BY side, pos)""", "v_pairs"))
 def j6_shift_targets(spark, sf):
     t = obj.sequence_logprobs(V.v_pairs(spark, sf), ["pair_id", "side"], partition=["pair_id"])
-    return t.select("pair_id", "side", "pos", F.col("__target").alias("target"))
+    # nullable id as double: NULL then reads the same in every client
+    return t.select("pair_id", "side", "pos", F.col("__target").cast("double").alias("target"))
 
 
 @register("p13_pad_mask", with_views("""

@@ -472,14 +472,14 @@ def j9_multiobjective_grid(spark, sf):
 @register("p9_size_settings", with_views("""
 SELECT id, model_size, CASE model_size WHEN '7b' THEN 'microsoft/DialoGPT-medium' WHEN '13b' THEN 'microsoft/DialoGPT-large'
        WHEN '30b' THEN 'microsoft/DialoGPT-xlarge' END AS size_checkpoint,
-       CASE model_size WHEN '7b' THEN 4 WHEN '13b' THEN 2 WHEN '30b' THEN 1 END AS size_batch_size
+       CAST(CASE model_size WHEN '7b' THEN 4 WHEN '13b' THEN 2 WHEN '30b' THEN 1 END AS DOUBLE) AS size_batch_size
 FROM (SELECT id, CASE id % 4 WHEN 0 THEN '7b' WHEN 1 THEN '13b' WHEN 2 THEN '30b' ELSE '70b' END AS model_size FROM v_outcomes)""",
                                                    "v_outcomes"))
 def p9_size_settings(spark, sf):
     o = V.v_outcomes(spark, sf).select(
         "id", F.when(F.col("id") % 4 == 0, "7b").when(F.col("id") % 4 == 1, "13b")
                 .when(F.col("id") % 4 == 2, "30b").otherwise("70b").alias("model_size"))
-    return runs.size_settings(o)
+    return runs.size_settings(o).withColumn("size_batch_size", F.col("size_batch_size").cast("double"))
 
 
 

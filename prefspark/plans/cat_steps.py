@@ -87,9 +87,10 @@ def w17_keep_checkpoints(spark, sf):
 WITH c AS (SELECT *, sum(tokens) OVER (PARTITION BY run_id ORDER BY step
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM v_steps_tok)
 SELECT run_id, min(CASE WHEN reward_mean >= 200 THEN cum END) AS tokens_to_threshold,
-       min(CASE WHEN reward_mean >= 200 THEN step END) AS first_step FROM c GROUP BY run_id""", "v_steps_tok"))
+       CAST(min(CASE WHEN reward_mean >= 200 THEN step END) AS DOUBLE) AS first_step FROM c GROUP BY run_id""", "v_steps_tok"))
 def a29_sample_efficiency(spark, sf):
-    return st.sample_efficiency(steps(spark, sf, with_tokens=True), 200.0, tokens="tokens")
+    e = st.sample_efficiency(steps(spark, sf, with_tokens=True), 200.0, tokens="tokens")
+    return e.withColumn("first_step", F.col("first_step").cast("double"))
 
 
 # ------------------------------------------------------------------ A30

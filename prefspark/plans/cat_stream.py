@@ -45,7 +45,7 @@ def t1_windowed_metrics_stream(spark, sf):
 
 @register("t2_running_best_stream", """
 SELECT user_id AS run_id, round(max(value), 6) AS best,
-       CAST(floor(epoch(min(CASE WHEN value > 200 THEN ts END))) AS BIGINT) AS first_target_ts, count(*) AS steps
+       CAST(floor(epoch(min(CASE WHEN value > 200 THEN ts END))) AS DOUBLE) AS first_target_ts, count(*) AS steps
 FROM events GROUP BY user_id""")
 def t2_running_best_stream(spark, sf):
     s = _events_stream(spark, sf)
@@ -54,7 +54,8 @@ def t2_running_best_stream(spark, sf):
         F.min(F.when(F.col("reward_mean") > 200, F.col("ts"))).alias("first_target_ts"),
         F.count(F.lit(1)).alias("steps"))
     r = _upsert_sink(agg, "t2", ["run_id"])
-    return r.withColumn("first_target_ts", (F.unix_micros("first_target_ts") / 1000000).cast("bigint"))
+    return r.withColumn("first_target_ts",
+                        F.floor(F.unix_micros("first_target_ts") / 1000000).cast("double"))
 
 
 @register("t3_replay_buffer_stream", """
