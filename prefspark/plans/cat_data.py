@@ -223,9 +223,16 @@ def j7_attach_feedback(spark, sf):
 
 
 # ------------------------------------------------------------------ X2 (judge hook)
-@register("x2_ai_feedback")
+JUDGE_LEN = ("length('Evaluate the following response:' || chr(10) || response || chr(10) || chr(10)"
+             " || 'Provide a score from 1-10 and brief feedback:')")
+
+
+@register("x2_ai_feedback", with_views(f"""
+SELECT prompt, count(*) AS n, round(avg(CAST({JUDGE_LEN} % 10 + 1 AS DOUBLE) / 10), 6) AS mean_ai_score
+FROM v_responses GROUP BY prompt""", "v_responses"))
 def x2_ai_feedback(spark, sf):
-    """Batch judge over every response via mapInPandas (stub judge); rows-only."""
+    """Batch judge over every response via mapInPandas; the stub judge replies
+    "Score: <len % 10 + 1>/10", so its mean score has a SQL twin."""
     r = V.v_responses(spark, sf).select("prompt", "resp_idx", "response")
     out = pairs.ai_feedback(r)
     return out.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.avg("ai_score").alias("mean_ai_score"))
