@@ -51,3 +51,19 @@ def test_running_scan_has_no_single_partition_window(spark):
     p = plan(E.queries()["w1_best_so_far"](spark, SF))
     main = p.split("Subquery")[0]
     assert "SinglePartition" not in main
+
+
+# windows over one aggregated row per group (or per chunk) may be global
+GLOBAL_WINDOW_OK = {"w11_weighted_ranking"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMS))
+def test_single_partition_only_after_aggregation(spark, name):
+    """A single-partition exchange may only gather partial aggregates (or
+    per-group rows), never data rows."""
+    main = plan(E.queries()[name](spark, SF)).split("Subquery")[0]
+    lines = main.splitlines()
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:
+            above = lines[i - 1]
+            assert "Aggregate(keys=[]" in above or name in GLOBAL_WINDOW_OK, (name, above.strip()[:120])
