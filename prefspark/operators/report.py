@@ -295,11 +295,12 @@ def pareto_front(df: DataFrame, group: str, maximize: str, minimize: str) -> Dat
     desc = per_val.withColumn("__neg", -F.col(maximize))
     run = running(desc, [group], ["__neg"], {"__min_above": Running("min", "__min_here", inclusive=False)},
                   range_from=df.select((-F.col(maximize)).alias("__neg")))
-    keep = run.select(group, maximize, "__min_here", "__min_above")
+    # frontier values first (usually a handful per group): the join back to
+    # the rows then has a small side that AQE can broadcast after measuring it
+    keep = (run.filter(F.col("__min_above").isNull() | (F.col("__min_here") < F.col("__min_above")))
+               .select(group, maximize, "__min_here"))
     j = df.join(keep, on=[group, maximize])
-    return j.filter((F.col(minimize) == F.col("__min_here")) &
-                    (F.col("__min_above").isNull() | (F.col(minimize) < F.col("__min_above")))
-                    ).drop("__min_here", "__min_above")
+    return j.filter(F.col(minimize) == F.col("__min_here")).drop("__min_here")
 
 
 def constraint_select(df: DataFrame, group: str, score: str, constraints: dict[str, float],
