@@ -68,7 +68,7 @@ def t3_replay_buffer_stream(spark, sf):
 
     def step(batch: DataFrame, batch_id: int) -> None:
         b = batch.select("run_id", "step", "event_id")
-        state.write(sm.replay_batch(b, state.read(), 50))
+        state.write(sm.replay_batch(b, state.read(before=batch_id), 50), batch_id)
 
     sm.run_available(s, "t3", foreach_batch=step)
     return state.read().select("run_id", "event_id")

@@ -80,25 +80,42 @@ def latest_status(events: DataFrame, key: str = "id", status: str = "status", ts
 
 # ----------------------------------------------------------- foreachBatch state
 class ParquetState:
-    """A small versioned Parquet table under the shared checkpoint folder
-    holding the carry-in between micro-batches (one folder per version, so a
-    batch never overwrites the table it is reading)."""
+    """Carry-in between micro-batches as Parquet tables under the shared
+    checkpoint folder, one folder per batch id (``v-<batch id>``).
 
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType):
+    Batch ``n`` reads the newest version older than ``n`` and overwrites its
+    own version, so a retried batch (after a lost executor or a restarted
+    driver) reads the same input and writes the same output: the state is
+    exactly-once without holding anything in driver memory.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType | str):
         self.spark = spark
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/state/{name}"
         self.schema = schema
-        self.version = None
 
-    def read(self) -> DataFrame:
-        if self.version is None:
+    def _versions(self) -> list[int]:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        out = []
+        for st in fs.listStatus(path):
+            n = st.getPath().getName()
+            if n.startswith("v-") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(n[2:]))
+        return sorted(out)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Newest committed version (older than batch ``before`` if given)."""
+        vs = [v for v in self._versions() if before is None or v < before]
+        if not vs:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.version)
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/v-{vs[-1]:012d}")
 
-    def write(self, df: DataFrame) -> None:
-        path = f"{self.base}/v-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        self.version = path
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.base}/v-{batch_id:012d}")
 
 
 def new_best_batch(batch: DataFrame, carry: DataFrame, run: str = "run_id", step: str = "step",

@@ -32,10 +32,10 @@ def test_new_best_carry_matches_batch(spark, step_dir):
     carry = sm.ParquetState(spark, "best-test", "run_id long, best double")
     out = []
 
-    def fb(batch, _id):
-        flags, new = sm.new_best_batch(batch, carry.read())
+    def fb(batch, batch_id):
+        flags, new = sm.new_best_batch(batch, carry.read(before=batch_id))
         out.extend(flags.select("event_id", "new_best").collect())
-        carry.write(new)
+        carry.write(new, batch_id)
 
     sm.run_available(s, "best", foreach_batch=fb)
     # batch twin over the same arrival order is only defined per batch;
@@ -60,8 +60,9 @@ def test_running_best_and_replay_and_alerts(spark, step_dir, scratch):
     s = sm.read_steps(spark, path, max_files=1)
     state = sm.ParquetState(spark, "replay-test", "run_id long, step long, event_id long")
 
-    def fb(batch, _id):
-        state.write(sm.replay_batch(batch.select("run_id", "step", "event_id"), state.read(), 10))
+    def fb(batch, batch_id):
+        state.write(sm.replay_batch(batch.select("run_id", "step", "event_id"), state.read(before=batch_id), 10),
+                    batch_id)
 
     sm.run_available(s, "replay", foreach_batch=fb)
     got = sorted((r.run_id, r.step) for r in state.read().collect())
@@ -76,3 +77,13 @@ def test_dedup_stream(spark, step_dir, scratch):
     d = sm.dedup_stream(sm.read_steps(spark, path), ["run_id", "phase"])
     out = sm.run_available(d, "dd", f"{scratch}/dd")
     assert spark.read.parquet(out).count() == df.select("run_id", "phase").distinct().count()
+
+
+def test_state_retry_is_idempotent(spark, scratch):
+    st = sm.ParquetState(spark, "retry-test", "k long, v long")
+    st.write(spark.createDataFrame([(1, 1)], "k long, v long"), 0)
+    st.write(spark.createDataFrame([(1, 2)], "k long, v long"), 1)
+    # a retried batch 1 sees version 0 again, and rewrites its own version
+    assert st.read(before=1).first().v == 1
+    st.write(spark.createDataFrame([(1, 2)], "k long, v long"), 1)
+    assert st.read().first().v == 2 and st.read(before=2).count() == 1
