@@ -191,6 +191,9 @@ def welch_tests(df: DataFrame, group: str, value: str, max_groups: int = 10000)
     """
     st = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"),
                                F.var_samp(value).alias("v"))
+    groups = st.count()        # one small job over the aggregate: the pairing's size bound
+    if groups > max_groups:
+        raise ValueError(f"{groups} groups: pairwise tests limited to {max_groups} groups")
     a, b = st.alias("a"), st.alias("b")
     pairs = a.join(b, F.col(f"a.{group}") < F.col(f"b.{group}"))
     se2 = F.col("a.v") / F.col("a.n") + F.col("b.v") / F.col("b.n")

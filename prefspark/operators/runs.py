@@ -114,13 +114,20 @@ def run_folder_name(ts, prefix: str | None = None) -> Column:
     return F.concat(F.lit(prefix + "_"), s) if prefix else s
 
 
+GRID_MAX_CELLS = 1_000_000
+
+
 def experiment_grid(algorithms: DataFrame, datasets: DataFrame, sizes: DataFrame,
-                    epoch: str = "epoch") -> DataFrame:
+                    epoch: str = "epoch", max_cells: int = GRID_MAX_CELLS) -> DataFrame:
     """Every algorithm x dataset x size with id ``algo_dataset_size_epoch``.
 
     The three inputs are configuration lists (a handful of rows each); the
-    product is the grid by definition.
+    product is the grid by definition.  Their sizes are counted first and a
+    grid above ``max_cells`` is refused, so the product has a checked bound.
     """
+    cells = algorithms.count() * datasets.count() * sizes.count()
+    if cells > max_cells:
+        raise ValueError(f"experiment grid of {cells} cells exceeds {max_cells}")
     g = algorithms.crossJoin(datasets).crossJoin(sizes)
     return g.withColumn("id", F.concat_ws("_", "algorithm", "dataset", "model_size", F.col(epoch).cast("string")))
 

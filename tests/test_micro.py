@@ -230,3 +230,14 @@ def test_gae_matches_recursion(spark):
         nxt = delta + 0.99 * 0.95 * nxt
         adv[t] = nxt
     assert np.allclose([got[i] for i in range(5)], adv)
+
+
+def test_grid_and_pairing_bounds(spark):
+    a = spark.range(200).selectExpr("cast(id as string) as algorithm")
+    d = spark.range(100).selectExpr("cast(id as string) as dataset")
+    s = spark.range(100).selectExpr("cast(id as string) as model_size", "0 as epoch")
+    with pytest.raises(ValueError):
+        runs.experiment_grid(a, d, s)
+    many = spark.range(50).selectExpr("cast(id as string) as g", "cast(id as double) as x")
+    with pytest.raises(ValueError):
+        report.welch_tests(many, "g", "x", max_groups=10)
