@@ -75,6 +75,26 @@ def multi_objective_reward(metrics, weights: dict[str, float]) -> Column:
     return total
 
 
+def _unit(key: Column, seed: int) -> Column:
+    # uniform in (0, 1) from a 64-bit hash: reproducible under any partitioning
+    return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
+def placeholder_reward(key, seed: int = 0) -> Column:
+    """Standard-normal stand-in reward when no reward model is given
+    (Box-Muller over two hash-derived uniforms of the row key)."""
+    k = _c(key)
+    u1, u2 = _unit(k, seed), _unit(k, seed + 1)
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * 3.141592653589793) * u2)
+
+
+def compute_rewards(reward=None, weights: list[float] | None = None, key=None, seed: int = 0) -> Column:
+    """Reward column (a model's score, or the placeholder when ``reward`` is
+    None) scaled by the mean of the weights."""
+    r = _c(reward) if reward is not None else placeholder_reward(key, seed)
+    return weighted_reward(r, weights)
+
+
 def weighted_reward(reward, weights: list[float] | None) -> Column:
     """``r * sum(w)/len(w)`` when weights are given and their total is positive."""
     r = _c(reward)

@@ -105,6 +105,9 @@ def classification_metrics(df: DataFrame, pred: str = "prediction", target: str
                            group: list[str] | None = None) -> DataFrame:
     """Accuracy, precision, recall, F1 with denominators floored at 1; F1 is 0
     when precision + recall is 0 and only produced with both present."""
+    if df.schema[pred].dataType.typeName() == "array":
+        from prefspark.functions.vec import argmax0       # score vectors -> labels
+        df = df.withColumn(pred, argmax0(pred))
     p, t = F.col(pred), F.col(target)
     tp = F.sum(F.when((p == 1) & (t == 1), 1).otherwise(0))
     fp = F.sum(F.when((p == 1) & (t != 1), 1).otherwise(0))

@@ -241,3 +241,16 @@ def test_grid_and_pairing_bounds(spark):
     many = spark.range(50).selectExpr("cast(id as string) as g", "cast(id as double) as x")
     with pytest.raises(ValueError):
         report.welch_tests(many, "g", "x", max_groups=10)
+
+
+def test_placeholder_reward_and_argmax_predictions(spark):
+    import numpy as np
+    d = spark.range(4000).select(tx.compute_rewards(None, None, "id").alias("r"))
+    r = np.array([x.r for x in d.collect()])
+    assert abs(r.mean()) < 0.1 and abs(r.std() - 1) < 0.1
+    again = [x.r for x in spark.range(4000).repartition(7).select(tx.compute_rewards(None, None, "id").alias("r"))
+             .orderBy("r").collect()]
+    assert np.allclose(sorted(r), again)
+    v = spark.createDataFrame([([0.1, 0.9], 1), ([0.8, 0.2], 1)], "prediction array<double>, target int")
+    m = report.classification_metrics(v).first()
+    assert m.accuracy == 0.5 and m.precision == 1.0 and m.recall == 0.5
