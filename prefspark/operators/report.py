@@ -50,7 +50,9 @@ def summary_sets(df: DataFrame) -> DataFrame:
                coalesce(sum(duration_hours), 0D) AS total_hours,
                avg(reward_mean) AS reward_mean, stddev_samp(reward_mean) AS reward_std,
                max(reward_mean) AS reward_max, min(reward_mean) AS reward_min,
-               avg(duration_hours) AS mean_hours, avg(kl_divergence) AS mean_kl
+               avg(duration_hours) AS mean_hours,
+               avg(sample_efficiency) AS mean_sample_efficiency,
+               avg(memory_usage_gb) AS mean_memory_usage_gb
         FROM __summary_input
         GROUP BY GROUPING SETS ((), (algorithm), (dataset))""")
 

@@ -154,7 +154,8 @@ SELECT CASE grouping(algorithm, dataset) WHEN 3 THEN 'overall' WHEN 1 THEN 'algo
        count(DISTINCT dataset) AS n_datasets, {_r('coalesce(sum(duration_hours), 0)', 'total_hours')},
        {_r('avg(reward_mean)', 'reward_mean')}, {_r('stddev_samp(reward_mean)', 'reward_std')},
        {_r('max(reward_mean)', 'reward_max')}, {_r('min(reward_mean)', 'reward_min')},
-       {_r('avg(duration_hours)', 'mean_hours')}, {_r('avg(kl_divergence)', 'mean_kl')}
+       {_r('avg(duration_hours)', 'mean_hours')}, {_r('avg(sample_efficiency)', 'mean_sample_efficiency')},
+       {_r('avg(memory_usage_gb)', 'mean_memory_usage_gb')}
 FROM results GROUP BY GROUPING SETS ((), (algorithm), (dataset))"""))
 def a5_a7_summary_sets(spark, sf):
     return report.summary_sets(results(spark, sf))
