@@ -95,6 +95,17 @@ class ParquetState:
         self.schema = schema
 
     def _versions(self) -> list[int]:
+        try:
+            return self._versions_hadoop()
+        except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): local folder listing
+            import os
+            base = self.base.removeprefix("file:")
+            if not os.path.isdir(base):
+                return []
+            return sorted(int(n[2:]) for n in os.listdir(base)
+                          if n.startswith("v-") and os.path.exists(os.path.join(base, n, "_SUCCESS")))
+
+    def _versions_hadoop(self) -> list[int]:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
