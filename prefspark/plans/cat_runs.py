@@ -491,3 +491,129 @@ def a30_robustness_index(spark, sf):
     """Robustness: minimum and mean over datasets of the mean reward."""
     from prefspark.operators.steps import robustness
     return robustness(results(spark, sf), "algorithm", "dataset", "reward_mean")
+
+
+# ------------------------------------------------------------------ S2 / S3 / J2 round trip
+# Fixed names used to label the derived run folders.
+PRIORITY_ALGORITHM = {"1-URGENT": "ppo", "2-HIGH": "dpo", "3-MEDIUM": "grpo_offpolicy",
+                      "4-NOT SPECIFIED": "grpo_vi", "5-LOW": "rlaif"}
+STATUS_DATASET = {"F": "hh", "O": "oasst", "P": "ultrafeedback"}
+
+
+def _case(col: str, mapping: dict) -> str:
+    return "CASE " + col + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
+
+
+RUN_SQL = (f"concat_ws('_', {_case('o_orderpriority', PRIORITY_ALGORITHM)}, "
+           f"{_case('o_orderstatus', STATUS_DATASET)}, '7b')")
+
+
+@register("s2_scan_run_folders", f"""
+WITH g AS (SELECT {RUN_SQL} AS experiment_name, {_case('o_orderpriority', PRIORITY_ALGORITHM)} AS algorithm,
+                  {_case('o_orderstatus', STATUS_DATASET)} AS dataset, sum(o_totalprice) / 3600000.0 AS h,
+                  avg(o_totalprice) / 1000000.0 AS r, max(o_totalprice) AS mx, avg(o_custkey) AS ck
+           FROM orders GROUP BY ALL)
+SELECT experiment_name, algorithm, dataset,
+       round(h, 6) AS duration_hours, round(r, 6) AS reward_mean, CAST(0 AS DOUBLE) AS reward_std,
+       round(mx / 10000000.0, 6) AS kl_divergence, round(ck / 10000.0, 6) AS entropy,
+       CAST(0 AS DOUBLE) AS policy_loss, CAST(0 AS DOUBLE) AS value_loss, CAST(0 AS DOUBLE) AS clip_fraction,
+       round(mx / 1000000.0, 6) AS best_reward, CAST(0 AS BIGINT) AS total_steps,
+       CAST(0 AS DOUBLE) AS sample_efficiency, CAST(0 AS DOUBLE) AS memory_usage_gb,
+       CAST(0 AS DOUBLE) AS gpu_efficiency, '7b' AS model_size
+FROM g""")
+def s2_scan_run_folders(spark, sf):
+    """Per-run summary and metrics documents derived from ``orders`` are
+    written as run folders, scanned back (summary + metrics merged, list
+    values -> last element, final_metrics over top level, metrics.json over
+    both) and projected to the results table."""
+    import uuid
+
+    from prefspark.session import checkpoint_dir
+    from prefspark.sources import runfolders, sinks
+    o = V.table(spark, sf, "orders")
+    algo = F.create_map(*[F.lit(x) for kv in PRIORITY_ALGORITHM.items() for x in kv])
+    data = F.create_map(*[F.lit(x) for kv in STATUS_DATASET.items() for x in kv])
+    run = F.concat_ws("_", algo[F.col("o_orderpriority")], data[F.col("o_orderstatus")], F.lit("7b"))
+    g = o.groupBy(run.alias("run")).agg(
+        (F.sum("o_totalprice") / 3600000.0).alias("h"), F.min("o_totalprice").alias("mn"),
+        F.avg("o_totalprice").alias("avg"), F.max("o_totalprice").alias("mx"), F.avg("o_custkey").alias("ck"))
+    docs = g.select(
+        "run",
+        F.to_json(F.struct(
+            F.col("h").alias("experiment_duration_hours"),
+            F.struct(F.array(F.col("mn") / 1e6, F.col("avg") / 1e6).alias("reward_mean"),
+                     (F.lit(0.5)).alias("kl_divergence")).alias("final_metrics"),
+            F.lit(0.0).alias("reward_mean"), (F.col("mx") / 1e6).alias("best_reward"),
+            F.struct(F.lit("x").alias("algorithm")).alias("config"))).alias("summary"),
+        F.to_json(F.struct((F.col("mx") / 1e7).alias("kl_divergence"),
+                           (F.col("ck") / 1e4).alias("entropy"))).alias("metrics"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    sinks.write_run_folders(docs, root, {"summary": runfolders.SUMMARY, "metrics": runfolders.METRICS})
+    scanned = runfolders.scan_runs(spark, root).withColumnRenamed("run", "experiment_name")
+    t = runs.results_projection(scanned)
+    return t
+
+
+def _write_configs(spark, sf) -> str:
+    """Per-run YAML configs derived from ``orders`` (runs of status P have no
+    ``model`` section); returns the folder root."""
+    import uuid
+
+    from prefspark.session import checkpoint_dir
+    from prefspark.sources import runfolders, sinks
+    o = V.table(spark, sf, "orders")
+    algo = F.create_map(*[F.lit(x) for kv in PRIORITY_ALGORITHM.items() for x in kv])
+    data = F.create_map(*[F.lit(x) for kv in STATUS_DATASET.items() for x in kv])
+    g = o.groupBy(F.concat_ws("_", algo[F.col("o_orderpriority")], data[F.col("o_orderstatus")],
+                              F.lit("7b")).alias("run"), F.col("o_orderstatus").alias("st")).agg(
+        (F.count(F.lit(1)) % 7 + 1).alias("bs"), (F.sum("o_custkey") % 1000).alias("ck"))
+    model = F.when(F.col("st") != "P", F.lit("model:\n  checkpoint: microsoft/DialoGPT-medium\n")).otherwise("")
+    yaml_text = F.concat(model, F.lit("training:\n  batch_size: "), F.col("bs").cast("string"),
+                         F.lit("\n  learning_rate: 1e-5\n  seed: "), F.col("ck").cast("string"), F.lit("\n"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/configs-{uuid.uuid4().hex}"
+    sinks.write_run_folders(g.select("run", yaml_text.alias("cfg")), root, {"cfg": runfolders.CONFIG})
+    return root
+
+
+CFG_SQL = f"""WITH g AS (SELECT {RUN_SQL} AS run, o_orderstatus AS st, count(*) % 7 + 1 AS bs,
+                  sum(o_custkey) % 1000 AS ck FROM orders GROUP BY ALL)"""
+
+
+@register("s4_scan_configs", CFG_SQL + """
+SELECT run, 'model.checkpoint' AS path, 'microsoft/DialoGPT-medium' AS value, CAST(NULL AS DOUBLE) AS num
+FROM g WHERE st <> 'P'
+UNION ALL SELECT run, 'training.batch_size', CAST(bs AS VARCHAR), CAST(bs AS DOUBLE) FROM g
+UNION ALL SELECT run, 'training.learning_rate', '1e-5', CAST(0.00001 AS DOUBLE) FROM g
+UNION ALL SELECT run, 'training.seed', CAST(ck AS VARCHAR), CAST(ck AS DOUBLE) FROM g""")
+def s4_scan_configs(spark, sf):
+    """YAML configs scanned as files and flattened to (run, path, value, num);
+    YAML 1.1 reads ``1e-5`` as a string, the numeric view casts it."""
+    from prefspark.sources import runfolders
+    return runfolders.scan_configs(spark, _write_configs(spark, sf))
+
+
+@register("p7_missing_sections", CFG_SQL + """
+SELECT run, 'model' AS section FROM g WHERE st = 'P'""")
+def p7_missing_sections(spark, sf):
+    """Required sections (model, training) absent from each run's config."""
+    from prefspark.sources import runfolders
+    cfg = runfolders.scan_configs(spark, _write_configs(spark, sf))
+    return runs.missing_sections(cfg, ["model", "training"])
+
+
+@register("p8_config_overrides", CFG_SQL + """
+SELECT run, 'model.checkpoint' AS path, 'microsoft/DialoGPT-medium' AS value FROM g WHERE st <> 'P'
+UNION ALL SELECT run, 'training.batch_size', '2' FROM g
+UNION ALL SELECT run, 'training.learning_rate', '1e-5' FROM g
+UNION ALL SELECT run, 'training.seed', CAST(ck AS VARCHAR) FROM g
+UNION ALL SELECT run, 'experiment.tag', run FROM g""")
+def p8_config_overrides(spark, sf):
+    """Benchmark overrides on every run's flattened config: an existing key
+    is replaced, a missing one is created (last writer wins)."""
+    from prefspark.sources import runfolders
+    base = runfolders.scan_configs(spark, _write_configs(spark, sf)).select("run", "path", "value")
+    over = base.select("run").distinct().select(
+        "run", F.explode(F.array(F.struct(F.lit("training.batch_size").alias("path"), F.lit("2").alias("value")),
+                                 F.struct(F.lit("experiment.tag").alias("path"), F.col("run").alias("value"))))
+        .alias("o")).select("run", "o.path", "o.value")
+    return runs.flatten_overrides(base, over)
