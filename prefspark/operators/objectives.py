@@ -98,16 +98,19 @@ def step_metrics(tokens: DataFrame, algo: str | Objective = "ppo", step: list[st
     if o.kl_weight is not None:
         aggs += [F.avg("__vikl").alias("vi_loss"),
                  (F.sum("__absd") / F.sum("__vocab")).alias("uncertainty")]
-    g = t.groupBy(*keys).agg(*aggs).withColumn("value_loss", F.lit(0.0))
-    total = (F.col("policy_loss") + F.col("value_loss") - F.lit(o.entropy_coef) * F.col("entropy")
-             + F.lit(o.kl_coef) * F.col("kl_divergence"))
+    g = t.groupBy(*keys).agg(*aggs)
+    extra = {"value_loss": F.lit(0.0)}
+    total = (F.col("policy_loss") - F.lit(o.entropy_coef) * F.col("entropy")
+             + F.lit(o.kl_coef) * F.col("kl_divergence"))        # + value loss (zero)
     if o.alpha is not None:
-        g = g.withColumn("grpo_regularization_loss", F.lit(o.alpha) * F.col("__l2m")).drop("__l2m")
-        total = total + F.col("grpo_regularization_loss")
+        extra["grpo_regularization_loss"] = F.lit(o.alpha) * F.col("__l2m")
+        total = total + F.lit(o.alpha) * F.col("__l2m")
     if o.kl_weight is not None:
         total = total + F.lit(o.kl_weight) * F.col("vi_loss")
-        g = g.withColumn("elbo", -F.col("policy_loss") - F.col("vi_loss"))
-    return g.withColumn("total_loss", total)
+        extra["elbo"] = -F.col("policy_loss") - F.col("vi_loss")
+    extra["total_loss"] = total + F.lit(0.0)
+    g = g.withColumns(extra)
+    return g.drop("__l2m") if o.alpha is not None else g
 
 
 def eval_metrics(tokens: DataFrame, step="step", reward="reward", variational: str | None = None,

@@ -44,14 +44,14 @@ def with_halo(df: DataFrame, idx: str, chunk: int, before: int = 0, after: int =
     if before > chunk or after > chunk:
         raise ValueError("halo wider than the chunk")
     i = F.col(idx)
-    home = df.withColumn(_C, F.floor(i / chunk)).withColumn(_HOME, F.lit(True))
+    home = df.withColumns({_C: F.floor(i / chunk), _HOME: F.lit(True)})
     parts = [home]
     if before:
         parts.append(home.filter(F.pmod(i, F.lit(chunk)) >= chunk - before)
-                     .withColumn(_C, F.col(_C) + 1).withColumn(_HOME, F.lit(False)))
+                     .withColumns({_C: F.col(_C) + 1, _HOME: F.lit(False)}))
     if after:
         parts.append(home.filter((F.pmod(i, F.lit(chunk)) < after) & (F.col(_C) > 0))
-                     .withColumn(_C, F.col(_C) - 1).withColumn(_HOME, F.lit(False)))
+                     .withColumns({_C: F.col(_C) - 1, _HOME: F.lit(False)}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -83,7 +83,11 @@ def discounted_suffix(df: DataFrame, by: list[str], idx: str, x: str | Column, d
     xv = F.col(x) if isinstance(x, str) else x
     h = with_halo(df.withColumn("__x", xv), idx, c, 0, m)
     rel = (F.col(idx) - F.col(_BASE)).cast("double")
-    w = halo_window(by, idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a running sum in descending order: incremental (a "current row to
+    # unbounded following" frame is re-aggregated per row), and it adds the
+    # smallest terms first
+    w = (Window.partitionBy(*by, _C).orderBy(F.col(idx).desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     scaled = F.sum(F.col("__x") * F.pow(F.lit(decay), rel)).over(w)
     return home_rows(h.withColumn(out, scaled / F.pow(F.lit(decay), rel))).drop("__x")
 
@@ -108,10 +112,7 @@ def bounded_frame(df: DataFrame, by: list[str], idx: str, before: int, after: in
     back and ``after`` rows ahead (``cols``: name -> expression built with
     :func:`frame`), with bounded memory per task."""
     c = max(chunk, before, after)
-    h = with_halo(df, idx, c, before, after)
-    for name, e in cols.items():
-        h = h.withColumn(name, e)
-    return home_rows(h)
+    return home_rows(with_halo(df, idx, c, before, after).withColumns(cols))
 
 
 def frame(by: list[str], idx: str, start: int, end: int) -> Window:

@@ -113,17 +113,16 @@ def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Runni
           for name, r in out.items()])
 
     w_loc = Window.partitionBy(_CHUNK, *by).orderBy(*order)
-    local = keyed
-    for name, r in out.items():
-        frame = w_loc.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
-        local = local.withColumn(f"__loc_{name}", _agg(r.fn, vals[name]).over(frame))
+    local = keyed.withColumns({
+        f"__loc_{name}": _agg(r.fn, vals[name]).over(
+            w_loc.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1))
+        for name, r in out.items()})
 
     joined = local.join(carries, on=[_CHUNK, *by], how="left")
-    for name, r in out.items():
-        joined = joined.withColumn(
-            name, _combine(r.fn, F.col(f"__carry_{name}"), F.col(f"__loc_{name}")))
-    drop = [_CHUNK] + [f"__loc_{n_}" for n_ in out] + [f"__carry_{n_}" for n_ in out]
-    return joined.drop(*drop)
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in out]
+    return joined.select(*keep, *[
+        _combine(r.fn, F.col(f"__carry_{name}"), F.col(f"__loc_{name}")).alias(name)
+        for name, r in out.items()])
 
 
 def row_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx",
@@ -131,7 +130,7 @@ def row_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx",
             range_from: DataFrame | None = None) -> DataFrame:
     """0-based position of each row within its group in ``order``; the
     skew-safe equal of ``row_number() OVER (PARTITION BY by ORDER BY order) - 1``."""
-    res = running(df, by, order, {name: Running("count")}, chunks, width)
+    res = running(df, by, order, {name: Running("count")}, chunks, width, range_from)
     return res.withColumn(name, (F.col(name) - 1).cast("bigint"))
 
 
