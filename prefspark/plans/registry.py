@@ -54,7 +54,7 @@ def round_half_away(x, digits: int = DIGITS):
     Spark's ``round`` goes through the decimal string of the double, so values
     with exactly seven decimals (prices / 100000) can round the other way than
     in SQL engines that round the binary value; this form gives the same
-    result as those (after the shared :data:`NUDGE`).  NaN and infinities
+    result as those (after the shared nudge, see :data:`NUDGE_REL`).  NaN and infinities
     pass through.
     """
     m = 10.0 ** digits
@@ -74,9 +74,9 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-
 def nudge_rounding(sql: str) -> str:
-    """Rewrite ``round(E, d)`` in oracle SQL to round the nudged value."""
+    """Rewrite ``round(E, d)`` in oracle SQL to round the nudged value (the
+    oracle strings hold no parentheses inside quoted literals)."""
     out, i, key = [], 0, "round("
     while True:
         j = sql.find(key, i)
