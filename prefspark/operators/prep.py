@@ -34,9 +34,13 @@ def dedup_first(df: DataFrame, key: str = "text", order: str = "id") -> DataFram
     One aggregate with map-side partial ``min_by``: a key repeated in a third
     of all rows collapses to one row per task before the shuffle, and the key
     travels through the shuffle once (it is not repeated in the kept struct).
+    Rows are grouped by 64-bit hash plus exact text equality.
     """
     others = [c for c in df.columns if c != key]
-    kept = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("__first"))
+    # group by (64-bit hash, text): the sort-based aggregate orders by the
+    # hash first and compares whole texts only between real copies
+    kept = (df.groupBy(F.xxhash64(key).alias("__h"), key)
+              .agg(F.min_by(F.struct(*others), F.col(order)).alias("__first")))
     return kept.select(*[F.col(key) if c == key else F.col(f"__first.{c}").alias(c)
                          for c in df.columns])
 
