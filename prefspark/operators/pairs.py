@@ -38,7 +38,9 @@ def preference_pairs(df: DataFrame, prompt: str = "prompt", idx: str = "resp_idx
     """
     order_key = F.struct(F.col(score).alias("s"), (-F.col(idx)).alias("i"))
     payload = F.struct(F.col(response).alias("r"), F.col(score).alias("s"))
-    g = df.groupBy(prompt).agg(
+    # (64-bit hash, prompt): prompts are long texts; the sort-based aggregate
+    # then orders by the hash and compares whole prompts only on equal hashes
+    g = df.groupBy(F.xxhash64(prompt).alias("__h"), prompt).agg(
         F.count(F.lit(1)).alias("__n"),
         F.max_by(payload, order_key).alias("__best"),
         F.min_by(payload, order_key).alias("__worst"))
