@@ -135,3 +135,17 @@ def test_running_fixed_width_chunks(spark, skewed):
     p = got.sort_values(["run_id", "step"])
     exp = p.groupby("run_id")["v"].transform(lambda s: s.shift(1).cummax())
     assert np.allclose(p["m"].fillna(-1e9), exp.fillna(-1e9))
+
+
+def test_hot_run_is_split_across_chunks(spark, skewed):
+    from prefspark.plans.scan import STEP_WIDTH, chunk_of
+    df, pdf = skewed
+    hot = int((pdf.run_id == 0).sum())
+    assert hot * 3 >= len(pdf)                     # run 0 holds a third of all rows
+    c = df.withColumn("c", chunk_of(df, "ts", 16))
+    per = c.filter("run_id = 0").groupBy("c").count().toPandas()
+    assert len(per) >= 8 and per["count"].max() <= hot / 4
+    # fixed-width chunks over a step index split a long run the same way
+    d = _indexed(spark, skewed).filter("run_id = 0")
+    w = d.withColumn("c", chunk_of(d, "step", 0, width=STEP_WIDTH // 256))
+    assert w.select("c").distinct().count() >= 5
