@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.plans.registry import register
+from prefspark.session import checkpoint_dir
 from prefspark.streaming import metrics as sm
 
 
@@ -112,3 +113,26 @@ def p20_resource_alerts(spark, sf):
     s = e.select(F.col("user_id").alias("run_id"), "event_id",
                  (F.col("value") / 500.0).alias("gpu_memory_share"))
     return sm.alerts(s, {"gpu_memory_share": 0.9}).select("run_id", "event_id", "gpu_memory_share")
+
+
+@register("t2_new_best_flags_stream", """
+SELECT user_id AS run_id, event_id,
+       value > coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-inf'::DOUBLE) AS new_best
+FROM events""")
+def t2_new_best_flags_stream(spark, sf):
+    """Per-step "new best" flags over the event stream: each micro-batch runs
+    the batch operator with the stored best per run as carry-in (restart-safe
+    Parquet state keyed by batch id); flagged rows are appended to a sink."""
+    s = _events_stream(spark, sf).withColumn("step", F.unix_micros("ts"))
+    state = sm.ParquetState(spark, f"t2b-{uuid.uuid4().hex}", "run_id long, best double")
+    out = f"{checkpoint_dir(spark).rstrip('/')}/sinks/t2b-{uuid.uuid4().hex}"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        flags, carry = sm.new_best_batch(batch, state.read(before=batch_id))
+        # one folder per batch id: a retried batch overwrites its own output
+        flags.select("run_id", "event_id", "new_best").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        state.write(carry, batch_id)
+
+    sm.run_available(s, "t2b", foreach_batch=step)
+    return spark.read.parquet(out).select("run_id", "event_id", "new_best")
