@@ -43,6 +43,17 @@ ALGORITHMS = {"ppo": PPO, "grpo": GRPO, "grpo_offpolicy": GRPO_OFFPOLICY, "grpo_
               "rlaif": RLAIF}
 
 
+def objective(algo: str | Objective) -> Objective:
+    """The objective registered under ``algo`` (default ``ppo``); an unknown
+    name is an error."""
+    if isinstance(algo, Objective):
+        return algo
+    name = algo or "ppo"
+    if name not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {name!r}; known: {sorted(ALGORITHMS)}")
+    return ALGORITHMS[name]
+
+
 def with_token_metrics(tokens: DataFrame, policy="policy_logits", reference="reference_logits",
                        action="action", target=None, variational=None, form="jvm",
                        mask: str | None = None) -> DataFrame:
@@ -64,7 +75,7 @@ def step_metrics(tokens: DataFrame, algo: str | Objective = "ppo", step: list[st
                  target="target_logits", variational="variational_logits") -> DataFrame:
     """All loss components of one training step for PPO, GRPO, off-policy GRPO,
     variational GRPO and RLAIF (``algo``), grouped by ``step``."""
-    o = ALGORITHMS[algo] if isinstance(algo, str) else algo
+    o = objective(algo)
     keys = [step] if isinstance(step, str) else list(step)
     t = with_token_metrics(tokens, policy, reference, action,
                            target if o.off_policy else None,

@@ -254,3 +254,9 @@ def test_placeholder_reward_and_argmax_predictions(spark):
     v = spark.createDataFrame([([0.1, 0.9], 1), ([0.8, 0.2], 1)], "prediction array<double>, target int")
     m = report.classification_metrics(v).first()
     assert m.accuracy == 0.5 and m.precision == 1.0 and m.recall == 0.5
+
+
+def test_x4_unknown_algorithm(spark):
+    with pytest.raises(ValueError):
+        obj.step_metrics(_tokens(spark, [0.1, 0.2], [0.1, 0.2]), "trpo")
+    assert obj.objective(None) is obj.PPO
