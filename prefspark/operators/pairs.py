@@ -33,8 +33,9 @@ def preference_pairs(df: DataFrame, prompt: str = "prompt", idx: str = "resp_idx
     lowest index among the best, the rejected one the highest index among the
     worst.
 
-    One ``groupBy`` with ``max_by``/``min_by`` (partial aggregation map-side, no
-    sort and no window), so a prompt with a huge fan-out is not one task.
+    One ``groupBy`` with ``max_by``/``min_by`` (partial aggregation map-side;
+    no ranking of the responses and no window), so a prompt with a huge
+    fan-out is not one task.
     """
     order_key = F.struct(F.col(score).alias("s"), (-F.col(idx)).alias("i"))
     payload = F.struct(F.col(response).alias("r"), F.col(score).alias("s"))
