@@ -65,6 +65,13 @@ def prepare_samples(df: DataFrame, *, text_col: str = "text", order: str = "id",
     return cap_first(out, max_samples, order)
 
 
+def md5_split_key(id_col: str = "id", cutoff: str = "1a") -> Column:
+    """Portable stable split test: validation when the first two hex digits of
+    ``md5(id)`` sort below ``cutoff`` (``'1a'`` = 26/256, about 10%).  Any
+    engine with md5 computes the same membership."""
+    return F.substring(F.md5(F.col(id_col).cast("string")), 1, 2) < F.lit(cutoff)
+
+
 def split_flag(df: DataFrame, key: Column | None = None, ratio: float = VALIDATION_RATIO,
                id_col: str = "id", seed: int = 42, name: str = "split") -> DataFrame:
     """Stable train/validation split as a column.

@@ -53,11 +53,11 @@ def p2_prepare_samples(spark, sf):
 
 # ------------------------------------------------------------------ P15
 @register("p15_split_flag", with_views("""
-SELECT id, CASE WHEN id % 10 = 0 THEN 'validation' ELSE 'train' END AS split,
-       count(*) OVER (PARTITION BY id % 10 = 0) AS split_rows
+SELECT id, CASE WHEN substr(md5(CAST(id AS VARCHAR)), 1, 2) < '1a' THEN 'validation' ELSE 'train' END AS split,
+       count(*) OVER (PARTITION BY substr(md5(CAST(id AS VARCHAR)), 1, 2) < '1a') AS split_rows
 FROM v_samples""", "v_samples"))
 def p15_split_flag(spark, sf):
-    s = prep.split_flag(V.v_samples(spark, sf), key=F.col("id") % 10 == 0)
+    s = prep.split_flag(V.v_samples(spark, sf), key=prep.md5_split_key("id"))
     n = s.groupBy("split").agg(F.count(F.lit(1)).alias("split_rows"))
     return s.select("id", "split").join(n, "split")
 
@@ -274,10 +274,11 @@ def s1_load_dataset(spark, sf):
 
 # ------------------------------------------------------------------ K6
 @register("k6_eval_subset", with_views("""
-SELECT id, source FROM v_samples WHERE id % 10 = 0 ORDER BY id LIMIT 1000""", "v_samples"))
+SELECT id, source FROM v_samples WHERE substr(md5(CAST(id AS VARCHAR)), 1, 2) < '1a'
+ORDER BY id LIMIT 1000""", "v_samples"))
 def k6_eval_subset(spark, sf):
     """Evaluation cap (1000) on the validation split."""
-    s = prep.split_flag(V.v_samples(spark, sf), key=F.col("id") % 10 == 0)
+    s = prep.split_flag(V.v_samples(spark, sf), key=prep.md5_split_key("id"))
     return prep.cap_first(s.filter(F.col("split") == "validation"), 1000, "id").select("id", "source")
 
 
