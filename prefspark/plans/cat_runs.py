@@ -617,3 +617,10 @@ def p8_config_overrides(spark, sf):
                                  F.struct(F.lit("experiment.tag").alias("path"), F.col("run").alias("value"))))
         .alias("o")).select("run", "o.path", "o.value")
     return runs.flatten_overrides(base, over)
+
+
+@register("a24_quartiles_approx")
+def a24_quartiles_approx(spark, sf):
+    """One-pass approximate quartiles (``percentile_approx``, bounded memory
+    per group); rows-only, as the sketch differs from any exact oracle."""
+    return report.quartiles(results(spark, sf), "algorithm", "reward_mean", exact=False)
