@@ -5,14 +5,16 @@ Rare-first prefix filtering.  Texts with equal sets form one class.  Shingle
 counts come from one shuffle by shingle, in which those of a single class end
 (they are the rarest and can't match).  The others return to their class,
 which orders them by (count, shingle); only the shingles among the first
-``n - ceil(t n) + 1`` are joined.  Pairs pass the length and the positional
-filter, then a suffix filter on class histograms, and each is verified once on
-the whole sets.
+``n - ceil(t n) + 1`` are joined.  Inside that join pairs must pass the length,
+the positional and a suffix filter (a lower bound of the difference of both
+sets from parity sketches of 256 shingle classes); each pair left is verified
+once on the whole sets.
 
 Groups of any size.  A shingle found in a large share of the texts skips the
 count shuffle.  Before any pairs are listed, each class is verified against
-one common pivot of its candidate groups; what that links needs no pairs
-within it, so thousands of near copies cost one check each.  The last round
+one common pivot of its candidate groups (the one with the fewest shingles of
+its own); what that links needs no pairs within it, so thousands of near
+copies cost one check each.  The last round
 lists all pairs that share a prefix shingle and are in different components,
 so no link that joins two components is lost.
 """
@@ -36,14 +38,16 @@ PERCENT = 80
 #: most (mean set size / share) hot ones, whatever the input's size
 HOT_SHARE = 0.002
 PIVOT_ROUNDS = 2
-CLASSES = 64
+#: bits of the parity sketch of a set, four longs
+CLASSES = 256
 
 _BLOB = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("tok", pa.binary()), ("df", pa.binary()),
                    ("own", pa.binary()), ("cnt", pa.binary()), ("n", pa.binary())])
 _BLOB_SQL = "bucket int, hot boolean, tok binary, df binary, own binary, cnt binary, n binary"
 _SET = pa.schema([("owner", pa.int64()), ("n", pa.int32()), ("singles", pa.int32()),
-                  ("prefix", pa.list_(pa.int64())), ("toks", pa.binary()), ("sig", pa.list_(pa.int32()))])
-_SET_SQL = "owner long, n int, singles int, prefix array<long>, toks binary, sig array<int>"
+                  ("prefix", pa.list_(pa.int64())), ("toks", pa.binary()),
+                  *((f"p{i}", pa.int64()) for i in range(4))])
+_SET_SQL = "owner long, n int, singles int, prefix array<long>, toks binary, p0 long, p1 long, p2 long, p3 long"
 
 
 def shingle_sets(data, off, k: int):
@@ -168,6 +172,13 @@ def _count(batches, parts: int):
         yield _pack(tok[order], own[order], n[order], df[order], own[order] % parts, False)
 
 
+def _parity(tok) -> list[int]:
+    """Parity of the number of shingles in each class, packed in longs; each
+    class with unequal parity holds a shingle that only one of two sets has."""
+    odd = np.bincount((tok >> U(56)).astype(np.int64), minlength=CLASSES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _order(batches, percent: int):
     """Shared shingles of the owners of one bucket, rarest first; owners
     whose prefix holds a shared shingle."""
@@ -193,7 +204,7 @@ def _order(batches, percent: int):
     for i in np.flatnonzero(prefix > 0):
         t = tok[first[i]:first[i] + shared[i]]
         rows.append((int(own[first[i]]), int(size[i]), int(singles[i]), t[:prefix[i]].view(np.int64),
-                     np.sort(t).tobytes(), np.bincount((t >> U(58)).astype(np.int64), minlength=CLASSES).astype(np.int32)))
+                     np.sort(t).tobytes(), *_parity(t)))
         if len(rows) == 2000:
             yield record_batch(_SET, rows)
             rows = []
@@ -216,30 +227,29 @@ def _verify(batches, percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified pairs: the suffix filter compares the histograms of both
-    sets by shingle class, then the whole shared parts are intersected."""
-    few = sets.select("owner", "n", "singles", "sig")
-
-    def side(df, x):
-        return df.select(F.col("owner").alias(x), *(F.col(c).alias(f"{c}{x}") for c in df.columns if c != "owner"))
-
-    cand = pairs.join(side(few, "a"), "a").join(side(few, "b"), "b")
-    apart = F.expr("singlesa + singlesb + aggregate(zip_with(siga, sigb, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
-    # |A & B| >= p/100 |A | B|  <=>  |A ^ B| <= (100 - p) / (100 + p) (|A| + |B|)
-    cand = cand.where(F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("na") + F.col("nb")))
-    cand = cand.select("a", "b", "na", "nb")
-    toks = sets.select("owner", "toks")
-    full = (cand.join(toks.select(F.col("owner").alias("b"), F.col("toks").alias("tb")), "b")
-            .join(toks.select(F.col("owner").alias("a"), F.col("toks").alias("ta")), "a")
+    """Pairs whose whole shared parts reach the threshold."""
+    toks = sets.select("owner", "n", "toks")
+    full = (pairs.join(toks.toDF("b", "nb", "tb"), "b").join(toks.toDF("a", "na", "ta"), "a")
             .select("a", "b", "na", "nb", "ta", "tb"))
     return full.mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
 
+#: of a set, what the filters of a join need
+_ENTRY = ["owner", "n", "singles", "pos", "comp", "p0", "p1", "p2", "p3"]
+
+
 def _close(a: str, b: str, percent: int):
-    """Length and positional filter for two prefix entries of one shingle."""
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    return (small * 100 >= large * percent) & (rest * (100 + percent) >= (small + large) * percent)
+    """Length, positional and suffix filter for two entries of one shingle."""
+    def c(x, name):
+        return F.col(f"{x}.{name}")
+    both = c(a, "n") + c(b, "n")
+    length = F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent
+    rest = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
+    apart = c(a, "singles") + c(b, "singles")
+    for i in range(4):
+        apart = apart + F.bit_count(c(a, f"p{i}").bitwiseXOR(c(b, f"p{i}")))
+    # |A & B| >= p/100 |A | B|  <=>  |A ^ B| <= (100 - p) / (100 + p) (|A| + |B|)
+    return length & (rest * (100 + percent) >= both * percent) & (apart * (100 + percent) <= both * (100 - percent))
 
 
 def _labelled(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -250,9 +260,13 @@ def _labelled(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _pivots(posts: DataFrame, salt: int, percent: int) -> DataFrame:
-    """One pair per class: with the pivot that most of its shingles propose."""
-    entry = F.struct("owner", "n", "pos", "comp")
-    piv = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("owner", F.lit(salt)).alias("h"), entry.alias("p"))).alias("m"))
+    """One pair per class: with the pivot that most of its shingles propose.
+    A shingle's first pivot is the set with the fewest shingles of its own
+    (the middle of a group of copies), later ones are random."""
+    entry = F.struct(*_ENTRY)
+    own = F.col("singles") / F.col("n") if salt == 0 else F.lit(0.0)
+    piv = posts.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("owner", F.lit(salt)).alias("h"),
+                                                    entry.alias("p"))).alias("m"))
     j = posts.withColumn("e", entry).join(piv.select("token", F.col("m.p").alias("p")), "token")
     j = j.where((F.col("e.comp") != F.col("p.comp")) & _close("e", "p", percent))
     votes = j.groupBy(F.col("e.owner").alias("own"), F.col("p.owner").alias("piv")).count()
@@ -265,7 +279,7 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
     entry outside the largest component of its shingle meets all entries."""
     sizes = posts.groupBy("token", "comp").count()
     top = sizes.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("comps"))
-    entry = F.struct("owner", "n", "pos", "comp")
+    entry = F.struct(*_ENTRY)
     p = posts.join(top.where("comps > 1"), "token").select("token", "top", entry.alias("e"))
     minor = p.where(F.col("e.comp") != F.col("top")).select("token", F.col("e").alias("m"))
     j = minor.join(p, "token").where(F.col("e.comp") != F.col("m.comp"))
@@ -286,7 +300,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Members of a class are compared by 64-bit hashes of shingles and sets.
     """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    parts = 2 * shuffle_parts(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = saved(base.mapInArrow(lambda it: _catalogue(it, words, HOT_SHARE),
                                   "doc_id long, n int, owner long, tok long, cnt long"), "jaccard-docs")
@@ -303,8 +317,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = dealt.mapInArrow(lambda it: _count(it, parts), _BLOB_SQL).repartition(parts, "bucket")
     sets = saved(shared.mapInArrow(lambda it: _order(it, percent), _SET_SQL), "jaccard-sets")
 
-    entries = sets.select("owner", "n", F.posexplode("prefix").alias("i", "token"),
-                          "singles").select("token", "owner", "n", (F.col("i") + F.col("singles")).alias("pos"))
+    sketch = ["owner", "n", "singles", "p0", "p1", "p2", "p3"]
+    entries = sets.select(*sketch, F.posexplode("prefix").alias("i", "token"))
+    entries = entries.withColumn("pos", F.col("i") + F.col("singles")).drop("i")
     twice = entries.groupBy("token").count().where("count > 1").select("token")
     posts = saved(entries.join(twice, "token", "left_semi"), "jaccard-prefixes")
     tried, links, comp = None, None, None

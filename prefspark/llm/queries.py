@@ -30,10 +30,10 @@ def query(name: str, sql: str | None = None):
 @query("op5_ngram_jaccard_join", rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\x20\x09-\x0D]+'),
-                             x -> x <> '') AS ws FROM documents),
+                             lambda x: x <> '') AS ws FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
 size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 hit AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 link AS (SELECT x, y FROM hit JOIN size sx ON sx.doc_id = x JOIN size sy ON sy.doc_id = y
