@@ -11,6 +11,7 @@ many equal texts can't gather in one task.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 
@@ -28,66 +29,65 @@ OPEN = 512
 #: end of a task (at most OPEN) are a small share, small enough to spread
 PIECES_PER_TASK = 100_000
 #: words kept per Python worker with their ids (bounds its memory)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-class WordIds:
-    """Ids of whole texts as little-endian uint32 bytes, one lookup per word.
+class WordIds(dict):
+    """Word -> its ids as little-endian uint32 bytes, encoded when first met.
 
     The vocabulary's pre-tokenizer never joins text across blanks or line
-    ends, so the ids of a text are those of its blank-separated words in
-    order; each distinct word is encoded once per worker (while the bounded
-    cache holds it).
+    ends, and folds A-Z, so the ids of a text are those of its blank-separated
+    lower-cased words in order.  A full stop or comma behind a letter is a
+    token of its own.  The first ``CACHE_WORDS`` words met are kept (frequent
+    words come early); others are encoded again.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*split) - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache = {"": b""}
-            missing = list(set().union(*split) - {""})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i:i + 20_000]
-            self.cache.update(zip(part, self._encode(part)))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        long = [w for w in missing if len(w) > 256]
-        for w in long:  # hardly ever seen again
-            self.cache.pop(w)
-        return out
+        super().__init__({b"": b""})
+        self.encode = Tokenizer.from_file(path).encode
+        self.marks = {m: self._ids(m) for m in (b".", b",")}
+
+    def _ids(self, word: bytes) -> bytes:
+        return np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        mark = self.marks.get(word[-1:])
+        ids = self[word[:-1]] + mark if mark and word[-2:-1].isalpha() else self._ids(word)
+        if len(self) < CACHE_WORDS and len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def text(self, text: bytes) -> bytes:
+        # a special token's string keeps its case: only the exact one counts
+        words = (text if b"<|" in text else text.lower()).replace(b"\n", b" ").split(b" ")
+        return b"".join(map(self.__getitem__, words))
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One cache per Python worker, kept from task to task."""
+    return WordIds(path)
 
 
 def _pieces(batches, path: str, end_id: int, size: int, with_ids: bool):
-    ids_of = WordIds(path)
+    ids_of = word_ids(path).text
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        docs, rows, texts = (column(batch, c) for c in ("doc_id", "row", "text"))
-        lo = 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 2_000_000):
-                chars += len(texts[hi])
-                hi += 1
+        texts = batch.column(batch.schema.get_field_index("text"))
+        docs, rows = column(batch, "doc_id"), column(batch, "row")
+        for lo in range(0, len(docs), 256):
             out = []
-            for doc, row, ids in zip(docs[lo:hi], rows[lo:hi], ids_of.batch(texts[lo:hi])):
-                ids += end
+            for doc, row, text in zip(docs[lo:lo + 256], rows[lo:lo + 256], texts[lo:lo + 256]):
+                ids = ids_of(text.as_buffer().to_pybytes()) + end
                 for k in range(0, len(ids), 4 * size):
                     part = ids[k:k + 4 * size]
                     out.append((doc, row, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             yield record_batch(_PIECE, out)
-            lo = hi
 
 
 def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
