@@ -145,6 +145,19 @@ def _gather(blobs):
     return tok, np.repeat(own, cnt), np.repeat(n, cnt)
 
 
+def _several(tok, own, n):
+    """Entries of the shingles that more than one class has, with their count."""
+    order = np.lexsort((own, tok))
+    tok, own, n = tok[order], own[order], n[order]
+    new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])])
+    tok, own, n = tok[new], own[new], n[new]
+    first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    df = np.diff(np.append(first, len(tok)))
+    df = np.repeat(df, df)
+    many = df > 1
+    return tok[many], own[many], n[many], df[many]
+
+
 def _count(batches, parts: int):
     """Shingles of one bucket: those of several classes go to their owners."""
     blobs = {c: [] for c in ("tok", "own", "cnt", "n")}
@@ -158,15 +171,14 @@ def _count(batches, parts: int):
     del blobs
     if not len(tok):
         return
-    order = np.lexsort((own, tok))
-    tok, own, n = tok[order], own[order], n[order]
-    new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])])
-    tok, own, n = tok[new], own[new], n[new]
-    first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-    df = np.diff(np.append(first, len(tok)))
-    df = np.repeat(df, df)
-    many = df > 1
-    tok, own, n, df = tok[many], own[many], n[many], df[many]
+    turn = (tok >> U(62)).astype(np.int8)
+    kept = []
+    for k in range(4):  # a quarter of the shingles at a time, to bound memory
+        mine = np.flatnonzero(turn == k)
+        if len(mine):
+            kept.append(_several(tok[mine], own[mine], n[mine]))
+    del tok, own, n, turn
+    tok, own, n, df = (np.concatenate(x) for x in zip(*kept))
     order = np.argsort(own, kind="stable")
     if len(order):
         yield _pack(tok[order], own[order], n[order], df[order], own[order] % parts, False)
@@ -300,7 +312,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Members of a class are compared by 64-bit hashes of shingles and sets.
     """
     spark = docs.sparkSession
-    parts = 2 * shuffle_parts(spark)
+    parts = shuffle_parts(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = saved(base.mapInArrow(lambda it: _catalogue(it, words, HOT_SHARE),
                                   "doc_id long, n int, owner long, tok long, cnt long"), "jaccard-docs")

@@ -33,6 +33,7 @@ from prefspark.llm.wordhash import U, hash_words, mix
 
 KAPPA, BETA = 4.0, 0.8
 TOP_SHARE = 1 / 200
+TURNS = 4
 START, END = U(0), U(1)
 
 _BLOB = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcde")])
@@ -206,38 +207,47 @@ def _weigh(batches, model: _Model, parts: int):
     del steps
     rids, at = np.unique(rid, return_inverse=True)
     text, train = np.repeat(at.astype(np.int32), cnt), np.repeat(~held, cnt)
+    n = len(rids)
+    base, known, score, far = np.zeros(n), np.zeros(n), np.zeros(n), []
+    turn = ((v >> U(20)) % U(TURNS)).astype(np.int8)
+    for k in range(TURNS):  # a few states at a time, to bound memory
+        mine = np.flatnonzero(turn == k)
+        if len(mine):
+            far.append(_weigh_states(v[mine], w[mine], text[mine], train[mine], model, base, known, score))
+    del v, w, text, train, turn
+    rows = _parts(rids, base, known, score, parts)
+    w, text = np.concatenate([x for x, _ in far]), np.concatenate([x for _, x in far])
+    order = np.argsort(text, kind="stable")
+    w, text = w[order], text[order]
+    for b, at in by_bucket((w % U(parts)).astype(np.int64)):
+        first, cnt = _runs(text[at])
+        rows.append(_row(FAILED, b, _zip(w[at]), rids[text[at][first]].tobytes(), cnt.tobytes()))
+    yield record_batch(_BLOB, rows)
+
+
+def _weigh_states(v, w, text, train, model: _Model, base, known, score):
+    """Add the weights of the steps of some states to the sums of their
+    texts; returns the steps (word, text) that need the root's arcs."""
     order = np.lexsort((w, v))
     v, w, text, train = v[order], w[order], text[order], train[order]
-    del order
     new = np.concatenate([[True], v[1:] != v[:-1]])
     first = np.flatnonzero(new)
-    c1 = np.add.reduceat(train.astype(np.int64), first)
-    i = model.find(v[first])
-    c1 = np.where(i >= 0, model.count[i], c1)
     size = np.diff(np.append(first, len(v)))
-    own = np.repeat(i < 0, size)
-    c1 = np.repeat(c1, size)
+    i = model.find(v[first])
+    c1 = np.where(i >= 0, model.count[i], np.add.reduceat(train.astype(np.int64), first))
+    own, c1 = np.repeat(i < 0, size), np.repeat(c1, size)
     new[1:] |= w[1:] != w[:-1]
     first = np.flatnonzero(new)
     c2 = np.repeat(np.add.reduceat(train.astype(np.int64), first), np.diff(np.append(first, len(v))))
-    del new, train
-    n = len(rids)
-    base = np.bincount(text[own], model.unigram(c1[own]), minlength=n)
-    known = np.bincount(text[own], c1[own] > 0, minlength=n)
+    n = len(base)
+    base += np.bincount(text[own], model.unigram(c1[own]), minlength=n)
+    known += np.bincount(text[own], c1[own] > 0, minlength=n)
     weight = _weights(c2, c1)
-    j = model.find(w)
-    failed = c2 == 0
+    j, failed = model.find(w), c2 == 0
     weight[failed & (j >= 0)] += model.unigram(model.count[j[failed & (j >= 0)]])
-    score = np.bincount(text, weight, minlength=n)
-    rows = _parts(rids, base, known, score, parts)
+    score += np.bincount(text, weight, minlength=n)
     far = failed & (j < 0)
-    w, text = w[far], text[far]
-    order = np.argsort(text, kind="stable")
-    w, text = w[order], text[order]
-    for b, at in by_bucket((w % U(parts)).astype(np.int64)):
-        first, cnt = _runs(text[at])
-        rows.append(_row(FAILED, b, _zip(w[at]), rids[text[at][first]].tobytes(), cnt.tobytes()))
-    yield record_batch(_BLOB, rows)
+    return w[far], text[far]
 
 
 def _root(batches, model: _Model, parts: int):
@@ -305,7 +315,7 @@ def score_texts(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
     under the unigrams of the root, ``score`` that of the automaton.  Without
     training rows the counts are 0.  Rows with equal or null ids stay apart.
     """
-    parts = 2 * shuffle_parts(docs.sparkSession)
+    parts = shuffle_parts(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"),
                        F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     words = base.select("held", "text").mapInArrow(lambda it: _word_counts(it, parts), _BLOB_SQL)
