@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import jaccard, lm, packing
+from prefspark.llm import decontam, jaccard, lm, packing
 from prefspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lm_scoring")
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
+_WORDS7 = rf"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+                           lambda x: x <> '')"""
+
+
+@query("op7_winnowing_decontamination", rf"""
+WITH d AS (SELECT doc_id, {_WORDS7} AS ws FROM documents),
+i AS (SELECT item_id, {_WORDS7} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[k:k + least(13, len(ws)) - 1], ' ') AS g
+        FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS k FROM i WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+occ AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS g
+        FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, sizes WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, k, occ.n, item_id FROM occ JOIN win ON occ.n = win.n AND occ.g = win.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS c, string_agg(i, ',' ORDER BY i) AS s
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(w.c, 0) AS n_hit, coalesce(m.c, 0) AS n_items,
+       sha256(coalesce(m.s, '')) AS items_sha256, coalesce(w.c, 0) > 0 AND 20 * coalesce(w.c, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words w USING (doc_id) LEFT JOIN named m USING (doc_id)""")
+def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination(docs, bench).drop("hits")
