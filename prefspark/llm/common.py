@@ -86,3 +86,15 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 def record_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def sample_rows(labelled: DataFrame, by: str, per_value: int) -> DataFrame:
+    """(doc_id, <by>) of at most ``per_value`` rows of each value of ``by``,
+    those with the smallest hashes of their id.  The partial top-n runs before
+    the shuffle, and texts are joined to the ids later."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    w = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = labelled.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
+    ranked = ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_value).drop("_n")
+    return saved(ranked, "sample")

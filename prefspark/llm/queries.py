@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import decontam, jaccard, lm, packing
+from prefspark.llm import decontam, jaccard, langid, lm, packing, toxicity
 from prefspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,19 @@ FROM d LEFT JOIN words w USING (doc_id) LEFT JOIN named m USING (doc_id)""")
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.contamination(docs, bench).drop("hits")
+
+
+@query("op1_toxicity_ordinal")
+def op1_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # a null id has no checksum; such rows are neither held out nor learned from
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = langid.train(docs.where(~held))
+    out = langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
