@@ -1,11 +1,13 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse words.
 
 ``P(grade > k) = sigmoid(w x - theta_k)``: all ordered thresholds share the
-weights ``w``.  ``x`` marks which of the selected words a text holds (words of
-letters and digits, A-Z folded); words are selected by the z-score of their
-log-odds between graded and clean texts.  The prediction is the expected
-grade.  The fit reads a bounded sample of labelled rows; scoring hashes all
-words of whole texts and keeps the few that have a weight.
+weights ``w``.  ``x`` holds log2(1 + count) of the selected features of a text
+(its words of letters and digits, A-Z folded, and their first 4, 6 and 8
+bytes, so that inflected and compound forms count) and of its length; features
+are selected by the z-score of their log-odds between toxic and clean texts.
+The prediction is the expected grade.  The fit reads a bounded sample of
+labelled rows; scoring hashes all words of whole texts and keeps the few
+features that have a weight.
 """
 
 from __future__ import annotations
@@ -19,30 +21,36 @@ from prefspark.llm.common import column, record_batch, sample_rows, slices, text
 from prefspark.llm.wordhash import U, hash_words
 
 #: the fit reads at most this many labelled rows of each label value
-TRAIN_PER_LABEL = 4000
-MIN_Z, MIN_TEXTS, MAX_WORDS = 4.0, 5, 1000
+TRAIN_PER_LABEL = 3000
+MIN_Z, MIN_TEXTS, MAX_FEATURES = 4.0, 5, 1000
+PREFIXES = (4, 6, 8)
 DECAY, STEPS, RATE = 1e-3, 600, 0.1
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
-def _distinct(h: np.ndarray, wo: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(h[a:b]) for a, b in zip(wo[:-1], wo[1:])]
+def _features(data, off):
+    """For each text its distinct feature hashes and their counts."""
+    h, wo, heads = hash_words(data, off, _WORD, PREFIXES)
+    for a, b in zip(wo[:-1], wo[1:]):
+        f, c = np.unique(np.concatenate([h[a:b], *(x[a:b] for x in heads)]), return_counts=True)
+        some = f > 0
+        yield f[some], np.minimum(c[some], 65535), b - a
 
 
 def _collect(batches):
-    schema = pa.schema([("label", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("label", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("size", pa.int64())])
     for batch in batches:
         data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
         label = column(batch, "label")
         for lo, hi in slices(off):
-            words = _distinct(*hash_words(data, off[lo:hi + 1], _WORD))
-            yield record_batch(schema, [(y, w.tobytes()) for y, w in zip(label[lo:hi], words)])
+            yield record_batch(schema, [(y, f.tobytes(), c.astype(np.uint16).tobytes(), int(n))
+                                        for y, (f, c, n) in zip(label[lo:hi], _features(data, off[lo:hi + 1]))])
 
 
-def select_words(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the words most unevenly spread between both classes."""
+def select_features(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Hashes of the features most unevenly spread between both classes."""
     flat, size = np.concatenate([*words, np.zeros(0, U)]), np.array([len(w) for w in words], int)
     vocab, inv = np.unique(flat, return_inverse=True)
     on = np.repeat(toxic, size)
@@ -51,7 +59,7 @@ def select_words(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     b1, b0 = toxic.sum() - n1 + 0.5, (~toxic).sum() - n0 + 0.5
     z = (np.log(a1 / b1) - np.log(a0 / b0)) / np.sqrt(1 / a1 + 1 / a0 + 1 / b1 + 1 / b0)
     good = np.flatnonzero((np.abs(z) >= MIN_Z) & (n1 + n0 >= MIN_TEXTS))
-    good = good[np.argsort(-np.abs(z[good]), kind="stable")][:MAX_WORDS]
+    good = good[np.argsort(-np.abs(z[good]), kind="stable")][:MAX_FEATURES]
     return np.sort(vocab[good])
 
 
@@ -101,32 +109,41 @@ class OrdinalModel:
         return _sigmoid(eta[:, None] - self.theta)
 
 
-def _table(words: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-    return np.array([np.isin(chosen, w) for w in words], np.float64).reshape(len(words), len(chosen))
+def _table(words, counts, sizes, chosen: np.ndarray) -> np.ndarray:
+    """log2(1 + count) of the chosen features and, last, of the words."""
+    x = np.zeros((len(words), len(chosen) + 1))
+    for i, (w, c) in enumerate(zip(words, counts)):
+        _, at, of = np.intersect1d(chosen, w, assume_unique=True, return_indices=True)
+        x[i, at] = c[of]
+    x[:, -1] = sizes
+    return np.log2(1 + x)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
           text_col: str = "text") -> OrdinalModel:
     """Fit on at most TRAIN_PER_LABEL rows of each label (0 or 1).
 
-    Grades: 0 for clean rows; toxic rows are 1 or, with more distinct selected
-    words of the toxic kind than the middle toxic row, 2.  Without toxic or
+    Grades: 0 for clean rows; toxic rows are 1 or, with a larger share of
+    words of the selected toxic kind than the middle toxic row, 2.  Without toxic or
     clean rows everything is predicted clean.
     """
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     chosen = sample_rows(rows.where("label in (0, 1)"), "label", TRAIN_PER_LABEL).dropDuplicates(["doc_id"])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = texts.join(chosen, "doc_id").select("label", "text").mapInArrow(_collect, "label int, words binary").toPandas()
-    got = got.sort_values(["label", "words"])
+    got = texts.join(chosen, "doc_id").select("label", "text").mapInArrow(
+        _collect, "label int, words binary, counts binary, size long").toPandas()
+    got = got.sort_values(["label", "words", "counts"])
     words = [np.frombuffer(w, U) for w in got["words"]]
+    counts = [np.frombuffer(c, np.uint16) for c in got["counts"]]
     toxic = got["label"].to_numpy(int) == 1
     if not toxic.any() or toxic.all():
-        return OrdinalModel(np.zeros(0, U), np.zeros(0), np.full(1, 35.0))
-    picked = select_words(words, toxic)
-    x = _table(words, picked)
-    kind = x[toxic].mean(0) > x[~toxic].mean(0) if len(picked) else np.zeros(0, bool)
-    hits = x[:, kind].sum(1)
-    grade = np.where(toxic, 1 + (hits > np.median(hits[toxic])), 0)
+        return OrdinalModel(np.zeros(0, U), np.zeros(1), np.full(1, 35.0))
+    picked = select_features(words, toxic)
+    x = _table(words, counts, got["size"].to_numpy(), picked)
+    kind = x[toxic].mean(0) > x[~toxic].mean(0)
+    kind[-1] = False
+    share = x[:, kind].sum(1) / np.maximum(x[:, -1], 1)
+    grade = np.where(toxic, 1 + (share > np.median(share[toxic])), 0)
     return OrdinalModel.fit(picked, x, grade.astype(int))
 
 
@@ -138,13 +155,17 @@ def _score(batches, model: OrdinalModel):
         data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
         rest = batch.drop_columns(["text"])
         for lo, hi in slices(off):
-            h, wo = hash_words(data, off[lo:hi + 1], _WORD)
-            eta = np.zeros(hi - lo)
+            h, wo, heads = hash_words(data, off[lo:hi + 1], _WORD, PREFIXES)
+            eta = np.log2(1 + np.diff(wo)) * model.weights[-1]
             if len(model.words):
-                at = np.minimum(np.searchsorted(model.words, h), last)
-                hit = np.flatnonzero(model.words[at] == h)
-                pair = np.unique((np.searchsorted(wo, hit, "right") - 1) * (last + 1) + at[hit])
-                eta = np.bincount(pair // (last + 1), model.weights[pair % (last + 1)], minlength=hi - lo)
+                pairs = []
+                for x in (h, *heads):
+                    at = np.minimum(np.searchsorted(model.words, x), last)
+                    hit = np.flatnonzero(model.words[at] == x)
+                    pairs.append((np.searchsorted(wo, hit, "right") - 1) * (last + 1) + at[hit])
+                pair, count = np.unique(np.concatenate(pairs), return_counts=True)
+                value = model.weights[pair % (last + 1)] * np.log2(1 + np.minimum(count, 65535))
+                eta = eta + np.bincount(pair // (last + 1), value, minlength=hi - lo)
             above = model.above(eta)
             full = np.hstack([np.ones((hi - lo, 1)), above, np.zeros((hi - lo, 1))])
             grade = (full[:, :-1] - full[:, 1:]).argmax(1)

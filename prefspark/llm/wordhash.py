@@ -68,12 +68,15 @@ def _cut(data, off, word_byte, pos: int, end: int) -> int:
     return nxt
 
 
-def hash_words(data: np.ndarray, off: np.ndarray, word_byte: np.ndarray = NON_SPACE):
+def hash_words(data: np.ndarray, off: np.ndarray, word_byte: np.ndarray = NON_SPACE, prefixes: tuple = ()):
     """Hashes of the words (runs of ``word_byte`` bytes) of all texts, in
-    order, and the offsets of each text's words among them."""
+    order, and the offsets of each text's words among them; with ``prefixes``
+    also, for each length, the hashes of the words' first so many bytes (0 for
+    shorter words)."""
     pos, end = int(off[0]), int(off[-1])
     value = np.where(word_byte, _BYTE, U(0))
     hashes, places = [], []
+    heads = [[] for _ in prefixes]
     while pos < end:
         stop = _cut(data, off, word_byte, pos, end)
         b = data[pos:stop]
@@ -87,10 +90,15 @@ def hash_words(data: np.ndarray, off: np.ndarray, word_byte: np.ndarray = NON_SP
         s, e = np.flatnonzero(begin), np.flatnonzero(last)
         up, down = _power_table(len(b))
         total = np.cumsum(value[b] * up[:len(b)], dtype=U)
-        h = total[e] - np.where(s > 0, total[np.maximum(s, 1) - 1], U(0))
+        before = np.where(s > 0, total[np.maximum(s, 1) - 1], U(0))
+        h = total[e] - before
+        for out, k in zip(heads, prefixes):
+            head = (total[np.minimum(s + k - 1, e)] - before) * down[s]
+            out.append(np.where(s + k - 1 <= e, mix(head + U(k * 0xA24BAED4963EE407 % (1 << 64))), U(0)))
         hashes.append(mix(h * down[s] + (e - s + 1).astype(U) * U(0xD1B54A32D192ED03)))
         places.append(s + pos)
         pos = stop
+    heads = [np.concatenate([*x, np.zeros(0, U)]) for x in heads]
     if not hashes:
-        return np.zeros(0, U), np.zeros(len(off), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), off)
+        return np.zeros(0, U), np.zeros(len(off), np.int64), *([heads] if prefixes else [])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), off), *([heads] if prefixes else [])
