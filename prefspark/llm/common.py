@@ -88,13 +88,17 @@ def record_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def sample_rows(labelled: DataFrame, by: str, per_value: int) -> DataFrame:
-    """(doc_id, <by>) of at most ``per_value`` rows of each value of ``by``,
-    those with the smallest hashes of their id.  The partial top-n runs before
-    the shuffle, and texts are joined to the ids later."""
+def sample_rows(labelled: DataFrame, by: str, per_value: int, key: str = "doc_id") -> DataFrame:
+    """(key, <by>) of at most ``per_value`` rows of each value of ``by``,
+    those with the smallest hashes of their key.  Rows beyond twice the
+    expected hash bound are dropped before the ranking, so a value that holds
+    most rows sends only about ``2 per_value`` of them to one task."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
-    w = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
-    ranked = ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_value).drop("_n")
-    return saved(ranked, "sample")
+    rows = labelled.select(key, by).where(F.col(key).isNotNull() & F.col(by).isNotNull())
+    rows = rows.withColumn("_h", F.xxhash64(key))
+    counts = rows.groupBy(by).agg(F.count("*").alias("_c"))
+    bound = F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * (F.lit(2.0 * per_value + 50) / F.col("_c"))
+    near = rows.join(counts, by).where((F.col("_c") <= 4 * per_value) | (F.col("_h").cast("double") <= bound))
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_h", key)))
+    return saved(ranked.where(F.col("_n") <= per_value).select(key, by), "sample")

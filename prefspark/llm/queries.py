@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import decontam, jaccard, langid, lm, packing, toxicity
+from prefspark.llm import decontam, jaccard, langid, lm, packing, sharding, toxicity, warc
 from prefspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~held))
     out = langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_extendible_sharding", rf"""
+WITH r AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+                  lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS code FROM documents),
+p AS (SELECT substr(code, 1, d) AS prefix, d, sum(n_bytes) AS b, count(*) AS n
+      FROM (SELECT *, unnest(range(0, 61)) AS d FROM r) GROUP BY 1, 2),
+fit AS (SELECT r.doc_id, r.n_bytes, r.code, min(p.d) AS depth FROM r JOIN p ON substr(r.code, 1, p.d) = p.prefix
+        WHERE p.b <= {sharding.SHARD_BYTES} OR p.n = 1 GROUP BY 1, 2, 3)
+SELECT doc_id, n_bytes, substr(code, 1, depth) AS shard, CAST(depth AS INTEGER) AS depth FROM fit""")
+def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+_PAGE_KEY = "substr(md5(CAST(page_id AS VARCHAR)), 1, 2) = '7f' AND html <> ''"
+_DAMAGE = "concat(CASE WHEN substr(html, 1, 1) = '#' THEN '!' ELSE '#' END, substr(html, 2))"
+
+
+@query("op9_warc_merkle_audit", rf"""
+WITH r AS (SELECT page_id, coalesce({_PAGE_KEY}, false) AS damaged,
+  concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+    'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')),
+    chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS rec FROM pages)
+SELECT page_id, CAST(strlen(rec) AS BIGINT) AS n_bytes, sha256(rec) AS record_sha256, damaged FROM r""")
+def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica is a copy of all pages in which one byte of each
+    page whose id hashes to 7f is changed; the audit has to find those."""
+    pages = table(spark, sf_dir, "pages")
+    replica = F.expr(f"CASE WHEN {_PAGE_KEY.replace('VARCHAR', 'STRING')} THEN {_DAMAGE} ELSE html END")
+    return warc.fixity_audit(pages, replica).drop("file", "offset")
