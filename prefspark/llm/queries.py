@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import decontam, jaccard, langid, lm, packing, sharding, toxicity, warc
+from prefspark.llm import decontam, jaccard, langid, lm, neardup, packing, sharding, toxicity, warc
 from prefspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     replica = F.expr(f"CASE WHEN {_PAGE_KEY.replace('VARCHAR', 'STRING')} THEN {_DAMAGE} ELSE html END")
     return warc.fixity_audit(pages, replica).drop("file", "offset")
+
+
+@query("op10_embedding_near_dedup")
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
