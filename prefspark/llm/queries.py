@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import decontam, jaccard, langid, lm, neardup, packing, sharding, toxicity, warc
+from prefspark.llm import decontam, jaccard, langid, lm, neardup, packing, secrets, sharding, toxicity, warc
 from prefspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,10 @@ def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"),
+                      F.sha2("candidate", 256).alias("candidate_sha256"), "label", "probability", "is_secret")
