@@ -80,9 +80,9 @@ def _exploded(df: DataFrame, *keep: str) -> DataFrame:
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id",
                   text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits) for
-    every row of ``docs``; ``hits`` holds the hit words' places as runs
-    (start, length).
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits,
+    text_hash) for every row of ``docs``; ``hits`` holds the hit words' places
+    as runs (start, length), ``text_hash`` is xxhash64 of the text.
 
     A window is WINDOW consecutive words of an item (the whole item if it has
     fewer); a word is hit inside any occurrence of a window.  ``contaminated``:
@@ -137,4 +137,4 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
     return counted.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), "hits")
+        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), "hits", "text_hash")

@@ -81,18 +81,18 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _catalogue(batches, k: int, share: float):
-    """Rows (doc_id, n, owner) of all texts, and per slice the shingles of at
+    """Rows (doc_id, text_hash, n, owner) of all texts, and per slice the shingles of at
     least ``share`` of its texts with their counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("owner", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("owner", pa.int64()),
                         ("tok", pa.int64()), ("cnt", pa.int64())])
     for batch in batches:
-        ids = column(batch, "doc_id")
+        ids, hashes = column(batch, "doc_id"), column(batch, "text_hash")
         data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
         for lo, hi in slices(off):
             rows, sets, seen = [], [], set()
-            for doc, s in zip(ids[lo:hi], shingle_sets(data, off[lo:hi + 1], k)):
+            for doc, text, s in zip(ids[lo:hi], hashes[lo:hi], shingle_sets(data, off[lo:hi + 1], k)):
                 owner = _digest(s) if len(s) else None
-                rows.append((doc, len(s), owner, None, None))
+                rows.append((doc, text, len(s), owner, None, None))
                 if len(s) and owner not in seen:
                     seen.add(owner)
                     sets.append(s)
@@ -101,7 +101,7 @@ def _catalogue(batches, k: int, share: float):
                 first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
                 cnt = np.diff(np.append(first, len(tok)))
                 top = cnt >= max(4, share * len(rows))
-                rows += [(None, None, None, t, c) for t, c in
+                rows += [(None, None, None, None, t, c) for t, c in
                          zip(tok[first[top]].view(np.int64).tolist(), cnt[top].tolist())]
             yield record_batch(schema, rows)
 
@@ -301,7 +301,8 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, text_hash) for every row of
+    ``docs``; ``text_hash`` is xxhash64 of the text.
 
     Texts link when ``100 |A & B| >= percent |A | B|`` for their sets of
     ``words``-word shingles (A-Z lower-cased, words are runs without white
@@ -314,9 +315,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = saved(base.mapInArrow(lambda it: _catalogue(it, words, HOT_SHARE),
-                                  "doc_id long, n int, owner long, tok long, cnt long"), "jaccard-docs")
-    ids = found.where("n is not null").select("doc_id", "n", "owner")
+    hashed = base.withColumn("text_hash", F.xxhash64("text"))
+    found = saved(hashed.mapInArrow(lambda it: _catalogue(it, words, HOT_SHARE),
+                                    "doc_id long, text_hash long, n int, owner long, tok long, cnt long"), "jaccard-docs")
+    ids = found.where("n is not null").select("doc_id", "text_hash", "n", "owner")
     total = ids.count()
     # bounded by mean set size / HOT_SHARE entries, see HOT_SHARE
     hot = (found.where("n is null").groupBy("tok").agg(F.sum("cnt").alias("cnt"))
@@ -353,4 +355,4 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = groups.join(least, "comp").select("owner", "component_id")
     return ids.join(named, "owner", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("owner").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("owner").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")

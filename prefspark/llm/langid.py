@@ -123,12 +123,12 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     return KernelRidge(table, got["label"].tolist())
 
 
-def _predict(batches, model: KernelRidge):
+def _predict(batches, model: KernelRidge, keep_text: bool):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
     for batch in batches:
         data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
         letters = np.array(column(batch, "has_letter"), bool)
-        rest = batch.drop_columns(["text", "has_letter"])
+        rest = batch.drop_columns(["has_letter"] if keep_text else ["text", "has_letter"])
         for lo, hi in _batches(off):
             if model.classes:
                 value = model.decide(presence(data, off[lo:hi + 1]))
@@ -143,12 +143,14 @@ def _predict(batches, model: KernelRidge):
                                              names=[*rest.schema.names, "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: KernelRidge, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all but the text by default) with (lang_pred,
-    score) for every row; ``und`` with score 0 if the text is null or has no
-    letter, or if the model saw no labels."""
-    keep = [c for c in (keep or docs.columns) if c not in (text_col, "lang_pred", "score", "has_letter")]
+def predict(docs: DataFrame, model: KernelRidge, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` (the text, null as empty, only if
+    ``keep_text``) with (lang_pred, score) for every row; ``und`` with score 0
+    if the text is null or has no letter, or if the model saw no labels.
+    Columns of ``docs`` called lang_pred, score or has_letter are left out."""
+    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "has_letter")]
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(*keep, t.alias("text"), t.rlike(r"\p{L}").alias("has_letter"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return base.mapInArrow(lambda it: _predict(it, model), f"{fields}, lang_pred string, score double")
+    kept = base.drop("has_letter") if keep_text else base.select(*keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return base.mapInArrow(lambda it: _predict(it, model, keep_text), f"{fields}, lang_pred string, score double")

@@ -45,7 +45,7 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN size s USING (doc_id)
 JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = d.doc_id""")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op3_best_fit_packing")
@@ -81,7 +81,7 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(w.c, 0) AS n_hit,
 FROM d LEFT JOIN words w USING (doc_id) LEFT JOIN named m USING (doc_id)""")
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontam.contamination(docs, bench).drop("hits")
+    return decontam.contamination(docs, bench).drop("hits", "text_hash")
 
 
 @query("op1_toxicity_ordinal")

@@ -58,22 +58,21 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _pairs(text) -> F.Column:
-    """Neighbouring characters of the letters-only, digit-folded text."""
-    folded = F.regexp_replace(F.lower(text), "[0-9]", "0")
-    return F.transform(F.sequence(F.lit(1), F.length(folded) - 1), lambda i: F.substring(folded, i, F.lit(2)))
+    """All two neighbouring characters of the digit-folded text."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), "[0-9]", "0"), F.lit("(?=(..))"), F.lit(1))
 
 
 def _per_candidate(found: DataFrame, words: DataFrame) -> DataFrame:
     """(candidate, transition, dictionary) of the distinct candidates."""
     cands = found.select("candidate").distinct()
-    pairs = words.select("docs", F.explode(_pairs(F.concat(F.lit(" "), "word", F.lit(" ")))).alias("pair"))
+    pairs = words.select("docs", F.explode_outer(_pairs(F.concat(F.lit(" "), "word", F.lit(" ")))).alias("pair"))
     pairs = pairs.groupBy("pair").agg(F.sum("docs").alias("c"))
     first = F.substring("pair", 1, 1)
     logp = F.log10(F.col("c") / F.sum("c").over(Window.partitionBy(first)))  # one row per pair of letters
     table = saved(pairs.withColumn("logp", logp).select("pair", "logp"), "secret-pairs")
-    steps = cands.select("candidate", F.explode(_pairs(F.col("candidate"))).alias("pair")).join(table, "pair", "left")
+    steps = cands.select("candidate", F.explode_outer(_pairs(F.col("candidate"))).alias("pair")).join(table, "pair", "left")
     steps = steps.groupBy("candidate").agg(F.avg(F.coalesce("logp", F.lit(-6.0))).alias("transition"))
-    parts = cands.select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word"))
+    parts = cands.select("candidate", F.explode_outer(F.regexp_extract_all(F.lower("candidate"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word"))
     cover = parts.join(words.select("word"), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("covered"))
     return steps.join(cover, "candidate", "left").select(
         "candidate", "transition", (F.coalesce("covered", F.lit(0)) / F.length("candidate")).alias("dictionary"))
