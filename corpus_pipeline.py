@@ -54,7 +54,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def winnowing_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated texts (20 hit words or more of 400, and so on)."""
+    """Drops texts of which a twentieth or more are hit words."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated"), "pipeline-contaminated")
 

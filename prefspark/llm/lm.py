@@ -109,6 +109,11 @@ def _weights(c2, c1):
     return np.where(c1 > 0, np.log10(seen), 0.0)
 
 
+def _sum(at, weight, n: int) -> np.ndarray:
+    """Sums by index, as float even without any entries."""
+    return np.bincount(at, np.broadcast_to(weight, len(at)), minlength=n).astype(float)
+
+
 def _steps(h, wo):
     """(state, word, text index) of every step of a slice, in order."""
     n = np.diff(wo)
@@ -166,15 +171,15 @@ def _traverse(batches, model: _Model, parts: int):
             i, j = model.find(v), model.find(w)
             hot = i >= 0
             token = hot & (v != START)
-            base = np.bincount(text[token], model.unigram(model.count[i[token]]), minlength=n)
-            known = np.bincount(text[token], minlength=n)
+            base = _sum(text[token], model.unigram(model.count[i[token]]), n)
+            known = _sum(text[token], 1, n)
             base += model.unigram(model.texts)
             known += model.texts > 0
             ti, tj = np.where(hot, model.top[i], -1), np.where(j >= 0, model.top[j], -1)
             near = (ti >= 0) & (tj >= 0)
             c2, c1 = model.pair_count[ti[near], tj[near]], model.count[i[near]]
             weight = _weights(c2, c1) + np.where(c2 > 0, 0.0, model.unigram(model.count[j[near]]))
-            score = np.bincount(text[near], weight, minlength=n)
+            score = _sum(text[near], weight, n)
             doc = np.array([0 if x is None else x for x in ids[lo:hi]], np.int64)
             flag = held + 2 * np.array([x is None for x in ids[lo:hi]])
             tokens = np.diff(wo) + 1
@@ -240,12 +245,12 @@ def _weigh_states(v, w, text, train, model: _Model, base, known, score):
     first = np.flatnonzero(new)
     c2 = np.repeat(np.add.reduceat(train.astype(np.int64), first), np.diff(np.append(first, len(v))))
     n = len(base)
-    base += np.bincount(text[own], model.unigram(c1[own]), minlength=n)
-    known += np.bincount(text[own], c1[own] > 0, minlength=n)
+    base += _sum(text[own], model.unigram(c1[own]), n)
+    known += _sum(text[own], c1[own] > 0, n)
     weight = _weights(c2, c1)
     j, failed = model.find(w), c2 == 0
     weight[failed & (j >= 0)] += model.unigram(model.count[j[failed & (j >= 0)]])
-    score += np.bincount(text, weight, minlength=n)
+    score += _sum(text, weight, n)
     far = failed & (j < 0)
     return w[far], text[far]
 

@@ -58,5 +58,6 @@ def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key_col:
     """Write ``docs`` as one folder per shard (``shard=<bits>``).  Rows with
     equal keys follow the first shard that their key was given."""
     place = assign_shards(docs, limit, key_col, text_col).groupBy(F.col("doc_id").alias("_key")).agg(F.min("shard").alias("shard"))
+    docs = docs.drop("shard")  # the folder takes the name
     out = docs.join(place, docs[key_col].eqNullSafe(place["_key"])).drop("_key")
     out.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
