@@ -3,6 +3,8 @@ intermediate tables, Arrow text buffers and packed numpy columns."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: text processed at once inside a task, in bytes (one longer text goes alone)
 SLICE_BYTES = 4 << 20
+#: Arrow batches between the JVM and Python workers, if the session sets none
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +37,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     the lineage with files that outlive executors, and gives the planner
     measured sizes."""
     spark = df.sparkSession
+    for name_, value in BATCH.items():
+        if spark.conf.get(name_, None) is None:
+            spark.conf.set(name_, value)
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +53,25 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system; workers
+    live on from task to task and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back by hand
+
+
+def task(fn):
+    """For generators that run in tasks: release memory when they end."""
+    @functools.wraps(fn)
+    def run(batches, *args):
+        yield from fn(batches, *args)
+        release()
+    return run
+
+
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of an Arrow string column (no copies of
     the text; null reads as empty)."""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import (by_bucket, column, joined, record_batch, saved, shuffle_parts, slices,
+from prefspark.llm.common import (by_bucket, column, joined, record_batch, saved, shuffle_parts, slices, task,
                                   text_buffers)
 from prefspark.llm.components import components
 from prefspark.llm.wordhash import U, constants, hash_words, mix
@@ -80,6 +80,7 @@ def _digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+@task
 def _catalogue(batches, k: int, share: float):
     """Rows (doc_id, text_hash, n, owner) of all texts, and per slice the shingles of at
     least ``share`` of its texts with their counts."""
@@ -118,6 +119,7 @@ def _pack(tok, own, n, df, parts_of, hot):
     return record_batch(_BLOB, rows)
 
 
+@task
 def _scatter(batches, k: int, parts: int, hot_tok, hot_df):
     """Shingles of all texts, dealt by shingle; hot ones straight by owner."""
     for batch in batches:
@@ -158,6 +160,7 @@ def _several(tok, own, n):
     return tok[many], own[many], n[many], df[many]
 
 
+@task
 def _count(batches, parts: int):
     """Shingles of one bucket: those of several classes go to their owners."""
     blobs = {c: [] for c in ("tok", "own", "cnt", "n")}
@@ -191,6 +194,7 @@ def _parity(tok) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+@task
 def _order(batches, percent: int):
     """Shared shingles of the owners of one bucket, rarest first; owners
     whose prefix holds a shared shingle."""
@@ -224,6 +228,7 @@ def _order(batches, percent: int):
         yield record_batch(_SET, rows)
 
 
+@task
 def _verify(batches, percent: int):
     """Pairs whose whole sets reach the threshold."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

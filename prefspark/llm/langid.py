@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import column, record_batch, sample_rows, slices, text_buffers
+from prefspark.llm.common import column, record_batch, sample_rows, slices, task, text_buffers
 
 DIM = 1 << 14
 #: the fit reads at most this many labelled texts of each language
@@ -95,6 +95,7 @@ class KernelRidge:
         return kernel(table, self.landmarks) @ self.coef + self.bias
 
 
+@task
 def _grams(batches):
     schema = pa.schema([("label", pa.string()), ("grams", pa.binary())])
     for batch in batches:
@@ -123,6 +124,7 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     return KernelRidge(table, got["label"].tolist())
 
 
+@task
 def _predict(batches, model: KernelRidge, keep_text: bool):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
     for batch in batches:

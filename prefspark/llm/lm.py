@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import by_bucket, column, joined, record_batch, saved, shuffle_parts, slices, text_buffers
+from prefspark.llm.common import by_bucket, column, joined, record_batch, saved, shuffle_parts, slices, task, text_buffers
 from prefspark.llm.wordhash import U, hash_words, mix
 
 KAPPA, BETA = 4.0, 0.8
@@ -54,6 +54,7 @@ def _row(kind: int, bucket: int, *cols):
     return (kind, bucket, *cols, *(None,) * (5 - len(cols)))
 
 
+@task
 def _word_counts(batches, parts: int):
     """Words of the training texts of each slice with their counts."""
     for batch in batches:
@@ -66,6 +67,7 @@ def _word_counts(batches, parts: int):
                                        for b, at in by_bucket((w % U(parts)).astype(np.int64))])
 
 
+@task
 def _vocabulary(batches):
     """Sums of the counts of one bucket; (kind, bucket, words, counts)."""
     rows = []
@@ -130,6 +132,7 @@ def _steps(h, wo):
     return v, w, text
 
 
+@task
 def _pair_counts(batches, model: _Model):
     """Training counts of the bigrams of two top words."""
     schema, total = pa.schema([("pair", pa.int64()), ("c", pa.int64())]), np.zeros(model.n_top ** 2, np.int64)
@@ -157,6 +160,7 @@ def _runs(x):
     return first, np.diff(np.append(first, len(x))).astype(np.int32)
 
 
+@task
 def _traverse(batches, model: _Model, parts: int):
     """Steps of all texts; those of top words are weighed here, the others
     are dealt by state (a hot state by bigram)."""
@@ -196,6 +200,7 @@ def _traverse(batches, model: _Model, parts: int):
             yield record_batch(_BLOB, rows)
 
 
+@task
 def _weigh(batches, model: _Model, parts: int):
     """Arcs of the states of one bucket: counts of the training steps, the
     weights of all steps, and the steps that fail to the root."""
@@ -255,6 +260,7 @@ def _weigh_states(v, w, text, train, model: _Model, base, known, score):
     return w[far], text[far]
 
 
+@task
 def _root(batches, model: _Model, parts: int):
     """Root arcs for the failed steps of one bucket of words, and one row for
     all sums of a text that arrive in its bucket."""
@@ -293,6 +299,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
                   ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+@task
 def _finish(batches, tokens: int):
     part, meta = [], []
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import column, record_batch, saved
+from prefspark.llm.common import column, record_batch, saved, task
 
 SEQUENCE = 4096
 OPEN = 512
@@ -74,6 +74,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+@task
 def _pieces(batches, path: str, end_id: int, size: int, with_ids: bool):
     ids_of = word_ids(path).text
     end = np.array([end_id], "<u4").tobytes()
@@ -140,6 +141,7 @@ class OpenBins:
         return bin_id, self.size - free
 
 
+@task
 def _place(batches, size: int, limit: int):
     schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64())])
     base, bins = TaskContext.get().partitionId() << 33, OpenBins(size, limit)

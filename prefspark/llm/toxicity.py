@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import column, record_batch, sample_rows, slices, text_buffers
+from prefspark.llm.common import column, record_batch, sample_rows, slices, task, text_buffers
 from prefspark.llm.wordhash import U, hash_words
 
 #: the fit reads at most this many labelled rows of each label value
@@ -39,6 +39,7 @@ def _features(data, off):
         yield f[some], np.minimum(c[some], 65535), b - a
 
 
+@task
 def _collect(batches):
     schema = pa.schema([("label", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("size", pa.int64())])
     for batch in batches:
@@ -147,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return OrdinalModel.fit(picked, x, grade.astype(int))
 
 
+@task
 def _score(batches, model: OrdinalModel):
     schema = pa.schema([("expected_severity", pa.float64()), ("severity", pa.int32()), ("p_toxic", pa.float64()),
                         ("toxic", pa.bool_())])
