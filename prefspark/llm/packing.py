@@ -11,8 +11,10 @@ many equal texts can't gather in one task.
 
 from __future__ import annotations
 
+import array
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -29,7 +31,9 @@ OPEN = 512
 #: end of a task (at most OPEN) are a small share, small enough to spread
 PIECES_PER_TASK = 100_000
 #: words kept per Python worker with their ids (bounds its memory)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: words of these letters only are one pre-token each, which the model splits itself
+_PLAIN = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -49,11 +53,20 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         super().__init__({b"": b""})
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.split = tokenizer.encode, tokenizer.model.tokenize
+        # how the pre-tokenizer spells each letter
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if _PLAIN.match(chr(c))]
+        self.spelt = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
         self.marks = {m: self._ids(m) for m in (b".", b",")}
 
     def _ids(self, word: bytes) -> bytes:
-        return np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if _PLAIN.fullmatch(text):
+            ids = [t.id for t in self.split(text.lower().translate(self.spelt))]
+        else:
+            ids = self.encode(text, add_special_tokens=False).ids
+        return array.array("I", ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         mark = self.marks.get(word[-1:])
