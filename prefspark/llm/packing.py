@@ -45,14 +45,15 @@ class WordIds(dict):
     The vocabulary's pre-tokenizer never joins text across blanks or line
     ends, and folds A-Z, so the ids of a text are those of its blank-separated
     lower-cased words in order.  A full stop or comma behind a letter is a
-    token of its own.  The first ``CACHE_WORDS`` words met are kept (frequent
-    words come early); others are encoded again.
+    token of its own.  Words met again (by a table of hashes) are kept, up to
+    ``CACHE_WORDS``; others are encoded each time.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         super().__init__({b"": b""})
+        self.met = bytearray(1 << 22)
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.split = tokenizer.encode, tokenizer.model.tokenize
         # how the pre-tokenizer spells each letter
@@ -71,7 +72,10 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         mark = self.marks.get(word[-1:])
         ids = self[word[:-1]] + mark if mark and word[-2:-1].isalpha() else self._ids(word)
-        if len(self) < CACHE_WORDS and len(word) <= 64:
+        place = hash(word) & 0x3FFFFF
+        if not self.met[place]:
+            self.met[place] = 1
+        elif len(self) < CACHE_WORDS and len(word) <= 64:
             self[word] = ids
         return ids
 
