@@ -147,17 +147,17 @@ def _gather(blobs):
     return tok, np.repeat(own, cnt), np.repeat(n, cnt)
 
 
-def _several(tok, own, n):
+def _several(tok, own):
     """Entries of the shingles that more than one class has, with their count."""
     order = np.lexsort((own, tok))
-    tok, own, n = tok[order], own[order], n[order]
+    tok, own = tok[order], own[order]
     new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])])
-    tok, own, n = tok[new], own[new], n[new]
+    tok, own = tok[new], own[new]
     first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
     df = np.diff(np.append(first, len(tok)))
     df = np.repeat(df, df)
     many = df > 1
-    return tok[many], own[many], n[many], df[many]
+    return tok[many], own[many], df[many]
 
 
 @task
@@ -170,18 +170,21 @@ def _count(batches, parts: int):
             yield batch.filter(pa.array(hot))
         for c in blobs:
             blobs[c] += [x for x, is_hot in zip(column(batch, c), hot) if not is_hot]
-    tok, own, n = _gather(blobs)
-    del blobs
+    tok, own, cnt, n = (joined(blobs.pop(c), t) for c, t in (("tok", U), ("own", np.int64), ("cnt", np.int32), ("n", np.int32)))
     if not len(tok):
         return
+    # owners by number: half the memory of their ids on every shingle
+    names, at, number = np.unique(own, return_index=True, return_inverse=True)
+    size, own = n[at], np.repeat(number.astype(np.int32), cnt)
     turn = (tok >> U(62)).astype(np.int8)
     kept = []
     for k in range(4):  # a quarter of the shingles at a time, to bound memory
         mine = np.flatnonzero(turn == k)
         if len(mine):
-            kept.append(_several(tok[mine], own[mine], n[mine]))
-    del tok, own, n, turn
-    tok, own, n, df = (np.concatenate(x) for x in zip(*kept))
+            kept.append(_several(tok[mine], own[mine]))
+    del tok, own, turn
+    tok, own, df = (np.concatenate(x) for x in zip(*kept))
+    own, n = names[own], size[own]
     order = np.argsort(own, kind="stable")
     if len(order):
         yield _pack(tok[order], own[order], n[order], df[order], own[order] % parts, False)
