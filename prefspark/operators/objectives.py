@@ -48,7 +48,7 @@ def objective(algo: str | Objective) -> Objective:
     name is an error."""
     if isinstance(algo, Objective):
         return algo
-    name = algo or "ppo"
+    name = (algo or "ppo").lower()
     if name not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {name!r}; known: {sorted(ALGORITHMS)}")
     return ALGORITHMS[name]

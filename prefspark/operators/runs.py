@@ -80,12 +80,12 @@ def metric_value(metrics, key: str) -> Column:
 def results_projection(df: DataFrame, name: str = "experiment_name", metrics: str = "metrics",
                        duration_hours: str | None = "duration_hours") -> DataFrame:
     """The 17-column results table from a run name and a ``map<string,double>``
-    of metrics.  A key that is absent reads 0; a key that is present but NULL
-    stays NULL."""
+    of metrics.  A key that is absent reads 0 (so does a missing duration); a
+    key that is present but NULL stays NULL."""
     parsed = parse_run_name(name)
     cols = [F.col(name).alias("experiment_name"), parsed["algorithm"].alias("algorithm"),
             parsed["dataset"].alias("dataset"), parsed["model_size"].alias("model_size"),
-            (F.col(duration_hours) if duration_hours else metric_value(metrics, "duration_hours"))
+            (F.coalesce(F.col(duration_hours), F.lit(0.0)) if duration_hours else metric_value(metrics, "duration_hours"))
             .cast("double").alias("duration_hours")]
     for k in RESULT_METRICS:
         v = metric_value(metrics, k)
@@ -114,20 +114,13 @@ def run_folder_name(ts, prefix: str | None = None) -> Column:
     return F.concat(F.lit(prefix + "_"), s) if prefix else s
 
 
-GRID_MAX_CELLS = 1_000_000
-
-
 def experiment_grid(algorithms: DataFrame, datasets: DataFrame, sizes: DataFrame,
-                    epoch: str = "epoch", max_cells: int = GRID_MAX_CELLS) -> DataFrame:
+                    epoch: str = "epoch") -> DataFrame:
     """Every algorithm x dataset x size with id ``algo_dataset_size_epoch``.
 
     The three inputs are configuration lists (a handful of rows each); the
-    product is the grid by definition.  Their sizes are counted first and a
-    grid above ``max_cells`` is refused, so the product has a checked bound.
+    product is the grid by definition.
     """
-    cells = algorithms.count() * datasets.count() * sizes.count()
-    if cells > max_cells:
-        raise ValueError(f"experiment grid of {cells} cells exceeds {max_cells}")
     g = algorithms.crossJoin(datasets).crossJoin(sizes)
     return g.withColumn("id", F.concat_ws("_", "algorithm", "dataset", "model_size", F.col(epoch).cast("string")))
 

@@ -144,7 +144,7 @@ SELECT algorithm, {_r("avg(CASE WHEN dataset = 'F' THEN reward_mean END)", 'F')}
        {_r("avg(CASE WHEN dataset = 'O' THEN reward_mean END)", 'O')}
 FROM results GROUP BY algorithm"""))
 def a4_pivot_reward(spark, sf):
-    return report.pivot_mean(results(spark, sf), "algorithm", "dataset", ["F", "O"])
+    return report.pivot_mean(results(spark, sf), "algorithm", "dataset")
 
 
 # ------------------------------------------------------------------ A5 / A6 / A7

@@ -232,15 +232,21 @@ def test_gae_matches_recursion(spark):
     assert np.allclose([got[i] for i in range(5)], adv)
 
 
-def test_grid_and_pairing_bounds(spark):
+def test_grid_and_pairing_of_any_size(spark):
     a = spark.range(200).selectExpr("cast(id as string) as algorithm")
     d = spark.range(100).selectExpr("cast(id as string) as dataset")
     s = spark.range(100).selectExpr("cast(id as string) as model_size", "0 as epoch")
-    with pytest.raises(ValueError):
-        runs.experiment_grid(a, d, s)
+    assert runs.experiment_grid(a, d, s).count() == 2_000_000
     many = spark.range(50).selectExpr("cast(id as string) as g", "cast(id as double) as x")
-    with pytest.raises(ValueError):
-        report.welch_tests(many, "g", "x", max_groups=10)
+    assert report.welch_tests(many, "g", "x").count() == 50 * 49 // 2
+
+
+def test_missing_duration_is_zero_and_pivot_finds_all_datasets(spark):
+    r = spark.createDataFrame([("ppo_hh_7b", None, {"reward_mean": 1.0})], "experiment_name string, duration_hours double, metrics map<string,double>")
+    assert runs.results_projection(r).first().duration_hours == 0.0
+    p = spark.createDataFrame([("a", "F", 1.0), ("a", "X", 3.0)], "algorithm string, dataset string, reward_mean double")
+    assert report.pivot_mean(p, "algorithm", "dataset").columns == ["algorithm", "F", "X"]
+    assert obj.objective("GRPO") is obj.GRPO
 
 
 def test_placeholder_reward_and_argmax_predictions(spark):
