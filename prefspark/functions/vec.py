@@ -140,8 +140,12 @@ def token_metrics(policy, reference, action, target=None, variational=None) -> C
 
 
 # ------------------------------------------------------------------ numpy form
-def _stack(s: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in s])
+def _stack(s: pd.Series, size: int) -> np.ndarray:
+    """One matrix row per array; NaN for NULL."""
+    out = np.full((len(s), size), np.nan)
+    for i in np.flatnonzero(s.notna().to_numpy()):
+        out[i] = s.iloc[i]
+    return out
 
 
 def _np_log_softmax(x: np.ndarray) -> np.ndarray:
@@ -167,30 +171,31 @@ _NP_SCHEMA = T.StructType(
 @F.pandas_udf(_NP_SCHEMA)
 def _np_token_metrics(policy: pd.Series, reference: pd.Series, action: pd.Series,
                       target: pd.Series, variational: pd.Series) -> pd.DataFrame:
-    n = len(policy)
-    if n == 0:
-        return pd.DataFrame({k: pd.Series(dtype="float64") for k in TOKEN_FIELDS})
-    lp, lq = _np_log_softmax(_stack(policy)), _np_log_softmax(_stack(reference))
-    rows = np.arange(n)
-    act = action.to_numpy(dtype=np.int64)
-    out = {
-        "kl": _np_kl(lp, lq), "entropy": -(np.exp(lp) * lp).sum(axis=1),
-        "logp": lp[rows, act], "logp_ref": lq[rows, act],
-        "l2": np.sqrt(((lp - lq) ** 2).sum(axis=1)),
-        "logp_target": np.full(n, np.nan), "vi_kl": np.full(n, np.nan),
-        "abs_diff": np.full(n, np.nan), "vocab": np.full(n, lp.shape[1], dtype=np.int32),
-    }
-    if target.notna().all():
-        lt = _np_log_softmax(_stack(target))
-        out["logp_target"] = lt[rows, act]
-    if variational.notna().all():
-        lv = _np_log_softmax(_stack(variational))
-        out["vi_kl"] = _np_kl(lp, lv)
-        out["abs_diff"] = np.abs(lp - lv).sum(axis=1)
-    res = pd.DataFrame(out)
-    for k in ("logp_target", "vi_kl", "abs_diff"):
-        res[k] = res[k].where(~np.isnan(res[k]), None)
-    return res
+    width = policy.map(len, na_action="ignore").fillna(0).astype(int)
+    out = pd.DataFrame(np.nan, index=policy.index, columns=TOKEN_FIELDS)
+    for size in width.unique():  # rows of one vocabulary at a time; 0: no policy
+        at = width.index[width == size]
+        if size:
+            out.loc[at] = _np_rows(int(size), *(x.loc[at] for x in (policy, reference, action, target, variational)))
+    out["vocab"] = width.where(width > 0).astype("Int32")
+    return out
+
+
+def _np_rows(size: int, policy, reference, action, target, variational) -> np.ndarray:
+    """Token metrics of rows with ``size`` logits; NaN where an input is NULL
+    or the action is no position."""
+    lp, lq, lt, lv = (_np_log_softmax(_stack(x, size)) for x in (policy, reference, target, variational))
+    act = action.to_numpy(dtype=np.float64, na_value=np.nan)
+    known = (act >= 0) & (act < size)
+    place = np.where(known, act, 0).astype(np.int64)
+    rows = np.arange(len(place))
+
+    def taken(m):
+        return np.where(known, m[rows, place], np.nan)
+    return np.column_stack([
+        _np_kl(lp, lq), -(np.exp(lp) * lp).sum(axis=1), taken(lp), taken(lq),
+        np.sqrt(((lp - lq) ** 2).sum(axis=1)), taken(lt), _np_kl(lp, lv),
+        np.abs(lp - lv).sum(axis=1), np.full(len(rows), size)])
 
 
 def token_metrics_numpy(policy, reference, action, target=None, variational=None) -> Column:

@@ -35,14 +35,14 @@ def pivot_mean(df: DataFrame, row: str, col: str, values: list[str] | None = Non
                value: str = "reward_mean") -> DataFrame:
     """Row x column pivot of the mean; one column for each distinct value
     unless ``values`` names them (which saves the job that finds them)."""
-    return df.groupBy(row).pivot(col, values).agg(F.avg(value))
+    return df.filter(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row).pivot(col, values).agg(F.avg(value))
 
 
 def summary_sets(df: DataFrame) -> DataFrame:
     """Overall, per-algorithm and per-dataset summaries in one aggregate
-    (``GROUPING SETS ((), (algorithm), (dataset))``)."""
-    df.createOrReplaceTempView("__summary_input")
-    return df.sparkSession.sql("""
+    (``GROUPING SETS ((), (algorithm), (dataset))``); NULL keys count in the
+    overall summary only."""
+    sets = df.sparkSession.sql("""
         SELECT CASE grouping_id(algorithm, dataset) WHEN 3 THEN 'overall'
                     WHEN 1 THEN 'algorithm' ELSE 'dataset' END AS level,
                algorithm, dataset,
@@ -55,8 +55,9 @@ def summary_sets(df: DataFrame) -> DataFrame:
                avg(duration_hours) AS mean_hours,
                avg(sample_efficiency) AS mean_sample_efficiency,
                avg(memory_usage_gb) AS mean_memory_usage_gb
-        FROM __summary_input
-        GROUP BY GROUPING SETS ((), (algorithm), (dataset))""")
+        FROM {runs}
+        GROUP BY GROUPING SETS ((), (algorithm), (dataset))""", runs=df)
+    return sets.filter((F.col("level") == "overall") | F.coalesce("algorithm", "dataset").isNotNull())
 
 
 def benchmark_summary(outcomes: DataFrame, status: str = "status", duration: str = "duration") -> DataFrame:

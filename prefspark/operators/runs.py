@@ -81,8 +81,10 @@ def results_projection(df: DataFrame, name: str = "experiment_name", metrics: st
                        duration_hours: str | None = "duration_hours") -> DataFrame:
     """The 17-column results table from a run name and a ``map<string,double>``
     of metrics.  A key that is absent reads 0 (so does a missing duration); a
-    key that is present but NULL stays NULL."""
-    parsed = parse_run_name(name)
+    key that is present but NULL stays NULL.  Columns ``config_algorithm`` and
+    ``config_dataset``, if there, name what the run name doesn't."""
+    fallback = [c if c in df.columns else None for c in ("config_algorithm", "config_dataset")]
+    parsed = parse_run_name(name, *fallback)
     cols = [F.col(name).alias("experiment_name"), parsed["algorithm"].alias("algorithm"),
             parsed["dataset"].alias("dataset"), parsed["model_size"].alias("model_size"),
             (F.coalesce(F.col(duration_hours), F.lit(0.0)) if duration_hours else metric_value(metrics, "duration_hours"))
@@ -135,7 +137,7 @@ def flatten_overrides(base: DataFrame, overrides: DataFrame, keys=("run", "path"
     """Dotted-key overrides on flattened ``(run, path, value)`` rows; created if
     absent, the override wins."""
     k = list(keys)
-    b = base.withColumnRenamed("value", "__base")
+    b = base.dropna(subset=k).withColumnRenamed("value", "__base")
     o = overrides.withColumnRenamed("value", "__over")
     return (b.join(o, on=k, how="full_outer")
              .select(*k, F.coalesce("__over", "__base").alias("value")))

@@ -69,7 +69,7 @@ def t3_replay_buffer_stream(spark, sf):
 
     def step(batch: DataFrame, batch_id: int) -> None:
         b = batch.select("run_id", "step", "event_id")
-        state.write(sm.replay_batch(b, state.read(before=batch_id), 50), batch_id)
+        state.write(sm.replay_batch(b, state.read(before=batch_id), 50, tie=["event_id"]), batch_id)
 
     sm.run_available(s, "t3", foreach_batch=step)
     return state.read().select("run_id", "event_id")
@@ -129,7 +129,7 @@ def t2_new_best_flags_stream(spark, sf):
     out = f"{checkpoint_dir(spark).rstrip('/')}/sinks/t2b-{uuid.uuid4().hex}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        flags, carry = sm.new_best_batch(batch, state.read(before=batch_id))
+        flags, carry = sm.new_best_batch(batch, state.read(before=batch_id), tie=["event_id"], width=None)
         # one folder per batch id: a retried batch overwrites its own output
         flags.select("run_id", "event_id", "new_best").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         state.write(carry, batch_id)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CHUNK = "__chunk"
+_KEY = "__key"
 
 
 @dataclass(frozen=True)
@@ -97,28 +98,31 @@ def running(df: DataFrame, by: list[str], order: list[str], out: dict[str, Runni
     spark = df.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn(_CHUNK, chunk_of(df, order[0], n, width, range_from))
+    # a struct of the group columns: in a join, NULL equals NULL inside it
+    keyed = keyed.withColumn(_KEY, F.struct(*by)) if by else keyed
+    key = [_KEY] if by else []
 
     vals = {name: (F.lit(1) if r.fn == "count" and r.col is None else
                    (F.col(r.col) if isinstance(r.col, str) else r.col))
             for name, r in out.items()}
 
     # Per-chunk totals of each group, then carry = total of earlier chunks.
-    totals = keyed.groupBy(_CHUNK, *by).agg(
+    totals = keyed.groupBy(_CHUNK, *key).agg(
         *[_agg(r.fn, vals[name]).alias(f"__tot_{name}") for name, r in out.items()])
-    w_prev = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    w_prev = Window.partitionBy(*key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
-        _CHUNK, *by,
+        _CHUNK, *key,
         *[(F.sum if r.fn in ("count", "sum") else F.max if r.fn == "max" else F.min)(
             F.col(f"__tot_{name}")).over(w_prev).alias(f"__carry_{name}")
           for name, r in out.items()])
 
-    w_loc = Window.partitionBy(_CHUNK, *by).orderBy(*order)
+    w_loc = Window.partitionBy(_CHUNK, *key).orderBy(*order)
     local = keyed.withColumns({
         f"__loc_{name}": _agg(r.fn, vals[name]).over(
             w_loc.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1))
         for name, r in out.items()})
 
-    joined = local.join(carries, on=[_CHUNK, *by], how="left")
+    joined = local.join(carries, on=[_CHUNK, *key], how="left")
     keep = [F.col(f"`{c}`") for c in df.columns if c not in out]
     return joined.select(*keep, *[
         _combine(r.fn, F.col(f"__carry_{name}"), F.col(f"__loc_{name}")).alias(name)

@@ -12,34 +12,9 @@ from pyspark.sql import functions as F
 from prefspark.plans.scan import row_index
 
 
-SPREAD_MIN_BYTES = 8 << 20
-
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    """Scan one table.
-
-    A scan with fewer splits than the session has cores (a small file with a
-    single Parquet row group) would run all per-row work before the first
-    shuffle in one task; when such an input is still large enough for that
-    work to matter (>= 8 MB) it is spread round-robin over the cores.  Large
-    inputs already have many splits and are left alone.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread is None:
-        spread = spark.conf.get("prefspark.spreadSmallScans", "false") == "true"
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores and _input_bytes(spark, path) >= SPREAD_MIN_BYTES:
-            df = df.repartition(cores)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def v_samples(spark, sf_dir) -> DataFrame:

@@ -56,7 +56,6 @@ def build_session(master: str | None = None, app: str = "prefspark",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
-    checkpoint_dir(spark)
     return spark
 
 
@@ -64,8 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the cluster configuration and is
-    shared by all executors; it is only created here when unset (local
-    tests), under a fresh scratch folder.
+    shared by all executors; unset, it is an error there.  A local session
+    gets a fresh scratch folder.
     """
     try:
         sc = spark.sparkContext
@@ -77,6 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not conf and sc is not None:
         conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="prefspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", conf)

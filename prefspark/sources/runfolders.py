@@ -5,6 +5,7 @@ the run name taken from the parent folder, and merged by run name."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ def _run_of(path: Column) -> Column:
 def _scan_json(spark: SparkSession, root: str, fname: str) -> DataFrame:
     """One row per file: run name and the raw JSON text (hidden run folders
     skipped).  Parsing stays in Spark so a malformed file gives NULL."""
-    df = (spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/{fname}")
+    df = (spark.read.option("wholetext", True).option("pathGlobFilter", fname).text(f"{root.rstrip('/')}/*")
           .select(_run_of(_file()).alias("run"), F.col("value").alias("doc")))
     return df.filter(~F.col("run").startswith("."))
 
@@ -45,27 +46,44 @@ def _metric_map(doc: Column, nested: str | None = None) -> Column:
     return F.transform_values(obj, lambda k, v: value(v))
 
 
+def _merged(a: Column, b: Column) -> Column:
+    """Both maps' entries; those of ``b`` win."""
+    return F.map_zip_with(a, b, lambda k, va, vb: F.when(F.map_contains_key(b, k), vb).otherwise(va))
+
+
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Merge summary and metrics per run (full outer join on the run name).
+    """Merge summary, metrics and config per run (full outer joins on the run
+    name; each file may be absent).
 
-    Metrics: keys of the summary's ``final_metrics`` first, then its top level,
-    then ``metrics.json``; later sources win (``map_concat`` with LAST_WIN).
+    Metrics: the summary's top level, then its ``final_metrics``, then
+    ``metrics.json`` (whose own ``final_metrics`` replaces the summary's);
+    later sources win.  ``config.yaml`` replaces a config inside the others.
     """
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     s = _scan_json(spark, root, SUMMARY).select(
         "run", F.col("doc").alias("summary_doc"))
     m = _scan_json(spark, root, METRICS).select("run", F.col("doc").alias("metrics_doc"))
-    j = s.join(m, "run", "full_outer")
+    c = scan_configs(spark, root).groupBy("run").agg(
+        F.max(F.when(F.col("path") == "algorithm", F.col("value"))).alias("yaml_algorithm"),
+        F.max(F.when(F.col("path") == "dataset.name", F.col("value"))).alias("yaml_dataset"),
+        F.lit(True).alias("has_yaml"))
+    j = s.join(m, "run", "full_outer").join(c, "run", "full_outer")
     empty = F.create_map().cast("map<string,double>")
     top = F.coalesce(_metric_map(F.col("summary_doc")), empty)
-    fin = F.coalesce(_metric_map(F.col("summary_doc"), "final_metrics"), empty)
+    later = _metric_map(F.col("metrics_doc"), "final_metrics")
+    fin = F.coalesce(later, _metric_map(F.col("summary_doc"), "final_metrics"), empty)
     met = F.coalesce(_metric_map(F.col("metrics_doc")), empty)
-    top = F.map_filter(top, lambda k, v: k != "final_metrics")
+    top, met = (F.map_filter(x, lambda k, v: k != "final_metrics") for x in (top, met))
+
+    def newest(path):
+        return F.coalesce(F.get_json_object("metrics_doc", path), F.get_json_object("summary_doc", path))
+    metrics = empty
+    for later_map in (top, fin, met, F.coalesce(later, empty)):
+        metrics = _merged(metrics, later_map)
     return j.select(
-        "run",
-        F.get_json_object("summary_doc", "$.experiment_duration_hours").cast("double").alias("duration_hours"),
-        F.get_json_object("summary_doc", "$.config.algorithm").alias("config_algorithm"),
-        F.map_concat(top, fin, met).alias("metrics"))
+        "run", newest("$.experiment_duration_hours").try_cast("double").alias("duration_hours"),
+        F.when(F.col("has_yaml"), F.col("yaml_algorithm")).otherwise(newest("$.config.algorithm")).alias("config_algorithm"),
+        F.when(F.col("has_yaml"), F.col("yaml_dataset")).otherwise(newest("$.config.dataset.name")).alias("config_dataset"),
+        metrics.alias("metrics"))
 
 
 # ------------------------------------------------------------------ YAML
@@ -101,11 +119,16 @@ CONFIG_SCHEMA = T.StructType([T.StructField("run", T.StringType()), T.StructFiel
                               T.StructField("num", T.DoubleType())])
 
 
-def scan_configs(spark: SparkSession, root: str, pattern: str = f"*/{CONFIG}") -> DataFrame:
+def scan_configs(spark: SparkSession, root: str, fname: str = CONFIG) -> DataFrame:
     """Flattened ``(run, path, value, num)`` rows of every run's YAML config
-    (``binaryFile`` scan, parsed per file inside the tasks)."""
-    files = (spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{pattern}")
-             .select(_run_of(F.col("path")).alias("run"), "content"))
+    (``binaryFile`` scan, parsed per file inside the tasks).  A broken or
+    empty config gives one row with a NULL path."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", fname).load(f"{root.rstrip('/')}/*")
+    files = found.select(_run_of(F.col("path")).alias("run"), "content").filter(~F.col("run").startswith("."))
+    # a scan skips files of no bytes; their runs come from the file listing
+    listed = spark.createDataFrame([(unquote(f).split("/")[-2],) for f in found.inputFiles()], "run string")
+    empty = listed.filter(~F.col("run").startswith(".")).join(files.select("run"), "run", "left_anti")
+    empty = empty.select("run", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CONFIG_SCHEMA.fields[1:]])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
@@ -114,13 +137,13 @@ def scan_configs(spark: SparkSession, root: str, pattern: str = f"*/{CONFIG}") -
             for run, content in zip(b["run"], b["content"]):
                 try:
                     doc = yaml.safe_load(bytes(content).decode("utf-8")) or {}
-                except Exception:  # noqa: BLE001 - a broken file yields no rows
+                except (yaml.YAMLError, UnicodeDecodeError):
                     doc = {}
-                for path, v in _flatten(doc):
-                    rows.append((run, path, _as_text(v), _as_double(v)))
+                leaves = list(_flatten(doc)) or [(None, None)]
+                rows += [(run, path, _as_text(v), _as_double(v)) for path, v in leaves]
             yield pd.DataFrame(rows, columns=["run", "path", "value", "num"])
 
-    return files.mapInPandas(parse, CONFIG_SCHEMA)
+    return files.mapInPandas(parse, CONFIG_SCHEMA).union(empty)
 
 
 def save_config_rows(df: DataFrame, out: str) -> None:

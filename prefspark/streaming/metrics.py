@@ -67,8 +67,11 @@ def alerts(steps: DataFrame, thresholds: dict[str, float]) -> DataFrame:
                  .select("*", "__a.*").drop("__a"))
 
 
-def dedup_stream(df: DataFrame, key: list[str], ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """Drop repeated keys seen within the watermark delay."""
+def dedup_stream(df: DataFrame, key: list[str], ts: str = "ts", watermark: str | None = None) -> DataFrame:
+    """Drop repeated keys: over the whole stream (state holds every distinct
+    key), or with a ``watermark`` those seen within its delay."""
+    if watermark is None:
+        return df.dropDuplicates(key)
     return (df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
               .dropDuplicatesWithinWatermark(key))
 
@@ -95,17 +98,6 @@ class ParquetState:
         self.schema = schema
 
     def _versions(self) -> list[int]:
-        try:
-            return self._versions_hadoop()
-        except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect): local folder listing
-            import os
-            base = self.base.removeprefix("file:")
-            if not os.path.isdir(base):
-                return []
-            return sorted(int(n[2:]) for n in os.listdir(base)
-                          if n.startswith("v-") and os.path.exists(os.path.join(base, n, "_SUCCESS")))
-
-    def _versions_hadoop(self) -> list[int]:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -130,12 +122,15 @@ class ParquetState:
 
 
 def new_best_batch(batch: DataFrame, carry: DataFrame, run: str = "run_id", step: str = "step",
-                   value: str = "reward_mean") -> tuple[DataFrame, DataFrame]:
+                   value: str = "reward_mean", tie: list[str] | None = None,
+                   width: float | None = STEP_WIDTH) -> tuple[DataFrame, DataFrame]:
     """Per-step ``new_best`` flags for one micro-batch given the stored best
-    per run; returns (flags, new carry).  Runs are windowed independently."""
+    per run; returns (flags, new carry).  Runs are windowed independently;
+    equal steps go by the columns ``tie``.  ``width`` cuts a hot run by step
+    index; None, for steps that aren't indexes, by the batch's range."""
     b = batch.join(carry.withColumnRenamed("best", "__carry"), run, "left")
     # skew-safe running max within the batch (a hot run is not one task)
-    r = running(b, [run], [step], {"__prev": Running("max", value, inclusive=False)}, width=STEP_WIDTH)
+    r = running(b, [run], [step, *(tie or [])], {"__prev": Running("max", value, inclusive=False)}, width=width)
     prev = F.greatest(F.coalesce(F.col("__prev"), F.lit(float("-inf"))),
                       F.coalesce(F.col("__carry"), F.lit(float("-inf"))))
     flags = r.withColumn("new_best", F.col(value) > prev).drop("__carry", "__prev")
@@ -146,11 +141,11 @@ def new_best_batch(batch: DataFrame, carry: DataFrame, run: str = "run_id", step
 
 
 def replay_batch(batch: DataFrame, buffer: DataFrame, size: int, run: str = "run_id",
-                 step: str = "step") -> DataFrame:
+                 step: str = "step", tie: list[str] | None = None) -> DataFrame:
     """New replay buffer after one micro-batch: latest ``size`` per run of the
     stored buffer plus the batch (bounded state: at most ``size`` rows per run)."""
     u = buffer.unionByName(batch.select(*buffer.columns))
-    w = Window.partitionBy(run).orderBy(F.col(step).desc())
+    w = Window.partitionBy(run).orderBy(*[F.col(c).desc() for c in (step, *(tie or []))])
     return u.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= size).drop("__rk")
 
 
@@ -176,15 +171,16 @@ def run_upsert(df: DataFrame, name: str, keys: list[str], mode: str = "update")
     version per key is returned (an upsert read)."""
     spark = df.sparkSession
     out = f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+    written = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        written.append(batch_id)
         batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(out)
 
     run_available(df, name, mode=mode, foreach_batch=write)
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced rows
+    if not written:
         return spark.createDataFrame([], df.schema)
+    res = spark.read.parquet(out)
     cols = [c for c in res.columns if c not in keys and c != "__batch"]
     latest = res.groupBy(*keys).agg(F.max_by(F.struct(*cols), "__batch").alias("__v"))
     return latest.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in cols])

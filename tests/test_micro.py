@@ -266,3 +266,31 @@ def test_x4_unknown_algorithm(spark):
     with pytest.raises(ValueError):
         obj.step_metrics(_tokens(spark, [0.1, 0.2], [0.1, 0.2]), "trpo")
     assert obj.objective(None) is obj.PPO
+
+
+def test_numpy_form_judges_each_row_alone(spark):
+    rows = [(0, [0.1, 0.2, 0.3], [0.3, 0.1, 0.2], 1, [0.5, 0.1, 0.0]), (1, [0.4, 0.2, 0.1], [0.3, 0.1, 0.2], 7, None),
+            (2, [0.4, 0.2, 0.1], [0.3, 0.1, 0.2], None, [0.2, 0.2, 0.2]), (3, [0.4, 0.2], [0.3, 0.1], 0, [0.1, 0.2]),
+            (4, None, None, 0, None)]
+    d = spark.createDataFrame(rows, "i int, p array<double>, q array<double>, a int, v array<double>").coalesce(1)
+    from prefspark.functions import vec
+    args = ("p", "q", "a", "v", "v")
+    one, two = (d.select("i", f(*args).alias("m")).select("i", "m.*").orderBy("i").collect()
+                for f in (vec.token_metrics, vec.token_metrics_numpy))
+    for x, y in zip(one, two):
+        for k in vec.TOKEN_FIELDS:
+            if x.i < 4:
+                assert (x[k] is None) == (y[k] is None) and (x[k] is None or abs(x[k] - y[k]) < 1e-12), (x.i, k)
+            else:
+                assert y[k] is None
+
+
+def test_null_names_only_count_overall(spark):
+    from prefspark.operators import report
+    d = spark.createDataFrame([("a", "x", 1.0), (None, "x", 3.0), ("a", None, 5.0)],
+                              "algorithm string, dataset string, reward_mean double")
+    for c in ("duration_hours", "sample_efficiency", "memory_usage_gb"):
+        d = d.withColumn(c, F.lit(0.0))
+    got = {(r.level, r.algorithm, r.dataset): r.experiments for r in report.summary_sets(d).collect()}
+    assert got == {("overall", None, None): 3, ("algorithm", "a", None): 2, ("dataset", None, "x"): 2}
+    assert [r.asDict() for r in report.pivot_mean(d, "algorithm", "dataset").collect()] == [{"algorithm": "a", "x": 1.0}]

@@ -149,3 +149,24 @@ def test_hot_run_is_split_across_chunks(spark, skewed):
     d = _indexed(spark, skewed).filter("run_id = 0")
     w = d.withColumn("c", chunk_of(d, "step", 0, width=STEP_WIDTH // 256))
     assert w.select("c").distinct().count() >= 5
+
+
+@pytest.mark.parametrize("decay", [1.0, 0.999, 0.5, 1e-3, 1e-300, 0.0])
+def test_recurrences_keep_every_term(spark, decay):
+    n = 900
+    v = np.random.default_rng(5).random(n)
+    v[n - 5] = v[4] = 1e20
+    d = spark.createDataFrame(pd.DataFrame({"run_id": [None if i % 2 else 1.0 for i in range(2 * n)],
+                                            "step": np.arange(2 * n) // 2, "v": np.repeat(v, 2)}))
+    back, ahead = np.zeros(n), np.zeros(n)
+    acc = 0.0
+    for i in range(n - 1, -1, -1):
+        back[i] = acc = v[i] + decay * acc
+    acc = 0.0
+    for i in range(n):
+        ahead[i] = acc = v[i] + decay * acc
+    for fn, want in ((discounted_suffix, back), (discounted_prefix, ahead)):
+        got = fn(d, ["run_id"], "step", "v", decay, "y", chunk=70).toPandas()
+        assert len(got) == 2 * n and list(got.columns) == ["run_id", "step", "v", "y"]
+        for _, g in got.groupby("run_id", dropna=False):
+            assert np.allclose(g.sort_values("step")["y"], want, rtol=1e-9, atol=0)

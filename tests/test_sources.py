@@ -103,3 +103,26 @@ def test_s11_save_generations(spark, scratch):
     sinks.save_generations(g, f"{scratch}/gen")
     sinks.save_generations(g, f"{scratch}/gen")
     assert spark.read.parquet(f"{scratch}/gen").count() == 4
+
+
+def test_config_names_runs_and_broken_configs_show(spark, scratch):
+    root = os.path.join(scratch, "only_configs")
+    _write(f"{root}/exp1/config.yaml", "algorithm: ppo\ndataset:\n  name: hh\n")
+    _write(f"{root}/exp2/config.yaml", "a: [unclosed\n")
+    _write(f"{root}/exp3/config.yaml", "")
+    _write(f"{root}/exp4/experiment_summary.json", json.dumps(
+        {"final_metrics": {"reward_mean": 1.0, "entropy": 2.0}, "config": {"algorithm": "dpo"}}))
+    t = runs.results_projection(runfolders.scan_runs(spark, root).withColumnRenamed("run", "experiment_name"))
+    got = {x.experiment_name: (x.algorithm, x.dataset, x.reward_mean, x.entropy, x.duration_hours) for x in t.collect()}
+    assert got == {"exp1": ("ppo", "hh", 0, 0, 0), "exp2": ("unknown", "unknown", 0, 0, 0),
+                   "exp3": ("unknown", "unknown", 0, 0, 0), "exp4": ("dpo", "unknown", 1.0, 2.0, 0)}
+    cfg = runfolders.scan_configs(spark, root)
+    missing = runs.missing_sections(cfg, ["algorithm"])
+    assert sorted(x.run for x in missing.collect()) == ["exp2", "exp3"]
+    over = spark.createDataFrame([("exp2", "seed", "1")], "run string, path string, value string")
+    merged = runs.flatten_overrides(cfg.select("run", "path", "value"), over)
+    assert all(x.path is not None for x in merged.collect())
+    # nested final metrics of metrics.json replace the summary's
+    _write(f"{root}/exp4/metrics.json", json.dumps({"final_metrics": {"reward_mean": 3.0}}))
+    m = {x.run: x.metrics for x in runfolders.scan_runs(spark, root).collect()}["exp4"]
+    assert m["reward_mean"] == 3.0 and "entropy" not in m
