@@ -227,8 +227,8 @@ def dpo_step_metrics(pair_rows: DataFrame, step: str = "step", beta: float = 0.1
 
 def variational_uncertainty(passes: DataFrame, pos: list[str] | str = "pos", logits: str = "logits",
                             vocab_chunk: int | None = None) -> DataFrame:
-    """Ensemble mean logits and variance over passes, the variance averaged
-    over the vocabulary (``var_samp`` over passes per entry, then mean).
+    """Ensemble mean logits (one array by vocabulary entry, and their mean)
+    and variance over passes, the variance averaged over the vocabulary (``var_samp`` over passes per entry, then mean).
 
     Long form: explode (pos, vocab) entries and aggregate with partial
     aggregates, so many passes of one position are not one task.
@@ -239,7 +239,9 @@ def variational_uncertainty(passes: DataFrame, pos: list[str] | str = "pos", log
                                            F.var_samp("__x").alias("__var"))
     return per_entry.groupBy(*keys).agg(F.avg("__var").alias("uncertainty"),
                                         F.avg("mean_logit").alias("mean_of_mean_logits"),
-                                        F.count(F.lit(1)).alias("vocab"))
+                                        F.count(F.lit(1)).alias("vocab"),
+                                        F.transform(F.array_sort(F.collect_list(F.struct("__v", "mean_logit"))),
+                                                    lambda e: e["mean_logit"]).alias("mean_logits"))
 
 
 def sample_action(logits, seed_cols: list[str], seed: int = 0) -> Column:

@@ -372,4 +372,4 @@ pe AS (SELECT pos, v, avg(x) AS mean_logit, var_samp(x) AS var FROM e GROUP BY p
 SELECT pos, round(avg(var), 6) AS uncertainty, round(avg(mean_logit), 6) AS mean_of_mean_logits, count(*) AS vocab
 FROM pe GROUP BY pos""", "v_passes"))
 def a18_ensemble_uncertainty(spark, sf):
-    return obj.variational_uncertainty(V.v_passes(spark, sf))
+    return obj.variational_uncertainty(V.v_passes(spark, sf)).drop("mean_logits")

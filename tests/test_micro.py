@@ -294,3 +294,9 @@ def test_null_names_only_count_overall(spark):
     got = {(r.level, r.algorithm, r.dataset): r.experiments for r in report.summary_sets(d).collect()}
     assert got == {("overall", None, None): 3, ("algorithm", "a", None): 2, ("dataset", None, "x"): 2}
     assert [r.asDict() for r in report.pivot_mean(d, "algorithm", "dataset").collect()] == [{"algorithm": "a", "x": 1.0}]
+
+
+def test_ensemble_mean_logits(spark):
+    d = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, [3.0, 6.0])], "pos int, pass int, logits array<double>")
+    r = obj.variational_uncertainty(d).first()
+    assert r.mean_logits == [2.0, 4.0] and r.uncertainty == 5.0 and r.vocab == 2
