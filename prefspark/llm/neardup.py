@@ -7,7 +7,9 @@ Each shard links its nodes to near neighbours, robustly pruned (a neighbour is
 left out if one already kept is much nearer to it); the adjacency lists of a
 node's shards are united.  Every node is searched: in its home shard, with the
 neighbours that lie outside, a greedy search walks from the shard's medoids
-towards it and then expands everything in range.  Pairs found are verified in
+towards it and then expands everything in range of it, from what was met and
+from the node itself.  Parts of a shard's graph without a link between them
+are linked by their medoids.  Pairs found are verified in
 double precision, so none below the threshold is linked; ``audit_recall``
 measures what the search misses against brute force.
 """
@@ -96,12 +98,38 @@ def _prune(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest label of each row's component under the links (a, b)."""
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _connect(x: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Links between the medoids of the parts that the links (a, b) leave
+    apart; a part of 65 or more near copies keeps no neighbour outside it."""
+    part = _spread(np.arange(len(x)), a, b)
+    mids = []
+    for k in np.unique(part):
+        mine = np.flatnonzero(part == k)
+        mids.append(mine[(x[mine] @ x[mine].mean(0)).argmax()])
+    i, j = np.triu_indices(len(mids), 1)
+    return np.array(mids)[i], np.array(mids)[j]
+
+
 def _link_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("node")
     ids = rows["node"].to_numpy()
-    near = _prune(_unit(rows["vec"]))
-    size = [len(x) for x in near]
-    a, b = np.repeat(ids, size), ids[np.concatenate([*near, np.zeros(0, int)]).astype(int)]
+    x = _unit(rows["vec"])
+    near = _prune(x)
+    a, b = np.repeat(np.arange(len(x)), [len(v) for v in near]), np.concatenate([*near, np.zeros(0, int)]).astype(int)
+    more_a, more_b = _connect(x, a, b)
+    a, b = ids[np.concatenate([a, more_a])], ids[np.concatenate([b, more_b])]
     # both directions, so a node can be reached from whom it keeps
     return pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([b, a])})
 
@@ -145,6 +173,7 @@ def _search(x: np.ndarray, links: list[np.ndarray], start: np.ndarray, queries:
             idle[q] = np.where(now > best[q] + 1e-6, 0, idle[q] + 1)
             best[q] = now
             active = q[(idle[q] < PATIENCE) & (best[q] < 0.99999)]
+        known[np.arange(m), mine], sim[np.arange(m), mine] = True, 1  # whatever was met, the own row is in reach
         while True:  # range: open all nodes in reach of the threshold
             q, node = np.nonzero((sim >= COSINE - SLACK) & ~opened)
             if not len(q):

@@ -270,6 +270,38 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def tight_groups(groups, each, noise=0.02, seed=1):
+    """``groups`` of ``each`` distinct near copies, and nothing else."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return np.repeat(centres, each, 0) + noise * rng.normal(size=(groups * each, 64))
+
+
+def near_frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+
+def exact_links(x):
+    """(links, smallest row of the component) of each row, by brute force."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (x @ x.T) >= neardup.COSINE
+    comp = np.arange(len(x))
+    while True:
+        low = np.array([comp[row].min() for row in link])
+        if (low == comp).all():
+            return link.sum(1) - 1, comp
+        comp = low
+
+
+@pytest.mark.parametrize("groups,each", [(20, 100), (2, 1000)])
+def test_near_duplicates_in_tight_groups_alone(spark, groups, each):
+    x = tight_groups(groups, each)
+    got = sorted(rows(neardup.near_duplicates(near_frame(spark, x))))
+    links, comp = exact_links(x)
+    assert [r[1] for r in got] == links.tolist() and [r[2] for r in got] == comp.tolist()
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as C
     from tokenizers import Tokenizer
