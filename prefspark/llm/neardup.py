@@ -1,17 +1,20 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
-Equal vectors of a label form one node.  Nodes are dealt to overlapping
-cluster shards: a shard over ``SHARD`` nodes is split around centroids sampled
-from it, each node going to its ``OVERLAP`` nearest, until all shards fit.
-Each shard links its nodes to near neighbours, robustly pruned (a neighbour is
-left out if one already kept is much nearer to it); the adjacency lists of a
-node's shards are united.  Every node is searched: in its home shard, with the
-neighbours that lie outside, a greedy search walks from the shard's medoids
-towards it and then expands everything in range of it, from what was met and
-from the node itself.  Parts of a shard's graph without a link between them
-are linked by their medoids.  Pairs found are verified in
-double precision, so none below the threshold is linked; ``audit_recall``
-measures what the search misses against brute force.
+Equal vectors of a label form one node.  Nodes are dealt to cells around
+centroids sampled from all nodes of a larger cell.  A node has one home and is
+copied to the cells whose home nodes may be in range of it: by the triangle
+inequality it can't be in range of any in the other cells, so a home node meets
+all its neighbours in its cell.  A split counts only if it saves a quarter of
+the comparisons.  Cells of up to ``SHARD`` nodes get a graph: each node links to
+near neighbours, robustly pruned (a neighbour is left out if one already kept
+is much nearer to it), and parts without a link between them are linked by
+their medoids.  A greedy search walks from the medoids towards each home node
+and then expands everything in range of it, from what was met and from the node
+itself.  Larger cells, which no split makes smaller (a tight group), are cut by
+hash and their blocks compared exactly.  Pairs are verified in double
+precision, so none below the threshold is linked.  A cell returns counts and
+one link a node to its component, not the pairs, whose number grows with the
+square of a group.
 """
 
 from __future__ import annotations
@@ -25,7 +28,11 @@ from prefspark.llm.common import sample_rows, saved
 from prefspark.llm.components import components
 
 COSINE = 0.93
-SHARD, OVERLAP, CENTROIDS = 2000, 3, 12
+SHARD, OVERLAP, CENTROIDS = 2000, 3, 128
+#: largest angle between a centroid and a home node of its cell
+REACH, RANGE = np.deg2rad(52), np.arccos(COSINE)
+#: nodes of one side of an exactly compared block
+SIDE = 8192
 NEAR, DEGREE, ALPHA = 64, 24, 1.2
 MEDOIDS, PATIENCE, SLACK = 4, 12, 0.08
 BLOCK = 512
@@ -36,6 +43,10 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _count(n, size: int):
+    return F.ceil(n / F.lit(float(size))).cast("int")
+
+
 def _dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * y), 0D, (s, x) -> s + x)"
 
@@ -52,26 +63,61 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     return v.select("vec_id", "label", "vec")
 
 
+def _split(key, rows: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+    """Deal a part of a cell's rows to its sub-cells, one for each centroid
+    and one for the rows out of reach of all centroids."""
+    empty = pd.DataFrame({"node": [], "parent": [], "cell": [], "home": []})
+    if not len(rows):
+        return empty
+    x, c = _unit(rows["vec"]), _unit(seeds.sort_values("node")["centre"])
+    sim = x @ c.T
+    best, every = sim.argmax(1), np.arange(len(x))
+    angle = np.arccos(np.clip(sim, -1, 1))
+    # rows of cell i are on its side of the plane between i and the nearest centroid
+    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[best]
+    near = sim[every, best][:, None] - sim <= gap * np.sin(RANGE) + 1e-9
+    member = np.column_stack([near & (angle <= REACH + RANGE + 1e-6), angle[every, best] >= REACH - RANGE - 1e-6])
+    own = np.where(angle[every, best] <= REACH, best, len(c))
+    member[every, own] = True
+    r, k = np.nonzero(member)
+    return pd.DataFrame({"node": rows["node"].to_numpy()[r], "parent": key[0], "cell": [f"{key[0]}.{i}" for i in k],
+                         "home": rows["home"].to_numpy(bool)[r] & (own[r] == k)})
+
+
 def _shards(nodes: DataFrame) -> DataFrame:
-    """(node, cell, home): every node in up to OVERLAP cells per split, one
-    of them its home.  A split of distinct vectors always makes smaller
-    shards, so the loop ends."""
+    """(node, cell, home, n, homes) with the number of rows and of home rows
+    of the cell: every node is home in one cell, which holds all nodes in
+    range of it.  A split is taken only if it leaves three quarters of the
+    products of rows and home rows or less, so the loop ends."""
     cells = saved(nodes.select("node", F.concat(F.lit("L"), F.col("label").cast("string"), F.lit("/"),
                                                 F.size("vec").cast("string")).alias("cell"), F.lit(True).alias("home")), "graph-cells")
+    done = []
     while True:
-        large = cells.groupBy("cell").count().where(F.col("count") > SHARD)
-        large = saved(large, "graph-large")
-        if large.isEmpty():
-            return cells
-        over = cells.join(large.select("cell"), "cell", "left_semi")
-        seeds = sample_rows(over.where("home").select("node", "cell"), "cell", CENTROIDS, key="node")
-        seeds = seeds.join(nodes.select("node", "vec"), "node").groupBy("cell").agg(
-            F.array_sort(F.collect_list(F.struct("node", "vec"))).alias("seeds"))
-        near = over.join(nodes.select("node", "vec"), "node").join(seeds, "cell").select(
-            "node", "cell", "home", F.expr(f"slice(array_sort(transform(seeds, (c, i) -> struct(-{_dot('c.vec', 'vec')} as d, i as i))), 1, {OVERLAP})").alias("best"))
-        split = near.select("node", "cell", "home", F.posexplode("best").alias("rank", "b")).select(
-            "node", F.concat("cell", F.lit("."), F.col("b.i").cast("string")).alias("cell"), (F.col("home") & (F.col("rank") == 0)).alias("home"))
-        cells = saved(split.union(cells.join(large.select("cell"), "cell", "left_anti").select("node", "cell", "home")), "graph-cells")
+        size = saved(cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes")), "graph-sizes")
+        sized = cells.join(size.where("homes > 0"), "cell")
+        fits = (F.col("n") <= SHARD) | (F.col("n") * F.col("homes") <= SHARD * SHARD)
+        done.append(sized.where(fits).select("node", "cell", "home", "n", "homes"))
+        over = sized.where(~fits)
+        if size.where("homes > 0").where(~fits).isEmpty():
+            break
+        seeds = sample_rows(over.select("node", "cell"), "cell", CENTROIDS, key="node").join(
+            nodes.select("node", F.col("vec").alias("centre")), "node")
+        parts = size.where("homes > 0").where(~fits).select("cell", F.explode(F.sequence(F.lit(0), _count(F.col("n"), SIDE) - 1)).alias("part"))
+        dealt = over.join(nodes.select("node", "vec"), "node").withColumn("part", F.expr("pmod(xxhash64(node, 1), ceil(n / double(%d)))" % SIDE).cast("int"))
+        tried = dealt.select("cell", "part", "node", "home", "vec").groupBy("cell", "part").cogroup(
+            seeds.join(parts, "cell").groupBy("cell", "part")).applyInPandas(_split, "node long, parent string, cell string, home boolean")
+        tried = saved(tried, "graph-cells")
+        sub = tried.groupBy("parent", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
+        after = sub.where("homes > 0").groupBy(F.col("parent").alias("cell")).agg(
+            F.sum(F.col("n") * F.col("homes")).alias("work"), F.sum("n").alias("rows"))
+        better = after.join(size, "cell").where((F.col("work") <= 0.75 * F.col("n") * F.col("homes")) & (F.col("rows") <= OVERLAP * F.col("n")))
+        better = saved(better.select("cell"), "graph-better")
+        done.append(over.join(better, "cell", "left_anti").select("node", "cell", "home", "n", "homes"))
+        cells = tried.join(better.withColumnRenamed("cell", "parent"), "parent", "left_semi").select("node", "cell", "home")
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return saved(out, "graph-shards")
 
 
 def _prune(x: np.ndarray) -> list[np.ndarray]:
@@ -122,16 +168,34 @@ def _connect(x: np.ndarray, a: np.ndarray, b: np.ndarray):
     return np.array(mids)[i], np.array(mids)[j]
 
 
-def _link_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("node")
-    ids = rows["node"].to_numpy()
-    x = _unit(rows["vec"])
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` with the components that the links (a, b) join made one."""
+    a, b = label[a], label[b]
+    pair = np.unique((np.minimum(a, b) * len(label) + np.maximum(a, b))[a != b])
+    return _spread(np.arange(len(label)), pair // len(label), pair % len(label))[label]
+
+
+def _graph(x: np.ndarray) -> list[np.ndarray]:
+    """Neighbours of each row, in both directions, so that a row can be
+    reached from whom it keeps."""
     near = _prune(x)
     a, b = np.repeat(np.arange(len(x)), [len(v) for v in near]), np.concatenate([*near, np.zeros(0, int)]).astype(int)
     more_a, more_b = _connect(x, a, b)
-    a, b = ids[np.concatenate([a, more_a])], ids[np.concatenate([b, more_b])]
-    # both directions, so a node can be reached from whom it keeps
-    return pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([b, a])})
+    a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
+    both = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))
+    return np.split(both % len(x), np.searchsorted(both // len(x), np.arange(1, len(x))))
+
+
+def _exact(x: np.ndarray, y: np.ndarray):
+    """All (row of x, row of y) pairs in range, a block of x at a time."""
+    fx, fy = x.astype(np.float32), y.astype(np.float32)
+    for lo in range(0, len(x), BLOCK):
+        sim = fx[lo:lo + BLOCK] @ fy.T
+        q, node = np.nonzero(sim >= COSINE - 1e-4)
+        unsure = np.flatnonzero(sim[q, node] < COSINE + 1e-4)
+        ok = np.ones(len(q), bool)
+        ok[unsure] = np.einsum("ij,ij->i", x[lo + q[unsure]], y[node[unsure]]) >= COSINE
+        yield lo + q[ok], node[ok]
 
 
 def _search(x: np.ndarray, links: list[np.ndarray], start: np.ndarray, queries: np.ndarray):
@@ -185,46 +249,64 @@ def _search(x: np.ndarray, links: list[np.ndarray], start: np.ndarray, queries:
         yield mine[q], node
 
 
-def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["node", "home"], ascending=[True, False]).drop_duplicates("node")
-    ids, home, x = rows["node"].to_numpy(), rows["home"].to_numpy(bool), _unit(rows["vec"])
-    links = []
-    for adj in rows["adj"]:
-        adj = np.asarray(adj)
-        at = np.minimum(np.searchsorted(ids, adj), len(ids) - 1)
-        links.append(at[ids[at] == adj])
-    mid = x[home].mean(0)
-    start = np.argsort(-(x @ mid), kind="stable")[:1]
-    if MEDOIDS > 1 and home.sum() > 1:  # further medoids: middles of the parts around far nodes
+def _medoids(x: np.ndarray) -> np.ndarray:
+    start = np.argsort(-(x @ x.mean(0)), kind="stable")[:1]
+    if MEDOIDS > 1 and len(x) > 1:  # further medoids: middles of the parts around far nodes
         far = [start[0]]
         while len(far) < MEDOIDS:
             far.append(int((x @ x[far].T).max(1).argmin()))
         part = (x @ x[far].T).argmax(1)
         start = np.unique([np.flatnonzero(part == k)[(x[part == k] @ x[part == k].mean(0)).argmax()] for k in range(len(far)) if (part == k).any()])
-    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
-    for q, node in _search(x, links, np.asarray(start), np.flatnonzero(home)):
-        keep = q != node
-        q, node = q[keep], node[keep]
-        exact = np.einsum("ij,ij->i", x[q], x[node]) >= COSINE
-        a.append(q[exact])
-        b.append(node[exact])
-    a, b = ids[np.concatenate(a)], ids[np.concatenate(b)]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: verified pairs of saved nodes (node, label, vec)."""
-    cells = _shards(nodes)
-    placed = cells.join(nodes.select("node", "vec"), "node")
-    edges = saved(placed.groupBy("cell").applyInPandas(_link_shard, "a long, b long").distinct(), "graph-edges")
-    home = cells.where("home").select("node", "cell")
-    halo = edges.join(home.withColumnRenamed("node", "a"), "a").select("cell", F.col("b").alias("node")).distinct()
-    halo = halo.join(home, ["cell", "node"], "left_anti")
-    shard = home.withColumn("home", F.lit(True)).unionByName(halo.withColumn("home", F.lit(False)))
-    adj = edges.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_set("b")).alias("adj"))
-    full = shard.join(nodes.select("node", "vec"), "node").join(adj, "node", "left").withColumn(
-        "adj", F.coalesce("adj", F.expr("cast(array() as array<bigint>)")))
-    return saved(full.groupBy("cell").applyInPandas(_search_shard, "a long, b long").distinct(), "graph-pairs")
+    return np.asarray(start)
+
+
+def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
+    """(node, peer, linked): rows in range of each home node, and a node of
+    its component."""
+    rows = rows.sort_values("node")
+    ids, home, copies, x = rows["node"].to_numpy(), rows["home"].to_numpy(bool), rows["copies"].to_numpy(), _unit(rows["vec"])
+    n, pairs = len(x), [np.zeros(0, int)]
+    for q, node in _search(x, _graph(x), _medoids(x), np.flatnonzero(home)):
+        ok = (q != node) & (np.einsum("ij,ij->i", x[q], x[node]) >= COSINE)
+        pairs += [q[ok] * n + node[ok], node[ok] * n + q[ok]]
+    pairs = np.unique(np.concatenate(pairs))
+    a, b = pairs // n, pairs % n
+    linked = np.bincount(a, copies[b], n).astype(np.int64)
+    return pd.DataFrame({"node": ids, "peer": ids[_merge(np.arange(n), a, b)], "linked": np.where(home, linked, 0)})
+
+
+def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """As _search_shard, of the home nodes of one block with the nodes of
+    another, all compared."""
+    left, right = rows[rows["left"]], rows[~rows["left"]]
+    lid, rid = left["node"].to_numpy(), right["node"].to_numpy()
+    ids = np.unique(np.concatenate([lid, rid]))
+    at_l, at_r, copies = np.searchsorted(ids, lid), np.searchsorted(ids, rid), right["copies"].to_numpy()
+    label, linked = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    if len(left) and len(right):
+        for q, node in _exact(_unit(left["vec"]), _unit(right["vec"])):
+            other = at_l[q] != at_r[node]
+            q, node = at_l[q[other]], node[other]
+            linked += np.bincount(q, copies[node], len(ids)).astype(np.int64)
+            label = _merge(label, q, at_r[node])
+    return pd.DataFrame({"node": ids, "peer": ids[label], "linked": linked})
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """(node, peer, linked) of saved nodes (node, label, vec, copies), several
+    rows a node: the sum of ``linked`` is the number of rows in range, and the
+    links (node, peer) have the components of all pairs in range."""
+    placed = _shards(nodes).join(nodes.select("node", "vec", "copies"), "node")
+    out = "node long, peer long, linked long"
+    small = placed.where(F.col("n") <= SHARD).select("cell", "node", "home", "copies", "vec")
+    found = small.groupBy("cell").applyInPandas(_search_shard, out)
+    large = placed.where(F.col("n") > SHARD).withColumn("l", _count(F.col("homes"), SIDE)).withColumn("r", _count(F.col("n"), SIDE))
+    left = large.where("home").select("cell", F.expr("cast(pmod(xxhash64(node, 2), l) as int)").alias("i"),
+                                      F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("j"), F.lit(True).alias("left"), "node", "copies", "vec")
+    right = large.select("cell", F.explode(F.sequence(F.lit(0), F.col("l") - 1)).alias("i"),
+                         F.expr("cast(pmod(xxhash64(node, 3), r) as int)").alias("j"), F.lit(False).alias("left"), "node", "copies", "vec")
+    blocks = left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(_compare_block, out)
+    return saved(found.union(blocks).where("linked > 0 or node <> peer"), "graph-links")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -238,10 +320,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     good = saved(_nodes(vectors, id_col, vec_col, label_col), "graph-vectors")
     nodes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = saved(nodes, "graph-nodes")
-    pairs = near_pairs(nodes)
-    copies = nodes.select("node", "copies")
-    ways = pairs.union(pairs.select("b", "a")).join(copies.withColumnRenamed("node", "b"), "b").groupBy(
-        F.col("a").alias("node")).agg(F.sum("copies").alias("linked"))
+    links = near_links(nodes)
+    ways = links.groupBy("node").agg(F.sum("linked").alias("linked"))
+    pairs = links.where("node <> peer").select(F.col("node").alias("a"), F.col("peer").alias("b")).distinct()
     comp = components(pairs, "graph-comp").withColumnRenamed("vertex", "node")
     found = nodes.join(ways, "node", "left").join(comp, "node", "left").select(
         "label", "vec", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

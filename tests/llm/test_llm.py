@@ -302,6 +302,17 @@ def test_near_duplicates_in_tight_groups_alone(spark, groups, each):
     assert [r[1] for r in got] == links.tolist() and [r[2] for r in got] == comp.tolist()
 
 
+def test_near_duplicates_in_a_tight_group_above_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARD", 40)
+    x = np.vstack([tight_groups(1, 3000), tight_groups(6, 30, seed=2)])
+    nodes = near_frame(spark, x).selectExpr("vec_id as node", "embedding as vec", "label")
+    cells = neardup._shards(nodes)
+    assert cells.where("home").count() == len(x) and cells.count() <= 3 * len(x)
+    got = sorted(rows(neardup.near_duplicates(near_frame(spark, x))))
+    links, comp = exact_links(x)
+    assert [r[1] for r in got] == links.tolist() and [r[2] for r in got] == comp.tolist()
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as C
     from tokenizers import Tokenizer
