@@ -11,7 +11,8 @@ is much nearer to it), and parts without a link between them are linked by
 their medoids.  A greedy search walks from the medoids towards each home node
 and then expands everything in range of it, from what was met and from the node
 itself.  Larger cells, which no split makes smaller (a tight group), are cut by
-hash and their blocks compared exactly.  Pairs are verified in double
+hash and their blocks compared exactly; so is a cell whose audit (some home
+rows against all its rows) shows that the search missed a pair.  Pairs are verified in double
 precision, so none below the threshold is linked.  A cell returns counts and
 one link a node to its component, not the pairs, whose number grows with the
 square of a group.
@@ -31,6 +32,8 @@ COSINE = 0.93
 SHARD, OVERLAP, CENTROIDS = 2000, 3, 128
 #: largest angle between a centroid and a home node of its cell
 REACH, RANGE = np.deg2rad(52), np.arccos(COSINE)
+#: audited rows of a cell: each AUDIT-th id, and about as many spread over it
+AUDIT, AUDIT_ROWS = 100, 32
 #: nodes of one side of an exactly compared block
 SIDE = 8192
 NEAR, DEGREE, ALPHA = 64, 24, 1.2
@@ -260,6 +263,16 @@ def _medoids(x: np.ndarray) -> np.ndarray:
     return np.asarray(start)
 
 
+def _missed(x: np.ndarray, ids: np.ndarray, home: np.ndarray, found: np.ndarray) -> bool:
+    """Audit of a cell: whether the search found too few rows in range of any
+    home row whose id is divisible by AUDIT, or of AUDIT_ROWS spread ones."""
+    some = np.unique(np.concatenate([home[ids[home] % AUDIT == 0], home[::max(1, len(home) // AUDIT_ROWS)]]))
+    want = np.zeros(len(x), int)
+    for q, _ in _exact(x[some], x):
+        want += np.bincount(some[q], minlength=len(x))
+    return bool((want[some] - 1 > found[some]).any())
+
+
 def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
     """(node, peer, linked): rows in range of each home node, and a node of
     its component."""
@@ -271,6 +284,9 @@ def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
         pairs += [q[ok] * n + node[ok], node[ok] * n + q[ok]]
     pairs = np.unique(np.concatenate(pairs))
     a, b = pairs // n, pairs % n
+    if _missed(x, ids, np.flatnonzero(home), np.bincount(a, minlength=n)):
+        both = [(q[q != node], node[q != node]) for q, node in _exact(x, x)]
+        a, b = np.concatenate([q for q, _ in both]), np.concatenate([node for _, node in both])
     linked = np.bincount(a, copies[b], n).astype(np.int64)
     return pd.DataFrame({"node": ids, "peer": ids[_merge(np.arange(n), a, b)], "linked": np.where(home, linked, 0)})
 

@@ -8,6 +8,7 @@ import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,16 @@ def test_near_duplicates_in_a_tight_group_above_a_shard(spark, monkeypatch):
     assert [r[1] for r in got] == links.tolist() and [r[2] for r in got] == comp.tolist()
 
 
+def test_near_duplicates_compares_exactly_what_the_search_misses(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_search", lambda x, links, start, queries: iter([(queries[:0], queries[:0])]))
+    x = tight_groups(3, 40)
+    got = sorted(rows(neardup.near_duplicates(near_frame(spark, x))))
+    search = neardup._search_shard(pd.DataFrame({"node": range(len(x)), "home": True, "copies": 1, "vec": list(x)}))
+    links, comp = exact_links(x)
+    assert [r[1] for r in got] == links.tolist() and search["linked"].tolist() == links.tolist()
+    assert search["peer"].tolist() == comp.tolist()
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as C
     from tokenizers import Tokenizer
