@@ -22,6 +22,8 @@ DIM = 1 << 14
 TRAIN_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 32
 RIDGE = 1e-3
+#: likeness below this share of the labelled sample's first percentile is foreign
+FOREIGN = 0.5
 BATCH_TEXTS, BATCH_BYTES = 256, 2 << 20
 
 _CODE = np.zeros(256, np.uint32)  # 0: no letter
@@ -62,6 +64,15 @@ def kernel(table: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (x @ landmarks.T) / size
 
 
+def letter_share(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Share of letter bytes in the bytes above the space, of each text."""
+    out = np.zeros(len(off) - 1)
+    for i in range(len(out)):
+        text = data[off[i]:off[i + 1]]
+        out[i] = np.count_nonzero(_CODE[text]) / max(1, np.count_nonzero(text > 0x20))
+    return out
+
+
 def _spread(table: np.ndarray) -> np.ndarray:
     x = table.astype(np.float32)
     return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
@@ -70,12 +81,13 @@ def _spread(table: np.ndarray) -> np.ndarray:
 class KernelRidge:
     """One-versus-rest ridge regression on Nystroem features."""
 
-    def __init__(self, tables: np.ndarray, labels: list[str]):
+    def __init__(self, tables: np.ndarray, labels: list[str], letters: np.ndarray):
         self.classes = sorted(set(labels))
         y = np.array([self.classes.index(x) for x in labels], int)
         first = [np.flatnonzero(y == k)[:LANDMARKS_PER_LANGUAGE] for k in range(len(self.classes))]
         z = _spread(tables[np.concatenate(first)]) if self.classes else np.zeros((0, DIM), np.float32)
         self.landmarks = z
+        self.floor = 0.0
         if not self.classes:
             return
         value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
@@ -89,6 +101,21 @@ class KernelRidge:
         beta = np.linalg.solve(gram, (phi - mean).T @ (target - base))
         self.coef = (root @ beta).astype(np.float32)
         self.bias = base - mean @ beta
+        near = kernel(tables, z)
+        near[np.concatenate(first), np.arange(len(z))] = 0  # a landmark is no witness for itself
+        size = tables.sum(1)
+        self.size = float(np.median(size))
+        if (letters > 0).any():
+            self.floor = FOREIGN * float(np.percentile(self._like(near, size, letters)[letters > 0], 1))
+
+    def _like(self, near, size, letters) -> np.ndarray:
+        return near.max(1) / np.sqrt(np.clip(size / self.size, 1e-9, 1)) * letters
+
+    def likeness(self, table: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Largest kernel value against a landmark, relative to what a text
+        of so few grams can reach, times the share of letters; however many
+        classes there are, it falls for other scripts and for gibberish."""
+        return self._like(kernel(table, self.landmarks), table.sum(1), letters)
 
     def decide(self, table: np.ndarray) -> np.ndarray:
         """(texts x classes) regression values, near 1 for the own class."""
@@ -97,13 +124,13 @@ class KernelRidge:
 
 @task
 def _grams(batches):
-    schema = pa.schema([("label", pa.string()), ("grams", pa.binary())])
+    schema = pa.schema([("label", pa.string()), ("grams", pa.binary()), ("letters", pa.float64())])
     for batch in batches:
         data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
         label = column(batch, "label")
         for lo, hi in _batches(off):
             bits = np.packbits(presence(data, off[lo:hi + 1]), axis=1)
-            yield record_batch(schema, list(zip(label[lo:hi], [b.tobytes() for b in bits])))
+            yield record_batch(schema, list(zip(label[lo:hi], [b.tobytes() for b in bits], letter_share(data, off[lo:hi + 1]).tolist())))
 
 
 def _batches(off):
@@ -119,40 +146,41 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     chosen = sample_rows(rows, "label", TRAIN_PER_LANGUAGE).select("doc_id").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     texts = texts.where("label is not null").join(chosen, "doc_id", "left_semi").select("label", "text")
-    got = texts.mapInArrow(_grams, "label string, grams binary").toPandas().sort_values(["label", "grams"])
+    got = texts.mapInArrow(_grams, "label string, grams binary, letters double").toPandas().sort_values(["label", "grams"])
     table = np.array([np.unpackbits(np.frombuffer(g, np.uint8)) for g in got["grams"]], bool).reshape(-1, DIM)
-    return KernelRidge(table, got["label"].tolist())
+    return KernelRidge(table, got["label"].tolist(), got["letters"].to_numpy(float))
 
 
 @task
 def _predict(batches, model: KernelRidge, keep_text: bool):
-    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("likeness", pa.float64())])
     for batch in batches:
         data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
         letters = np.array(column(batch, "has_letter"), bool)
         rest = batch.drop_columns(["has_letter"] if keep_text else ["text", "has_letter"])
         for lo, hi in _batches(off):
             if model.classes:
-                value = model.decide(presence(data, off[lo:hi + 1]))
+                grams = presence(data, off[lo:hi + 1])
+                value, like = model.decide(grams), model.likeness(grams, letter_share(data, off[lo:hi + 1]))
                 best = value.argmax(1)
                 score = np.clip((value[np.arange(hi - lo), best] + 1) / 2, 0, 1)
-                rows = [(model.classes[b], float(s)) if ok else ("und", 0.0)
-                        for b, s, ok in zip(best, score, letters[lo:hi])]
+                rows = [(model.classes[b], float(s), float(k)) if ok else ("und", 0.0, 0.0)
+                        for b, s, k, ok in zip(best, score, like, letters[lo:hi])]
             else:
-                rows = [("und", 0.0)] * (hi - lo)
+                rows = [("und", 0.0, 0.0)] * (hi - lo)
             out = record_batch(schema, rows)
             yield pa.RecordBatch.from_arrays([*rest.slice(lo, hi - lo).columns, *out.columns],
-                                             names=[*rest.schema.names, "lang_pred", "score"])
+                                             names=[*rest.schema.names, "lang_pred", "score", "likeness"])
 
 
 def predict(docs: DataFrame, model: KernelRidge, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """All columns of ``docs`` (the text, null as empty, only if
-    ``keep_text``) with (lang_pred, score) for every row; ``und`` with score 0
+    ``keep_text``) with (lang_pred, score, likeness) for every row; ``und`` with zeros
     if the text is null or has no letter, or if the model saw no labels.
-    Columns of ``docs`` called lang_pred, score or has_letter are left out."""
-    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "has_letter")]
+    Columns of ``docs`` called lang_pred, score, likeness or has_letter are left out."""
+    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "likeness", "has_letter")]
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(*keep, t.alias("text"), t.rlike(r"\p{L}").alias("has_letter"))
     kept = base.drop("has_letter") if keep_text else base.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return base.mapInArrow(lambda it: _predict(it, model, keep_text), f"{fields}, lang_pred string, score double")
+    return base.mapInArrow(lambda it: _predict(it, model, keep_text), f"{fields}, lang_pred string, score double, likeness double")

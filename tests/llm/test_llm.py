@@ -341,6 +341,19 @@ def test_pipeline_against_brute_force(spark):
     assert {r[0]: r[1] for r in got} == want
 
 
+def test_language_stage_rejects_foreign_text(spark):
+    import corpus_pipeline as C
+    rng = np.random.default_rng(0)
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}"))
+    bad = ["東京は日本の首都であり、世界最大の都市の一つです。" * 4, "Москва является столицей России и крупнейшим городом страны. " * 4, "Москва",
+           "القاهرة هي عاصمة مصر وأكبر مدنها " * 4, "!!! ### 123 $$ q 99 @@ 5", "".join(rng.choice(list("bcdfghjklmnpqrstvwxz "), 300))]
+    fine = ["hello there", "guten Tag", PROSE]
+    more = spark.createDataFrame([(10 ** 9 + i, t, None) for i, t in enumerate(bad + fine)], "doc_id long, text string, lang string")
+    got = C.language_id(spark, real.union(more), SF)
+    assert {r[0] for r in got.where("lang is null").select("text").collect()} == set(fine)
+    assert got.where("lang is not null").count() == real.count()
+
+
 def test_pipeline_edges(spark, docs, none):
     import corpus_pipeline as C
     for table in (docs.withColumn("n_chars", F.length("text").cast("long")), none):
