@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false
 positives, in DataFrame functions and Spark ML only.
 
-Candidates are runs of 16 or more key characters.  Features: length and
+Candidates are runs of 16 or more key characters, JWTs with their dots, and
+shorter values with a digit that are assigned to a key word.  Features: length and
 character shares, runs of character kinds, mean log probability of the
 character transitions, share covered by dictionary words (both learned from
 the words of all documents), the path the document comes from and the words
@@ -18,7 +19,16 @@ from pyspark.sql import functions as F
 
 from prefspark.llm.common import sample_rows, saved
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+_KEYS = r"(?i:secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|credential|private[_-]?key|auth)"
+_JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]{6,})?"
+#: 6 or more characters, one a digit, right after a key word's assignment; the
+#: first look-behind is cheap and fails at most places
+_SHORT = (r"(?<=[=:>]\s{0,2}[\x22\x27]?)(?<=" + _KEYS + r"[\w-]{0,16}[\x22\x27]?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\x22\x27]?)"
+          r"(?=[^\s\x22\x27,;]{0,64}[0-9])[A-Za-z0-9+/_!@#$%^&*~-]{6,}")
+CANDIDATE = _JWT + r"|[A-Za-z0-9+/_-]{16,}={0,2}|" + _SHORT
+#: formats that are secrets whatever stands before them
+KNOWN = (r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|[sr]k_(live|test)_[A-Za-z0-9]{16,}"
+         r"|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|" + _JWT + ")$")
 #: a dictionary word occurs in this many documents
 DICTIONARY_DOCS = 3
 #: the fit reads at most this many findings of each label
@@ -28,7 +38,7 @@ TREES, DEPTH, SEED = 20, 6, 7
 _KEY_WORD = (r"(?i)(secret|token|passw(or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|credential|private[_-]?key|auth)"
              r"[\w-]*[\"']?\s*(=>|:=|[:=])\s*[\"']?$")
 FEATURES = ["length", "digits", "uppers", "lowers", "runs", "transition", "dictionary", "path_depth", "path_sample",
-            "key_word", "assigned", "quoted", "prose_before", "prose_after"]
+            "key_word", "assigned", "quoted", "prose_before", "prose_after", "known"]
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -38,9 +48,15 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"),
                     F.xxhash64(F.col(text_col)).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
-    t = t.withColumn("pieces", F.split("text", CANDIDATE, -1))
-    t = t.withColumn("found", F.expr(f"""transform(regexp_extract_all(text, r'{CANDIDATE}', 0), (c, i) -> struct(
-        c as candidate, length(pieces[i]) as gap, right(pieces[i], 48) as before, left(pieces[i + 1], 24) as after))"""))
+    t = t.withColumn("pieces", F.split("text", CANDIDATE, -1)).withColumn("cands", F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)"))
+
+    def at(k, of="pieces", side="right", n=48):
+        return f"coalesce({side}(try_element_at({of}, if(i + {k + 1} > 0, i + {k + 1}, 99999999)), {n}), '')"
+    # the text around by place, over the neighbouring candidates (of 6 characters or more)
+    before = "right(concat(" + ", ".join(f"{at(-k)}, {at(-k, 'cands')}" for k in range(8, 0, -1)) + f", {at(0)}), 48)"
+    after = "left(concat(" + ", ".join(f"{at(k, side='left', n=24)}, {at(k, 'cands', 'left', 24)}" for k in range(1, 5)) + "), 24)"
+    t = t.withColumn("found", F.expr(f"""transform(cands, (c, i) -> struct(
+        c as candidate, length(pieces[i]) as gap, {before} as before, {after} as after))"""))
     # outer: a plain posexplode would evaluate both expressions again in a filter
     t = t.select("doc_id", "text_hash", "path", "row", F.posexplode_outer("found").alias("pos", "f")).where("f is not null")
     t = t.select("doc_id", "text_hash", "path", "row", "pos", "f.*")
@@ -97,15 +113,15 @@ def with_features(found: DataFrame, docs: DataFrame, text_col: str = "text") ->
         F.col("before").rlike(r"[:=]\s*[\"']?$").cast("double").alias("assigned"),
         F.col("before").rlike(r"[\"']$").cast("double").alias("quoted"),
         F.col("before").rlike(r"(^|\s)\p{L}+[,.]?\s$").cast("double").alias("prose_before"),
-        F.col("after").rlike(r"^[,.]?\s\p{L}+(\s|$)").cast("double").alias("prose_after"))
+        F.col("after").rlike(r"^[,.]?\s\p{L}+(\s|$)").cast("double").alias("prose_after"),
+        F.col("candidate").rlike(KNOWN).cast("double").alias("known"))
 
 
 def weak_label():
-    """Label of a finding from its format alone: 1 for access key ids, and
-    for strings with digits that are assigned to a key word; 0 otherwise."""
-    known = F.col("candidate").rlike("^AKIA[A-Z0-9]{16}$")
+    """Label of a finding from its format alone: 1 for known formats, and for
+    strings with digits that are assigned to a key word; 0 otherwise."""
     named = (F.col("key_word") > 0) & (F.col("digits") > 0) & (F.col("dictionary") < 0.5)
-    return (known | named).cast("int")
+    return ((F.col("known") > 0) | named).cast("int")
 
 
 def train(featured: DataFrame, label_col: str = "label"):
@@ -122,13 +138,14 @@ def train(featured: DataFrame, label_col: str = "label"):
 
 
 def score(featured: DataFrame, model, default: float = 0.0) -> DataFrame:
-    """Add (probability, is_secret); without a model all get ``default``."""
+    """Add (probability, is_secret); without a model all get ``default``.
+    A known format is a secret whatever the forest says."""
     if model is None:
         out = featured.withColumn("probability", F.lit(float(default)))
     else:
         x = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(featured)
         out = model.transform(x).withColumn("probability", vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_y")
-    return out.withColumn("is_secret", F.col("probability") >= 0.5)
+    return out.withColumn("is_secret", (F.col("probability") >= 0.5) | (F.col("known") > 0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:

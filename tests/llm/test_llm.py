@@ -230,6 +230,28 @@ def test_secrets(docs, none):
     assert secrets.scan(none).count() == 0 and secrets.redact(none, secrets.scan(none)).count() == 0
 
 
+def test_secrets_behind_long_key_names(spark):
+    rng = np.random.default_rng(5)
+
+    def made(n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        return "".join(rng.choice(list(chars), n - 1)) + "7"
+    texts, want = [], []
+    for _ in range(20):
+        for form in ('aws_secret_access_key = "{}"', "AWS_SECRET_ACCESS_KEY={}", "my_service_password_value: {}"):
+            want.append(made(40))
+            texts.append("see " + form.format(want[-1]) + " there")
+    for token in ("ghp_" + made(36), "sk_live_" + made(24), "eyJ" + made(20) + "." + made(30) + "." + made(40), "ASIA" + made(16, "ABCDEFGH")):
+        want.append(token)
+        texts.append(f"we found {token} in a log")
+    want.append("hunter2x")
+    texts.append("password=hunter2x and more")
+    clean = ["the function compute_running_average_of_values is in src/common/helpers/strings", "the token: described below, the password is long"] * 20
+    df = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.scan(df)).collect()}
+    assert [out[i] for i in range(len(texts))] == [t.replace(s, "<SECRET>") for t, s in zip(texts, want)]
+    assert [out[len(texts) + i] for i in range(len(clean))] == clean
+
+
 def test_secrets_against_planted(spark):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     planted = r"AKIA[A-Z0-9]{16}|password=[0-9a-f]{16,}|token = \"[0-9a-f]{40}"
