@@ -41,14 +41,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group of near-duplicates;
-    one of equal rows; and rows of groups without any id."""
-    groups = jaccard.jaccard_groups(docs)
+    one of a group's rows that share this id; and rows of groups without any
+    id.  Rows with the same id in different groups all stay."""
+    groups = saved(jaccard.jaccard_groups(docs), "pipeline-groups")
     named = groups.where("component_id is not null")
     kept = _without(docs, named.where("doc_id is null or doc_id <> component_id"), "pipeline-copies")
     again = saved(named.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = named.where("doc_id = component_id").join(again, "doc_id", "left_semi")
+    # without shingles a row is alike only to rows of the same text
+    first = saved(first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
+                               F.col("group_key").alias("_group"), F.when(F.col("group_key").isNull(), F.col("text_hash")).alias("_alone")).distinct(),
+                  "pipeline-firsts")
+    same = (kept["doc_id"] == F.col("_id")) & F.xxhash64(kept["text"]).eqNullSafe(F.col("_hash"))
+    once = kept.join(first, same).dropDuplicates(["_id", "_group", "_alone"]).select(*docs.columns)
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 

@@ -309,8 +309,9 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, text_hash) for every row of
-    ``docs``; ``text_hash`` is xxhash64 of the text.
+    """(doc_id, n_shingles, component_id, text_hash, group_key) for every row
+    of ``docs``; ``text_hash`` is xxhash64 of the text, ``group_key`` is the
+    same for all rows of a group and for no others (null without shingles).
 
     Texts link when ``100 |A & B| >= percent |A | B|`` for their sets of
     ``words``-word shingles (A-Z lower-cased, words are runs without white
@@ -360,7 +361,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = groups.join(comp.select(F.col("vertex").alias("owner"), "comp"), "owner", "left")
     groups = groups.select("owner", "low", F.coalesce("comp", "owner").alias("comp"))
     least = groups.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = groups.join(least, "comp").select("owner", "component_id")
+    named = groups.join(least, "comp").select("owner", "component_id", F.col("comp").alias("group_key"))
     return ids.join(named, "owner", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("owner").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+        F.when(F.col("owner").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash", "group_key")

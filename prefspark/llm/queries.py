@@ -45,7 +45,7 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN size s USING (doc_id)
 JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = d.doc_id""")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).drop("text_hash", "group_key")
 
 
 @query("op3_best_fit_packing")

@@ -376,6 +376,16 @@ def test_language_stage_rejects_foreign_text(spark):
     assert got.where("lang is not null").count() == real.count()
 
 
+def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
+    import corpus_pipeline as C
+    other = " ".join(f"word{i} thing{i}" for i in range(30))
+    texts = [(5, PROSE), (5, other), (5, other), (5, other + " end"), (6, PROSE), (7, "short text")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(rows(C.ngram_jaccard_join(spark, df, SF)))
+    assert [g[0] for g in got] == [5, 5, 7]
+    assert sorted(g[1].split()[0] for g in got) == ["short", "the", "word0"]
+
+
 def test_pipeline_edges(spark, docs, none):
     import corpus_pipeline as C
     for table in (docs.withColumn("n_chars", F.length("text").cast("long")), none):
