@@ -205,8 +205,7 @@ def dpo_loss(margin: Column, beta: float = 0.1, loss_type: str = "sigmoid") -> C
 
 
 def dpo_step_metrics(pair_rows: DataFrame, step: str = "step", beta: float = 0.1,
-                     loss_type: str = "sigmoid", kl_penalty: float = 0.0,
-                     entropy_penalty: float = 0.0) -> DataFrame:
+                     loss_type: str = "sigmoid", kl_penalty: float = 0.0) -> DataFrame:
     """DPO metrics per step from :func:`dpo_pair_table` rows.  ``kl_penalty``
     adds ``coef * KL`` to the total loss (P22); the reference loss is zero."""
     margin = F.col("chosen_log_ratio") - F.col("rejected_log_ratio")

@@ -300,3 +300,10 @@ def test_ensemble_mean_logits(spark):
     d = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, [3.0, 6.0])], "pos int, pass int, logits array<double>")
     r = obj.variational_uncertainty(d).first()
     assert r.mean_logits == [2.0, 4.0] and r.uncertainty == 5.0 and r.vocab == 2
+
+
+def test_dpo_refuses_an_entropy_penalty_it_does_not_apply():
+    import inspect
+
+    from prefspark.operators import objectives
+    assert "entropy_penalty" not in inspect.signature(objectives.dpo_step_metrics).parameters
