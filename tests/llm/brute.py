@@ -1,9 +1,11 @@
 """Plain Python versions of the operators, for small tables."""
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, permutations
 
 
 def lower(text):
@@ -84,3 +86,117 @@ def language_model(texts, held, kappa, beta):
                 score += (math.log10(t / (c + t)) if c else 0.0) + math.log10(uni[x] + 0.5) - den
         out.append((len(s), sum(uni[x] > 0 for x in s), base, score))
     return total, out
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _tree(nodes):
+    """Levels of a ternary tree, leaves first."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([H(*below[i:i + 3]) for i in range(0, len(below), 3)])
+    return levels
+
+
+def _way(levels, i):
+    """(left, right) siblings per level."""
+    out = []
+    for level in levels[:-1]:
+        lo = i // 3 * 3
+        out.append(("".join(level[lo:i]), "".join(level[i + 1:lo + 3])))
+        i //= 3
+    return out
+
+
+def _leaf(doc, text, lang, source, n):
+    return H(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc, source, lang, n, text)])
+
+
+def manifest(rows):
+    """rows (doc_id, text, lang, source, n_chars) -> the verified rows."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[3], []).append(r)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for s in names:
+        groups[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, _leaf(*r)))
+    trees = {s: _tree([_leaf(*r) for r in groups[s]]) for s in names}
+    top = _tree([trees[s][-1][0] for s in names])
+    out = []
+    for k, s in enumerate(names):
+        for i, (doc, text, lang, source, n) in enumerate(groups[s]):
+            way = _way(trees[s], i) + _way(top, k)
+            given = text
+            if doc is not None and text is not None and zlib.crc32(str(doc).encode()) % 2 == 0:
+                given = text.replace("\n", "")
+            folded = _leaf(doc, given, lang, source, n)
+            for left, right in way:
+                folded = H(left, folded, right)
+            out.append((doc, trees[s][0][i], trees[s][-1][0], top[-1][0], H(*[x for w in way for x in w]), folded, folded == top[-1][0]))
+    return out
+
+
+def formatted(role, text):
+    for a, b in (("%", "%25"), (":", "%3A"), ("#", "%23"), ("<", "%3C"), ("\n", "%0A")):
+        role = role.replace(a, b)
+    for a, b in (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\e")):
+        text = text.replace(a, b)
+    return f"### {role}: {text}</turn>\n"
+
+
+def ordered(turns):
+    """conv -> [(role, text)] in order."""
+    out = {}
+    for conv, turn, role, text in turns:
+        out.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    return {c: [r[2:] for r in sorted(rows)] for c, rows in out.items()}
+
+
+def chats(turns):
+    out = {}
+    for conv, said in ordered(turns).items():
+        replies = [text for role, text in said if role == "assistant"]
+        sizes = [len(formatted(*t)) for t in said]
+        out[conv] = {
+            "n_turns": len(said), "turns_sha256": H(*[x for role, text in said for x in (role, "\n", text, "\n")]),
+            "loss_chars": sum(map(len, replies)), "loss_sha256": H(*replies), "formatted_chars": sum(sizes), "n_examples": len(replies),
+            "expanded_chars": sum(sum(sizes[:i + 1]) for i, (role, _) in enumerate(said) if role == "assistant")}
+    return out
+
+
+def audit(docs, labels):
+    good = {d for d, q, _ in labels if d is not None and q == 1}
+    toxic = {d for d, _, t in labels if d is not None and t == 1}
+    parts = {}
+    for doc, text, lang in docs:
+        text = text or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+        fails = set()
+        if len(w) < 200:
+            fails.add("A")
+        if 100 * len(set(w)) < 50 * len(w):
+            fails.add("B")
+        if 100 * sum("A" <= c <= "Z" for c in text) > 3 * len(text):
+            fails.add("C")
+        if any(c in "#$%&*|" for c in text):
+            fails.add("D")
+        if doc is not None and any(d is not None and d < doc and (t or "") == text for d, t, _ in docs):
+            fails.add("E")
+        parts.setdefault(lang or "", []).append((fails, doc in good, doc in toxic))
+    out = []
+    for part, rows in parts.items():
+        made, total = [], Counter()
+        for order in permutations("ABCDE"):
+            left = rows
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[0]]
+                left = [r for r in left if f not in r[0]]
+                earlier = set(order[:step - 1])
+                total[f] += len(gone)
+                made.append((f, part, "".join(order), step, len(left), len(gone), sum(f in r[0] and bool(r[0] & earlier) for r in rows),
+                             sum(r[0] == {f} for r in rows), sum(r[1] for r in gone), sum(r[2] for r in gone)))
+        out += [(*m[1:], total[m[0]]) for m in made]
+    return out
