@@ -93,11 +93,8 @@ def curriculum_stage(df: DataFrame, difficulty: str, bounds=CURRICULUM_BOUNDS,
     join the rank back on the value.
     """
     counts = df.groupBy(difficulty).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running(counts, [], [difficulty], {"__below": Running("sum", "__n", inclusive=False)},
-                     range_from=df.select(difficulty))
-    # total row count as a scalar subquery (one number, no join)
-    total = counts.agg(F.sum("__n")).scalar()
-    ranked = ranked.withColumn("__total", total).select(
+    ranked = running(counts, [], [difficulty], {"__below": Running("sum", "__n", inclusive=False),
+                                                "__total": Running("sum", "__n", whole=True)}).select(
         difficulty,
         F.when(F.col("__total") <= 1, F.lit(0.0))
          .otherwise(F.coalesce(F.col("__below"), F.lit(0)) / (F.col("__total") - 1))

@@ -160,10 +160,8 @@ def quartiles(df: DataFrame, group: str, value: str, exact: bool = True,
     # then the number of smaller values by a skew-safe running sum
     counts = (df.filter(F.col(value).isNotNull()).groupBy(group, value)
                 .agg(F.count(F.lit(1)).alias("__c")))
-    cum = running(counts, [group], [value], {"__below": Running("sum", "__c", inclusive=False)},
-                  range_from=df.select(value))
-    n = counts.groupBy(group).agg(F.sum("__c").alias("__n"))
-    j = cum.join(n, group).withColumn("__below", F.coalesce("__below", F.lit(0)))
+    j = running(counts, [group], [value], {"__below": Running("sum", "__c", inclusive=False), "__n": Running("sum", "__c", whole=True)})
+    j = j.withColumn("__below", F.coalesce("__below", F.lit(0)))
 
     def covers(pos: Column) -> Column:          # value occupies positions [below, below + c)
         return (F.col("__below") <= pos) & (pos < F.col("__below") + F.col("__c"))
@@ -290,27 +288,6 @@ def outliers(df: DataFrame, group: str, value: str, k: float = 3.0) -> DataFrame
              .withColumn("z", (F.col(value) - F.col("__mu")) / F.col("__sd")).drop("__mu", "__sd"))
 
 
-def pareto_front(df: DataFrame, group: str, maximize: str, minimize: str) -> DataFrame:
-    """Non-dominated rows per group for two objectives (max ``maximize``, min
-    ``minimize``).  A row is kept when it has the smallest ``minimize`` among
-    rows with its ``maximize`` value and is strictly below the smallest
-    ``minimize`` of every row with a larger ``maximize`` value.
-
-    No pairwise join: aggregate per (group, value), a skew-safe running min
-    over values in descending order, then an equi-join back.
-    """
-    per_val = df.groupBy(group, maximize).agg(F.min(minimize).alias("__min_here"))
-    desc = per_val.withColumn("__neg", -F.col(maximize))
-    run = running(desc, [group], ["__neg"], {"__min_above": Running("min", "__min_here", inclusive=False)},
-                  range_from=df.select((-F.col(maximize)).alias("__neg")))
-    # frontier values first (usually a handful per group): the join back to
-    # the rows then has a small side that AQE can broadcast after measuring it
-    keep = (run.filter(F.col("__min_above").isNull() | (F.col("__min_here") < F.col("__min_above")))
-               .select(group, maximize, "__min_here"))
-    j = df.join(keep, on=[group, maximize])
-    return j.filter(F.col(minimize) == F.col("__min_here")).drop("__min_here")
-
-
 def constraint_select(df: DataFrame, group: str, score: str, constraints: dict[str, float],
                       tolerance: float = 0.05, order: str | None = None) -> DataFrame:
     """Per group, the best-scoring row among those meeting every target minus

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.plans.recurrence import (bounded_frame, discounted_prefix, discounted_suffix, frame,
                                         halo_window as frame_order)
 from prefspark.plans.scan import STEP_WIDTH, Running, row_index, running
+from prefspark.plans.selection import top_n
 
 # Fixed defaults of the run configs.
 GAMMA = 0.99
@@ -72,12 +73,9 @@ def target_refresh(df: DataFrame, freq: int = TARGET_UPDATE_FREQ, run: str = "ru
 def keep_checkpoints(df: DataFrame, k: int, every: int, run: str = "run_id", step: str = "step",
                      best_only: bool = False, value: str = "reward_mean") -> DataFrame:
     """Checkpoint rows (every ``every`` steps) kept by the latest-K rule, or
-    the best K by ``value`` with ``best_only``.  Top-k per run plans as a
-    ``WindowGroupLimit`` (partial top-k before the shuffle)."""
+    the best K by ``value`` with ``best_only`` (see :func:`top_n`)."""
     c = periodic(df, every, step)
-    order = (F.col(value).desc(), F.col(step).desc()) if best_only else (F.col(step).desc(),)
-    w = Window.partitionBy(run).orderBy(*order)
-    return c.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= k).drop("__rk")
+    return top_n(c, [run], F.struct(value, step) if best_only else F.struct(step), k, largest=True)
 
 
 def sample_efficiency(df: DataFrame, threshold: float, run: str = "run_id", step: str = "step",
@@ -219,8 +217,7 @@ def adaptive_kl(df: DataFrame, run: str = "run_id", step: str = "step", kl: str
 def replay_buffer(df: DataFrame, size: int = REPLAY_BUFFER_SIZE, run: str = "run_id",
                   step: str = "step") -> DataFrame:
     """FIFO buffer: the latest ``size`` experiences per run."""
-    w = Window.partitionBy(run).orderBy(F.col(step).desc())
-    return df.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= size).drop("__rk")
+    return top_n(df, [run], F.struct(step), size, largest=True)
 
 
 def replay_sample(df: DataFrame, n: int, run: str = "run_id", key: Column | None = None,
@@ -228,8 +225,7 @@ def replay_sample(df: DataFrame, n: int, run: str = "run_id", key: Column | None
     """Uniform sample without replacement of ``n`` per run (all rows when the
     buffer is smaller): the ``n`` smallest of a hash-derived key."""
     k = key if key is not None else F.xxhash64(F.col(id_col), F.lit(seed))
-    w = Window.partitionBy(run).orderBy(k, F.col(id_col))
-    return df.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= n).drop("__rk")
+    return top_n(df, [run], F.struct(k, F.col(id_col)), n)
 
 
 def prioritized_sample(df: DataFrame, n: int, priority: str | Column, run: str = "run_id",
@@ -239,5 +235,4 @@ def prioritized_sample(df: DataFrame, n: int, priority: str | Column, run: str =
     p = F.col(priority) if isinstance(priority, str) else priority
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     key = -F.log(u) / F.pow(p, F.lit(alpha))
-    w = Window.partitionBy(run).orderBy(key, F.col(id_col))
-    return df.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= n).drop("__rk")
+    return top_n(df, [run], F.struct(key, F.col(id_col)), n)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefspark.operators import report, runs
+from prefspark.operators.pareto import pareto_front
 from prefspark.plans import views as V
 from prefspark.plans.registry import register
 from prefspark.plans.views import with_views
@@ -320,8 +321,28 @@ SELECT experiment_name, r.dataset, {_r('r.reward_mean', 'reward_mean')}, {_r('du
 FROM results r JOIN ab ON r.dataset = ab.dataset AND r.reward_mean = ab.reward_mean
 WHERE duration_hours = min_here AND (min_above IS NULL OR duration_hours < min_above)"""))
 def k4_pareto_front(spark, sf):
-    f = report.pareto_front(results(spark, sf), "dataset", "reward_mean", "duration_hours")
-    return f.select("experiment_name", "dataset", "reward_mean", "duration_hours")
+    r = results(spark, sf).select("experiment_name", "dataset", "reward_mean", "duration_hours")
+    return pareto_front(r, "dataset", "reward_mean", "duration_hours")
+
+
+_STRICTLY = "(q.{0} > p.{0} OR q.{1} > p.{1} OR q.{2} > p.{2})"
+
+
+@register("k4_pareto_epsilon", rsql(f"""
+, pts AS (SELECT experiment_name, dataset, reward_mean, duration_hours, kl_divergence, -duration_hours AS d, -kl_divergence AS k,
+                 floor(reward_mean / e) AS b0, floor(-duration_hours / e) AS b1, floor(-kl_divergence / e) AS b2
+          FROM results, (SELECT CAST(0.1 AS DOUBLE) AS e) WHERE reward_mean IS NOT NULL AND duration_hours IS NOT NULL AND kl_divergence IS NOT NULL),
+boxes AS (SELECT DISTINCT dataset, b0, b1, b2 FROM pts)
+SELECT experiment_name, dataset, {_r('reward_mean', 'reward_mean')}, {_r('duration_hours', 'duration_hours')}, {_r('kl_divergence', 'kl_divergence')}
+FROM pts p
+WHERE NOT EXISTS (SELECT 1 FROM boxes q WHERE q.dataset = p.dataset AND q.b0 >= p.b0 AND q.b1 >= p.b1 AND q.b2 >= p.b2
+                  AND {_STRICTLY.format('b0', 'b1', 'b2')})
+  AND NOT EXISTS (SELECT 1 FROM pts q WHERE q.dataset = p.dataset AND q.b0 = p.b0 AND q.b1 = p.b1 AND q.b2 = p.b2
+                  AND q.reward_mean >= p.reward_mean AND q.d >= p.d AND q.k >= p.k AND {_STRICTLY.format('reward_mean', 'd', 'k')})"""))
+def k4_pareto_epsilon(spark, sf):
+    """Three objectives in boxes of 0.1."""
+    r = results(spark, sf).select("experiment_name", "dataset", "reward_mean", "duration_hours", "kl_divergence")
+    return pareto_front(r, "dataset", "reward_mean", ["duration_hours", "kl_divergence"], epsilon=0.1)
 
 
 # ------------------------------------------------------------------ K5

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefspark.plans.scan import STEP_WIDTH, Running, running
+from prefspark.plans.selection import top_n
 from prefspark.session import checkpoint_dir, stream_checkpoint
 
 STEP_SCHEMA = T.StructType([
@@ -145,8 +146,7 @@ def replay_batch(batch: DataFrame, buffer: DataFrame, size: int, run: str = "run
     """New replay buffer after one micro-batch: latest ``size`` per run of the
     stored buffer plus the batch (bounded state: at most ``size`` rows per run)."""
     u = buffer.unionByName(batch.select(*buffer.columns))
-    w = Window.partitionBy(run).orderBy(*[F.col(c).desc() for c in (step, *(tie or []))])
-    return u.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= size).drop("__rk")
+    return top_n(u, [run], F.struct(step, *(tie or [])), size, largest=True)
 
 
 def run_available(df: DataFrame, name: str, sink_path: str | None = None, mode: str = "append",

@@ -7,8 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefspark.operators import report, steps
+from prefspark.operators.pareto import not_dominated, pareto_front
 from prefspark.plans.recurrence import discounted_prefix, discounted_suffix
-from prefspark.plans.scan import Running, row_index, running
+from prefspark.plans.scan import Running, row_index, running, with_chunk
+from prefspark.plans.selection import top_n
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +90,7 @@ def test_pareto_against_pairwise(spark):
     n = 400
     pdf = pd.DataFrame({"g": rng.integers(0, 3, n), "name": [f"e{i}" for i in range(n)],
                         "r": np.round(rng.random(n), 2), "d": np.round(rng.random(n) * 10, 1)})
-    got = {r.name for r in report.pareto_front(spark.createDataFrame(pdf), "g", "r", "d").collect()}
+    got = {r.name for r in pareto_front(spark.createDataFrame(pdf), "g", "r", "d").collect()}
     exp = set()
     for _, p in pdf.iterrows():
         same = pdf[pdf.g == p.g]
@@ -137,18 +139,114 @@ def test_running_fixed_width_chunks(spark, skewed):
     assert np.allclose(p["m"].fillna(-1e9), exp.fillna(-1e9))
 
 
+def _chunk_sizes(df, key, n):
+    return [r["count"] for r in with_chunk(df, key, n, "c").groupBy("c").count().collect()]
+
+
 def test_hot_run_is_split_across_chunks(spark, skewed):
-    from prefspark.plans.scan import STEP_WIDTH, chunk_of
     df, pdf = skewed
     hot = int((pdf.run_id == 0).sum())
     assert hot * 3 >= len(pdf)                     # run 0 holds a third of all rows
-    c = df.withColumn("c", chunk_of(df, "ts", 16))
-    per = c.filter("run_id = 0").groupBy("c").count().toPandas()
-    assert len(per) >= 8 and per["count"].max() <= hot / 4
-    # fixed-width chunks over a step index split a long run the same way
+    sizes = _chunk_sizes(df, F.struct("run_id", "ts", "event_id"), 16)
+    assert len(sizes) == 16 and max(sizes) <= 2 * len(pdf) / 16
+    # fixed-width chunks over a step index split a long run too
     d = _indexed(spark, skewed).filter("run_id = 0")
-    w = d.withColumn("c", chunk_of(d, "step", 0, width=STEP_WIDTH // 256))
-    assert w.select("c").distinct().count() >= 5
+    got = running(d, ["run_id"], ["step"], {"m": Running("count")}, width=256).agg(F.max("m")).first()[0]
+    assert got == hot
+
+
+@pytest.mark.parametrize("key", ["far", "text", "ties", "null"])
+def test_no_chunk_above_twice_the_mean(spark, key):
+    """An outlier, text keys with a common head, a first order column of few
+    values and mostly null keys do not gather rows in one chunk."""
+    n = 20_000
+    i = F.col("id")
+    order = {"far": F.when(i == 0, F.lit(10 ** 17)).otherwise(i * i), "text": F.format_string("customer-run-%09d", i),
+             "ties": i % 3, "null": F.when(i % 10 == 0, i)}[key]
+    df = spark.range(0, n, 1, 5).withColumn("o", order)
+    sizes = _chunk_sizes(df, F.struct("o", "id"), 16)
+    assert sum(sizes) == n and max(sizes) <= 2 * n / 16
+    got = row_index(df, [], ["o", "id"], "idx", chunks=16).toPandas().sort_values("idx")
+    assert got["idx"].tolist() == list(range(n))
+    want = df.orderBy("o", "id").toPandas()
+    assert got["id"].tolist() == want["id"].tolist()
+
+
+def test_group_totals_beside_running_sums(spark, skewed):
+    df, pdf = skewed
+    got = running(df, ["run_id"], ["ts", "event_id"], {"c": Running("count"), "n": Running("count", whole=True), "m": Running("max", "v", whole=True)},
+                  chunks=8).toPandas().set_index("event_id")
+    g = pdf.groupby("run_id")["v"]
+    exp = pdf.assign(n=g.transform("size"), m=g.transform("max")).set_index("event_id")
+    assert (got.loc[exp.index, "n"] == exp["n"]).all() and np.allclose(got.loc[exp.index, "m"], exp["m"])
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.1, {"a": 0.25, "b": 0.0, "c": 0.5}])
+def test_pareto_three_objectives(spark, epsilon, monkeypatch):
+    """Against all pairs, with many tasks, blocks and rows passed on early."""
+    from prefspark.operators import pareto
+    monkeypatch.setattr(pareto, "BLOCK_POINTS", 7)
+    rng = np.random.default_rng(11)
+    n = 900
+    pdf = pd.DataFrame({"g": rng.choice(["x", "y", None], n, p=[0.6, 0.3, 0.1]), "name": np.arange(n)})
+    for c in "abc":
+        pdf[c] = np.round(rng.random(n), 2)
+    pdf.loc[:20, "a"] = np.nan
+    pdf = pd.concat([pdf, pdf.assign(name=pdf.name + n)])       # every row twice
+    df = spark.createDataFrame(pdf).withColumn("a", F.when(~F.isnan("a"), F.col("a")))
+    got = {r.name for r in pareto_front(df.repartition(6), "g", ["a", "b"], "c", epsilon).collect()}
+    use = pdf[pdf.g.notna() & pdf.a.notna()].reset_index(drop=True)
+    eps = epsilon if isinstance(epsilon, dict) else dict.fromkeys("abc", epsilon)
+    v = np.column_stack([use.a, use.b, -use.c])
+    box = np.column_stack([np.floor(v[:, k] / e) if (e := eps[c]) else v[:, k] for k, c in enumerate("abc")])
+    exp = set()
+    for i in range(len(use)):
+        q = (use.g == use.g[i]).to_numpy()
+        bigger = (box >= box[i]).all(1) & (box > box[i]).any(1)
+        inside = (box == box[i]).all(1) & (v >= v[i]).all(1) & (v > v[i]).any(1)
+        if not (q & (bigger | inside)).any():
+            exp.add(use.name[i])
+    assert got == exp and 0 < len(got) < n
+
+
+def test_front_that_is_everything(spark):
+    """Rows on a line trade off: none goes, also when tasks pass rows on."""
+    x = np.arange(3000.0)
+    v = np.column_stack([x, -x])
+    assert len(not_dominated(np.zeros(3000, int), v, v)) == 3000
+    df = spark.range(3000).select(F.lit(1).alias("g"), F.col("id").alias("a"), F.col("id").alias("b"))
+    assert pareto_front(df, "g", "a", "b").count() == 3000
+    assert pareto_front(df.limit(0), "g", "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("sample", [64, 400, 1 << 16])
+@pytest.mark.parametrize("largest", [False, True])
+def test_top_n_of_hot_runs(spark, sample, largest):
+    """Exact with a sample of any size; only little more than n rows of the
+    hot run are ranked."""
+    n = 30_000
+    df = spark.range(0, n, 1, 6).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(
+        F.concat(F.lit("r"), F.col("id") % 50)).alias("run"), F.when(F.col("id") % 7 != 0, F.col("id") * 7919 % 10007).alias("k"), F.col("id"))
+    got = top_n(df, ["run"], F.struct("k", "id"), 300, largest, sample).toPandas()
+    pdf = df.toPandas()
+    pdf["s"] = pdf.k.fillna(-1)                                # nulls first
+    pdf = pdf.sort_values(["s", "id"], ascending=not largest)
+    exp = pdf.groupby("run", dropna=False).head(300)
+    assert sorted(got.id) == sorted(exp.id)
+
+
+def test_top_n_ranks_few_rows_of_a_hot_run(spark):
+    from prefspark.plans import selection
+    n = 200_000
+    df = spark.range(0, n, 1, 8).select((F.col("id") < 0).cast("string").alias("run"), F.xxhash64("id").alias("k"), "id")
+    ranked = top_n(df, ["run"], F.struct("k", "id"), 500, sample=8192)
+    ranked.collect()
+    before = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in before
+    rows = df.withColumns({"__g": F.struct("run"), "__k": F.struct("k", "id")})
+    b = selection._bounds(rows.select("__g", "__k"), 500, False, 8192).first()
+    left = [rows.where(F.col("__k") <= F.struct(F.lit(b[f"__t{i}"][0]).alias("k"), F.lit(b[f"__t{i}"][1]).alias("id"))).count() for i in range(4)]
+    assert min(x for x in left if x >= 500) <= 1000
 
 
 @pytest.mark.parametrize("decay", [1.0, 0.999, 0.5, 1e-3, 1e-300, 0.0])
