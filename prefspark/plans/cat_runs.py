@@ -550,7 +550,8 @@ def s2_scan_run_folders(spark, sf):
     import uuid
 
     from prefspark.session import checkpoint_dir
-    from prefspark.sources import runfolders, sinks
+    from prefspark.sources import runfolders
+    from prefspark.sources.runsource import write_run_folders
     o = V.table(spark, sf, "orders")
     algo = F.create_map(*[F.lit(x) for kv in PRIORITY_ALGORITHM.items() for x in kv])
     data = F.create_map(*[F.lit(x) for kv in STATUS_DATASET.items() for x in kv])
@@ -569,7 +570,7 @@ def s2_scan_run_folders(spark, sf):
         F.to_json(F.struct((F.col("mx") / 1e7).alias("kl_divergence"),
                            (F.col("ck") / 1e4).alias("entropy"))).alias("metrics"))
     root = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
-    sinks.write_run_folders(docs, root, {"summary": runfolders.SUMMARY, "metrics": runfolders.METRICS})
+    write_run_folders(docs, root, {"summary": runfolders.SUMMARY, "metrics": runfolders.METRICS})
     scanned = runfolders.scan_runs(spark, root).withColumnRenamed("run", "experiment_name")
     t = runs.results_projection(scanned)
     return t
@@ -581,7 +582,8 @@ def _write_configs(spark, sf) -> str:
     import uuid
 
     from prefspark.session import checkpoint_dir
-    from prefspark.sources import runfolders, sinks
+    from prefspark.sources import runfolders
+    from prefspark.sources.runsource import write_run_folders
     o = V.table(spark, sf, "orders")
     algo = F.create_map(*[F.lit(x) for kv in PRIORITY_ALGORITHM.items() for x in kv])
     data = F.create_map(*[F.lit(x) for kv in STATUS_DATASET.items() for x in kv])
@@ -592,7 +594,7 @@ def _write_configs(spark, sf) -> str:
     yaml_text = F.concat(model, F.lit("training:\n  batch_size: "), F.col("bs").cast("string"),
                          F.lit("\n  learning_rate: 1e-5\n  seed: "), F.col("ck").cast("string"), F.lit("\n"))
     root = f"{checkpoint_dir(spark).rstrip('/')}/configs-{uuid.uuid4().hex}"
-    sinks.write_run_folders(g.select("run", yaml_text.alias("cfg")), root, {"cfg": runfolders.CONFIG})
+    write_run_folders(g.select("run", yaml_text.alias("cfg")), root, {"cfg": runfolders.CONFIG})
     return root
 
 

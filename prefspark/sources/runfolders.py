@@ -1,39 +1,23 @@
 """Run folders: ``<root>/<run>/experiment_summary.json``, ``metrics.json`` and
-``config.yaml``, each optional.  Scanned as whole-file JSON documents with
-the run name taken from the parent folder, and merged by run name."""
+``config.yaml``, each optional.  Read as whole documents by the data source of
+:mod:`prefspark.sources.runsource`, and merged by run name."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefspark.sources.runsource import read_run_folders
+
 SUMMARY = "experiment_summary.json"
 METRICS = "metrics.json"
 CONFIG = "config.yaml"
 
 
-def _file() -> Column:
-    return F.col("_metadata.file_path")
-
-
-def _run_of(path: Column) -> Column:
-    # parent folder of the file
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
-
-
-def _scan_json(spark: SparkSession, root: str, fname: str) -> DataFrame:
-    """One row per file: run name and the raw JSON text (hidden run folders
-    skipped).  Parsing stays in Spark so a malformed file gives NULL."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", fname).text(f"{root.rstrip('/')}/*")
-          .select(_run_of(_file()).alias("run"), F.col("value").alias("doc")))
-    return df.filter(~F.col("run").startswith("."))
-
-
 def _metric_map(doc: Column, nested: str | None = None) -> Column:
     """``map<string,double>`` of the numeric entries of a JSON object; a list
     value contributes its last element; explicit nulls stay NULL."""
@@ -52,21 +36,23 @@ def _merged(a: Column, b: Column) -> Column:
 
 
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Merge summary, metrics and config per run (full outer joins on the run
-    name; each file may be absent).
+    """Merge summary, metrics and config per run (grouped by the run's name;
+    each file may be absent).
 
     Metrics: the summary's top level, then its ``final_metrics``, then
     ``metrics.json`` (whose own ``final_metrics`` replaces the summary's);
     later sources win.  ``config.yaml`` replaces a config inside the others.
     """
-    s = _scan_json(spark, root, SUMMARY).select(
-        "run", F.col("doc").alias("summary_doc"))
-    m = _scan_json(spark, root, METRICS).select("run", F.col("doc").alias("metrics_doc"))
+    found = read_run_folders(spark, root, [SUMMARY, METRICS])
+
+    def doc(name):
+        return F.first(F.when(F.col("file") == name, F.decode("content", "utf-8")), ignorenulls=True)
+    docs = found.groupBy("run").agg(doc(SUMMARY).alias("summary_doc"), doc(METRICS).alias("metrics_doc"))
     c = scan_configs(spark, root).groupBy("run").agg(
         F.max(F.when(F.col("path") == "algorithm", F.col("value"))).alias("yaml_algorithm"),
         F.max(F.when(F.col("path") == "dataset.name", F.col("value"))).alias("yaml_dataset"),
         F.lit(True).alias("has_yaml"))
-    j = s.join(m, "run", "full_outer").join(c, "run", "full_outer")
+    j = docs.join(c, "run", "full_outer")
     empty = F.create_map().cast("map<string,double>")
     top = F.coalesce(_metric_map(F.col("summary_doc")), empty)
     later = _metric_map(F.col("metrics_doc"), "final_metrics")
@@ -121,15 +107,8 @@ CONFIG_SCHEMA = T.StructType([T.StructField("run", T.StringType()), T.StructFiel
 
 def scan_configs(spark: SparkSession, root: str, fname: str = CONFIG) -> DataFrame:
     """Flattened ``(run, path, value, num)`` rows of every run's YAML config
-    (``binaryFile`` scan, parsed per file inside the tasks).  A broken or
-    empty config gives one row with a NULL path."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", fname).load(f"{root.rstrip('/')}/*")
-    files = found.select(_run_of(F.col("path")).alias("run"), "content").filter(~F.col("run").startswith("."))
-    # a scan skips files of no bytes; their runs come from the file listing
-    listed = spark.createDataFrame([(unquote(f).split("/")[-2],) for f in found.inputFiles()], "run string")
-    empty = listed.filter(~F.col("run").startswith(".")).join(files.select("run"), "run", "left_anti")
-    empty = empty.select("run", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CONFIG_SCHEMA.fields[1:]])
-
+    (read and parsed inside the tasks).  A broken or empty config gives one
+    row with a NULL path."""
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
         for b in batches:
@@ -143,7 +122,7 @@ def scan_configs(spark: SparkSession, root: str, fname: str = CONFIG) -> DataFra
                 rows += [(run, path, _as_text(v), _as_double(v)) for path, v in leaves]
             yield pd.DataFrame(rows, columns=["run", "path", "value", "num"])
 
-    return files.mapInPandas(parse, CONFIG_SCHEMA).union(empty)
+    return read_run_folders(spark, root, [fname]).mapInPandas(parse, CONFIG_SCHEMA)
 
 
 def save_config_rows(df: DataFrame, out: str) -> None:

@@ -52,28 +52,3 @@ def export(df: DataFrame, out: str, fmt: str) -> None:
 def save_generations(df: DataFrame, out: str, run: str = "run_id") -> None:
     """Append generated samples to a Parquet table partitioned by run."""
     write_table(df, out, [run], mode="append")
-
-
-def write_run_folders(docs: DataFrame, root: str, files: dict[str, str], run: str = "run") -> int:
-    """Write one small document per run and file name, as the run-folder
-    layout expects (``<root>/<run>/<file>``), through the Hadoop FileSystem
-    API so any shared storage works.  ``docs`` holds one row per run (already
-    aggregated); rows are streamed to the driver one partition at a time.
-    Returns the number of files written."""
-    spark = docs.sparkSession
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    n = 0
-    for row in docs.select(run, *files).toLocalIterator():
-        for col, fname in files.items():
-            text = row[col]
-            if text is None:
-                continue
-            path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{row[run]}/{fname}")
-            out = path.getFileSystem(conf).create(path, True)
-            try:
-                out.write(bytearray(text.encode("utf-8")))
-            finally:
-                out.close()
-            n += 1
-    return n

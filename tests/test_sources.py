@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefspark.operators import runs
-from prefspark.sources import datasets, runfolders, sinks
+from prefspark.sources import datasets, runfolders, runsource, sinks
 
 
 def _write(path, text):
@@ -126,3 +126,26 @@ def test_config_names_runs_and_broken_configs_show(spark, scratch):
     _write(f"{root}/exp4/metrics.json", json.dumps({"final_metrics": {"reward_mean": 3.0}}))
     m = {x.run: x.metrics for x in runfolders.scan_runs(spark, root).collect()}["exp4"]
     assert m["reward_mean"] == 3.0 and "entropy" not in m
+
+
+def test_run_folder_source_round_trip(spark, scratch):
+    """Written and read by many tasks; null documents leave no file, empty
+    ones an empty file, odd names and bytes stay."""
+    n = 50
+    docs = spark.range(0, n, 1, 6).select(
+        F.concat(F.lit("run é "), F.col("id")).alias("run"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("née\n"), F.col("id"))).alias("a"),
+        F.when(F.col("id") % 5 == 0, "").otherwise("x").alias("b"))
+    root = os.path.join(scratch, "folders")
+    runsource.write_run_folders(docs, root, {"a": "a.txt", "b": "b.txt"})
+    runsource.write_run_folders(docs, root, {"a": "a.txt"})            # again: the same files
+    want = {(r.run, "a.txt"): r.a for r in docs.collect() if r.a is not None} | {(r.run, "b.txt"): r.b for r in docs.collect()}
+    back = runsource.read_run_folders(spark, f"file://{root}", ["a.txt", "b.txt", "none.txt"], runs_per_task=7)
+    assert back.rdd.getNumPartitions() == -(-n // 7)
+    assert {(r.run, r.file): bytes(r.content).decode() for r in back.collect()} == want
+    assert sum(len(os.listdir(os.path.join(root, d))) for d in os.listdir(root) if d != "_SUCCESS") == len(want)
+    assert json.load(open(os.path.join(root, "_SUCCESS")))["files"] == sum(k[1] == "a.txt" for k in want)
+    os.makedirs(os.path.join(scratch, "bare"))
+    assert runsource.read_run_folders(spark, os.path.join(scratch, "bare"), ["a.txt"]).count() == 0
+    bad = spark.createDataFrame([("../up", "x")], "run string, a string")
+    with pytest.raises(Exception, match="not a folder"):
+        runsource.write_run_folders(bad, root, {"a": "a.txt"})
