@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.functions.vec import gather, kl_of, let, log_softmax, token_metrics_any
+from prefspark.functions.special import uniform
+from prefspark.functions.vec import entropy_of, gather, kl_of, let, log_softmax, token_metrics_any
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,7 @@ def sequence_logprobs(tokens: DataFrame, seq: list[str], pos: str = "pos", token
     nxt = F.when(same, F.lead(token).over(w))
     t = tokens.withColumn("__target", nxt)
     m = let(log_softmax(policy), lambda lp: let(log_softmax(reference), lambda lq: F.struct(
-        kl_of(lp, lq).alias("kl"), gather(lp, F.col("__target")).alias("lp"),
+        kl_of(lp, lq).alias("kl"), entropy_of(lp).alias("entropy"), gather(lp, F.col("__target")).alias("lp"),
         gather(lq, F.col("__target")).alias("lq"))))
     return t.withColumn("m", m).withColumn(
         "__valid", F.col("__target").isNotNull() & (F.col("__target") != pad_id))
@@ -188,7 +189,7 @@ def dpo_pair_table(pairs: DataFrame, pair: str = "pair_id", side: str = "side",
         F.sum(F.when(F.col(side) == "chosen", F.col("m.kl"))).alias("kl_chosen_sum"),
         F.count(F.when(F.col(side) == "chosen", F.lit(1))).alias("n_chosen"),
         F.sum(F.when(F.col(side) == "rejected", F.col("m.kl"))).alias("kl_rejected_sum"),
-        F.count(F.when(F.col(side) == "rejected", F.lit(1))).alias("n_rejected"))
+        F.count(F.when(F.col(side) == "rejected", F.lit(1))).alias("n_rejected"), F.sum("m.entropy").alias("entropy_sum"))
     return (g.withColumn("chosen_log_ratio", F.col("chosen_logp") - F.col("chosen_ref_logp"))
              .withColumn("rejected_log_ratio", F.col("rejected_logp") - F.col("rejected_ref_logp")))
 
@@ -205,25 +206,57 @@ def dpo_loss(margin: Column, beta: float = 0.1, loss_type: str = "sigmoid") -> C
 
 
 def dpo_step_metrics(pair_rows: DataFrame, step: str = "step", beta: float = 0.1,
-                     loss_type: str = "sigmoid", kl_penalty: float = 0.0) -> DataFrame:
-    """DPO metrics per step from :func:`dpo_pair_table` rows.  ``kl_penalty``
-    adds ``coef * KL`` to the total loss (P22); the reference loss is zero."""
+                     loss_type: str = "sigmoid", kl_penalty: float = 0.0, entropy_penalty: float = 0.0) -> DataFrame:
+    """DPO metrics per step from :func:`dpo_pair_table` rows.  The total loss
+    adds ``kl_penalty * KL`` and takes off ``entropy_penalty`` times the mean
+    entropy of the policy over the positions of both sides (P22); the
+    reference loss is zero."""
     margin = F.col("chosen_log_ratio") - F.col("rejected_log_ratio")
     p = pair_rows.withColumn("__loss", dpo_loss(margin, beta, loss_type)).withColumn("__margin", margin)
     g = p.groupBy(step).agg(
         F.avg("__loss").alias("dpo_loss"),
         ((F.sum("kl_chosen_sum") / F.sum("n_chosen") + F.sum("kl_rejected_sum") / F.sum("n_rejected")) / 2)
         .alias("kl_divergence"),
+        (F.sum("entropy_sum") / (F.sum("n_chosen") + F.sum("n_rejected"))).alias("entropy"),
         F.avg("chosen_log_ratio").alias("chosen_rewards"),
         F.avg("rejected_log_ratio").alias("rejected_rewards"),
         F.avg("__margin").alias("reward_diff"),
         F.avg((F.col("chosen_log_ratio") > F.col("rejected_log_ratio")).cast("double"))
         .alias("policy_accuracy"))
     g = g.withColumn("reference_loss", F.lit(0.0))
-    total = F.col("dpo_loss") + F.col("reference_loss") + F.lit(kl_penalty) * F.col("kl_divergence")
+    total = (F.col("dpo_loss") + F.col("reference_loss") + F.lit(kl_penalty) * F.col("kl_divergence")
+             - F.lit(entropy_penalty) * F.col("entropy"))
     return g.withColumn("total_loss", total)
 
 
+@dataclass(frozen=True)
+class PairObjective:
+    """Parameters of DPO, which reads preference pairs instead of rollouts."""
+
+    beta: float = 0.1
+    loss_type: str = "sigmoid"
+    kl_penalty: float = 0.0
+    entropy_penalty: float = 0.0
+
+
+DPO = PairObjective()
+#: all objectives by name
+REGISTRY = {**ALGORITHMS, "dpo": DPO}
+
+
+def train_step(algo: str | Objective | PairObjective, rows: DataFrame, step: str = "step", **kw) -> DataFrame:
+    """Step metrics of the objective registered under ``algo`` (default
+    ``ppo``; an unknown name is an error).  ``rows`` are tokens with scores, for
+    DPO token rows of preference pairs that carry ``step``."""
+    o = algo if isinstance(algo, (Objective, PairObjective)) else REGISTRY.get((algo or "ppo").lower())
+    if o is None:
+        raise ValueError(f"unknown algorithm {algo!r}; known: {sorted(REGISTRY)}")
+    if isinstance(o, Objective):
+        return step_metrics(rows, o, step, **kw)
+    pairs = dpo_pair_table(rows, extra_keys=[step], **kw)
+    return dpo_step_metrics(pairs, step, o.beta, o.loss_type, o.kl_penalty, o.entropy_penalty)
+
+
 def variational_uncertainty(passes: DataFrame, pos: list[str] | str = "pos", logits: str = "logits",
                             vocab_chunk: int | None = None) -> DataFrame:
     """Ensemble mean logits (one array by vocabulary entry, and their mean)
@@ -247,9 +280,7 @@ def sample_action(logits, seed_cols: list[str], seed: int = 0) -> Column:
     """Reproducible draw from softmax(logits) by the Gumbel-max trick with
     hash-derived uniforms (0-based index)."""
     def body(lp):
-        keys = [F.col(c) for c in seed_cols]
-        g = F.transform(lp, lambda v, i: v - F.log(-F.log(
-            (F.pmod(F.xxhash64(*keys, i, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5)
-            / F.lit(float(1 << 52)))))
+        key = F.concat_ws("-", *[F.col(c).cast("string") for c in seed_cols])
+        g = F.transform(lp, lambda v, i: v - F.log(-F.log(uniform(F.concat(key, F.lit("-"), i.cast("string")), seed))))
         return let(g, lambda gg: F.array_position(gg, F.array_max(gg)) - 1)
     return let(log_softmax(logits), body)

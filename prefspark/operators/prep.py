@@ -3,12 +3,13 @@ conversation pairing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import word_count
 from prefspark.functions.vec import let
-from prefspark.plans.scan import Running, running
+from prefspark.plans.recurrence import bounded_frame, halo_window
+from prefspark.plans.scan import STEP_WIDTH, Running, running
 
 # Fixed defaults (preparation section of the run configs).
 MIN_WORDS = 10
@@ -108,22 +109,37 @@ def curriculum_stage(df: DataFrame, difficulty: str, bounds=CURRICULUM_BOUNDS,
 
 def conversation_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
                        role: str = "role", text: str = "text") -> DataFrame:
-    """(prompt, response) rows for every user turn directly followed by an
-    assistant turn, with the number and text of the earlier turns.
-
-    The window is per conversation; a conversation is one dialogue, so its
-    size is bounded by nature (not by the table).
-    """
-    w = Window.partitionBy(conv).orderBy(turn)
-    hist = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = (turns
-           .withColumn("__next_role", F.lead(role).over(w))
-           .withColumn("__next_text", F.lead(text).over(w))
-           .withColumn("history_turns", F.count(F.lit(1)).over(hist))
-           .withColumn("history", F.concat_ws("\n", F.collect_list(text).over(hist))))
-    return (out.filter((F.col(role) == "user") & (F.col("__next_role") == "assistant"))
-               .select(conv, turn, F.col(text).alias("prompt"),
-                       F.col("__next_text").alias("response"), "history_turns", "history"))
+    """(prompt, response, history_turns, history_chars) for every user turn
+    directly followed by an assistant turn.
+
+    The history of a turn is the beginning of its conversation's text (all
+    texts joined by line ends, see :func:`conversation_texts`), so it is given
+    by its length and the result is linear in the conversation.  Positions come
+    from a running sum and neighbours from a bounded frame, both in chunks, so
+    no task holds a whole conversation."""
+    chars = F.coalesce(F.char_length(text) + 1, F.lit(0)).cast("long")
+    placed = running(turns.withColumn("__chars", chars), [conv], [turn], {
+        "history_turns": Running("count", inclusive=False), "__start": Running("sum", "__chars", inclusive=False)}, width=STEP_WIDTH)
+    placed = placed.withColumn("history_turns", F.coalesce("history_turns", F.lit(0)).cast("long"))
+    ahead = halo_window([conv], "history_turns")
+    both = bounded_frame(placed, [conv], "history_turns", 0, 1, {"__next_role": F.lead(role).over(ahead), "__next_text": F.lead(text).over(ahead)})
+    return both.where((F.col(role) == "user") & (F.col("__next_role") == "assistant")).select(
+        conv, turn, F.col(text).alias("prompt"), F.col("__next_text").alias("response"), "history_turns",
+        F.greatest(F.coalesce("__start", F.lit(0)) - 1, F.lit(0)).cast("long").alias("history_chars"))
+
+
+def conversation_texts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """(conv, conversation): the turns' texts joined by line ends, one row per
+    conversation."""
+    parts = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(turn).alias("t"), F.col(text).alias("x")))))
+    return turns.groupBy(conv).agg(F.array_join(parts["x"], "\n").alias("conversation"))
+
+
+def with_history(pairs: DataFrame, texts: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """The pairs with their ``history`` written out (quadratic in the length
+    of a conversation)."""
+    cut = F.expr("substring(conversation, 1, int(history_chars))")
+    return pairs.join(texts, conv).withColumn("history", cut).drop("conversation", "history_chars")
 
 
 def select_keys(df: DataFrame, prompt: str = "prompt", chosen: str = "chosen",

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.functions.special import permuted, uniform
 from prefspark.plans.recurrence import (bounded_frame, discounted_prefix, discounted_suffix, frame,
                                         halo_window as frame_order)
 from prefspark.plans.scan import STEP_WIDTH, Running, row_index, running
@@ -94,13 +95,11 @@ def convergence(df: DataFrame, run: str = "run_id", step: str = "step", value: s
                 tail: float = 0.2) -> DataFrame:
     """Convergence rate = slope of ``value`` on ``step``; stability =
     ``1 / (1 + std/|mean|)`` over the last ``tail`` share of steps."""
-    last = df.groupBy(run).agg(F.max(step).alias("__last"), F.regr_slope(value, step).alias("convergence_rate"))
-    j = df.join(last, run)
-    t = j.filter(F.col(step) >= F.lit(1 - tail) * F.col("__last"))
-    stab = t.groupBy(run).agg(
-        (F.lit(1.0) / (F.lit(1.0) + F.try_divide(F.stddev_samp(value), F.abs(F.avg(value)))))
-        .alias("stability"))
-    return last.drop("__last").join(stab, run)
+    j = running(df.select(run, step, value), [run], [step], {"__last": Running("max", step, whole=True)}, width=STEP_WIDTH)
+    tail_value = F.when(F.col(step) >= F.lit(1 - tail) * F.col("__last"), F.col(value))
+    return j.groupBy(run).agg(
+        F.regr_slope(value, step).alias("convergence_rate"),
+        (F.lit(1.0) / (F.lit(1.0) + F.try_divide(F.stddev_samp(tail_value), F.abs(F.avg(tail_value))))).alias("stability"))
 
 
 def robustness(per_run: DataFrame, group: str, dataset: str, score: str) -> DataFrame:
@@ -129,17 +128,14 @@ def melt_metrics(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame
 
 
 def batches(df: DataFrame, batch_size: int, order: str = "id", shuffle_seed: int | None = None) -> DataFrame:
-    """Global 0-based row index (skew-safe, no single-partition window) and
-    ``batch_id = idx // batch_size``; the last partial batch is kept.  With a
-    seed the order is ``xxhash64(order, seed)`` (reproducible shuffle)."""
-    d = df
-    key = order
-    if shuffle_seed is not None:
-        d = d.withColumn("__shuffle", F.xxhash64(F.col(order), F.lit(shuffle_seed)))
-        key = "__shuffle"
-    out = row_index(d, [], [key, order] if key != order else [order], "idx")
-    out = out.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("bigint"))
-    return out.drop("__shuffle") if shuffle_seed is not None else out
+    """Global 0-based row index in ``order`` (skew-safe, no single-partition
+    window) and ``batch_id = idx // batch_size``; the last partial batch is
+    kept.  With a seed the index goes through a keyed permutation of the
+    table's positions: the same shuffle whenever and wherever it runs."""
+    out = running(df, [], [order], {"idx": Running("count", inclusive=False), "__n": Running("count", whole=True)})
+    idx = F.coalesce("idx", F.lit(0)).cast("bigint")
+    out = out.withColumn("idx", idx if shuffle_seed is None else permuted(idx, F.col("__n"), shuffle_seed)).drop("__n")
+    return out.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("bigint"))
 
 
 # ---------------------------------------------------------- trajectories
@@ -223,8 +219,8 @@ def replay_buffer(df: DataFrame, size: int = REPLAY_BUFFER_SIZE, run: str = "run
 def replay_sample(df: DataFrame, n: int, run: str = "run_id", key: Column | None = None,
                   id_col: str = "event_id", seed: int = 0) -> DataFrame:
     """Uniform sample without replacement of ``n`` per run (all rows when the
-    buffer is smaller): the ``n`` smallest of a hash-derived key."""
-    k = key if key is not None else F.xxhash64(F.col(id_col), F.lit(seed))
+    buffer is smaller): the ``n`` smallest of a hash-derived uniform."""
+    k = key if key is not None else uniform(F.col(id_col), seed)
     return top_n(df, [run], F.struct(k, F.col(id_col)), n)
 
 
@@ -233,6 +229,5 @@ def prioritized_sample(df: DataFrame, n: int, priority: str | Column, run: str =
     """Weighted sample without replacement, P proportional to priority^alpha:
     the ``n`` smallest ``-ln(u) / p^alpha`` per run, ``u`` uniform from a hash."""
     p = F.col(priority) if isinstance(priority, str) else priority
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    key = -F.log(u) / F.pow(p, F.lit(alpha))
+    key = -F.log(uniform(F.col(id_col), seed)) / F.pow(p, F.lit(alpha))
     return top_n(df, [run], F.struct(key, F.col(id_col)), n)

@@ -95,6 +95,20 @@ WITH t AS (
 SELECT conv_id, turn, text AS prompt, next_text AS response, history_turns, history
 FROM t WHERE role = 'user' AND next_role = 'assistant'""", "v_turns"))
 def w13_conversation_pairs(spark, sf):
+    t = V.v_turns(spark, sf)
+    return prep.with_history(prep.conversation_pairs(t), prep.conversation_texts(t))
+
+
+@register("w13_history_offsets", with_views("""
+WITH t AS (
+  SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text,
+         count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS history_turns,
+         greatest(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0) AS history_chars
+  FROM v_turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, text AS prompt, next_text AS response, history_turns, CAST(history_chars AS BIGINT) AS history_chars
+FROM t WHERE role = 'user' AND next_role = 'assistant'""", "v_turns"))
+def w13_history_offsets(spark, sf):
+    """The pairs with their history by reference: linear in a conversation."""
     return prep.conversation_pairs(V.v_turns(spark, sf))
 
 

@@ -3,13 +3,16 @@ A12-A14, A17, A18, A23, X4)."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from prefspark.functions import vec
+from prefspark.functions.special import uniform_sql
 from prefspark.operators import objectives as obj
 from prefspark.plans import sqlvec as S
 from prefspark.plans import views as V
-from prefspark.plans.registry import register
+from prefspark.plans.registry import register, round_half_away
 from prefspark.plans.views import with_views
 
 
@@ -138,13 +141,13 @@ def _steps(spark, sf, algo):
 
 
 def _reg_step(name, algo, cols=None):
-    o = obj.ALGORITHMS[algo]
+    o = obj.objective(algo)
 
     @register(name, _step_sql(o, cols))
     def q(spark, sf):
         g = _steps(spark, sf, algo)
         return g.select("step", *cols) if cols else g
-    q.__doc__ = f"{algo} step metrics"
+    q.__doc__ = f"Step metrics of {algo}"
     return q
 
 
@@ -154,6 +157,8 @@ _reg_step("f13_grpo_step", "grpo")
 _reg_step("f14_grpo_offpolicy_step", "grpo_offpolicy")
 _reg_step("f15_grpo_vi_step", "grpo_vi")
 _reg_step("f18_rlaif_step", "rlaif")
+# with coefficients of its own, which no other algorithm shares
+_reg_step("f18_rlaif_coefficients", replace(obj.RLAIF, clip_epsilon=0.1, entropy_coef=0.03, kl_coef=0.35))
 # Components on their own
 _reg_step("f5_clipped_surrogate", "ppo", ["policy_loss"])
 _reg_step("f6_offpolicy_weight", "grpo_offpolicy", ["importance_weight", "policy_loss"])
@@ -165,24 +170,6 @@ _reg_step("a13_clip_fraction", "ppo", ["clip_fraction"])
 _reg_step("a17_advantage_norm", "grpo", ["advantage_norm"])
 
 
-# ------------------------------------------------------------------ X4 registry
-def _x4_sql() -> str:
-    parts = [f"SELECT '{a}' AS algorithm, step, total_loss FROM ({_step_sql(o, ['total_loss'])})"
-             for a, o in obj.ALGORITHMS.items()]
-    return "\nUNION ALL\n".join(parts)
-
-
-@register("x4_algorithm_registry", _x4_sql())
-def x4_algorithm_registry(spark, sf):
-    """Objective chosen by name for every algorithm, stacked; unknown names
-    raise."""
-    out = None
-    for a in obj.ALGORITHMS:
-        g = _steps(spark, sf, a).select(F.lit(a).alias("algorithm"), "step", "total_loss")
-        out = g if out is None else out.unionByName(g)
-    return out
-
-
 # ------------------------------------------------------------------ F20
 @register("f20_eval_metrics", with_views(f"""
 WITH {S.token_ctes('v_tokens', {'p': 'policy_logits', 'q': 'reference_logits', 'v': 'target_logits'})}
@@ -224,11 +211,17 @@ def f22_argmax_label(spark, sf):
 
 
 # ------------------------------------------------------------------ F21
-@register("f21_sample_action")
+_GUMBEL = f"list_transform(lp_p, lambda v, i: v - ln(-ln({uniform_sql("CAST(seq_id AS VARCHAR) || '-' || CAST(pos AS VARCHAR) || '-' || CAST(i - 1 AS VARCHAR)")})))"
+
+
+@register("f21_sample_action", with_views(f"""
+WITH {S.token_ctes('v_tokens', {'p': 'policy_logits'})},
+g AS (SELECT seq_id, pos, {_GUMBEL} AS g FROM tm)
+SELECT seq_id, pos, list_position(g, list_max(g)) - 1 AS sampled FROM g""", "v_tokens"))
 def f21_sample_action(spark, sf):
-    """Reproducible Gumbel-max draw per token; rows-only (hash-based)."""
+    """Reproducible Gumbel-max draw per token."""
     t = V.v_tokens(spark, sf)
-    return t.select("seq_id", "pos", obj.sample_action("policy_logits", ["seq_id", "pos"]).alias("sampled"))
+    return t.select("seq_id", "pos", obj.sample_action("policy_logits", ["seq_id", "pos"]).cast("int").alias("sampled"))
 
 
 # ------------------------------------------------------------------ DPO family
@@ -236,14 +229,15 @@ def _pair_sql_ctes() -> str:
     shifted = """sh AS (SELECT *, CASE WHEN lead(side) OVER w = side THEN lead(token_id) OVER w END AS target
 FROM v_pairs WINDOW w AS (PARTITION BY pair_id ORDER BY side, pos))"""
     per = f"""per AS (SELECT pair_id, side, pos, target, target IS NOT NULL AND target <> 0 AS valid,
-  {S.kl('p', 'q')} AS kl, {S.gather('p', 'target')} AS lp, {S.gather('q', 'target')} AS lq FROM tm)"""
+  {S.kl('p', 'q')} AS kl, {S.entropy('p')} AS ent, {S.gather('p', 'target')} AS lp, {S.gather('q', 'target')} AS lq FROM tm)"""
     pair = """pr AS (SELECT pair_id,
   sum(CASE WHEN side = 'chosen' AND valid THEN lp END) / nullif(count(CASE WHEN side = 'chosen' AND valid THEN 1 END), 0) AS chosen_logp,
   sum(CASE WHEN side = 'rejected' AND valid THEN lp END) / nullif(count(CASE WHEN side = 'rejected' AND valid THEN 1 END), 0) AS rejected_logp,
   sum(CASE WHEN side = 'chosen' AND valid THEN lq END) / nullif(count(CASE WHEN side = 'chosen' AND valid THEN 1 END), 0) AS chosen_ref_logp,
   sum(CASE WHEN side = 'rejected' AND valid THEN lq END) / nullif(count(CASE WHEN side = 'rejected' AND valid THEN 1 END), 0) AS rejected_ref_logp,
   sum(CASE WHEN side = 'chosen' THEN kl END) AS kl_chosen_sum, count(CASE WHEN side = 'chosen' THEN 1 END) AS n_chosen,
-  sum(CASE WHEN side = 'rejected' THEN kl END) AS kl_rejected_sum, count(CASE WHEN side = 'rejected' THEN 1 END) AS n_rejected
+  sum(CASE WHEN side = 'rejected' THEN kl END) AS kl_rejected_sum, count(CASE WHEN side = 'rejected' THEN 1 END) AS n_rejected,
+  sum(ent) AS entropy_sum
 FROM per GROUP BY pair_id),
 pr2 AS (SELECT *, chosen_logp - chosen_ref_logp AS chosen_log_ratio, rejected_logp - rejected_ref_logp AS rejected_log_ratio FROM pr)"""
     return (f"{shifted},\n{S.token_ctes('sh', {'p': 'policy_logits', 'q': 'reference_logits'})},\n"
@@ -314,10 +308,11 @@ def f10_dpo_hinge_loss(spark, sf):
     return p.select("pair_id", obj.dpo_loss(m, 0.1, "hinge").alias("loss"))
 
 
-def _dpo_step_sql(cols: list[str] | None = None, loss=SIGMOID, kl_pen: float = 0.0) -> str:
+def _dpo_step_sql(cols: list[str] | None = None, loss=SIGMOID, kl_pen: float = 0.0, ent_pen: float = 0.0) -> str:
     allc = {
         "dpo_loss": f"avg({loss})",
         "kl_divergence": "(sum(kl_chosen_sum) / sum(n_chosen) + sum(kl_rejected_sum) / sum(n_rejected)) / 2",
+        "entropy": "sum(entropy_sum) / (sum(n_chosen) + sum(n_rejected))",
         "chosen_rewards": "avg(chosen_log_ratio)", "rejected_rewards": "avg(rejected_log_ratio)",
         "reward_diff": "avg(m)",
         "policy_accuracy": "avg(CASE WHEN chosen_log_ratio > rejected_log_ratio THEN 1.0 ELSE 0.0 END)",
@@ -325,7 +320,7 @@ def _dpo_step_sql(cols: list[str] | None = None, loss=SIGMOID, kl_pen: float = 0
     }
     g = ", ".join(f"{v} AS {k}" for k, v in allc.items())
     outs = list(allc) + ["total_loss"]
-    sel = [_r(c, c) for c in allc] + [_r(f"dpo_loss + reference_loss + {kl_pen} * kl_divergence", "total_loss")]
+    sel = [_r(c, c) for c in allc] + [_r(f"dpo_loss + reference_loss + {kl_pen} * kl_divergence - {ent_pen} * entropy", "total_loss")]
     if cols:
         sel = [s for s, c in zip(sel, outs) if c in cols]
     return with_views(f"""WITH {_pair_sql_ctes()},
@@ -359,17 +354,40 @@ def a23_pair_margins(spark, sf):
     return _dpo_steps(spark, sf).select("step", "chosen_rewards", "rejected_rewards", "reward_diff")
 
 
-@register("p22_dpo_penalties", _dpo_step_sql(["dpo_loss", "kl_divergence", "total_loss"], HINGE, 0.1))
+@register("p22_dpo_penalties", _dpo_step_sql(["dpo_loss", "kl_divergence", "entropy", "total_loss"], HINGE, 0.1, 0.05))
 def p22_dpo_penalties(spark, sf):
-    return _dpo_steps(spark, sf, loss_type="hinge", kl_penalty=0.1).select(
-        "step", "dpo_loss", "kl_divergence", "total_loss")
+    return _dpo_steps(spark, sf, loss_type="hinge", kl_penalty=0.1, entropy_penalty=0.05).select(
+        "step", "dpo_loss", "kl_divergence", "entropy", "total_loss")
+
+
+# ------------------------------------------------------------------ X4 registry
+def _x4_sql() -> str:
+    parts = [f"SELECT '{a}' AS algorithm, step, total_loss FROM ({_step_sql(o, ['total_loss'])})"
+             for a, o in obj.ALGORITHMS.items()]
+    parts.append(f"SELECT 'dpo' AS algorithm, step, total_loss FROM ({_dpo_step_sql(['total_loss'])})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("x4_algorithm_registry", _x4_sql())
+def x4_algorithm_registry(spark, sf):
+    """Objective chosen by name for every algorithm, stacked; unknown names
+    raise."""
+    tokens = V.v_tokens(spark, sf).withColumnRenamed("seq_id", "step").withColumn("variational_logits", F.col("target_logits"))
+    pairs = V.v_pairs(spark, sf).withColumn("step", F.floor(F.col("pair_id") / 4).cast("bigint"))
+    out = None
+    for a in obj.REGISTRY:
+        g = obj.train_step(a, pairs if a == "dpo" else tokens).select(F.lit(a).alias("algorithm"), "step", "total_loss")
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 # ------------------------------------------------------------------ A18
 @register("a18_ensemble_uncertainty", with_views("""
 WITH e AS (SELECT pos, pass, CAST(unnest(logits) AS DOUBLE) AS x, generate_subscripts(logits, 1) AS v FROM v_passes),
 pe AS (SELECT pos, v, avg(x) AS mean_logit, var_samp(x) AS var FROM e GROUP BY pos, v)
-SELECT pos, round(avg(var), 6) AS uncertainty, round(avg(mean_logit), 6) AS mean_of_mean_logits, count(*) AS vocab
+SELECT pos, round(avg(var), 6) AS uncertainty, round(avg(mean_logit), 6) AS mean_of_mean_logits, count(*) AS vocab,
+       list(round(mean_logit, 6) ORDER BY v) AS mean_logits
 FROM pe GROUP BY pos""", "v_passes"))
 def a18_ensemble_uncertainty(spark, sf):
-    return obj.variational_uncertainty(V.v_passes(spark, sf)).drop("mean_logits")
+    u = obj.variational_uncertainty(V.v_passes(spark, sf))
+    return u.withColumn("mean_logits", F.transform("mean_logits", lambda x: round_half_away(x)))

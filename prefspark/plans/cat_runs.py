@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefspark.functions.special import student_t_tail_sql
 from prefspark.operators import report, runs
 from prefspark.operators.pareto import pareto_front
 from prefspark.plans import views as V
@@ -229,6 +230,16 @@ def a26_welch_t(spark, sf):
     return w.select("group_a", "group_b", "t_stat", "dof")
 
 
+@register("a26_welch_p", rsql(f"""
+, st AS (SELECT algorithm, count(reward_mean) AS n, avg(reward_mean) AS m, var_samp(reward_mean) AS v FROM results GROUP BY algorithm),
+w AS (SELECT a.algorithm AS group_a, b.algorithm AS group_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+  power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS dof
+  FROM st a JOIN st b ON a.algorithm < b.algorithm)
+SELECT group_a, group_b, round(p, 6) AS p_value FROM (SELECT group_a, group_b, {student_t_tail_sql('t', 'dof')} AS p FROM w)"""))
+def a26_welch_p(spark, sf):
+    return report.welch_tests(results(spark, sf), "algorithm", "reward_mean").select("group_a", "group_b", "p_value")
+
+
 # ------------------------------------------------------------------ A27
 @register("a27_weighted_average", rsql(f"""
 SELECT algorithm, {_r('sum(reward_mean * total_steps) / sum(total_steps)', 'wavg_reward_mean')}
@@ -243,9 +254,11 @@ def a27_weighted_average(spark, sf):
            (SELECT DISTINCT dataset FROM results) d, (SELECT DISTINCT model_size FROM results) s),
 n AS (SELECT algorithm, dataset, model_size, count(*) AS n FROM results GROUP BY ALL)
 SELECT g.algorithm, g.dataset, g.model_size, coalesce(n.n, 0) AS n
-FROM grid g LEFT JOIN n USING (algorithm, dataset, model_size) WHERE coalesce(n.n, 0) < 3"""))
+FROM grid g LEFT JOIN n USING (algorithm, dataset, model_size) WHERE coalesce(n.n, 0) < 3""".replace(
+    "FROM results", "FROM (SELECT algorithm, dataset, model_size || '-' || (total_steps % 499) AS model_size FROM results)")))
 def a28_under_replicated(spark, sf):
-    t = results(spark, sf)
+    """Sizes are told apart by 499 cohorts, so some cells have few runs."""
+    t = results(spark, sf).withColumn("model_size", F.concat("model_size", F.lit("-"), (F.col("total_steps") % 499).cast("string")))
     grid = runs.experiment_grid(t.select("algorithm").distinct(), t.select("dataset").distinct(),
                                 t.select("model_size").distinct().withColumn("epoch", F.lit(0)))
     return report.under_replicated(grid.drop("epoch", "id"), t, ["algorithm", "dataset", "model_size"], 3)
@@ -411,12 +424,15 @@ def a8_benchmark_summary(spark, sf):
 
 
 @register("a9_algorithm_performance", osql(f"""
-SELECT algorithm, CAST(0 AS DOUBLE) AS avg_reward, CAST(0 AS DOUBLE) AS max_reward,
+SELECT algorithm, {_r('avg(reward)', 'avg_reward')}, {_r('max(reward)', 'max_reward')},
        {_r('avg(coalesce(duration, 0))', 'avg_duration')}, {_r('sum(coalesce(duration, 0))', 'total_duration')},
-       count(*) AS experiment_count FROM st WHERE status = 'completed' GROUP BY algorithm"""))
+       count(*) AS experiment_count
+FROM (SELECT *, CASE WHEN id % 5 <> 0 THEN duration / 1000000 ELSE 0 END AS reward FROM st) WHERE status = 'completed' GROUP BY algorithm"""))
 def a9_algorithm_performance(spark, sf):
-    """Outcomes carry no reward: the missing metric reads 0."""
-    return report.algorithm_performance(outcomes(spark, sf), reward=None)
+    """A reward derived from the duration; every fifth run has none, which
+    reads 0."""
+    o = outcomes(spark, sf).withColumn("reward_mean", F.when(F.col("id") % 5 != 0, F.col("duration") / 1000000))
+    return report.algorithm_performance(o)
 
 
 @register("a10_records_by_algorithm", osql("""
@@ -642,8 +658,17 @@ def p8_config_overrides(spark, sf):
     return runs.flatten_overrides(base, over)
 
 
-@register("a24_quartiles_approx")
+@register("a24_quartiles_approx", rsql("""
+SELECT algorithm, count(reward_mean) AS n, true AS q1_within, true AS median_within, true AS q3_within
+FROM results WHERE reward_mean IS NOT NULL GROUP BY algorithm"""))
 def a24_quartiles_approx(spark, sf):
-    """One-pass approximate quartiles (``percentile_approx``, bounded memory
-    per group); rows-only, as the sketch differs from any exact oracle."""
-    return report.quartiles(results(spark, sf), "algorithm", "reward_mean", exact=False)
+    """Quartiles from sketches kept per algorithm and model size, of two
+    tables (one per dataset), merged; each is within 1 % of its exact rank."""
+    t = results(spark, sf).select("algorithm", "dataset", "model_size", "reward_mean")
+    parts = [report.quantile_sketches(t.where(c), ["algorithm", "model_size"], "reward_mean") for c in ("dataset = 'F'", "dataset is distinct from 'F'")]
+    q = report.sketch_quantiles(parts[0].unionByName(parts[1]), ["algorithm"])
+    at = t.where("reward_mean is not null").join(q, "algorithm")
+    names = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
+    ranks = at.groupBy("algorithm").agg(F.count("*").alias("n"), *[F.avg((F.col("reward_mean") < F.col(c)).cast("double")).alias(f"lo_{c}") for c, _ in names],
+                                        *[F.avg((F.col("reward_mean") <= F.col(c)).cast("double")).alias(f"hi_{c}") for c, _ in names])
+    return ranks.select("algorithm", "n", *[((F.col(f"lo_{c}") <= p + 0.01) & (F.col(f"hi_{c}") >= p - 0.01)).alias(f"{c}_within") for c, p in names])

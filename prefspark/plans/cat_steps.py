@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefspark.functions.special import permuted_sql, uniform_sql
 from prefspark.operators import report
 from prefspark.operators import steps as st
 from prefspark.plans import views as V
@@ -144,11 +145,14 @@ def s9_batches(spark, sf):
     return st.batches(s, 4, "id")
 
 
-@register("s9_batches_shuffled")
+@register("s9_batches_shuffled", with_views(f"""
+WITH i AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS place, count(*) OVER () AS n FROM v_samples),
+p AS (SELECT id, {permuted_sql('place', 'n', 7)} AS idx FROM i)
+SELECT id, idx, idx // 4 AS batch_id FROM p""", "v_samples"))
 def s9_batches_shuffled(spark, sf):
-    """Hash-ordered batches (reproducible shuffle); rows-only."""
+    """Shuffled batches by a keyed permutation of the positions."""
     s = V.v_samples(spark, sf).select("id")
-    return st.batches(s, 4, "id", shuffle_seed=7).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return st.batches(s, 4, "id", shuffle_seed=7)
 
 
 # ------------------------------------------------------------------ A11
@@ -179,19 +183,22 @@ def w5_replay_sample(spark, sf):
     return st.replay_sample(s, 20, key=(F.col("event_id") * 7919) % 10007).select("run_id", "step")
 
 
-@register("w5_replay_sample_hash")
+@register("w5_replay_sample_hash", ssql(f"""
+SELECT run_id, event_id FROM v_steps
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY {uniform_sql('event_id')}, event_id) <= 20"""))
 def w5_replay_sample_hash(spark, sf):
-    """Default hash-keyed uniform sample; rows-only."""
-    return st.replay_sample(steps(spark, sf), 20).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    """Uniform sample by the default key, a hash of the id."""
+    return st.replay_sample(steps(spark, sf), 20).select("run_id", "event_id")
 
 
 # ------------------------------------------------------------------ W15
-@register("w15_prioritized_sample")
+@register("w15_prioritized_sample", ssql(f"""
+SELECT run_id, event_id FROM v_steps
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY -ln({uniform_sql('event_id')}) / power(abs(reward_mean) + 1e-6, 0.6), event_id) <= 20"""))
 def w15_prioritized_sample(spark, sf):
-    """Priority^0.6-weighted sample without replacement; rows-only."""
+    """Priority^0.6-weighted sample without replacement."""
     s = steps(spark, sf)
-    p = st.prioritized_sample(s, 20, F.abs(F.col("reward_mean")) + F.lit(1e-6))
-    return p.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return st.prioritized_sample(s, 20, F.abs(F.col("reward_mean")) + F.lit(1e-6)).select("run_id", "event_id")
 
 
 # ------------------------------------------------------------------ U2
