@@ -50,13 +50,10 @@ SELECT user_id AS run_id, round(max(value), 6) AS best,
 FROM events GROUP BY user_id""")
 def t2_running_best_stream(spark, sf):
     s = _events_stream(spark, sf)
-    agg = s.groupBy("run_id").agg(
-        F.max("reward_mean").alias("best"),
-        F.min(F.when(F.col("reward_mean") > 200, F.col("ts"))).alias("first_target_ts"),
-        F.count(F.lit(1)).alias("steps"))
+    agg = sm.running_best(s.withColumn("step", F.unix_micros("ts")), 200.0)
     r = _upsert_sink(agg, "t2", ["run_id"])
-    return r.withColumn("first_target_ts",
-                        F.floor(F.unix_micros("first_target_ts") / 1000000).cast("double"))
+    first = F.floor(F.col("first_target_step") / 1000000).cast("double")
+    return r.select("run_id", "best", first.alias("first_target_ts"), "steps")
 
 
 @register("t3_replay_buffer_stream", """
@@ -75,12 +72,64 @@ def t3_replay_buffer_stream(spark, sf):
     return state.read().select("run_id", "event_id")
 
 
+#: parts of the event log that arrive in order of time, and the rows held back
+#: until after them
+PARTS, HELD_BACK = 4, 97
+
+
+def _arriving(spark, sf) -> DataFrame:
+    """Stream over the whole event log in several files: ``PARTS`` spans of
+    time one after the other, then every ``HELD_BACK``-th event, late."""
+    e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select(
+        F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"),
+        F.col("value").alias("reward_mean"), "event_id")
+    at = F.unix_micros("ts")
+    first, last = e.agg(F.min(at), F.max(at)).first()
+    part = F.when(F.col("event_id") % HELD_BACK == 0, PARTS).otherwise(F.least(F.floor((at - F.lit(first)) * PARTS / F.lit(max(1, last - first))), F.lit(PARTS - 1)))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/arriving-{uuid.uuid4().hex}"
+    for k in range(PARTS + 1):  # one write each, so the files' times are in this order
+        e.where(part == k).write.mode("append").parquet(path)
+    # all files of one part in one batch, at most
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_PARTED = f"""
+WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+p AS (SELECT user_id AS run_id, ts, value, event_id, epoch_us(ts) AS us,
+  CASE WHEN event_id % {HELD_BACK} = 0 THEN {PARTS} ELSE least(floor((epoch_us(ts) - lo) * {PARTS} / greatest(1, hi - lo)), {PARTS - 1}) END AS part
+  FROM events, b)"""
+
+
+@register("t1_late_rows_stream", _PARTED + f""",
+w AS (SELECT max(us) FILTER (WHERE part < {PARTS - 1}) - 600000000 AS mark FROM p),
+k AS (SELECT p.*, us // 300000000 * 300 AS window_start FROM p, w WHERE part < {PARTS} OR (us // 300000000 + 1) * 300000000 > mark)
+SELECT run_id, CAST(window_start AS BIGINT) AS window_start, round(avg(value), 6) AS mean_value, round(max(value), 6) AS max_value, count(*) AS n
+FROM k GROUP BY 1, 2""")
+def t1_late_rows_stream(spark, sf):
+    """Windowed metrics over several batches; of the rows that come last,
+    those of windows that the watermark had passed before the last batch but
+    one are dropped."""
+    r = _upsert_sink(sm.windowed_metrics(_arriving(spark, sf)), "t1-late", ["run_id", "window_start"])
+    return r.withColumn("window_start", (F.unix_micros("window_start") / 1000000).cast("bigint"))
+
+
+@register("t3_replay_state_stream", """
+SELECT user_id AS run_id, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50""")
+def t3_replay_state_stream(spark, sf):
+    """The replay buffer as stream state, over several batches of which the
+    last holds older rows."""
+    s = _arriving(spark, sf).withColumn("step", F.unix_micros("ts"))
+    r = _upsert_sink(sm.replay_state(s, 50), "t3-state", ["run_id"])
+    return r.select("run_id", F.explode("buffer").alias("b")).select("run_id", "b.event_id")
+
+
 @register("t4_live_status_stream", """
 WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id)
 SELECT status, count(*) AS runs FROM l GROUP BY status""")
 def t4_live_status_stream(spark, sf):
     s = _events_stream(spark, sf)
-    latest = s.groupBy("run_id").agg(F.max_by("phase", F.struct("ts", "event_id")).alias("status"))
+    latest = sm.latest_status(s.withColumnRenamed("phase", "status"), "run_id", tie=["event_id"])
     r = _upsert_sink(latest, "t4", ["run_id"])
     return r.groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
 

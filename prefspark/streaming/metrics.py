@@ -8,8 +8,12 @@ checkpoint folder (``foreachBatch`` carry-in); no extra server or port.
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +30,9 @@ STEP_SCHEMA = T.StructType([
 
 WATERMARK = "10 minutes"
 WINDOW = "5 minutes"
-PROGRESS_EVERY = "300 seconds"
+TRIGGER = "10 seconds"
+#: a running stream reports this often
+PROGRESS_SECONDS = 300.0
 
 
 def read_steps(spark: SparkSession, path: str, schema: T.StructType = STEP_SCHEMA,
@@ -77,9 +83,29 @@ def dedup_stream(df: DataFrame, key: list[str], ts: str = "ts", watermark: str |
               .dropDuplicatesWithinWatermark(key))
 
 
-def latest_status(events: DataFrame, key: str = "id", status: str = "status", ts: str = "ts") -> DataFrame:
-    """Latest status per experiment (native aggregate, update mode)."""
-    return events.groupBy(key).agg(F.max_by(status, ts).alias(status), F.max(ts).alias("updated_at"))
+def latest_status(events: DataFrame, key: str = "id", status: str = "status", ts: str = "ts", tie: list[str] | None = None) -> DataFrame:
+    """Latest status per experiment (native aggregate, update mode); equal
+    times go by the columns ``tie``."""
+    return events.groupBy(key).agg(F.max_by(status, F.struct(ts, *(tie or []))).alias(status), F.max(ts).alias("updated_at"))
+
+
+def replay_state(steps: DataFrame, size: int, run: str = "run_id", order: tuple[str, ...] = ("step", "event_id")) -> DataFrame:
+    """Replay buffer as stream state: per run the ``size`` rows that are last
+    in ``order`` (integer columns), kept in the state store as one bounded
+    array per column.  Update mode: (run, buffer) of the runs that a batch
+    touched, ``buffer`` from the last row down."""
+    fields = ", ".join(f"{c}: bigint" for c in order)
+    kind = steps.schema[run].dataType.simpleString()
+
+    def keep(key, batches, state):
+        held = np.array(state.get, np.int64) if state.exists else np.zeros((len(order), 0), np.int64)
+        for pdf in batches:  # a run's rows come in bounded pieces
+            held = np.concatenate([held, pdf[list(order)].to_numpy(np.int64).T], axis=1)
+            held = held[:, np.lexsort(held[::-1])[::-1][:size]]
+        state.update(tuple(row.tolist() for row in held))
+        yield pd.DataFrame({run: [key[0]], "buffer": [[dict(zip(order, map(int, row))) for row in held.T]]})
+    return steps.select(run, *order).groupBy(run).applyInPandasWithState(
+        keep, f"{run} {kind}, buffer array<struct<{fields}>>", ", ".join(f"{c} array<bigint>" for c in order), "update", "NoTimeout")
 
 
 # ----------------------------------------------------------- foreachBatch state
@@ -149,22 +175,65 @@ def replay_batch(batch: DataFrame, buffer: DataFrame, size: int, run: str = "run
     return top_n(u, [run], F.struct(step, *(tie or [])), size, largest=True)
 
 
+def _start(df: DataFrame, name: str, sink_path: str | None, mode: str, foreach_batch, **trigger):
+    spark = df.sparkSession
+    ckpt = stream_checkpoint(spark, f"{name}-{uuid.uuid4().hex}")
+    w = df.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(**trigger)
+    if foreach_batch is not None:
+        return w.foreachBatch(foreach_batch).start(), sink_path
+    sink_path = sink_path or f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+    return w.format("parquet").option("path", sink_path).start(), sink_path
+
+
 def run_available(df: DataFrame, name: str, sink_path: str | None = None, mode: str = "append",
                   foreach_batch=None) -> str:
     """Run a stream over everything available now (``availableNow``) into a
     Parquet sink (or a ``foreachBatch`` function); returns the sink path."""
-    spark = df.sparkSession
-    ckpt = stream_checkpoint(spark, f"{name}-{uuid.uuid4().hex}")
-    w = df.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
-    if foreach_batch is not None:
-        q = w.foreachBatch(foreach_batch).start()
-    else:
-        sink_path = sink_path or f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
-        q = w.format("parquet").option("path", sink_path).start()
+    q, sink_path = _start(df, name, sink_path, mode, foreach_batch, availableNow=True)
     q.awaitTermination()
     return sink_path or ""
 
 
+@dataclass(frozen=True)
+class Progress:
+    """What a running stream reports: the last batch, the rows it read, the
+    rows in its state and its watermark."""
+
+    batch_id: int
+    input_rows: int
+    state_rows: int
+    watermark: str | None
+
+
+def progress_of(query) -> Progress | None:
+    """The stream's last batch, None before the first."""
+    p = query.lastProgress
+    if p is None:
+        return None
+    p = json.loads(p.json) if hasattr(p, "json") and not isinstance(p, dict) else p
+    return Progress(p["batchId"], sum(s["numInputRows"] for s in p["sources"]), sum(o["numRowsTotal"] for o in p.get("stateOperators", [])),
+                    (p.get("eventTime") or {}).get("watermark"))
+
+
+def run_triggered(df: DataFrame, name: str, sink_path: str | None = None, mode: str = "append", foreach_batch=None,
+                  trigger: str = TRIGGER, every: float = PROGRESS_SECONDS, report=None, until=None) -> str:
+    """Run a stream for long: a micro-batch every ``trigger``, and every
+    ``every`` seconds a :class:`Progress` to ``report``; the stream stops when
+    ``until`` of one is true (by default it runs on).  A failed stream raises."""
+    q, sink_path = _start(df, name, sink_path, mode, foreach_batch, processingTime=trigger)
+    try:
+        while not q.awaitTermination(every):
+            now = progress_of(q)
+            if now is not None:
+                if report is not None:
+                    report(now)
+                if until is not None and until(now):
+                    break
+    finally:
+        q.stop()
+    return sink_path or ""
+
+
 def run_upsert(df: DataFrame, name: str, keys: list[str], mode: str = "update") -> DataFrame:
     """Run an aggregate stream in update mode over everything available;
     each micro-batch's rows are appended with the batch id and the latest

@@ -1,5 +1,7 @@
 """Streams against their batch twins (availableNow over Parquet files)."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -87,3 +89,56 @@ def test_state_retry_is_idempotent(spark, scratch):
     assert st.read(before=1).first().v == 1
     st.write(spark.createDataFrame([(1, 2)], "k long, v long"), 1)
     assert st.read().first().v == 2 and st.read(before=2).count() == 1
+
+
+def test_replay_state_equals_batch(spark, step_dir):
+    """Row by row over several batches, older rows last."""
+    path, df = step_dir
+    late = df.where("step % 7 = 0")
+    df.where("step % 7 <> 0").coalesce(1).write.parquet(f"{path}-parts")
+    late.coalesce(1).write.mode("append").parquet(f"{path}-parts")
+    s = sm.read_steps(spark, f"{path}-parts", max_files=1)
+    got = sm.run_upsert(sm.replay_state(s, 10), "state", ["run_id"]).select("run_id", F.posexplode("buffer").alias("i", "b"))
+    exp = st.replay_buffer(df, 10).collect()
+    rows = [(r.run_id, r.b["step"], r.b["event_id"]) for r in got.collect()]
+    assert sorted(rows) == sorted((r.run_id, r.step, r.event_id) for r in exp)
+    assert all(r.b["step"] == n for r in got.where("run_id = 0").collect() for n in [max(x[1] for x in rows if x[0] == 0) - r.i])
+
+
+def test_stream_that_runs_on_reports_and_forgets(spark, scratch):
+    """Files arrive while the stream runs: late rows and duplicates within the
+    delay are dropped, keys older than it leave the state, and progress comes
+    in steps."""
+    path = f"{scratch}/in"
+
+    def arrive(minute, keys):
+        at = datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+        rows = [(k, minute, at, "train", 1.0, 0) for k in keys]
+        spark.createDataFrame(rows, sm.STEP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    arrive(0, range(100))
+    d = sm.dedup_stream(sm.read_steps(spark, path, max_files=1), ["run_id"], watermark="10 minutes").select("run_id", "step")
+    seen, fed, todo = [], [-1], [(5, [0, 1, 200]), (60, range(300, 310)), (61, range(310, 312)), (62, [5]), (1, [400])]
+
+    def until(p):
+        if p.batch_id <= fed[-1]:  # the last file hasn't been read yet
+            return not todo and p.input_rows == 0 and len(seen) > 20
+        fed.append(p.batch_id)
+        if todo:
+            arrive(*todo.pop(0))
+            return False
+        return len(fed) > 8
+    out = sm.run_triggered(d, "forget", f"{scratch}/out", trigger="1 second", every=1.5, report=seen.append, until=until)
+    got = sorted((r.run_id, r.step) for r in spark.read.parquet(out).collect())
+    assert (0, 0) in got and (0, 5) not in got and (200, 5) in got      # inside the delay
+    assert (5, 62) in got and not any(k == 400 for k, _ in got)         # forgotten by then; too late
+    assert seen and max(p.state_rows for p in seen) >= 100 and seen[-1].state_rows <= 20
+    assert seen[-1].watermark > seen[0].watermark
+
+
+def test_failed_stream_raises(spark, step_dir):
+    path, _ = step_dir
+
+    def fail(batch, batch_id):
+        raise RuntimeError("broken sink")
+    with pytest.raises(Exception, match="broken sink"):
+        sm.run_triggered(sm.read_steps(spark, path), "bad", foreach_batch=fail, trigger="1 second", every=30)
