@@ -6,7 +6,9 @@ sequences are keyed by free space in one bitset (an integer of 4097 bits), so
 the best fit is one shift and one lowest-set-bit; beyond the fixed number of
 open sequences the fullest closes.  Every packing task holds only its open
 sequences and streams its pieces, which are spread by hash, so a hot source or
-many equal texts can't gather in one task.
+many equal texts can't gather in one task.  Tasks pack in parallel; what is in
+the sequences still open at their ends is packed again by a sixteenth as many
+tasks, longest pieces first, until one bounded task is left.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from prefspark.llm.common import column, record_batch, saved, task
 
 SEQUENCE = 4096
 OPEN = 512
-#: pieces per packing task: large enough that the sequences still open at the
-#: end of a task (at most OPEN) are a small share, small enough to spread
-PIECES_PER_TASK = 100_000
+#: pieces per packing task of the first round
+PIECES_PER_TASK = 20_000
+#: tasks whose open sequences one task of the next round packs again
+MERGE = 16
 #: words kept per Python worker with their ids (bounds its memory)
 CACHE_WORDS = 200_000
 #: words of these letters only are one pre-token each, which the model splits itself
@@ -121,20 +124,23 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
 
 class OpenBins:
-    """At most ``limit`` open bins of ``size`` units, keyed by free space."""
+    """At most ``limit`` open bins of ``size`` units, keyed by free space.
+    Bins that close, full or as the fullest beyond the limit, are listed in
+    ``closed``."""
 
     def __init__(self, size: int, limit: int):
         self.size, self.limit = size, limit
-        self.bits, self.by_free, self.count, self.next = 0, {}, 0, 0
+        self.bits, self.by_free, self.count, self.next, self.closed = 0, {}, 0, 0, []
 
     def _put(self, bin_id: int, free: int) -> None:
         if free <= 0:
+            self.closed.append(bin_id)
             return
         self.by_free.setdefault(free, []).append(bin_id)
         self.bits |= 1 << free
         self.count += 1
         if self.count > self.limit:
-            self._take((self.bits & -self.bits).bit_length() - 1)
+            self.closed.append(self._take((self.bits & -self.bits).bit_length() - 1))
 
     def _take(self, free: int) -> int:
         bins = self.by_free[free]
@@ -159,24 +165,50 @@ class OpenBins:
 
 
 @task
-def _place(batches, size: int, limit: int):
-    schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64())])
-    base, bins = TaskContext.get().partitionId() << 33, OpenBins(size, limit)
+def _place(batches, size: int, limit: int, turn: int, last: bool):
+    """Rows with (sequence_id, offset) as their sequences close; those of the
+    sequences left open without, but for the last round."""
+    base, bins = (turn << 21 | TaskContext.get().partitionId()) << 32, OpenBins(size, limit)
+    held, schema, out = {}, None, []
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
     for batch in batches:
-        placed = [bins.place(n) for n in column(batch, "length")]
-        more = record_batch(schema, [(base + b, at) for b, at in placed])
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more.columns], names=[*batch.schema.names, *schema.names])
+        at = batch.schema.get_field_index("length")
+        schema = schema or batch.schema.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            bin_id, offset = bins.place(row[at])
+            held.setdefault(bin_id, []).append((*row, base + bin_id, offset))
+            for bin_id in bins.closed:
+                out += held.pop(bin_id)
+            bins.closed.clear()
+            if len(out) >= 4096:
+                yield made()
+                out = []
+    for rows in held.values():
+        out += rows if last else [(*r[:-2], None, None) for r in rows]
+    if out:
+        yield made()
 
 
 def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, limit: int = OPEN) -> DataFrame:
     """Add (sequence_id, offset) to a saved table of pieces (column
-    ``length``, 1 to ``size``).  Pieces arrive in hash order, which is the same when
-    a task is run again; sequences are gapless from 0 and ids are unique."""
+    ``length``, 1 to ``size``).  Pieces arrive in hash order (later rounds:
+    longest first), which is the same when a task is run again; sequences are
+    gapless from 0 and ids are unique.  A task holds the pieces of its open
+    sequences, of ``limit * size`` units at most."""
     tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))
-    keys = [F.xxhash64("row", "piece"), F.col("row"), F.col("piece")]
-    spread = pieces.repartition(tasks, "row", "piece").sortWithinPartitions(*keys)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return spread.mapInArrow(lambda it: _place(it, size, limit), f"{fields}, sequence_id long, offset long")
+    keys, turn, packed = [F.xxhash64("row", "piece"), F.col("row"), F.col("piece")], 0, None
+    while True:
+        spread = pieces.repartition(tasks, "row", "piece").sortWithinPartitions(*([F.col("length").desc()] if turn else []), *keys)
+        placed = saved(spread.mapInArrow(lambda it, k=turn, last=tasks == 1: _place(it, size, limit, k, last),
+                                         f"{fields}, sequence_id long, offset long"), f"pack-{turn}")
+        closed = placed.where("sequence_id is not null")
+        packed = closed if packed is None else packed.union(closed)
+        if tasks == 1:
+            return packed
+        pieces, tasks, turn = placed.where("sequence_id is null").select(*pieces.columns), -(-tasks // MERGE), turn + 1
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
