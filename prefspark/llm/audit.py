@@ -28,7 +28,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import SLICE_BYTES, column, record_batch, saved, task
@@ -83,29 +83,41 @@ def _flag(batches):
         yield pa.RecordBatch.from_arrays([*kept, *made.columns], names=["doc_id", "part", *_FLAGS.names])
 
 
-def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             part_col: str = "lang") -> DataFrame:
-    """(doc_id, part, mask, good, toxic) of every row: bit i of ``mask`` is
-    set when the row fails filter i of A to E.
+def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
+    """(part, mask, n, good, toxic): the rows of each part by the set of
+    filters that they fail (bit i of ``mask``: filter i of A to E), and how
+    many of them are labelled good or toxic.
 
     A null text reads as empty, a null part as the empty string.  E (the text
-    of a smaller id) counts ids, so rows with one id don't fail by each other,
-    and rows without an id neither fail E nor make others fail.  ``good`` and
-    ``toxic`` hold when any row of ``labels`` with this id says quality 1 or
-    toxic 1."""
+    of a smaller id) compares ids, so rows with one id don't fail by each
+    other, and rows without an id neither fail E nor make others fail.  A row
+    counts as good or toxic when any row of ``labels`` with its id says
+    quality 1 or toxic 1.
+
+    Equal texts are counted per (text, part, other failures, labels) before
+    they meet, so the rows that meet at one text are few however often it is
+    copied."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     flagged = saved(base.mapInArrow(_flag, "doc_id long, part string, flags int, digest binary"), "audit-flags")
-    # digests of at least two ids, with the smallest
-    firsts = (flagged.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-              .where("first < last").select("digest", "first"))
     said = (labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null").groupBy("doc_id")
-            .agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
-                 F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")))
-    rows = flagged.join(firsts, "digest", "left").join(said, "doc_id", "left")
-    repeat = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    return rows.select("doc_id", "part", F.col("flags").bitwiseOR(F.when(repeat, 16).otherwise(0)).alias("mask"),
-                       F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
+            .agg(F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"),
+                 F.max(F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))).alias("toxic")))
+    kind = ["digest", "part", "flags"]
+    named = flagged.where("doc_id is not null").groupBy(*kind, "doc_id").agg(F.count("*").alias("n"))
+    named = named.join(said, "doc_id", "left").select(*kind, F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"),
+                                                      "doc_id", "n")
+    nameless = flagged.where("doc_id is null").groupBy("part", "flags").agg(F.count("*").alias("n"))
+    # per kind of row of a text: all of them, and those of the smallest id
+    kinds = named.groupBy(*kind, "good", "toxic").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("low"))
+    first = F.min("low.doc_id").over(Window.partitionBy("digest"))
+    kinds = kinds.withColumn("firsts", F.when(F.col("low.doc_id") == first, F.col("low.n")).otherwise(0))
+    split = kinds.select("part", "good", "toxic", F.explode(F.array(
+        F.struct(F.col("flags").alias("mask"), F.col("firsts").alias("n")),
+        F.struct(F.col("flags").bitwiseOR(16).alias("mask"), (F.col("n") - F.col("firsts")).alias("n")))).alias("c"))
+    rows = split.select("part", "c.mask", "c.n", "good", "toxic").union(nameless.select("part", "flags", "n", F.lit(0), F.lit(0)))
+    return rows.where("n > 0").groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"),
+                                                           F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
 
 
 def _kernel(k: int) -> tuple[list[int], list[Fraction]]:
@@ -182,15 +194,13 @@ def _orders(batches, letters: str):
             yield record_batch(_AUDIT, [(part, *r) for r in rows])
 
 
-def interaction_audit(failed: DataFrame, letters: str = FILTERS) -> DataFrame:
-    """The audit of rows (part, mask, good, toxic), see :func:`failures`: per
-    part, order of the filters and step the rows ``kept`` after it and
+def interaction_audit(counted: DataFrame, letters: str = FILTERS) -> DataFrame:
+    """The audit of counts (part, mask, n, good, toxic), see :func:`cells`:
+    per part, order of the filters and step the rows ``kept`` after it and
     ``removed`` by it, those failing its filter but removed before
     (``redundant``) or failing its filter only (``unique_fails``), the
     labelled rows it removes, and the sum over all orders of what its filter
     removes (``shapley``).  An empty table has no parts and gives no rows."""
-    cells = failed.groupBy("part", "mask").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"),
-                                               F.sum(F.col("toxic").cast("long")).alias("toxic"))
     # at most 2^k cells a part
-    parts = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))
+    parts = counted.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))
     return parts.mapInArrow(lambda it: _orders(it, letters), _AUDIT_SQL)

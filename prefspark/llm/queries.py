@@ -197,7 +197,7 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""")
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.interaction_audit(audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return audit.interaction_audit(audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 @query("op11_merkle_manifest", r"""

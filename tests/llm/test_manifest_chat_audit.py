@@ -164,7 +164,7 @@ def filtered(spark):
 
 
 def test_audit_equals_brute_force(filtered):
-    got = rows(audit.interaction_audit(audit.failures(*filtered)))
+    got = rows(audit.interaction_audit(audit.cells(*filtered)))
     want = brute.audit(FILTERED, LABELS)
     assert len(got) == len(want) == 600 * len({r[2] or "" for r in FILTERED})
     assert sorted(got) == sorted(want)
@@ -196,7 +196,7 @@ def test_least_squares_gives_shapley():
 def test_audit_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert rows(audit.interaction_audit(audit.failures(docs, labels))) == []
+    assert rows(audit.interaction_audit(audit.cells(docs, labels))) == []
 
 
 def test_crc_of_ids(spark):
