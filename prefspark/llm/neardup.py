@@ -59,11 +59,15 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     rows; ``node`` is the smallest id."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"),
                        F.col(vec_col).cast("array<double>").alias("vec"))
+    # near 1 by the largest magnitude, so that no square overflows or vanishes
+    v = v.withColumn("most", F.expr("aggregate(vec, 0D, (s, x) -> greatest(s, abs(x)))"))
+    good = (F.col("label").isNotNull() & F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
+            & (F.col("most") > 0) & F.col("vec_id").isNotNull())
+    # a power of two, which changes no digit, in two steps that stay in range
+    v = v.where(good).withColumn("_k", F.expr("-floor(log2(most))")).withColumn(
+        "vec", F.expr("transform(vec, x -> x * pow(2D, floor(_k / 2)) * pow(2D, _k - floor(_k / 2)))"))
     v = v.withColumn("norm", F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + x * x))"))
-    good = (F.col("label").isNotNull() & F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < 1e150)")
-            & (F.col("norm") > 0) & F.col("vec_id").isNotNull())
-    v = v.where(good).withColumn("vec", F.expr("transform(vec, x -> x / norm)"))
-    return v.select("vec_id", "label", "vec")
+    return v.withColumn("vec", F.expr("transform(vec, x -> x / norm)")).select("vec_id", "label", "vec")
 
 
 def _split(key, rows: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
