@@ -160,13 +160,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
 
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every found secret replaced by ``mask`` in its text."""
+    """``docs`` with every found secret replaced by ``mask`` at its place; the
+    same characters elsewhere in the text stay."""
     names = docs.columns
     bad = saved(scanned.where("is_secret").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.array_sort(F.collect_set("candidate")).alias("_found")), "secret-redact")
-    # longest first, so none is cut by a shorter one that it holds
-    by_size = F.expr("array_sort(_found, (a, b) -> length(b) - length(a))")
+        F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.length("candidate").alias("n")))).alias("_found")),
+        "secret-redact")
     hit = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
-    clean = F.aggregate(by_size, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mask)))
+    # the clean stretches between the places, joined by the mask
+    ends = F.concat(F.transform("_found", lambda f: f["start"]), F.array(F.length(text_col)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("_found", lambda f: f["start"] + f["n"]))
+    clean = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col(text_col), a + 1, b - a)), mask)
     out = docs.join(bad, hit, "left").withColumn(text_col, F.when(F.col("_found").isNotNull(), clean).otherwise(F.col(text_col)))
     return out.select(*names)
