@@ -115,16 +115,27 @@ def record_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def sample_rows(labelled: DataFrame, by: str, per_value: int, key: str = "doc_id") -> DataFrame:
-    """(key, <by>) of at most ``per_value`` rows of each value of ``by``,
-    those with the smallest hashes of their key.  Rows beyond twice the
-    expected hash bound are dropped before the ranking, so a value that holds
-    most rows sends only about ``2 per_value`` of them to one task."""
+    """(key, <by>) of at most ``per_value`` distinct keys of each value of
+    ``by``, those with the smallest hashes; nulls are left out.
+
+    The number of distinct keys of a value is estimated by a sketch (standard
+    error 2 %), and keys beyond twice the hash bound that it gives are dropped
+    where they are read, so a value that holds most rows sends about
+    ``2 per_value`` keys on, however often each is repeated."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
-    rows = labelled.select(key, by).where(F.col(key).isNotNull() & F.col(by).isNotNull())
-    rows = rows.withColumn("_h", F.xxhash64(key))
-    counts = rows.groupBy(by).agg(F.count("*").alias("_c"))
+    rows = labelled.select(key, by).where(F.col(key).isNotNull() & F.col(by).isNotNull()).withColumn("_h", F.xxhash64(key))
+    # saved, so the join below knows its size: one row per value
+    counts = saved(rows.groupBy(by).agg(F.approx_count_distinct(key, 0.02).alias("_c")), "sample-counts")
     bound = F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * (F.lit(2.0 * per_value + 50) / F.col("_c"))
-    near = rows.join(counts, by).where((F.col("_c") <= 4 * per_value) | (F.col("_h").cast("double") <= bound))
+    near = rows.join(counts, by).where((F.col("_c") <= 4 * per_value) | (F.col("_h").cast("double") <= bound)).select(key, by, "_h").distinct()
     ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_h", key)))
     return saved(ranked.where(F.col("_n") <= per_value).select(key, by), "sample")
+
+
+def one_text(rows: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
+    """One text for each combination of ``by``: the one with the smallest
+    hash.  A partial aggregate, so keys repeated often keep one text a task."""
+    from pyspark.sql import functions as F
+    best = F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")))
+    return rows.groupBy(*by).agg(best.alias("_b")).select(*by, F.col("_b.t").alias(text_col))

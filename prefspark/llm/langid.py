@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import column, record_batch, sample_rows, slices, task, text_buffers
+from prefspark.llm.common import column, one_text, record_batch, sample_rows, slices, task, text_buffers
 
 DIM = 1 << 14
 #: the fit reads at most this many labelled texts of each language
@@ -140,12 +140,13 @@ def _batches(off):
 
 
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> KernelRidge:
-    """Fit on at most TRAIN_PER_LANGUAGE rows of each non-null label (those
-    with the smallest hashes of their id).  Null ids are not sampled."""
+    """Fit on at most TRAIN_PER_LANGUAGE ids of each non-null label (those
+    with the smallest hashes), one text each: of the rows that share id and
+    label the text with the smallest hash.  Null ids are not sampled."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
-    chosen = sample_rows(rows, "label", TRAIN_PER_LANGUAGE).select("doc_id").distinct()
+    chosen = sample_rows(rows, "label", TRAIN_PER_LANGUAGE)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    texts = texts.where("label is not null").join(chosen, "doc_id", "left_semi").select("label", "text")
+    texts = one_text(texts.join(chosen, ["doc_id", "label"], "left_semi"), ["doc_id", "label"]).select("label", "text")
     got = texts.mapInArrow(_grams, "label string, grams binary, letters double").toPandas().sort_values(["label", "grams"])
     table = np.array([np.unpackbits(np.frombuffer(g, np.uint8)) for g in got["grams"]], bool).reshape(-1, DIM)
     return KernelRidge(table, got["label"].tolist(), got["letters"].to_numpy(float))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import column, record_batch, sample_rows, slices, task, text_buffers
+from prefspark.llm.common import column, one_text, record_batch, sample_rows, slices, task, text_buffers
 from prefspark.llm.wordhash import U, hash_words
 
 #: the fit reads at most this many labelled rows of each label value
@@ -36,7 +36,7 @@ def _features(data, off):
     for a, b in zip(wo[:-1], wo[1:]):
         f, c = np.unique(np.concatenate([h[a:b], *(x[a:b] for x in heads)]), return_counts=True)
         some = f > 0
-        yield f[some], np.minimum(c[some], 65535), b - a
+        yield f[some], c[some], b - a
 
 
 @task
@@ -46,7 +46,7 @@ def _collect(batches):
         data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
         label = column(batch, "label")
         for lo, hi in slices(off):
-            yield record_batch(schema, [(y, f.tobytes(), c.astype(np.uint16).tobytes(), int(n))
+            yield record_batch(schema, [(y, f.tobytes(), c.astype(np.uint32).tobytes(), int(n))
                                         for y, (f, c, n) in zip(label[lo:hi], _features(data, off[lo:hi + 1]))])
 
 
@@ -122,20 +122,23 @@ def _table(words, counts, sizes, chosen: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
           text_col: str = "text") -> OrdinalModel:
-    """Fit on at most TRAIN_PER_LABEL rows of each label (0 or 1).
+    """Fit on at most TRAIN_PER_LABEL ids of each label (0 or 1), one text
+    each: of rows that share an id the text with the smallest hash.  An id with
+    both labels counts as toxic.
 
     Grades: 0 for clean rows; toxic rows are 1 or, with a larger share of
     words of the selected toxic kind than the middle toxic row, 2.  Without toxic or
     clean rows everything is predicted clean.
     """
-    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    chosen = sample_rows(rows.where("label in (0, 1)"), "label", TRAIN_PER_LABEL).dropDuplicates(["doc_id"])
+    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = sample_rows(rows, "label", TRAIN_PER_LABEL)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = texts.join(chosen, "doc_id").select("label", "text").mapInArrow(
+    got = one_text(texts.join(chosen, "doc_id"), ["doc_id", "label"]).select("label", "text").mapInArrow(
         _collect, "label int, words binary, counts binary, size long").toPandas()
     got = got.sort_values(["label", "words", "counts"])
     words = [np.frombuffer(w, U) for w in got["words"]]
-    counts = [np.frombuffer(c, np.uint16) for c in got["counts"]]
+    counts = [np.frombuffer(c, np.uint32) for c in got["counts"]]
     toxic = got["label"].to_numpy(int) == 1
     if not toxic.any() or toxic.all():
         return OrdinalModel(np.zeros(0, U), np.zeros(1), np.full(1, 35.0))
@@ -166,7 +169,7 @@ def _score(batches, model: OrdinalModel):
                     hit = np.flatnonzero(model.words[at] == x)
                     pairs.append((np.searchsorted(wo, hit, "right") - 1) * (last + 1) + at[hit])
                 pair, count = np.unique(np.concatenate(pairs), return_counts=True)
-                value = model.weights[pair % (last + 1)] * np.log2(1 + np.minimum(count, 65535))
+                value = model.weights[pair % (last + 1)] * np.log2(1 + count)
                 eta = eta + np.bincount(pair // (last + 1), value, minlength=hi - lo)
             above = model.above(eta)
             full = np.hstack([np.ones((hi - lo, 1)), above, np.zeros((hi - lo, 1))])

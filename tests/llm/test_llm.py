@@ -394,3 +394,62 @@ def test_pipeline_edges(spark, docs, none):
             cur = stage(spark, cur, SF)
             assert cur.columns == table.columns
         C.STAGES[-1][1](spark, cur, SF).count()
+
+
+def test_sample_keeps_values_with_few_repeated_ids(spark):
+    from prefspark.llm.common import sample_rows
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("doc_id"), F.lit("xx").alias("lang"))
+    rows = rows.union(spark.range(100_000, 140_000).select("id", F.lit("yy")))
+    got = sample_rows(rows, "lang", 300).groupBy("lang").count().collect()
+    assert {r[0]: r[1] for r in got} == {"xx": 3, "yy": 300}
+
+
+def test_language_of_three_repeated_ids_is_learned(spark):
+    """Rows that share an id and a label count once in the fit."""
+    docs = spark.range(5000).select((F.col("id") % 3).alias("doc_id"), F.lit("la").alias("lang"),
+                                    F.concat(F.lit("lorem ipsum dolor sit amet "), F.col("id") % 7).alias("text"))
+    docs = docs.union(spark.range(10, 60).select("id", F.lit("en"), F.lit(PROSE)))
+    model = langid.train(docs)
+    assert model.classes == ["en", "la"] and len(model.landmarks) == 3 + 32
+    assert {r["lang_pred"] for r in langid.predict(docs.where("doc_id < 3"), model).collect()} == {"la"}
+
+
+def test_both_labels_of_one_id_mean_toxic(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "vile awful words" if i % 2 or i == 0 else "kind and gentle words") for i in range(40)], "doc_id long, text string")
+    out = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert out[0] and out[1] and not out[2]
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e160, 1e300, 5e-310])
+def test_embeddings_of_extreme_lengths_link(spark, size):
+    rows = [(1, [size, size / 2], 7), (2, [size, size / 2], 7), (3, [1.0, 0.5], 7), (4, [-size, size / 2], 7), (5, [0.0, 0.0], 7),
+            (6, [float("inf"), 1.0], 7)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r["vec_id"]: r["n_links"] for r in out.collect()} == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0, 6: 0}
+
+
+def test_secrets_are_masked_at_their_place_only(spark):
+    text = "password=hunter2 then xhunter2y and order hunter27, née secret: 'q9z8-x7'\n"
+    docs = spark.createDataFrame([(1, text), (2, "xhunter2y"), (3, None)], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 9, "hunter2", True), (1, text.index("q9z8"), "q9z8-x7", True), (1, 22, "xhunter2y", False)],
+                                  "doc_id long, start long, candidate string, is_secret boolean")
+    found = found.withColumn("text_hash", F.xxhash64(F.lit(text)))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, found).collect()}
+    assert out == {1: "password=<SECRET> then xhunter2y and order hunter27, née secret: '<SECRET>'\n", 2: "xhunter2y", 3: None}
+
+
+def test_packing_in_several_rounds(spark, monkeypatch):
+    """Many tasks, whose open sequences are packed again: whole, gapless, and
+    close to the lower bound."""
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 100)
+    monkeypatch.setattr(packing, "MERGE", 3)
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in rng.integers(1, 900, 4000)] + [4096] * 5
+    pieces = spark.createDataFrame([(i, i, 0, n) for i, n in enumerate(sizes)], "doc_id long, row long, piece int, length long").repartition(8)
+    got = packing.pack_pieces(pieces, limit=16).toPandas()
+    assert sorted(got["length"]) == sorted(sizes) and got["row"].is_unique
+    for _, seq in got.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert seq["offset"].tolist() == [0, *np.cumsum(seq["length"])[:-1]] and seq["length"].sum() <= 4096
+    assert got["sequence_id"].nunique() <= 1.02 * sum(sizes) / 4096 + 1
