@@ -16,11 +16,38 @@ from prefspark.llm import decontam, jaccard, langid, packing, secrets
 from prefspark.llm.common import saved, table
 
 
+#: bits of the filter that tells most kept rows without a shuffle (8 MB, the
+#: bound of its broadcast), and of one of its rows
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
+
+
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """Rows of ``docs`` not named in ``gone`` (doc_id, text_hash)."""
+    """Rows of ``docs`` not named in ``gone`` (doc_id, text_hash).
+
+    A bitmap of hashed keys, of fixed size and so safe to broadcast, shows of
+    most rows that they stay; their texts don't move.  Only rows whose bit is
+    set (those to go and a few others; more as the bitmap fills) are shuffled
+    and compared exactly."""
+    key = F.pmod(F.xxhash64("_id", "_hash"), F.lit(FILTER_BITS))
     gone = saved(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), name)
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    bits = gone.select(key.alias("_k")).groupBy(F.floor(F.col("_k") / ROW_BITS).alias("_row")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod("_k", F.lit(ROW_BITS)) + 1)).alias("_bits"))
+    bits = saved(bits, f"{name}-bits")
+    # others' columns go by place, so none can clash
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    keyed = plain.withColumns({"_id": doc_id.cast("long"), "_hash": F.xxhash64(text)})
+    keyed = keyed.withColumn("_k", key).withColumn("_row", F.floor(F.col("_k") / ROW_BITS))
+    keyed = keyed.join(F.broadcast(bits), "_row", "left")
+    bit = F.pmod("_k", F.lit(ROW_BITS))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1, F.lit(False))
+    keyed = keyed.withColumn("_maybe", maybe)
+    same = F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_hash") == F.col("g_hash"))
+    # always the same way of joining, whatever the size
+    left = keyed.where("_maybe").join(gone.toDF("g_id", "g_hash").hint("merge"), same, "left_anti")
+    both = keyed.where("not _maybe").select(*plain.columns).union(left.select(*plain.columns))
+    return both.toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
