@@ -36,18 +36,18 @@ def a20_dedup_first(spark, sf):
 
 # ------------------------------------------------------------------ K2
 @register("k2_cap_first", with_views("""
-SELECT id, source FROM v_samples ORDER BY id LIMIT 5000""", "v_samples"))
+SELECT id, source FROM v_samples ORDER BY id LIMIT 300""", "v_samples"))
 def k2_cap_first(spark, sf):
-    return prep.cap_first(V.v_samples(spark, sf), 5000, "id").select("id", "source")
+    return prep.cap_first(V.v_samples(spark, sf), 300, "id").select("id", "source")
 
 
 # ------------------------------------------------------------------ P2
 @register("p2_prepare_samples", with_views(f"""
 WITH f AS (SELECT * FROM v_samples WHERE text IS NULL OR {wc()} BETWEEN 10 AND 512),
 d AS (SELECT * FROM f WHERE id IN (SELECT min(id) FROM f GROUP BY text))
-SELECT id, source, lang, {wc()} AS n_words FROM d ORDER BY id LIMIT 5000""", "v_samples"))
+SELECT id, source, lang, {wc()} AS n_words FROM d ORDER BY id LIMIT 400""", "v_samples"))
 def p2_prepare_samples(spark, sf):
-    s = prep.prepare_samples(V.v_samples(spark, sf), max_samples=5000)
+    s = prep.prepare_samples(V.v_samples(spark, sf), max_samples=400)
     return s.select("id", "source", "lang", tx.word_count("text").alias("n_words"))
 
 
@@ -289,11 +289,11 @@ def s1_load_dataset(spark, sf):
 # ------------------------------------------------------------------ K6
 @register("k6_eval_subset", with_views("""
 SELECT id, source FROM v_samples WHERE substr(md5(CAST(id AS VARCHAR)), 1, 2) < '1a'
-ORDER BY id LIMIT 1000""", "v_samples"))
+ORDER BY id LIMIT 40""", "v_samples"))
 def k6_eval_subset(spark, sf):
-    """Evaluation cap (1000) on the validation split."""
+    """Evaluation cap on the validation split."""
     s = prep.split_flag(V.v_samples(spark, sf), key=prep.md5_split_key("id"))
-    return prep.cap_first(s.filter(F.col("split") == "validation"), 1000, "id").select("id", "source")
+    return prep.cap_first(s.filter(F.col("split") == "validation"), 40, "id").select("id", "source")
 
 
 # ------------------------------------------------------------------ P16
@@ -324,3 +324,23 @@ def x1_reward_model(spark, sf):
     from prefspark.functions.udf import model_reward
     s = V.v_samples(spark, sf)
     return s.select("id", model_reward("text").alias("model_reward"))
+
+
+# ------------------------------------------------------------------ S11
+@register("s11_save_generations", with_views("""
+SELECT source AS run_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT id) AS ids
+FROM v_samples GROUP BY source""", "v_samples"))
+def s11_save_generations(spark, sf):
+    """Samples appended in two steps to a table partitioned by run, and read
+    back."""
+    import uuid
+
+    from prefspark.session import checkpoint_dir
+    from prefspark.sources import sinks
+    out = f"{checkpoint_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
+    s = V.v_samples(spark, sf).select(F.col("source").alias("run_id"), "id", "text")
+    for part in (0, 1):
+        sinks.save_generations(s.where(F.col("id") % 2 == part), out)
+    back = spark.read.parquet(out)
+    return back.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"),
+                                      F.count_distinct("id").alias("ids"))

@@ -74,19 +74,17 @@ def f4_importance_ratio(spark, sf):
                     F.exp(F.col("m.logp") - F.col("m.logp_ref")).alias("ratio"))
 
 
-# ------------------------------------------------------------------ J5 (long form gather)
+# ------------------------------------------------------------------ J5
 @register("j5_gather_action", with_views("""
 WITH e AS (SELECT seq_id, pos, action, unnest(policy_logits) AS x,
                   generate_subscripts(policy_logits, 1) - 1 AS vocab_id FROM v_tokens)
 SELECT seq_id, pos, round(CAST(x AS DOUBLE), 6) AS action_logit FROM e WHERE vocab_id = action""", "v_tokens"))
 def j5_gather_action(spark, sf):
-    """Gather by an equi-join of the exploded (seq, pos, vocab) table with the
-    taken actions."""
+    """The taken action's score, read from its array in place; actions outside
+    the vocabulary have none."""
     t = V.v_tokens(spark, sf)
-    long = t.select("seq_id", "pos", F.posexplode("policy_logits").alias("vocab_id", "x"))
-    acts = t.select("seq_id", "pos", F.col("action").alias("vocab_id"))
-    return long.join(acts, ["seq_id", "pos", "vocab_id"]).select(
-        "seq_id", "pos", F.col("x").cast("double").alias("action_logit"))
+    score = vec.gather(F.col("policy_logits"), F.col("action")).cast("double").alias("action_logit")
+    return t.where((F.col("action") >= 0) & (F.col("action") < F.size("policy_logits"))).select("seq_id", "pos", score)
 
 
 def _step_sql(o: obj.Objective, name_cols: list[str] | None = None) -> str:

@@ -672,3 +672,68 @@ def a24_quartiles_approx(spark, sf):
     ranks = at.groupBy("algorithm").agg(F.count("*").alias("n"), *[F.avg((F.col("reward_mean") < F.col(c)).cast("double")).alias(f"lo_{c}") for c, _ in names],
                                         *[F.avg((F.col("reward_mean") <= F.col(c)).cast("double")).alias(f"hi_{c}") for c, _ in names])
     return ranks.select("algorithm", "n", *[((F.col(f"lo_{c}") <= p + 0.01) & (F.col(f"hi_{c}") >= p - 0.01)).alias(f"{c}_within") for c, p in names])
+
+
+# ------------------------------------------------------------------ S5 S6 S10
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from prefspark.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("s5_csv_sink", rsql(f"""
+SELECT experiment_name, algorithm, {_r('reward_mean', 'reward_mean')}, {_r('duration_hours', 'duration_hours')}, total_steps FROM results"""))
+def s5_csv_sink(spark, sf):
+    """The processed metrics written as CSV and read back."""
+    from prefspark.sources import sinks
+    out = _scratch(spark, "csv")
+    sinks.write_csv(results(spark, sf).select("experiment_name", "algorithm", "reward_mean", "duration_hours", "total_steps"), out)
+    return spark.read.schema("experiment_name string, algorithm string, reward_mean double, duration_hours double, total_steps long").option(
+        "header", True).csv(out)
+
+
+@register("s6_json_sink", osql(f"""
+SELECT status, count(*) AS n, {_r('sum(duration)', 'total_duration')} FROM st GROUP BY status"""))
+def s6_json_sink(spark, sf):
+    """The experiments list written as JSON, read back and counted."""
+    from prefspark.sources import sinks
+    out = _scratch(spark, "json")
+    sinks.write_json(outcomes(spark, sf).select("id", "algorithm", "status", "duration"), out)
+    back = spark.read.schema("id long, algorithm string, status string, duration double").json(out)
+    return back.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("total_duration"))
+
+
+@register("s10_exports", rsql(f"""
+, m AS (SELECT algorithm, avg(reward_mean) AS reward_mean, stddev_samp(reward_mean) AS reward_std FROM results GROUP BY algorithm)
+SELECT unnest(['json', 'csv', 'parquet']) AS format, algorithm, {_r('reward_mean', 'reward_mean')}, {_r('reward_std', 'reward_std')} FROM m"""))
+def s10_exports(spark, sf):
+    """Reward per algorithm exported in every format and read back."""
+    from prefspark.sources import sinks
+    table = report.reward_by(results(spark, sf), "algorithm")
+    schema, out = "algorithm string, reward_mean double, reward_std double", None
+    for fmt in ("json", "csv", "parquet"):
+        path = _scratch(spark, fmt)
+        sinks.export(table, path, fmt)
+        back = spark.read.schema(schema).format(fmt).option("header", True).load(path).select(F.lit(fmt).alias("format"), "algorithm", "reward_mean", "reward_std")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+# ------------------------------------------------------------------ J3
+@register("j3_base_configs", """
+WITH c AS (SELECT o_orderpriority AS algorithm, CAST(count(*) % 7 + 1 AS VARCHAR) AS value FROM orders
+           WHERE o_orderpriority NOT LIKE '5%' GROUP BY 1),
+g AS (SELECT DISTINCT o_orderpriority AS algorithm, o_orderstatus AS dataset FROM orders)
+SELECT algorithm, dataset, 'training.batch_size' AS path, value FROM g JOIN c USING (algorithm)
+UNION ALL SELECT DISTINCT algorithm, '', 'missing', '' FROM g WHERE algorithm NOT IN (SELECT algorithm FROM c)""")
+def j3_base_configs(spark, sf):
+    """Each experiment with its algorithm's base configuration; algorithms
+    without one are listed as missing."""
+    o = V.table(spark, sf, "orders")
+    grid = o.select(F.col("o_orderpriority").alias("algorithm"), F.col("o_orderstatus").alias("dataset")).distinct()
+    configs = o.where(~F.col("o_orderpriority").startswith("5")).groupBy(F.col("o_orderpriority").alias("algorithm")).agg(
+        F.lit("training.batch_size").alias("path"), (F.count(F.lit(1)) % 7 + 1).cast("string").alias("value"))
+    found, missing = runs.base_config_lookup(grid, configs)
+    none = missing.select("algorithm", F.lit("").alias("dataset"), F.lit("missing").alias("path"), F.lit("").alias("value"))
+    return found.select("algorithm", "dataset", "path", "value").unionByName(none)

@@ -93,3 +93,14 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     """Checkpoint location for a streaming query, below the shared folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/streams/{name}"
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors' Python workers, for sessions that
+    don't start in the repository's folder.  Returns the archive's path."""
+    import shutil
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="prefspark-"), "prefspark"), "zip", here, "prefspark")
+    spark.sparkContext.addPyFile(made)
+    return made

@@ -23,11 +23,16 @@ def write_json(df: DataFrame, out: str, mode: str = "overwrite") -> None:
 
 def write_table(df: DataFrame, out: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
-    """Parquet table, optionally partitioned (e.g. by run or algorithm)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(out)
+    """Parquet table, optionally partitioned (e.g. by run or algorithm).
+
+    Rows are first dealt by the partition columns, so a folder gets few files
+    instead of one from every task; a hot one is split by size."""
+    if not partition_by:
+        df.write.mode(mode).parquet(out)
+        return
+    cols = ", ".join(f"`{c}`" for c in partition_by)
+    dealt = df.sparkSession.sql(f"SELECT /*+ REBALANCE({cols}) */ * FROM {{df}}", df=df)
+    dealt.write.mode(mode).partitionBy(*partition_by).parquet(out)
 
 
 def append_metric_log(steps: DataFrame, out: str, ids: list[str], metrics: list[str],

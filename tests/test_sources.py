@@ -149,3 +149,33 @@ def test_run_folder_source_round_trip(spark, scratch):
     bad = spark.createDataFrame([("../up", "x")], "run string, a string")
     with pytest.raises(Exception, match="not a folder"):
         runsource.write_run_folders(bad, root, {"a": "a.txt"})
+
+
+def test_partitioned_write_makes_few_files(spark, scratch):
+    df = spark.range(0, 2000, 1, 16).select((F.col("id") % 5).alias("run_id"), F.col("id").cast("string").alias("text"))
+    sinks.save_generations(df, f"{scratch}/few")
+    files = [f for _, _, names in os.walk(f"{scratch}/few") for f in names if f.endswith(".parquet")]
+    assert len(files) == 5 and spark.read.parquet(f"{scratch}/few").count() == 2000
+
+
+def test_entry_guard_hides_only_the_missing_folder(tmp_path):
+    """Without the folders the entry point imports; a slip inside is an error."""
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("prefspark", "__spark_entry__.py"):
+        src = os.path.join(root, name)
+        if os.path.isdir(src):
+            shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__", "llm"))
+        else:
+            shutil.copy(src, tmp_path / name)
+    run = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run(run, cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert out.returncode == 0 and int(out.stdout.split()[-1]) > 100, out.stderr
+    (tmp_path / "prefspark" / "llm").mkdir()
+    (tmp_path / "prefspark" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "prefspark" / "llm" / "queries.py").write_text("import no_such_package\n")
+    out = subprocess.run(run, cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert out.returncode != 0 and "no_such_package" in out.stderr
