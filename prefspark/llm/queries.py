@@ -113,7 +113,8 @@ def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAGE_KEY = "substr(md5(CAST(page_id AS VARCHAR)), 1, 2) = '7f' AND html <> ''"
-_DAMAGE = "concat(CASE WHEN substr(html, 1, 1) = '#' THEN '!' ELSE '#' END, substr(html, 2))"
+#: one byte changed, or (every other page) one more
+_DAMAGE = "concat(CASE WHEN substr(html, 1, 1) = '#' THEN '!' ELSE '#' END, substr(html, 1 + page_id % 2))"
 
 
 @query("op9_warc_merkle_audit", rf"""
@@ -123,11 +124,12 @@ WITH r AS (SELECT page_id, coalesce({_PAGE_KEY}, false) AS damaged,
     chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS rec FROM pages)
 SELECT page_id, CAST(strlen(rec) AS BIGINT) AS n_bytes, sha256(rec) AS record_sha256, damaged FROM r""")
 def op9_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second replica is a copy of all pages in which one byte of each
-    page whose id hashes to 7f is changed; the audit has to find those."""
+    """The second replica is a copy of all pages in which each page whose id
+    hashes to 7f has one byte changed or one byte more; the audit has to find
+    those."""
     pages = table(spark, sf_dir, "pages")
     replica = F.expr(f"CASE WHEN {_PAGE_KEY.replace('VARCHAR', 'STRING')} THEN {_DAMAGE} ELSE html END")
-    return warc.fixity_audit(pages, replica).drop("file", "offset")
+    return warc.fixity_audit(pages, replica).select("page_id", "n_bytes", "record_sha256", "damaged")
 
 
 @query("op10_embedding_near_dedup")

@@ -21,8 +21,9 @@ KEY_BITS = 60
 ROUND_BITS = 12
 
 
-def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, shard, depth) for every row: ``shard`` is the bit
+def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text",
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, shard, depth) and the columns ``carry`` for every row: ``shard`` is the bit
     prefix of the shard, ``depth`` its length (0: one shard holds all).
 
     ``n_bytes`` are the UTF-8 bytes of the text (0 if null).  A row over the
@@ -33,7 +34,7 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc
     more = F.lpad(F.bin(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << KEY_BITS) - 1))), KEY_BITS, "0")
     rows = saved(docs.select(F.col(key_col).alias("doc_id"),
                              F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
-                             F.concat(code, more).alias("code")), "shard-rows")
+                             F.concat(code, more).alias("code"), *carry), "shard-rows")
     done, start = None, 0
     while True:
         end = start + ROUND_BITS
@@ -45,7 +46,7 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc
         fits = walk.groupBy("prefix").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).where(
             (F.col("b") <= limit) | (F.col("n") == 1)).select("prefix")
         directory = saved(walk.join(fits, "prefix").groupBy("cell").agg(F.min("depth").alias("depth")), "shard-directory")
-        placed = rows.join(directory, "cell").select("doc_id", "n_bytes", F.expr("substring(cell, 1, depth)").alias("shard"), "depth")
+        placed = rows.join(directory, "cell").select("doc_id", "n_bytes", F.expr("substring(cell, 1, depth)").alias("shard"), "depth", *carry)
         done = placed if done is None else done.union(placed)
         left = cells.join(directory, "cell", "left_anti")
         if end >= 2 * KEY_BITS or left.isEmpty():
@@ -55,9 +56,8 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as one folder per shard (``shard=<bits>``).  Rows with
-    equal keys follow the first shard that their key was given."""
-    place = assign_shards(docs, limit, key_col, text_col).groupBy(F.col("doc_id").alias("_key")).agg(F.min("shard").alias("shard"))
-    docs = docs.drop("shard")  # the folder takes the name
-    out = docs.join(place, docs[key_col].eqNullSafe(place["_key"])).drop("_key")
-    out.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one folder per shard (``shard=<bits>``).  Every row
+    goes to its own shard, so equal keys keep the limit as well."""
+    rows = saved(docs.drop("shard").withColumn("_row", F.monotonically_increasing_id()), "shard-docs")  # the folder takes the name
+    place = assign_shards(rows, limit, key_col, text_col, ("_row",)).select("_row", F.concat(F.lit("b"), "shard").alias("shard"))
+    rows.join(place, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)

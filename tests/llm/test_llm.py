@@ -197,6 +197,11 @@ def test_sharding_splits_equal_keys(spark):
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 200)
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(ROWS)
+    # equal and null keys keep the limit too
+    same = spark.range(400).select(F.when(F.col("id") % 2 == 0, 5).alias("doc_id"), F.lit("ten bytes!").alias("text"), "id")
+    sharding.write_shards(same, str(tmp_path / "t"), 500)
+    sizes = spark.read.parquet(str(tmp_path / "t")).groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert max(r["b"] for r in sizes) <= 500 and sum(r["n"] for r in sizes) == 400
 
 
 def test_merkle_audit(spark):
@@ -207,9 +212,22 @@ def test_merkle_audit(spark):
     assert out.count() == 100 and {r["page_id"] for r in out.where("damaged").collect()} == {7, 10}
     place = out.select("file", "offset", "n_bytes").toPandas().sort_values(["file", "offset"])
     assert (place.groupby("file").n_bytes.cumsum() - place.n_bytes == place.offset).all()
+    # the replica's records lie at its own offsets
+    own = out.select("file", "replica_offset", "replica_bytes").toPandas().sort_values(["file", "replica_offset"])
+    assert (own.groupby("file").replica_bytes.cumsum() - own.replica_bytes == own.replica_offset).all()
+    assert own.replica_bytes.sum() == place.n_bytes.sum() + 2
     assert rows(warc.fixity_audit(pages.where("false"), replica)) == []
 
 
+def test_merkle_audit_over_several_files(spark, monkeypatch):
+    """More records than a file takes; one longer record hides none behind it."""
+    monkeypatch.setattr(warc, "FILE_RECORDS", 64)
+    pages = spark.range(0, 1000, 1, 7).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("body").alias("html"))
+    out = warc.fixity_audit(pages, F.expr("case when page_id % 250 = 3 then 'longer body' when page_id % 250 = 4 then 'bodY' else html end"))
+    assert {r["page_id"] for r in out.where("damaged").collect()} == {i + k for i in (0, 250, 500, 750) for k in (3, 4)}
+    assert out.groupBy("file").count().agg(F.max("count"), F.min("count"), F.count("*")).first()[:] == (64, 1000 % 64, 16)
+
+
 def test_merkle_audit_finds_missing_records(spark):
     a = spark.range(5000).select(F.col("id").alias("ordinal"), (F.col("id") * 10).alias("offset"), F.lit(10).cast("long").alias("length"),
                                  F.sha2(F.col("id").cast("string"), 256).alias("hash"))
