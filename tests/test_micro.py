@@ -302,8 +302,9 @@ def test_ensemble_mean_logits(spark):
     assert r.mean_logits == [2.0, 4.0] and r.uncertainty == 5.0 and r.vocab == 2
 
 
-def test_dpo_refuses_an_entropy_penalty_it_does_not_apply():
-    import inspect
-
+def test_dpo_applies_its_entropy_penalty(spark):
     from prefspark.operators import objectives
-    assert "entropy_penalty" not in inspect.signature(objectives.dpo_step_metrics).parameters
+    pair = spark.createDataFrame([(0, 0.5, 0.25, 2.0, 2, 1.0, 2, 3.0)], "step long, chosen_log_ratio double, rejected_log_ratio double, "
+                                 "kl_chosen_sum double, n_chosen long, kl_rejected_sum double, n_rejected long, entropy_sum double")
+    plain, fined = (objectives.dpo_step_metrics(pair, entropy_penalty=c).first() for c in (0.0, 0.2))
+    assert plain.entropy == 0.75 and abs(plain.total_loss - fined.total_loss - 0.2 * 0.75) < 1e-12
