@@ -220,24 +220,15 @@ def a25_confidence_interval(spark, sf):
 # ------------------------------------------------------------------ A26
 @register("a26_welch_t", rsql(f"""
 , st AS (SELECT algorithm, count(reward_mean) AS n, avg(reward_mean) AS m, var_samp(reward_mean) AS v
-         FROM results GROUP BY algorithm)
-SELECT a.algorithm AS group_a, b.algorithm AS group_b,
-       {_r('(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n)', 't_stat')},
-       {_r('power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1))', 'dof')}
-FROM st a JOIN st b ON a.algorithm < b.algorithm"""))
+         FROM results GROUP BY algorithm),
+w AS (SELECT a.algorithm AS group_a, b.algorithm AS group_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+  power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS nu
+  FROM st a JOIN st b ON a.algorithm < b.algorithm),
+p AS (SELECT *, {student_t_tail_sql('t', 'nu')} AS p FROM w)
+SELECT group_a, group_b, {_r('t', 't_stat')}, {_r('nu', 'dof')}, {_r('p', 'p_value')} FROM p"""))
 def a26_welch_t(spark, sf):
     w = report.welch_tests(results(spark, sf), "algorithm", "reward_mean")
-    return w.select("group_a", "group_b", "t_stat", "dof")
-
-
-@register("a26_welch_p", rsql(f"""
-, st AS (SELECT algorithm, count(reward_mean) AS n, avg(reward_mean) AS m, var_samp(reward_mean) AS v FROM results GROUP BY algorithm),
-w AS (SELECT a.algorithm AS group_a, b.algorithm AS group_b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
-  power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS dof
-  FROM st a JOIN st b ON a.algorithm < b.algorithm)
-SELECT group_a, group_b, round(p, 6) AS p_value FROM (SELECT group_a, group_b, {student_t_tail_sql('t', 'dof')} AS p FROM w)"""))
-def a26_welch_p(spark, sf):
-    return report.welch_tests(results(spark, sf), "algorithm", "reward_mean").select("group_a", "group_b", "p_value")
+    return w.select("group_a", "group_b", "t_stat", "dof", "p_value")
 
 
 # ------------------------------------------------------------------ A27
