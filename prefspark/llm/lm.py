@@ -1,320 +1,219 @@
-"""Scoring texts with a smoothed bigram model in weighted backoff form.
-
-The model is an automaton over words.  Its states are the words (and the
-start); the arc of a seen bigram carries ``log10 c(vw) / (c(v) + T)`` and the
-failure arc of state ``v`` carries ``log10 T / (c(v) + T)`` and leads to the
-root, whose arcs are the unigrams ``(c(w) + 1/2) / (N + (V + 1) / 2)``.
-``T = KAPPA * c(v) ** BETA`` is the number of successors that a power law
-expects behind ``c(v)`` occurrences, so frequent states still back off.  All
-weights out of a state sum to one at most.
-
-A text is traversed once from left to right: each step is (state, next word).
-The automaton grows with the corpus, so it is never gathered: steps meet their
-arcs in the bucket of their state, where training steps are counted and all
-steps are weighed; steps that take the failure arc go on to the bucket of
-their word.  Only sums per text leave a bucket.
-
-Hot words: words with over 1/(4 x buckets) of all tokens are spread by the
-bigram, their counts are known from a first pass (at most 4 x buckets words).
-Bigrams of two words with over 1/200 of all tokens each are counted in a pass
-of their own and weighed where they are read.
+"""Scoring texts with a smoothed n-gram model as a weighted backoff automaton.
+
+States are the contexts of up to ``ORDER - 1`` words that the training texts
+hold (a text begins in the state of its start); the root is the empty context.
+Behind a context of ``c`` occurrences, ``T = kappa * c ** BETA`` is the number
+of successors that a power law expects.  The arc of a word seen ``k`` times
+there carries ``log10 (k + T * p) / (c + T)``, where ``p`` is the word's
+probability in the next shorter context; the failure arc carries
+``log10 T / (c + T)`` and leads to that context.  The root's arcs are the
+unigrams ``(c(w) + 1/2) / (N + (V + 1) / 2)``.  All words together have
+probability one in every state: what unseen words leave is not lost.
+
+A text is traversed once from left to right.  The carried state is the longest
+known context; as each suffix of a state is a state too, it is the longest
+suffix of the text read so far that the model holds, and a word without an arc
+there goes down the chain of failure arcs, to the root at most.
+
+The automaton grows with the corpus and is never gathered.  Texts are packed
+into units; a unit sends each of its distinct n-grams once (with its count in
+the unit's training texts) to the n-gram's bucket, and gets the counts of the
+whole corpus back: the arcs and states that its texts can meet.  A frequent
+n-gram reaches its bucket once a unit, so no word is hot.  Buckets and units
+are read one after another from sorted partitions, in the memory of one.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import by_bucket, column, joined, record_batch, saved, shuffle_parts, slices, task, text_buffers
+from prefspark.llm.common import column, record_batch, saved, shuffle_parts, slices, task, text_buffers
 from prefspark.llm.wordhash import U, hash_words, mix
 
-KAPPA, BETA = 4.0, 0.8
-TOP_SHARE = 1 / 200
-TURNS = 4
+ORDER = 3
+#: expected successors of a context of one word, of two words, ...
+KAPPA, BETA = (8.0, 4.0), 0.8
+#: text of a unit and of a bucket, in bytes (one longer text goes alone)
+UNIT_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 START, END = U(0), U(1)
 
-_BLOB = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcde")])
-_BLOB_SQL = "kind tinyint, bucket int, a binary, b binary, c binary, d binary, e binary"
-STEP, PART, META, FAILED, VOCAB = range(5)
+_UNIT = pa.schema([("size", pa.int64()), *((c, pa.binary()) for c in ("ids", "flags", "lengths", "text"))])
+_UNIT_SQL = "size long, ids binary, flags binary, lengths binary, text binary"
+_GRAMS = pa.schema([("unit", pa.int64()), ("bucket", pa.int64()), ("grams", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())),
+                    ("tokens", pa.int64()), ("types", pa.int64())])
+_GRAMS_SQL = "unit long, bucket long, grams array<binary>, counts array<binary>, tokens long, types long"
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                  ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_OUT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _zip(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+def _zip(data) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def _unzip(blobs, dtype) -> np.ndarray:
-    d = zstandard.ZstdDecompressor()
-    return joined([d.decompress(b) for b in blobs], dtype)
+def _unzip(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _row(kind: int, bucket: int, *cols):
-    return (kind, bucket, *cols, *(None,) * (5 - len(cols)))
+def _zip_ints(x: np.ndarray) -> bytes:
+    """64-bit integers, bytes of the same place together."""
+    return _zip(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T))
 
 
-@task
-def _word_counts(batches, parts: int):
-    """Words of the training texts of each slice with their counts."""
-    for batch in batches:
-        batch = batch.filter(pa.array(~np.array(column(batch, "held"), bool)))
-        data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
-        for lo, hi in slices(off):
-            h, _ = hash_words(data, off[lo:hi + 1])
-            w, c = np.unique(h, return_counts=True)
-            yield record_batch(_BLOB, [_row(VOCAB, b, w[at].tobytes(), c[at].astype(np.int64).tobytes())
-                                       for b, at in by_bucket((w % U(parts)).astype(np.int64))])
+def _unzip_ints(blob: bytes, dtype=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unzip(blob), np.uint8).reshape(8, -1).T).view(dtype).reshape(-1)
 
 
 @task
-def _vocabulary(batches):
-    """Sums of the counts of one bucket; (kind, bucket, words, counts)."""
-    rows = []
+def _units(batches):
+    """Texts packed into units."""
     for batch in batches:
-        rows += zip(column(batch, "bucket"), column(batch, "a"), column(batch, "b"))
-    for bucket in sorted({r[0] for r in rows}):
-        w, inv = np.unique(joined([r[1] for r in rows if r[0] == bucket], U), return_inverse=True)
-        c = np.bincount(inv, joined([r[2] for r in rows if r[0] == bucket], np.int64)).astype(np.int64)
-        yield record_batch(_BLOB, [_row(VOCAB, bucket, w.tobytes(), c.tobytes(), c.sum().tobytes(), np.int64(len(w)).tobytes())])
-
-
-class _Model:
-    """What every task needs: totals and the bounded tables of hot words."""
-
-    def __init__(self, hot, hot_count, tokens: int, types: int, texts: int, top_share: float):
-        word = np.concatenate([[START, END], hot.view(U)])
-        count = np.concatenate([[texts, texts], hot_count])
-        order = np.argsort(word)
-        self.word, self.count = word[order], count[order].astype(np.int64)
-        self.tokens = tokens + texts
-        self.texts = texts
-        self.denominator = np.log10(self.tokens + 0.5 * (types + (texts > 0) + 1)) if self.tokens else np.log10(0.5)
-        top = (self.count >= top_share * self.tokens) | (self.word <= END)
-        self.top = np.where(top, np.cumsum(top) - 1, -1)
-        self.n_top = int(top.sum())
-        self.pair_count = np.zeros((self.n_top, self.n_top))
-
-    def find(self, w):
-        """Index among the hot words, -1 if absent."""
-        at = np.minimum(np.searchsorted(self.word, w), len(self.word) - 1)
-        return np.where(self.word[at] == w, at, -1)
-
-    def unigram(self, c):
-        return np.log10(c + 0.5) - self.denominator
-
-
-def _weights(c2, c1):
-    """log10 weight of the arc of a bigram (its failure arc if unseen)."""
-    t = KAPPA * np.maximum(c1, 1.0) ** BETA
-    seen = np.where(c2 > 0, np.maximum(c2, 1), t) / (c1 + t)
-    return np.where(c1 > 0, np.log10(seen), 0.0)
-
-
-def _sum(at, weight, n: int) -> np.ndarray:
-    """Sums by index, as float even without any entries."""
-    return np.bincount(at, np.broadcast_to(weight, len(at)), minlength=n).astype(float)
-
-
-def _steps(h, wo):
-    """(state, word, text index) of every step of a slice, in order."""
-    n = np.diff(wo)
-    text = np.repeat(np.arange(len(n)), n + 1)
-    first = wo[:-1] + np.arange(len(n))
-    last = wo[1:] + np.arange(len(n))
-    v, w = np.empty(len(text), U), np.empty(len(text), U)
-    inner = np.ones(len(text), bool)
-    inner[first] = False
-    v[first], v[inner] = START, h
-    inner[:] = True
+        ids, held = column(batch, "doc_id"), np.array(column(batch, "held"), bool)
+        data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
+        for lo, hi in slices(off, UNIT_BYTES):
+            doc = np.array([0 if x is None else x for x in ids[lo:hi]], np.int64)
+            flags = held[lo:hi] + 2 * np.array([x is None for x in ids[lo:hi]], np.int8)
+            yield record_batch(_UNIT, [(int(off[hi] - off[lo]), doc.tobytes(), flags.astype(np.int8).tobytes(),
+                                        np.diff(off[lo:hi + 1]).tobytes(), _zip(data[off[lo]:off[hi]]))])
+
+
+def _steps(row):
+    """(words of all steps, first step of each text, ids, flags) of a unit; a
+    step is a word or the end of a text."""
+    off = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], np.int64))])
+    h, wo = hash_words(np.frombuffer(_unzip(row["text"]), np.uint8), off)
+    n = len(off) - 1
+    w, last = np.empty(len(h) + n, U), wo[1:] + np.arange(n)
+    inner = np.ones(len(w), bool)
     inner[last] = False
     w[last], w[inner] = END, h
-    return v, w, text
+    return w, wo[:-1] + np.arange(n), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["flags"], np.int8)
 
 
-@task
-def _pair_counts(batches, model: _Model):
-    """Training counts of the bigrams of two top words."""
-    schema, total = pa.schema([("pair", pa.int64()), ("c", pa.int64())]), np.zeros(model.n_top ** 2, np.int64)
-    for batch in batches:
-        batch = batch.filter(pa.array(~np.array(column(batch, "held"), bool)))
-        data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
-        for lo, hi in slices(off):
-            v, w, _ = _steps(*hash_words(data, off[lo:hi + 1]))
-            i, j = model.find(v), model.find(w)
-            i, j = np.where(i < 0, -1, model.top[i]), np.where(j < 0, -1, model.top[j])
-            both = (i >= 0) & (j >= 0)
-            total += np.bincount(i[both] * model.n_top + j[both], minlength=len(total))
-    at = np.flatnonzero(total)
-    yield record_batch(schema, list(zip(at.tolist(), total[at].tolist())))
+def _before(x: np.ndarray, first: np.ndarray, at_start) -> np.ndarray:
+    """The previous step's value; ``at_start`` for the first step of a text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = at_start
+    return out
 
 
-def _parts(rid, base, known, score, parts: int):
-    """Sums per text, dealt by text."""
-    return [_row(PART, b, rid[at].tobytes(), base[at].tobytes(), known[at].astype(np.int32).tobytes(), score[at].tobytes())
-            for b, at in by_bucket(rid % parts)]
+def _grams(w: np.ndarray, first: np.ndarray):
+    """For each order: (distinct n-grams, index of each step's n-gram among
+    them, -1 for a step with too few words before it)."""
+    gram, there = w, np.ones(len(w), bool)
+    for order in range(1, ORDER + 1):
+        if order > 1:
+            gram = mix(mix(_before(gram, first, START) + U(order)) ^ w)
+            there = _before(there, first, order == 2)
+        distinct, at = np.unique(gram[there], return_inverse=True)
+        index = np.full(len(w), -1)
+        index[there] = at
+        yield distinct, index
 
 
-def _runs(x):
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(x))).astype(np.int32)
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each n-gram; ascends with the n-grams."""
+    return ((grams >> U(32)) * U(buckets)) >> U(32)
 
 
 @task
-def _traverse(batches, model: _Model, parts: int):
-    """Steps of all texts; those of top words are weighed here, the others
-    are dealt by state (a hot state by bigram)."""
+def _ask(batches, buckets: int):
+    """The distinct n-grams of each unit with their training counts."""
     for batch in batches:
-        ids, rids = column(batch, "doc_id"), np.array(column(batch, "rid"), np.int64)
-        held_all = np.array(column(batch, "held"), bool)
-        data, off = text_buffers(batch.column(batch.schema.get_field_index("text")))
-        for lo, hi in slices(off):
-            h, wo = hash_words(data, off[lo:hi + 1])
-            n, rid, held = hi - lo, rids[lo:hi], held_all[lo:hi]
-            v, w, text = _steps(h, wo)
-            i, j = model.find(v), model.find(w)
-            hot = i >= 0
-            token = hot & (v != START)
-            base = _sum(text[token], model.unigram(model.count[i[token]]), n)
-            known = _sum(text[token], 1, n)
-            base += model.unigram(model.texts)
-            known += model.texts > 0
-            ti, tj = np.where(hot, model.top[i], -1), np.where(j >= 0, model.top[j], -1)
-            near = (ti >= 0) & (tj >= 0)
-            c2, c1 = model.pair_count[ti[near], tj[near]], model.count[i[near]]
-            weight = _weights(c2, c1) + np.where(c2 > 0, 0.0, model.unigram(model.count[j[near]]))
-            score = _sum(text[near], weight, n)
-            doc = np.array([0 if x is None else x for x in ids[lo:hi]], np.int64)
-            flag = held + 2 * np.array([x is None for x in ids[lo:hi]])
-            tokens = np.diff(wo) + 1
-            rows = _parts(rid, base, known, score, parts)
-            rows += [_row(META, b, rid[at].tobytes(), doc[at].tobytes(), flag[at].astype(np.int8).tobytes(),
-                          tokens[at].astype(np.int64).tobytes()) for b, at in by_bucket(rid % parts)]
-            far = ~near
-            v, w, text, hot = v[far], w[far], text[far], hot[far]
-            deal = np.where(hot, mix(v ^ mix(w)), v) % U(parts)
-            for b, at in by_bucket(deal.astype(np.int64)):
-                first, cnt = _runs(text[at])
-                t = text[at][first]
-                rows.append(_row(STEP, b, _zip(v[at]), _zip(w[at]), rid[t].tobytes(), cnt.tobytes(), held[t].tobytes()))
-            yield record_batch(_BLOB, rows)
-
-
-@task
-def _weigh(batches, model: _Model, parts: int):
-    """Arcs of the states of one bucket: counts of the training steps, the
-    weights of all steps, and the steps that fail to the root."""
-    steps = []
-    for batch in batches:
-        kind = np.array(column(batch, "kind"))
-        if (kind != STEP).any():
-            yield batch.filter(pa.array(kind != STEP))
-        steps += batch.filter(pa.array(kind == STEP)).to_pylist()
-    if not steps:
-        return
-    v, w = _unzip([s["a"] for s in steps], U), _unzip([s["b"] for s in steps], U)
-    rid, cnt, held = (joined([s[c] for s in steps], t) for c, t in (("c", np.int64), ("d", np.int32), ("e", bool)))
-    del steps
-    rids, at = np.unique(rid, return_inverse=True)
-    text, train = np.repeat(at.astype(np.int32), cnt), np.repeat(~held, cnt)
-    n = len(rids)
-    base, known, score, far = np.zeros(n), np.zeros(n), np.zeros(n), []
-    turn = ((v >> U(20)) % U(TURNS)).astype(np.int8)
-    for k in range(TURNS):  # a few states at a time, to bound memory
-        mine = np.flatnonzero(turn == k)
-        if len(mine):
-            far.append(_weigh_states(v[mine], w[mine], text[mine], train[mine], model, base, known, score))
-    del v, w, text, train, turn
-    rows = _parts(rids, base, known, score, parts)
-    w, text = np.concatenate([x for x, _ in far]), np.concatenate([x for _, x in far])
-    order = np.argsort(text, kind="stable")
-    w, text = w[order], text[order]
-    for b, at in by_bucket((w % U(parts)).astype(np.int64)):
-        first, cnt = _runs(text[at])
-        rows.append(_row(FAILED, b, _zip(w[at]), rids[text[at][first]].tobytes(), cnt.tobytes()))
-    yield record_batch(_BLOB, rows)
-
-
-def _weigh_states(v, w, text, train, model: _Model, base, known, score):
-    """Add the weights of the steps of some states to the sums of their
-    texts; returns the steps (word, text) that need the root's arcs."""
-    order = np.lexsort((w, v))
-    v, w, text, train = v[order], w[order], text[order], train[order]
-    new = np.concatenate([[True], v[1:] != v[:-1]])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(v)))
-    i = model.find(v[first])
-    c1 = np.where(i >= 0, model.count[i], np.add.reduceat(train.astype(np.int64), first))
-    own, c1 = np.repeat(i < 0, size), np.repeat(c1, size)
-    new[1:] |= w[1:] != w[:-1]
-    first = np.flatnonzero(new)
-    c2 = np.repeat(np.add.reduceat(train.astype(np.int64), first), np.diff(np.append(first, len(v))))
-    n = len(base)
-    base += _sum(text[own], model.unigram(c1[own]), n)
-    known += _sum(text[own], c1[own] > 0, n)
-    weight = _weights(c2, c1)
-    j, failed = model.find(w), c2 == 0
-    weight[failed & (j >= 0)] += model.unigram(model.count[j[failed & (j >= 0)]])
-    score += _sum(text, weight, n)
-    far = failed & (j < 0)
-    return w[far], text[far]
+        for row in batch.to_pylist():
+            w, first, _, flags = _steps(row)
+            train, parts = np.repeat(flags % 2 == 0, np.diff(np.append(first, len(w)))), []
+            for grams, index in _grams(w, first):
+                mine = train & (index >= 0)
+                parts.append((grams, np.bincount(index[mine], minlength=len(grams)).astype(np.int64), _bucket(grams, buckets)))
+            there = np.unique(np.concatenate([np.unique(b) for _, _, b in parts]))
+            cuts = [list(zip(np.searchsorted(b, there).tolist(), np.searchsorted(b, there, "right").tolist())) for _, _, b in parts]
+            yield record_batch(_GRAMS, [
+                (row["unit"], int(b), [_zip_ints(np.diff(g[lo:hi], prepend=U(0))) for (g, _, _), (lo, hi) in zip(parts, cut)],
+                 [_zip_ints(c[lo:hi]) for (_, c, _), (lo, hi) in zip(parts, cut)], None, None)
+                for b, cut in zip(there.tolist(), zip(*cuts))])
+
+
+def _groups(batches, by: str):
+    """Rows of equal ``by`` of a sorted partition, one list at a time."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for _, group in itertools.groupby(rows, lambda row: row[by]):
+        yield list(group)
 
 
 @task
-def _root(batches, model: _Model, parts: int):
-    """Root arcs for the failed steps of one bucket of words, and one row for
-    all sums of a text that arrive in its bucket."""
-    blobs = {VOCAB: [], FAILED: [], PART: []}
-    for batch in batches:
-        kind = np.array(column(batch, "kind"))
-        if (kind == META).any():
-            yield batch.filter(pa.array(kind == META))
-        for row in batch.filter(pa.array(kind != META)).to_pylist():
-            blobs[row["kind"]].append(row)
-    rows = []
-    if blobs[PART]:
-        p = blobs[PART]
-        rid, at = np.unique(joined([x["a"] for x in p], np.int64), return_inverse=True)
-        base, known, score = (np.bincount(at, joined([x[c] for x in p], t), minlength=len(rid))
-                              for c, t in (("b", float), ("c", np.int32), ("d", float)))
-        rows += _parts(rid, base, known, score, parts)
-    if blobs[FAILED]:
-        f = blobs[FAILED]
-        w, cnt = _unzip([x["a"] for x in f], U), joined([x["c"] for x in f], np.int32)
-        rid, at = np.unique(joined([x["b"] for x in f], np.int64), return_inverse=True)
-        word, c = joined([x["a"] for x in blobs[VOCAB]], U), joined([x["b"] for x in blobs[VOCAB]], np.int64)
-        count = np.zeros(len(w), np.int64)
-        if len(word):
-            order = np.argsort(word)
-            word, c = word[order], c[order]
-            k = np.minimum(np.searchsorted(word, w), len(word) - 1)
-            count = np.where(word[k] == w, c[k], 0)
-        zero = np.zeros(len(rid))
-        rows += _parts(rid, zero, zero, np.bincount(np.repeat(at, cnt), model.unigram(count), minlength=len(rid)), parts)
-    if rows:
-        yield record_batch(_BLOB, rows)
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                  ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def _answer(batches):
+    """Counts over all units, sent back to each unit in its own order; the
+    first row of a bucket has its training tokens and distinct words."""
+    for rows in _groups(batches, "bucket"):
+        counts, tokens, types = [[] for _ in rows], 0, 0
+        for order in range(ORDER):
+            grams = [np.cumsum(_unzip_ints(r["grams"][order], U), dtype=U) for r in rows]
+            ends = np.cumsum([len(x) for x in grams])
+            distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
+            total = np.zeros(len(distinct), np.int64)
+            np.add.at(total, at, np.concatenate([_unzip_ints(r["counts"][order]) for r in rows]))
+            for out, back in zip(counts, np.split(total[at], ends[:-1])):
+                out.append(_zip_ints(back))
+            if order == 0:
+                tokens, types = int(total.sum()), int((total > 0).sum())
+        for i, (row, count) in enumerate(zip(rows, counts)):
+            yield record_batch(_GRAMS, [(row["unit"], row["bucket"], None, count, tokens if i == 0 else None, types if i == 0 else None)])
+
+
+def _automaton(grams, counts, first, root):
+    """Per order the counts of the steps' n-grams, the weights of their arcs,
+    and the weights of the failure arcs of the states before the steps (with
+    the states' occurrences)."""
+    seen = [np.where(index >= 0, c[index] if len(c) else 0, 0) for (_, index), c in zip(grams, counts)]
+    texts = int(counts[0][np.searchsorted(grams[0][0], END)])  # a start for each end
+    arcs, states = [root(seen[0])], [np.ones(len(seen[0]), np.int64)]
+    fails = [np.zeros(len(seen[0]))]
+    for length in range(1, ORDER):
+        c = _before(seen[length - 1], first, texts if length == 1 else 0)
+        t = KAPPA[length - 1] * np.maximum(c, 1) ** BETA
+        fails.append(np.log10(t / (c + t)))
+        known = np.log10((seen[length] + t * 10 ** arcs[-1]) / (c + t))
+        arcs.append(np.where(c > 0, known, arcs[-1]))
+        states.append(c)
+    return seen, arcs, fails, states
+
+
+def _walk(seen, arcs, fails, states) -> np.ndarray:
+    """log10 probability of each step: from the longest known state down the
+    failure arcs to the first state with an arc for the word."""
+    out, open_ = np.zeros(len(seen[0])), np.ones(len(seen[0]), bool)
+    for length in range(ORDER - 1, -1, -1):
+        here = open_ & (states[length] > 0)
+        arc = here & ((seen[length] > 0) | (length == 0))
+        out[arc] += arcs[length][arc]
+        out[here & ~arc] += fails[length][here & ~arc]
+        open_ &= ~arc
+    return out
 
 
 @task
-def _finish(batches, tokens: int):
-    part, meta = [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            (part if row["kind"] == PART else meta).append(row)
-    if not meta:
-        return
-    rid, at = np.unique(joined([x["a"] for x in part], np.int64), return_inverse=True)
-    base, known, score = (np.bincount(at, joined([x[c] for x in part], t))
-                          for c, t in (("b", float), ("c", np.int32), ("d", float)))
-    mine = np.searchsorted(rid, joined([x["a"] for x in meta], np.int64))
-    doc, flag, n = (joined([x[c] for x in meta], t) for c, t in (("b", np.int64), ("c", np.int8), ("d", np.int64)))
-    cols = [pa.array(doc, mask=flag >= 2), flag % 2 == 1, n, known[mine].astype(np.int64), np.full(len(n), tokens),
-            base[mine], score[mine]]
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT)], schema=_OUT)
+def _score(batches, tokens: int, types: int):
+    """Scores of the texts of each unit, from its answers."""
+    # without training texts every word has weight 1/2 of 1/2
+    root_total = np.log10(tokens + 0.5 * (types + 1))
+    for unit, *answers in _groups(batches, "unit"):
+        w, first, ids, flags = _steps(unit)
+        grams = list(_grams(w, first))
+        counts = [np.concatenate([_unzip_ints(r["counts"][k]) for r in answers]) for k in range(ORDER)]
+        model = _automaton(grams, counts, first, lambda c: np.log10(c + 0.5) - root_total)
+        seen, base = model[0][0], model[1][0]
+        cols = [pa.array(ids, mask=flags >= 2), flags % 2 == 1, np.diff(np.append(first, len(w))),
+                np.add.reduceat((seen > 0).astype(np.int64), first), np.full(len(ids), tokens),
+                np.add.reduceat(base, first), np.add.reduceat(_walk(*model), first)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT)], schema=_OUT)
 
 
 def score_texts(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,36 +227,15 @@ def score_texts(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
     training rows the counts are 0.  Rows with equal or null ids stay apart.
     """
     parts = shuffle_parts(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"),
-                       F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    words = base.select("held", "text").mapInArrow(lambda it: _word_counts(it, parts), _BLOB_SQL)
-    vocab = saved(words.repartition(parts, "bucket").mapInArrow(_vocabulary, _BLOB_SQL), "lm-words")
-    texts = base.where(~F.col("held")).count()
-
-    def hot(batches, least):
-        schema = pa.schema([("w", pa.int64()), ("c", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                w, c = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)
-                rows = [(None, None, int(c.sum()), len(c))] if least is None else [
-                    (int(x), int(y), None, None) for x, y in zip(w[c >= least], c[c >= least])]
-                yield record_batch(schema, rows)
-
-    shape = "w long, c long, tokens long, types long"
-    tokens, types = vocab.mapInArrow(lambda it: hot(it, None), shape).agg(F.sum("tokens"), F.sum("types")).first()
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"),
+                       F.col(text_col).cast("string").alias("text"))
+    units = saved(base.mapInArrow(_units, _UNIT_SQL).withColumn("unit", F.monotonically_increasing_id()), "lm-units")
+    size = units.agg(F.sum("size")).first()[0] or 0
+    buckets = max(4 * parts, size // BUCKET_BYTES)
+    asked = units.mapInArrow(lambda it: _ask(it, buckets), _GRAMS_SQL).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    answers = saved(asked.mapInArrow(_answer, _GRAMS_SQL), "lm-counts")
+    tokens, types = answers.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = tokens or 0, types or 0
-    # at most 4 * parts words have that share
-    least = max(2, tokens // (4 * parts))
-    few = vocab.mapInArrow(lambda it: hot(it, least), shape).toPandas()
-    model = _Model(few["w"].to_numpy(np.int64), few["c"].to_numpy(np.int64), tokens, types, texts, TOP_SHARE)
-    pairs = base.select("held", "text").mapInArrow(lambda it: _pair_counts(it, model), "pair long, c long")
-    pairs = pairs.groupBy("pair").agg(F.sum("c").alias("c")).toPandas()  # at most n_top ** 2 rows
-    model.pair_count.reshape(-1)[pairs["pair"].to_numpy(np.int64)] = pairs["c"].to_numpy(np.int64)
-
-    steps = base.mapInArrow(lambda it: _traverse(it, model, parts), _BLOB_SQL).repartition(parts, "bucket")
-    weighed = steps.mapInArrow(lambda it: _weigh(it, model, parts), _BLOB_SQL)
-    rooted = weighed.union(vocab).repartition(parts, "bucket").mapInArrow(lambda it: _root(it, model, parts), _BLOB_SQL)
-    total = model.tokens
-    return rooted.repartition(parts, "bucket").mapInArrow(
-        lambda it: _finish(it, total), "doc_id long, held_out boolean, n_tokens long, n_known long, "
-        "train_tokens long, base_score double, score double")
+    both = units.withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers.select("unit", "bucket", "counts"), allowMissingColumns=True)
+    return both.repartition(parts, "unit").sortWithinPartitions("unit", "bucket").mapInArrow(
+        lambda it: _score(it, tokens, types), _OUT_SQL)

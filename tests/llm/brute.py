@@ -62,29 +62,28 @@ def hits(text, items):
 
 
 def language_model(texts, held, kappa, beta):
-    """texts: list of texts -> [(tokens, known, base score, score)]."""
-    end, start = 0, 1
-    seqs = [words(t) + [end] for t in texts]
-    uni, big, n_train = Counter(), Counter(), 0
+    """texts: list of texts -> [(tokens, known, base score, score)]; the order
+    is one more than the number of kappas."""
+    end, start, order = 0, 1, len(kappa) + 1
+    seqs = [[start] + words(t) + [end] for t in texts]
+    count = Counter()
     for s, h in zip(seqs, held):
         if not h:
-            n_train += 1
-            uni.update(s)
-            big.update(zip([start] + s[:-1], s))
-    total, types = sum(uni.values()), len(uni)
-    den = math.log10(total + 0.5 * (types + 1))
+            count.update(tuple(s[i:i + n]) for n in range(1, order + 1) for i in range(len(s) - n + 1))
+    total = sum(c for g, c in count.items() if len(g) == 1 and g != (start,))
+    types = sum(len(g) == 1 and g != (start,) for g in count)
+
+    def prob(context, x):
+        if not context:
+            return (count[x,] + 0.5) / (total + 0.5 * (types + 1))
+        c, lower = count[context], prob(context[1:], x)
+        t = kappa[len(context) - 1] * c ** beta
+        return (count[(*context, x)] + t * lower) / (c + t) if c else lower
     out = []
     for s in seqs:
-        base = sum(math.log10(uni[x] + 0.5) - den for x in s)
-        score = 0.0
-        for v, x in zip([start] + s[:-1], s):
-            c = n_train if v == start else uni[v]
-            t = kappa * c ** beta if c else 1.0
-            if big[v, x]:
-                score += math.log10(big[v, x] / (c + t))
-            else:
-                score += (math.log10(t / (c + t)) if c else 0.0) + math.log10(uni[x] + 0.5) - den
-        out.append((len(s), sum(uni[x] > 0 for x in s), base, score))
+        base = sum(math.log10(prob((), x)) for x in s[1:])
+        score = sum(math.log10(prob(tuple(s[max(0, i - order + 1):i]), s[i])) for i in range(1, len(s)))
+        out.append((len(s) - 1, sum(count[x,] > 0 for x in s[1:]), base, score))
     return total, out
 
 
