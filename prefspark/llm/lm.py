@@ -40,7 +40,10 @@ ORDER = 3
 #: expected successors of a context of one word, of two words, ...
 KAPPA, BETA = (8.0, 4.0), 0.8
 #: text of a unit and of a bucket, in bytes (one longer text goes alone)
-UNIT_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+UNIT_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: n-grams are compared by hashes of this many bits more than the corpus' bytes
+#: need (64 at most), so about one in a million n-grams takes another's count
+HASH_BITS = 20
 START, END = U(0), U(1)
 
 _UNIT = pa.schema([("size", pa.int64()), *((c, pa.binary()) for c in ("ids", "flags", "lengths", "text"))])
@@ -104,7 +107,7 @@ def _before(x: np.ndarray, first: np.ndarray, at_start) -> np.ndarray:
     return out
 
 
-def _grams(w: np.ndarray, first: np.ndarray):
+def _grams(w: np.ndarray, first: np.ndarray, shift: int):
     """For each order: (distinct n-grams, index of each step's n-gram among
     them, -1 for a step with too few words before it)."""
     gram, there = w, np.ones(len(w), bool)
@@ -112,33 +115,29 @@ def _grams(w: np.ndarray, first: np.ndarray):
         if order > 1:
             gram = mix(mix(_before(gram, first, START) + U(order)) ^ w)
             there = _before(there, first, order == 2)
-        distinct, at = np.unique(gram[there], return_inverse=True)
-        index = np.full(len(w), -1)
+        distinct, at = np.unique(gram[there] >> U(shift), return_inverse=True)
+        index = np.full(len(w), -1, np.int32)
         index[there] = at
         yield distinct, index
 
 
-def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each n-gram; ascends with the n-grams."""
-    return ((grams >> U(32)) * U(buckets)) >> U(32)
-
-
 @task
-def _ask(batches, buckets: int):
+def _ask(batches, buckets: int, shift: int):
     """The distinct n-grams of each unit with their training counts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            w, first, _, flags = _steps(row)
-            train, parts = np.repeat(flags % 2 == 0, np.diff(np.append(first, len(w)))), []
-            for grams, index in _grams(w, first):
-                mine = train & (index >= 0)
-                parts.append((grams, np.bincount(index[mine], minlength=len(grams)).astype(np.int64), _bucket(grams, buckets)))
-            there = np.unique(np.concatenate([np.unique(b) for _, _, b in parts]))
-            cuts = [list(zip(np.searchsorted(b, there).tolist(), np.searchsorted(b, there, "right").tolist())) for _, _, b in parts]
-            yield record_batch(_GRAMS, [
-                (row["unit"], int(b), [_zip_ints(np.diff(g[lo:hi], prepend=U(0))) for (g, _, _), (lo, hi) in zip(parts, cut)],
-                 [_zip_ints(c[lo:hi]) for (_, c, _), (lo, hi) in zip(parts, cut)], None, None)
-                for b, cut in zip(there.tolist(), zip(*cuts))])
+    none = _zip_ints(np.zeros(0, np.int64))
+    for row in (row for batch in batches for row in batch.to_pylist()):
+        w, first, _, flags = _steps(row)
+        train, rows = np.repeat(flags % 2 == 0, np.diff(np.append(first, len(w)))), {}
+        for order, (grams, index) in enumerate(_grams(w, first, shift)):
+            count = np.bincount(index[train & (index >= 0)], minlength=len(grams)).astype(np.int64)
+            # the bucket ascends with the n-gram
+            bucket = (((grams << U(shift)) >> U(32)) * U(buckets)) >> U(32)
+            there, at = np.unique(bucket, return_index=True)
+            for b, lo, hi in zip(there.tolist(), at.tolist(), [*at[1:].tolist(), len(grams)]):
+                grams_of, counts_of = rows.setdefault(b, ([none] * ORDER, [none] * ORDER))
+                grams_of[order] = _zip_ints(np.diff(grams[lo:hi], prepend=U(0)))
+                counts_of[order] = _zip_ints(count[lo:hi])
+        yield record_batch(_GRAMS, [(row["unit"], b, *rows[b], None, None) for b in sorted(rows)])
 
 
 def _groups(batches, by: str):
@@ -173,7 +172,8 @@ def _automaton(grams, counts, first, root):
     and the weights of the failure arcs of the states before the steps (with
     the states' occurrences)."""
     seen = [np.where(index >= 0, c[index] if len(c) else 0, 0) for (_, index), c in zip(grams, counts)]
-    texts = int(counts[0][np.searchsorted(grams[0][0], END)])  # a start for each end
+    # a start for each end; the last step is an end
+    texts = int(counts[0][grams[0][1][-1]])
     arcs, states = [root(seen[0])], [np.ones(len(seen[0]), np.int64)]
     fails = [np.zeros(len(seen[0]))]
     for length in range(1, ORDER):
@@ -200,13 +200,13 @@ def _walk(seen, arcs, fails, states) -> np.ndarray:
 
 
 @task
-def _score(batches, tokens: int, types: int):
+def _score(batches, tokens: int, types: int, shift: int):
     """Scores of the texts of each unit, from its answers."""
     # without training texts every word has weight 1/2 of 1/2
     root_total = np.log10(tokens + 0.5 * (types + 1))
     for unit, *answers in _groups(batches, "unit"):
         w, first, ids, flags = _steps(unit)
-        grams = list(_grams(w, first))
+        grams = list(_grams(w, first, shift))
         counts = [np.concatenate([_unzip_ints(r["counts"][k]) for r in answers]) for k in range(ORDER)]
         model = _automaton(grams, counts, first, lambda c: np.log10(c + 0.5) - root_total)
         seen, base = model[0][0], model[1][0]
@@ -231,11 +231,11 @@ def score_texts(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "
                        F.col(text_col).cast("string").alias("text"))
     units = saved(base.mapInArrow(_units, _UNIT_SQL).withColumn("unit", F.monotonically_increasing_id()), "lm-units")
     size = units.agg(F.sum("size")).first()[0] or 0
-    buckets = max(4 * parts, size // BUCKET_BYTES)
-    asked = units.mapInArrow(lambda it: _ask(it, buckets), _GRAMS_SQL).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    buckets, shift = max(4 * parts, size // BUCKET_BYTES), max(0, 64 - HASH_BITS - size.bit_length())
+    asked = units.mapInArrow(lambda it: _ask(it, buckets, shift), _GRAMS_SQL).repartition(parts, "bucket").sortWithinPartitions("bucket")
     answers = saved(asked.mapInArrow(_answer, _GRAMS_SQL), "lm-counts")
     tokens, types = answers.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = tokens or 0, types or 0
     both = units.withColumn("bucket", F.lit(-1).cast("long")).unionByName(answers.select("unit", "bucket", "counts"), allowMissingColumns=True)
     return both.repartition(parts, "unit").sortWithinPartitions("unit", "bucket").mapInArrow(
-        lambda it: _score(it, tokens, types), _OUT_SQL)
+        lambda it: _score(it, tokens, types, shift), _OUT_SQL)
