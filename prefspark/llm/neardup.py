@@ -7,8 +7,10 @@ inequality it can't be in range of any in the other cells, so a home node meets
 all its neighbours in its cell.  A split counts only if it saves a quarter of
 the comparisons.  Cells of up to ``SHARD`` nodes get a graph: each node links to
 near neighbours, robustly pruned (a neighbour is left out if one already kept
-is much nearer to it), and parts without a link between them are linked by
-their medoids.  A greedy search walks from the medoids towards each home node
+is much nearer to it).  The lists of a node from all its cells are united, and
+each cell searches its part of the united graph, whose parts without a link
+between them are linked by their medoids.  A greedy search walks from the
+medoids towards each home node
 and then expands everything in range of it, from what was met and from the node
 itself.  Larger cells, which no split makes smaller (a tight group), are cut by
 hash and their blocks compared exactly; so is a cell whose audit (some home
@@ -182,11 +184,27 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _spread(np.arange(len(label)), pair // len(label), pair % len(label))[label]
 
 
-def _graph(x: np.ndarray) -> list[np.ndarray]:
-    """Neighbours of each row, in both directions, so that a row can be
-    reached from whom it keeps."""
-    near = _prune(x)
+def _link_shard(rows: pd.DataFrame) -> pd.DataFrame:
+    """(node, near): robust-pruned neighbours of each node within a cell."""
+    rows = rows.sort_values("node")
+    ids = rows["node"].to_numpy()
+    return pd.DataFrame({"node": ids, "near": [ids[v] for v in _prune(_unit(rows["vec"]))]})
+
+
+def _united(cells: DataFrame) -> DataFrame:
+    """(node, near): adjacency lists of all cells (cell, node, vec), one list
+    a node."""
+    lists = cells.select("cell", "node", "vec").groupBy("cell").applyInPandas(_link_shard, "node long, near array<long>")
+    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+
+def _graph(x: np.ndarray, ids: np.ndarray, near) -> list[np.ndarray]:
+    """Neighbours of each row of a cell in the united graph, in both
+    directions, so that a row can be reached from whom it keeps."""
     a, b = np.repeat(np.arange(len(x)), [len(v) for v in near]), np.concatenate([*near, np.zeros(0, int)]).astype(int)
+    at = np.minimum(np.searchsorted(ids, b), len(ids) - 1)
+    here = (ids[at] == b) & (at != a)  # neighbours in other cells only are met there
+    a, b = a[here], at[here]
     more_a, more_b = _connect(x, a, b)
     a, b = np.concatenate([a, more_a]), np.concatenate([b, more_b])
     both = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))
@@ -279,11 +297,12 @@ def _missed(x: np.ndarray, ids: np.ndarray, home: np.ndarray, found: np.ndarray)
 
 def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
     """(node, peer, linked): rows in range of each home node, and a node of
-    its component."""
+    its component.  Without united lists (``near``) the cell's own are used."""
     rows = rows.sort_values("node")
+    near = rows["near"] if "near" in rows else _link_shard(rows)["near"]
     ids, home, copies, x = rows["node"].to_numpy(), rows["home"].to_numpy(bool), rows["copies"].to_numpy(), _unit(rows["vec"])
     n, pairs = len(x), [np.zeros(0, int)]
-    for q, node in _search(x, _graph(x), _medoids(x), np.flatnonzero(home)):
+    for q, node in _search(x, _graph(x, ids, near), _medoids(x), np.flatnonzero(home)):
         ok = (q != node) & (np.einsum("ij,ij->i", x[q], x[node]) >= COSINE)
         pairs += [q[ok] * n + node[ok], node[ok] * n + q[ok]]
     pairs = np.unique(np.concatenate(pairs))
@@ -319,7 +338,8 @@ def near_links(nodes: DataFrame) -> DataFrame:
     placed = _shards(nodes).join(nodes.select("node", "vec", "copies"), "node")
     out = "node long, peer long, linked long"
     small = placed.where(F.col("n") <= SHARD).select("cell", "node", "home", "copies", "vec")
-    found = small.groupBy("cell").applyInPandas(_search_shard, out)
+    united = saved(_united(small), "graph-united")
+    found = small.join(united, "node").groupBy("cell").applyInPandas(_search_shard, out)
     large = placed.where(F.col("n") > SHARD).withColumn("l", _count(F.col("homes"), SIDE)).withColumn("r", _count(F.col("n"), SIDE))
     left = large.where("home").select("cell", F.expr("cast(pmod(xxhash64(node, 2), l) as int)").alias("i"),
                                       F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("j"), F.lit(True).alias("left"), "node", "copies", "vec")

@@ -447,6 +447,26 @@ def test_embeddings_of_extreme_lengths_link(spark, size):
     assert {r["vec_id"]: r["n_links"] for r in out.collect()} == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0, 6: 0}
 
 
+def test_adjacency_lists_of_overlapping_shards_are_united(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = {"a": list(range(60)), "b": list(range(30, 90)), "c": [40]}
+    frame = spark.createDataFrame([(c, 7 * i, x[i].tolist()) for c, rows_ in cells.items() for i in rows_],
+                                  "cell string, node long, vec array<double>")
+    want = {}
+    for rows_ in cells.values():
+        for i, near in zip(rows_, neardup._prune(x[rows_])):
+            want.setdefault(7 * i, set()).update(7 * rows_[k] for k in near)
+    got = {r["node"]: r["near"] for r in neardup._united(frame).collect()}
+    assert {k: set(v) for k, v in got.items()} == want and all(len(v) == len(set(v)) for v in got.values())
+    # a cell keeps the links between its own rows, also those that only another cell found
+    part = np.arange(30, 60)
+    links = neardup._graph(x[part], 7 * part, [np.array(got[7 * i]) for i in part])
+    inside = {(i, j) for i in range(30) for j in range(30) if 7 * part[j] in want[7 * part[i]]}
+    assert inside | {(j, i) for i, j in inside} <= {(i, int(j)) for i in range(30) for j in links[i]}
+
+
 def test_secrets_are_masked_at_their_place_only(spark):
     text = "password=hunter2 then xhunter2y and order hunter27, née secret: 'q9z8-x7'\n"
     docs = spark.createDataFrame([(1, text), (2, "xhunter2y"), (3, None)], "doc_id long, text string")
