@@ -18,7 +18,7 @@ from prefspark.llm.common import saved
 
 WINDOW = 13
 GRAM, SLIDE = 8, 6  # GRAM + SLIDE - 1 == WINDOW
-#: fingerprints keep their place in the low bits (texts up to 2**27 words)
+#: fingerprints keep their place in the low bits (2**27 words don't fit a row of Spark's)
 PLACE_BITS = 27
 PLACE = (1 << PLACE_BITS) - 1
 
@@ -87,8 +87,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
     A window is WINDOW consecutive words of an item (the whole item if it has
     fewer); a word is hit inside any occurrence of a window.  ``contaminated``:
     n_hit > 0 and 20 n_hit >= n_words.  Null or wordless texts have no words
-    and no hits, and such items no windows.  Rows with equal ids and texts get
-    equal results; an empty benchmark hits nothing.
+    and no hits, and such items no windows.  An item without id hits words like
+    any other, but is neither counted nor listed.  Rows with equal ids and texts
+    get equal results; an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     items = saved(bench.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("words"))
@@ -129,7 +130,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", ite
         "last", F.expr("filter(p, (x, i) -> i = size(p) - 1 or p[i + 1] > x + 1)")).select(
         *key, "n_hit", F.expr("zip_with(first, last, (a, b) -> struct(a as start, b - a + 1 as length))").alias("hits"))
     named = hits.select(*key, F.col("item_id").cast("string").alias("i")).distinct().groupBy(*key).agg(
-        F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("i")), ",").alias("items"))
+        F.count("i").alias("n_items"), F.array_join(F.array_sort(F.collect_list("i")), ",").alias("items"))
     named = named.toDF("_doc_id", "_text_hash", "n_items", "items")
     found = places.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).drop(*key)
     counted = worded.select(*key, F.size("words").cast("long").alias("n_words"))

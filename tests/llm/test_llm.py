@@ -2,6 +2,7 @@
 and the defined results for nulls, empty and long texts, ties, repeated rows,
 empty tables and clashing columns."""
 
+import hashlib
 import math
 import os
 import sys
@@ -447,6 +448,16 @@ def test_embeddings_of_extreme_lengths_link(spark, size):
     assert {r["vec_id"]: r["n_links"] for r in out.collect()} == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0, 6: 0}
 
 
+def test_an_item_without_id_hits_words_but_is_not_counted(spark):
+    text = " ".join(f"w{k}" for k in range(13))
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "clean words"), (3, "lone")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (7, text), (None, "lone")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(docs, bench).collect()}
+    sha = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in {1: "7", 2: "", 3: ""}.items()}
+    assert {k: (r["n_hit"], r["n_items"], r["contaminated"], r["items_sha256"]) for k, r in got.items()} == {
+        1: (13, 1, True, sha[1]), 2: (0, 0, False, sha[2]), 3: (1, 0, True, sha[3])}
+
+
 def test_adjacency_lists_of_overlapping_shards_are_united(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 6))
