@@ -29,3 +29,7 @@ def ids(spark, folder, name):
 
 def test_prepare_samples_keeps_5000(spark, folder):
     assert ids(spark, folder, "p2_prepare_samples") == [i for i in range(ROWS) if i % 40 != 39][:5000]
+
+
+def test_cap_first_keeps_5000(spark, folder):
+    assert ids(spark, folder, "k2_cap_first") == list(range(5000))
