@@ -33,3 +33,9 @@ def test_prepare_samples_keeps_5000(spark, folder):
 
 def test_cap_first_keeps_5000(spark, folder):
     assert ids(spark, folder, "k2_cap_first") == list(range(5000))
+
+
+def test_eval_subset_keeps_1000(spark, folder):
+    held = [i for i in range(ROWS) if hashlib.md5(str(i).encode()).hexdigest()[:2] < "1a"]
+    assert len(held) > 1000
+    assert ids(spark, folder, "k6_eval_subset") == held[:1000]
