@@ -140,6 +140,29 @@ def test_chat_is_native_and_moves_texts_once(turns):
     assert "Python" not in plan and "InArrow" not in plan and plan.count("Exchange") <= 2
 
 
+def test_chat_reads_the_written_examples(turns, monkeypatch):
+    """The replies come from the expanded texts: without their last reply's
+    turn, the digest of the loss changes, that of the turns doesn't."""
+    right = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    made = chat.records
+
+    def short(chats):
+        r = made(chats)
+        return r.withColumn("text", F.when(F.col("reply").isNotNull(), F.substr("text", F.lit(1), F.col("loss_start").cast("int"))).otherwise(F.col("text")))
+    monkeypatch.setattr(chat, "records", short)
+    for r in chat.read_back(chat.format_turns(turns)).collect():
+        w = right[r["conv_id"]]
+        assert r["turns_sha256"] == w["turns_sha256"] and r["n_turns"] == w["n_turns"]
+        assert r["loss_chars"] == 0 and (r["loss_sha256"] == w["loss_sha256"]) == (w["loss_chars"] == 0)
+        assert (r["expanded_chars"] < w["expanded_chars"]) == (w["n_examples"] > 0)
+
+
+def test_chat_writes_examples_out_in_the_query(turns):
+    plan = chat.read_back(chat.format_turns(turns))._jdf.queryExecution().executedPlan().toString()
+    # with a lambda inside, so that it runs row by row
+    assert "Generate explode(transform(" in plan and "substring(" in plan
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert rows(chat.read_back(chat.format_turns(empty))) == []
