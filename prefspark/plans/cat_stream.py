@@ -78,8 +78,12 @@ PARTS, HELD_BACK = 4, 97
 
 
 def _arriving(spark, sf) -> DataFrame:
-    """Stream over the whole event log in several files: ``PARTS`` spans of
-    time one after the other, then every ``HELD_BACK``-th event, late."""
+    """Stream over the whole event log in ``PARTS + 1`` batches: ``PARTS`` spans
+    of time one after the other, then every ``HELD_BACK``-th event, late.
+
+    A batch takes a fixed number of files in order of their time, so each part
+    is written as that many, the last ones empty where its rows fill fewer:
+    a part is one batch, however large the log is."""
     e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select(
         F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"),
         F.col("value").alias("reward_mean"), "event_id")
@@ -87,10 +91,21 @@ def _arriving(spark, sf) -> DataFrame:
     first, last = e.agg(F.min(at), F.max(at)).first()
     part = F.when(F.col("event_id") % HELD_BACK == 0, PARTS).otherwise(F.least(F.floor((at - F.lit(first)) * PARTS / F.lit(max(1, last - first))), F.lit(PARTS - 1)))
     path = f"{checkpoint_dir(spark).rstrip('/')}/arriving-{uuid.uuid4().hex}"
+    files = max(1, spark.sparkContext.defaultParallelism)
+    jvm = spark._jvm
+    folder, spare = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}-empty"))
+    spark.createDataFrame([], e.schema).write.parquet(spare.toString())
+    conf = spark._jsc.hadoopConfiguration()
+    fs = folder.getFileSystem(conf)
+
+    def written(at) -> list:
+        return [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")]
     for k in range(PARTS + 1):  # one write each, so the files' times are in this order
-        e.where(part == k).write.mode("append").parquet(path)
-    # all files of one part in one batch, at most
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        e.where(part == k).coalesce(files).write.mode("append").parquet(path)
+        for i in range(files * (k + 1) - len(written(folder))):
+            to = jvm.org.apache.hadoop.fs.Path(folder, f"part-{k}-empty-{i}.parquet")
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, written(spare)[0], fs, to, False, conf)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _PARTED = f"""

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,9 @@ STEP_SCHEMA = T.StructType([
 WATERMARK = "10 minutes"
 WINDOW = "5 minutes"
 TRIGGER = "10 seconds"
+#: rows of the state store that hold all replay buffers of a stream (fixed for
+#: the life of a checkpoint)
+STATE_BUCKETS = 1024
 #: a running stream reports this often
 PROGRESS_SECONDS = 300.0
 
@@ -89,23 +93,58 @@ def latest_status(events: DataFrame, key: str = "id", status: str = "status", ts
     return events.groupBy(key).agg(F.max_by(status, F.struct(ts, *(tie or []))).alias(status), F.max(ts).alias("updated_at"))
 
 
-def replay_state(steps: DataFrame, size: int, run: str = "run_id", order: tuple[str, ...] = ("step", "event_id")) -> DataFrame:
+def replay_state(steps: DataFrame, size: int, run: str = "run_id", order: tuple[str, ...] = ("step", "event_id"),
+                 buckets: int = STATE_BUCKETS) -> DataFrame:
     """Replay buffer as stream state: per run the ``size`` rows that are last
-    in ``order`` (integer columns), kept in the state store as one bounded
-    array per column.  Update mode: (run, buffer) of the runs that a batch
-    touched, ``buffer`` from the last row down."""
-    fields = ", ".join(f"{c}: bigint" for c in order)
+    in ``order`` (integer columns, a null is least).  Update mode: (run, buffer)
+    of the runs that a batch touched, ``buffer`` from the last row down.
+
+    Runs are dealt by hash into ``buckets`` (rows without run: one of their
+    own), and a bucket's buffers are one packed row of the state store, so
+    Python is called and state moved once per bucket and batch, not per run."""
     kind = steps.schema[run].dataType.simpleString()
+    arrays = [f"__last{i}" for i in range(len(order))]
 
     def keep(key, batches, state):
-        held = np.array(state.get, np.int64) if state.exists else np.zeros((len(order), 0), np.int64)
-        for pdf in batches:  # a run's rows come in bounded pieces
-            held = np.concatenate([held, pdf[list(order)].to_numpy(np.int64).T], axis=1)
-            held = held[:, np.lexsort(held[::-1])[::-1][:size]]
-        state.update(tuple(row.tolist() for row in held))
-        yield pd.DataFrame({run: [key[0]], "buffer": [[dict(zip(order, map(int, row))) for row in held.T]]})
-    return steps.select(run, *order).groupBy(run).applyInPandasWithState(
-        keep, f"{run} {kind}, buffer array<struct<{fields}>>", ", ".join(f"{c} array<bigint>" for c in order), "update", "NoTimeout")
+        if state.exists:  # the runs, then their rows in order of run
+            runs, counts, packed = state.get
+            runs = pa.ipc.open_stream(runs).read_pandas()[run]
+            runs = runs.repeat(np.frombuffer(counts, np.int64))
+            held = np.frombuffer(packed, np.int64).reshape(len(order), -1)
+        else:
+            runs, held = None, np.zeros((len(order), 0), np.int64)
+        touched = np.zeros(0, bool)
+        for pdf in batches:  # a bucket's rows come in bounded pieces
+            rows = np.concatenate([held, pdf[list(order)].to_numpy(np.int64).T], axis=1)
+            runs = pdf[run] if runs is None else pd.concat([runs, pdf[run]], ignore_index=True)
+            # codes in order of appearance: those of the held runs stay
+            code, names = (np.zeros(len(runs), np.int64), runs.iloc[:1]) if key[0] < 0 else pd.factorize(runs)
+            hit = np.zeros(len(names), bool)
+            hit[:len(touched)] = touched
+            hit[code[held.shape[1]:]] = True
+            touched = hit
+            by = np.lexsort([*rows[::-1], -code])[::-1]  # run by run, from the last row down
+            ends = np.cumsum(np.bincount(code, minlength=len(names)))
+            first = np.concatenate([[0], ends[:-1]])
+            by = by[np.arange(len(by)) - first[code[by]] < size]
+            held, runs = rows[:, by], runs.iloc[by]
+        counts = np.bincount(code[by], minlength=len(names))
+        sink = pa.BufferOutputStream()
+        table = pa.table({run: pa.array(names, from_pandas=True)})
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        state.update((sink.getvalue().to_pybytes(), counts.astype(np.int64).tobytes(), held.tobytes()))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        some = np.flatnonzero(touched)
+        yield pd.DataFrame({run: pd.Series([None] * len(some), dtype=object) if key[0] < 0 else pd.Series(names[some])}
+                           | {a: [held[i, at[r]:at[r + 1]] for r in some] for i, a in enumerate(arrays)})
+    least = F.lit(-2 ** 63).cast("bigint")
+    rows = steps.select(run, *[F.coalesce(F.col(c).cast("bigint"), least).alias(c) for c in order],
+                        F.when(F.col(run).isNull(), -1).otherwise(F.pmod(F.xxhash64(run), F.lit(buckets))).cast("int").alias("__bucket"))
+    kept = rows.groupBy("__bucket").applyInPandasWithState(
+        keep, f"{run} {kind}, " + ", ".join(f"{a} array<bigint>" for a in arrays), "runs binary, counts binary, held binary", "update", "NoTimeout")
+    fields = ", ".join(f"{c}: bigint" for c in order)
+    return kept.select(run, F.arrays_zip(*arrays).cast(f"array<struct<{fields}>>").alias("buffer"))
 
 
 # ----------------------------------------------------------- foreachBatch state
