@@ -38,6 +38,8 @@ PERCENT = 80
 #: most (mean set size / share) hot ones, whatever the input's size
 HOT_SHARE = 0.002
 PIVOT_ROUNDS = 2
+#: text whose words are hashed at once, in bytes (one longer text goes alone)
+HASH_BYTES = 1 << 19
 #: bits of the parity sketch of a set, four longs
 CLASSES = 256
 
@@ -52,7 +54,13 @@ _SET_SQL = "owner long, n int, singles int, prefix array<long>, toks binary, p0
 
 def shingle_sets(data, off, k: int):
     """For each text: the sorted distinct hashes of its k-word shingles (of
-    the whole sequence if it has fewer words; empty without words)."""
+    the whole sequence if it has fewer words; empty without words).  Texts are
+    hashed in slices, so a batch's word columns are never held at once."""
+    for lo, hi in slices(off, HASH_BYTES):
+        yield from _shingle_sets(data, off[lo:hi + 1], k)
+
+
+def _shingle_sets(data, off, k: int):
     h, wo = hash_words(data, off)
     mult = constants(7, k)
     words = np.diff(wo)
@@ -131,15 +139,21 @@ def _scatter(batches, k: int, parts: int, hot_tok, hot_df):
                     sets.setdefault(_digest(s), s)
             if not sets:
                 continue
-            size = np.array([len(s) for s in sets.values()])
+            size = np.array([len(s) for s in sets.values()], np.int32)
             tok = np.concatenate(list(sets.values()))
             own, n = np.repeat(np.array(list(sets), np.int64), size), np.repeat(size, size)
-            at = np.minimum(np.searchsorted(hot_tok, tok), max(len(hot_tok) - 1, 0))
-            hot = hot_tok[at] == tok if len(hot_tok) else np.zeros(len(tok), bool)
-            cold = ~hot
-            yield _pack(tok[cold], own[cold], n[cold], None, (tok[cold] % U(parts)).astype(np.int64), False)
-            if hot.any():
-                yield _pack(tok[hot], own[hot], n[hot], hot_df[at[hot]], own[hot] % parts, True)
+            del sets
+            if len(hot_tok):
+                at = np.minimum(np.searchsorted(hot_tok, tok), len(hot_tok) - 1)
+                hot = hot_tok[at] == tok
+                if hot.any():
+                    yield _pack(tok[hot], own[hot], n[hot], hot_df[at[hot]], own[hot] % parts, True)
+                    cold = ~hot
+                    tok, own, n = tok[cold], own[cold], n[cold]
+                    del cold
+                del at, hot
+            yield _pack(tok, own, n, None, (tok % U(parts)).astype(np.int32), False)
+            del tok, own, n
 
 
 def _gather(blobs):

@@ -25,6 +25,8 @@ RIDGE = 1e-3
 #: likeness below this share of the labelled sample's first percentile is foreign
 FOREIGN = 0.5
 BATCH_TEXTS, BATCH_BYTES = 256, 2 << 20
+#: bytes whose n-grams are hashed at once
+PIECE_BYTES = 1 << 18
 
 _CODE = np.zeros(256, np.uint32)  # 0: no letter
 _CODE[0x80:] = np.arange(0x80, 0x100)
@@ -39,9 +41,9 @@ def presence(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """(texts x DIM) table of the n-grams that each text holds."""
     table = np.zeros((len(off) - 1, DIM), np.bool_)
     flat = table.reshape(-1)
-    # long texts in pieces that overlap by two bytes, to bound memory
-    for lo in range(int(off[0]), int(off[-1]), BATCH_BYTES):
-        hi = min(lo + BATCH_BYTES + 2, int(off[-1]))
+    # in pieces that overlap by two bytes, to bound memory
+    for lo in range(int(off[0]), int(off[-1]), PIECE_BYTES):
+        hi = min(lo + PIECE_BYTES + 2, int(off[-1]))
         c = _CODE[data[lo:hi]]
         row = (np.searchsorted(off, np.arange(lo, hi), "right") - 1).astype(np.int32)
         place = row.astype(np.int64) * DIM

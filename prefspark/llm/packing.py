@@ -14,7 +14,6 @@ tasks, longest pieces first, until one bounded task is left.
 from __future__ import annotations
 
 import array
-import functools
 import os
 import re
 import zlib
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import column, record_batch, saved, task
+from prefspark.llm.common import column, record_batch, saved, task, worker_cache
 
 SEQUENCE = 4096
 OPEN = 512
@@ -88,9 +87,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-@functools.lru_cache(maxsize=1)
+@worker_cache
 def word_ids(path: str) -> WordIds:
-    """One cache per Python worker, kept from task to task."""
+    """One cache per Python worker, kept from task to task of this module."""
     return WordIds(path)
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-WINDOW = 1 << 20
+#: bytes hashed at once (a longer word goes whole); bounds the temporary columns,
+#: of eight bytes a byte, and the kept power tables
+WINDOW = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 

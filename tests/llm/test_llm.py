@@ -6,10 +6,12 @@ import hashlib
 import math
 import os
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -502,3 +504,52 @@ def test_packing_in_several_rounds(spark, monkeypatch):
         seq = seq.sort_values("offset")
         assert seq["offset"].tolist() == [0, *np.cumsum(seq["length"])[:-1]] and seq["length"].sum() <= 4096
     assert got["sequence_id"].nunique() <= 1.02 * sum(sizes) / 4096 + 1
+
+
+def _joined(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+
+
+def _most_mb(run):
+    """MB that ``run`` holds at its peak beyond what it found."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_shingles_and_grams_of_a_batch_hold_little_memory():
+    data, off = _joined([" ".join(f"w{(i * 7 + j) % 9973}" for j in range(400)) for i in range(1800)])
+    assert off[-1] > 4_000_000
+    list(jaccard.shingle_sets(data[:100], np.array([0, 100]), 5))  # the power tables stay
+    assert _most_mb(lambda: [None for _ in jaccard.shingle_sets(data, off, 5)]) < 16
+    few = int(np.searchsorted(off, 2_000_000))
+    assert _most_mb(lambda: langid.presence(data, off[:few + 1])) < few * langid.DIM / 1e6 + 32
+
+
+def test_shingles_and_grams_do_not_depend_on_slices(monkeypatch):
+    texts = ["", PROSE, "x" * (WINDOW + 5) + " one two", PROSE * 3, " ", "née Été ñ 東京", "w " * 700, PROSE.upper()] * 3
+    data, off = _joined(texts)
+    whole = list(jaccard._shingle_sets(data, off, 5))
+    grams = langid.presence(data, off)
+    monkeypatch.setattr(jaccard, "HASH_BYTES", 200)
+    monkeypatch.setattr(langid, "PIECE_BYTES", 97)
+    parts = list(jaccard.shingle_sets(data, off, 5))
+    assert len(parts) == len(texts) and all(np.array_equal(a, b) for a, b in zip(whole, parts))
+    assert np.array_equal(grams, langid.presence(data, off))
+
+
+def test_word_cache_ends_with_another_modules_task():
+    def pieces():
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "row": [1], "text": [PROSE]})
+        return [b.to_pydict() for b in packing._pieces(iter([batch]), VOCAB, 1, 4096, True)]
+    first = pieces()
+    assert packing.word_ids.cache_info().currsize == 1
+    assert pieces() == first
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_hash": [1], "text": [PROSE]})
+    list(jaccard._catalogue(iter([batch]), 5, 0.002))
+    assert packing.word_ids.cache_info().currsize == 0
+    assert pieces() == first
