@@ -156,6 +156,12 @@ def _scatter(batches, k: int, parts: int, hot_tok, hot_df):
             del tok, own, n
 
 
+def _by_task(blobs: DataFrame, parts: int) -> DataFrame:
+    """One bucket a task.  Dealt by the hash of their number several buckets
+    would meet in one task, which holds all it gets."""
+    return blobs.repartitionById(parts, F.col("bucket"))
+
+
 def _gather(blobs):
     tok, own, cnt, n = (joined(blobs[c], t) for c, t in (("tok", U), ("own", np.int64), ("cnt", np.int32), ("n", np.int32)))
     return tok, np.repeat(own, cnt), np.repeat(n, cnt)
@@ -350,8 +356,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = np.argsort(tok)
     tok, df = tok[order], df[order]
 
-    dealt = base.mapInArrow(lambda it: _scatter(it, words, parts, tok, df), _BLOB_SQL).repartition(parts, "bucket")
-    shared = dealt.mapInArrow(lambda it: _count(it, parts), _BLOB_SQL).repartition(parts, "bucket")
+    dealt = _by_task(base.mapInArrow(lambda it: _scatter(it, words, parts, tok, df), _BLOB_SQL), parts)
+    shared = _by_task(dealt.mapInArrow(lambda it: _count(it, parts), _BLOB_SQL), parts)
     sets = saved(shared.mapInArrow(lambda it: _order(it, percent), _SET_SQL), "jaccard-sets")
 
     sketch = ["owner", "n", "singles", "p0", "p1", "p2", "p3"]

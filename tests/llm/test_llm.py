@@ -553,3 +553,9 @@ def test_word_cache_ends_with_another_modules_task():
     list(jaccard._catalogue(iter([batch]), 5, 0.002))
     assert packing.word_ids.cache_info().currsize == 0
     assert pieces() == first
+
+
+def test_jaccard_tasks_hold_one_bucket_each(spark):
+    dealt = jaccard._by_task(spark.range(150).select(F.pmod("id", F.lit(50)).cast("int").alias("bucket")), 50)
+    held = dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.collect_set("bucket").alias("held")).collect()
+    assert len(held) == 50 and all(len(r.held) == 1 for r in held)
