@@ -163,6 +163,62 @@ def test_chat_writes_examples_out_in_the_query(turns):
     assert "Generate explode(transform(" in plan and "substring(" in plan
 
 
+LONGER = [*TURNS, *[(None, i, ("user", "assistant", "system")[i % 3], f"née {i} 東京 ### " + "y" * (i % 7) * 40) for i in range(80)],
+          *[(11, None if i < 5 else i // 4, "assistant", f"tie {i % 6} \\") for i in range(90)], *[(12, i, "user", "never answered") for i in range(90)]]
+
+
+@pytest.fixture()
+def longer(spark, monkeypatch):
+    """Conversations over the limit, in many parts, some of a single turn, and
+    examples in several blocks."""
+    monkeypatch.setattr(chat, "ROW_BYTES", 2000)
+    monkeypatch.setattr(chat, "PART_BYTES", 300)
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    chats = chat.format_turns(spark.createDataFrame(LONGER, "conv_id long, turn long, role string, text string"))
+    assert {r["_long"] for r in chats.long.collect()} == {None, 6, 9, 11, 12}
+    return chats
+
+
+def test_chat_writes_long_conversations_out(longer):
+    """Every example of a conversation too long for a row, part by part."""
+    made = {}
+    for r in chat.expand(longer).collect():
+        made.setdefault((r["conv_id"], r["example"]), []).append(r)
+    want = {}
+    for conv, said in brute.ordered(LONGER).items():
+        pieces = [brute.formatted(*t) for t in said]
+        for k, n in enumerate(i for i, (role, _) in enumerate(said) if role == "assistant"):
+            want[conv, k] = n, "".join(pieces[:n + 1]), pieces[n]
+    assert set(made) == set(want)
+    for key, (n, text, piece) in want.items():
+        *early, last = sorted(made[key], key=lambda r: r["part"])
+        assert "".join(r["text"] for r in (*early, last)) == text
+        assert last["reply"] == n and all(r["reply"] is r["loss_start"] is r["loss_chars"] is None for r in early)
+        assert text[last["loss_start"]:last["loss_start"] + last["loss_chars"]] == piece[len("### assistant: "):-len("</turn>\n")]
+    assert max(len(rows) for rows in made.values()) > 10
+
+
+def test_chat_reads_long_conversations_from_what_is_written(longer, monkeypatch):
+    got = {r["conv_id"]: r.asDict() for r in chat.read_back(longer).collect()}
+    want = brute.chats(LONGER)
+    assert set(got) == set(want)
+    for conv, w in want.items():
+        assert {k: got[conv][k] for k in w} == w, conv
+    made = chat.part_records
+    monkeypatch.setattr(chat, "part_records", lambda chats: made(chats).where("example is null or reply is not null or part > 0"))
+    fewer = {r["conv_id"]: r.asDict() for r in chat.read_back(longer).collect()}
+    for conv, w in want.items():  # without first parts only the texts of examples are shorter
+        assert {k: x for k, x in fewer[conv].items() if k != "expanded_chars"} == {k: x for k, x in got[conv].items() if k != "expanded_chars"}
+        assert (fewer[conv]["expanded_chars"] < w["expanded_chars"]) == (conv in (None, 9, 11))
+
+
+def test_chat_long_conversations_move_no_written_text(longer):
+    plan = chat.part_records(longer)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(CASE WHEN" in plan
+    after = plan[:plan.index("Generate explode(transform(")]  # above the parts
+    assert "Exchange" not in after and "Python" not in after
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert rows(chat.read_back(chat.format_turns(empty))) == []
